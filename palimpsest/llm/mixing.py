@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, word_count
 
-_STEPS, _TOLERANCE, _BLOCK = 40, 1e-9, 2048
+_STEPS, _TOLERANCE, _BLOCK, _STARTS = 40, 1e-9, 2048, 32
 
 
 def _rate(lam: Column, x: Column, cap: float) -> Column:
@@ -122,9 +122,17 @@ def mix(
     chance = F.xxhash64(F.col(key), F.lit("block"))
     rows = rows.withColumns({"rate": rate, "block": F.pmod(chance, F.col("blocks"))})
     block = ["source", "block"]
-    start = F.pmod(F.xxhash64(F.col("source"), F.col("block"), F.lit("start")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     upto = F.sum("rate").over(W.partitionBy(*block).orderBy(F.desc("size"), F.xxhash64(F.col(key)), F.col(key)).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto + start)
-    copies = F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("rate") + 1e-9)
-    rows = rows.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), F.lit(cap)).cast("int"))
+    rows = materialize(rows.withColumn("upto", upto), "rates")
+
+    def copies(start: Column) -> Column:
+        n = F.floor(F.col("upto") + start + 1e-9) - F.floor(F.col("upto") - F.col("rate") + start + 1e-9)
+        return F.least(F.greatest(n, F.lit(0)), F.lit(cap)).cast("int")
+
+    # Of the evenly spaced starts, each block takes the one whose words come nearest to the expected ones.
+    starts = [(k + 0.5) / _STARTS for k in range(_STARTS)]
+    took = [F.sum(F.col("size") * copies(F.lit(u))) for u in starts]
+    off = [F.struct(F.abs(t - F.sum(F.col("size") * F.col("rate"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
+    best = rows.groupBy(F.col("source").alias("of"), F.col("block").alias("nth")).agg(F.array_min(F.array(*off))["start"].alias("start"))
+    rows = rows.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth"))).withColumn("copies", copies(F.col("start")))
     return rows.select(key, "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))

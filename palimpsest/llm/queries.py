@@ -20,7 +20,7 @@ URL_RULES = (
     url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 )
-BLOCKED_LABELS = ("spam-farm", "cheap-pills", "casino-win")
+BLOCKED_LABELS = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
