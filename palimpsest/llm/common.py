@@ -51,3 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
+    """``docs`` rows of at most ``bound`` labelled keys, with the column ``own_label`` (0 or 1).
+
+    The keys with the smallest hash are taken, so reruns and other partitionings
+    agree. Null labels don't count; a key labelled twice has its largest label. The
+    bounded side is what is broadcast.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("own_key")).agg(F.max(label).cast("int").alias("own_label"))
+    marks = marks.orderBy(F.xxhash64("own_key"), "own_key").limit(bound)
+    return docs.join(F.broadcast(marks), F.col(key) == F.col("own_key")).drop("own_key")
