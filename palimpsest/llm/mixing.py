@@ -29,6 +29,11 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
     return F.lit(float(cap)) / (1 + F.exp(F.least(-lam * x, F.lit(700.0))) * (cap - 1))
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree."""
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def source_targets(hist: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Per source: size_sum, target. ``hist``: source, size, n.
 
@@ -61,7 +66,7 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: float, name: str = "tilt") -
     spark = hist.sparkSession
     means = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     state = targets.join(means, targets["source"].eqNullSafe(means["source"])).drop(means["source"])
-    fill = F.col("target") / F.col("source_size")
+    fill = F.try_divide("target", "source_size")
     inner = (F.col("source_size") > 0) & (fill > 1e-12) & (fill < cap * (1 - 1e-12))
     state = materialize(state.select("*", F.when(inner, F.lit(0.0)).alias("lam"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(1.0).alias("off")), name)
     for step in range(_STEPS):
@@ -74,18 +79,18 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: float, name: str = "tilt") -
         sums = (
             h.join(s.where("lam is not null"), F.col("h.source").eqNullSafe(F.col("s.source")))
             .groupBy(F.col("s.source").alias("of"))
-            .agg(F.sum(words * rate).alias("got"), F.sum(words * x * slope).alias("bend"))
+            .agg(_exact_sum(words * rate).alias("got"), _exact_sum(words * x * slope).alias("bend"))
         )
         nxt = state.join(sums, state["source"].eqNullSafe(sums["of"]) & state["lam"].isNotNull(), "left")
         gap = F.col("got") - F.col("target")
         low = F.when(gap < 0, F.greatest("low", "lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.least("high", "lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - gap / F.col("bend")
+        newton = F.col("lam") - F.try_divide(gap, F.col("bend"))
         # A step out of the bracket is replaced: by its middle, or by a doubling while one end is still open.
         middle = F.when((high < 1e9) & (low > -1e9), (low + high) / 2).otherwise(F.when(gap < 0, F.greatest(F.col("lam") * 2, F.lit(1.0))).otherwise(F.least(F.col("lam") * 2, F.lit(-1.0))))
         bad = (F.col("bend") <= 0) | (newton <= low) | (newton >= high) | (F.abs(newton - F.col("lam")) > 4 + F.abs(F.col("lam"))) | newton.isNull() | F.isnan(newton)
         new = F.when(F.col("lam").isNull() | (F.col("off") <= _TOLERANCE) | F.col("got").isNull(), F.col("lam")).otherwise(F.when(bad, middle).otherwise(newton))
-        nxt = nxt.select("source", "source_size", "target", "mean", new.alias("lam"), low.alias("low"), high.alias("high"), F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)).alias("off"))
+        nxt = nxt.select("source", "source_size", "target", "mean", new.alias("lam"), low.alias("low"), high.alias("high"), F.coalesce(F.try_divide(F.abs(gap), F.col("target")), F.lit(0.0)).alias("off"))
         state = materialize(nxt, f"{name}{step}")
         if (state.agg(F.max("off").alias("off")).first()["off"] or 0.0) <= _TOLERANCE:
             break
@@ -132,7 +137,7 @@ def mix(
     # Of the evenly spaced starts, each block takes the one whose words come nearest to the expected ones.
     starts = [(k + 0.5) / _STARTS for k in range(_STARTS)]
     took = [F.sum(F.col("size") * copies(F.lit(u))) for u in starts]
-    off = [F.struct(F.abs(t - F.sum(F.col("size") * F.col("rate"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
+    off = [F.struct(F.abs(t - _exact_sum(F.col("size") * F.col("rate"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
     best = rows.groupBy(F.col("source").alias("of"), F.col("block").alias("nth")).agg(F.array_min(F.array(*off))["start"].alias("start"))
     rows = rows.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth"))).withColumn("copies", copies(F.col("start")))
     return rows.select(key, "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, topk_join, url_filter, warc_store
+from . import mixing, ngram_join, ppm, quality_classifier, quality_rules, quotation, sentencepiece_codec, topk_join, url_filter, warc_store
 from .common import scratch_path, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,12 +41,22 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_LABELS)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored = ppm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc_store.write_archive(table(spark, sf_dir, "pages"), path)
@@ -67,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filters": op4_url_filters,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
