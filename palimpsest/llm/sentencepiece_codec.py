@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -63,10 +64,17 @@ class PieceCodec:
         for piece in self.ids:
             self.matcher.add_word(piece, len(piece))
         self.matcher.make_automaton()
+        self._most = max(map(len, self.ids))
+        # The next shorter piece that starts a piece; at the end its first character, be it a piece or not.
+        self._shorter: dict[str, str] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                self._shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids), piece[0])
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._units = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._cache: dict[str, tuple[list[int], str]] = {}
+        self._old: dict[str, tuple[list[int], str]] = {}
         self._numbers = [str(i) for i in range(len(self.surface))]
 
     def remerge(self, text: str) -> list[str]:
@@ -94,53 +102,62 @@ class PieceCodec:
             self._pairs[left, right] = known
         return known
 
-    def _longest(self, unit: str) -> list[str] | None:
-        """The longest match at each position in turn, if all neighbours agree."""
-        out, at, prev = [], 0, ""
-        for end, length in self.matcher.iter_long(unit):
-            if end - length + 1 != at:
-                return None
-            at = end + 1
-            token = unit[at - length : at]
-            if not self.compatible(prev, token):
-                return None
-            out.append(token)
-            prev = token
-        return out if at == len(unit) else None
-
-    def _backtrack(self, unit: str) -> list[str]:
-        n = len(unit)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, length in self.matcher.iter(unit):
-            lengths[end - length + 1].append(length)
-        for own in lengths:  # a character that is no piece stands alone
-            if 1 not in own:
-                own.insert(0, 1)
-            own.sort()
-        failed = bytearray((n >> 3) + 1)
-        taken: list[tuple[int, int]] = []
-        pos, choice = 0, len(lengths[0]) - 1
-        while pos < n:
-            prev = unit[taken[-1][0] : pos] if taken else ""
-            own = lengths[pos]
-            while choice >= 0:
-                end = pos + own[choice]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(prev, unit[pos:end]):
-                    break
-                choice -= 1
-            if choice >= 0:
-                taken.append((pos, choice))
-                pos = end
-                choice = len(lengths[pos]) - 1 if pos < n else -1
+    def _tokens(self, unit: str) -> list[str]:
+        ids, shorter, pairs, match, most = self.ids, self._shorter, self._pairs, self.matcher.longest_prefix, self._most
+        n, failed = len(unit), None
+        out: list[str] = []
+        pos, prev, token = 0, "", None
+        while True:
+            if token is None:  # the longest piece that starts here; a character that starts none stands for itself
+                ahead = unit[pos : pos + most]
+                token = ahead[: match(ahead) or 1]
+                while token not in ids and len(token) > 1:  # the automaton's path may go past its last piece
+                    token = token[:-1]
+            while token:
+                end = pos + len(token)
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = pairs.get((prev, token))
+                    if fits is None:
+                        fits = self.compatible(prev, token)
+                    if fits:
+                        break
+                token = shorter.get(token, "")
+            if token:
+                out.append(token)
+                if end == n:
+                    return out
+                pos, prev, token = end, token, None
             else:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos, choice = taken.pop()
-                choice -= 1
-        return [unit[p : p + lengths[p][c]] for p, c in taken]
+                token = out.pop()
+                pos -= len(token)
+                prev = out[-1] if out else ""
+                token = shorter.get(token, "")
 
     def _unit(self, unit: str) -> tuple[list[int], str]:
+        found = self._old.get(unit)
+        if found is not None:
+            if len(self._cache) < _CACHE_UNITS:
+                self._cache[unit] = found
+            return found
+        tokens = self._tokens(unit)
+        try:
+            out = [self.ids[t] for t in tokens]
+        except KeyError:
+            out = self._with_bytes(tokens)
+        found = (out, " ".join([self._numbers[i] for i in out]))
+        if len(unit) <= _CACHED_LENGTH:
+            if len(self._cache) >= _CACHE_UNITS:  # the generation before stays: frequent units are never all lost
+                self._old, self._cache = self._cache, {}
+            self._cache[unit] = found
+        return found
+
+    def _with_bytes(self, tokens: list[str]) -> list[int]:
+        """Characters that are no piece become their UTF-8 bytes, or the unknown id."""
         out: list[int] = []
-        for token in self._longest(unit) or self._backtrack(unit):
+        for token in tokens:
             i = self.ids.get(token)
             if i is not None:
                 out.append(i)
@@ -148,29 +165,22 @@ class PieceCodec:
                 out += [self.byte_ids[b] for b in token.encode("utf-8", "replace")]
             else:
                 out.append(self.unk_id)
-        found = (out, " ".join([self._numbers[i] for i in out]))
-        if len(unit) <= _CACHED_LENGTH:
-            if len(self._cache) >= _CACHE_UNITS:
-                self._cache.clear()
-            self._cache[unit] = found
-        return found
+        return out
 
     def _encoded_units(self, text: str) -> list[tuple[list[int], str]]:
         if not text:
             return []
-        cache = self._cache
-        return [cache.get(u) or self._unit(u) for u in self._units.findall(SPACE + text.replace(" ", SPACE))]
+        known = self._cache.get
+        return [known(u) or self._unit(u) for u in self._units.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str | None, add_eos: bool = False) -> list[int]:
-        out = [i for ids, _ in self._encoded_units(text or "") for i in ids]
+        out = list(chain.from_iterable([ids for ids, _ in self._encoded_units(text or "")]))
         return out + [self.eos_id] if add_eos else out
 
     def encode_joined(self, text: str | None, add_eos: bool = False) -> tuple[list[int], str]:
         """The ids, and the same in decimal, joined by one space."""
         units = self._encoded_units(text or "")
-        ids: list[int] = []
-        for own, _ in units:
-            ids += own
+        ids = list(chain.from_iterable([own for own, _ in units]))
         words = [s for _, s in units]
         if add_eos:
             ids.append(self.eos_id)
@@ -301,3 +311,22 @@ def token_digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str
     rows = df.select(F.col(key).alias("own_key"), F.coalesce(F.col(text), F.lit("")).alias("own_text"))
     out = rows.mapInPandas(digest, f"own_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("own_key", key)
+
+
+def tokenized(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_tokens, token_ids (with the end id), and decoded_sha256 as in ``token_digests``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = codec(model_path)
+        for part in parts:
+            for at in range(0, len(part), 1000):  # a bounded number of id lists at a time
+                some = part.iloc[at : at + 1000]
+                ids = [own.encode(t, add_eos=True) for t in some["own_text"]]
+                sha = [hashlib.sha256(own.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
+                yield pd.DataFrame({"own_key": some["own_key"], "n_tokens": [len(x) for x in ids], "token_ids": pd.Series(ids, index=some.index, dtype=object), "decoded_sha256": sha})
+
+    from pyspark.sql import functions as F
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("own_key"), F.coalesce(F.col(text), F.lit("")).alias("own_text"))
+    return rows.mapInPandas(run, f"own_key {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string").withColumnRenamed("own_key", key)
