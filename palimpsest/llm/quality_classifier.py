@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -208,15 +208,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     return co_train(x, rows[["chars"]].to_numpy(), rows[["c1", "c2"]].to_numpy(), rows["own_label"].to_numpy())
 
 
-def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars") -> DataFrame:
-    """Per document: key, text_score, meta_score, score (probability of good quality), kept.
+def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: ``carry`` columns, key, text_score, meta_score, score (probability of good quality), kept.
 
     Null and empty texts have all-zero text features and are scored like any other;
     null metadata is a category of its own. Repeated rows get the same score. Without
     a model (no labels of one class) scores are null and everything is kept.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(*_views(docs, key, text, source, lang, chars))
+    carry = [c for c in carry if c != key]
+    taken = {c: f"own_carried_{i}" for i, c in enumerate(carry)}
+    rows = docs.select(*_views(docs, key, text, source, lang, chars), *[F.col(c).alias(a) for c, a in taken.items()])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -226,10 +228,11 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, key:
             meta = np.log1p(np.maximum(part["own_chars"].fillna(0).to_numpy(dtype=float), 0))[:, None]
             cats = np.array([[_bucket(s), _bucket(g)] for s, g in zip(part["own_source"], part["own_lang"], strict=True)])
             a, b, c = model.scores(x, meta, cats)
-            yield pd.DataFrame({"own_key": part["own_key"], "text_score": a, "meta_score": b, "score": c, "kept": c >= threshold})
+            yield part[["own_key", *taken.values()]].assign(text_score=a, meta_score=b, score=c, kept=c >= threshold)
 
-    schema = f"own_key {kind}, text_score double, meta_score double, score double, kept boolean"
+    kinds = "".join(f"{a} {docs.schema[c].dataType.simpleString()}, " for c, a in taken.items())
+    schema = f"own_key {kind}, {kinds}text_score double, meta_score double, score double, kept boolean"
     if model is None:
         null = F.lit(None).cast("double")
-        return docs.select(F.col(key), null.alias("text_score"), null.alias("meta_score"), null.alias("score"), F.lit(True).alias("kept"))
-    return rows.mapInPandas(run, schema).withColumnRenamed("own_key", key)
+        return docs.select(F.col(key), *carry, null.alias("text_score"), null.alias("meta_score"), null.alias("score"), F.lit(True).alias("kept"))
+    return rows.mapInPandas(run, schema).withColumnsRenamed({"own_key": key, **{a: c for c, a in taken.items()}})
