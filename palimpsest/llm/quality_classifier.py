@@ -10,6 +10,7 @@ without a shuffle.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -25,7 +26,7 @@ from .common import labelled_sample
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _DIGITS = str.maketrans("", "", "0123456789")
 _ENDS = str.maketrans("", "", ".!?,;:")
-TEXT_FEATURES = ("words", "mean_chars", "symbols", "digits", "marks", "capitals", "all_capitals", "non_ascii", "distinct", "top_word", "dup_lines", "line_words", "long_words")
+TEXT_FEATURES = ("words", "mean_chars", "symbols", "digits", "marks", "capitals", "all_capitals", "non_ascii", "distinct", "top_word", "dup_lines", "line_words", "long_words", "adjacent")
 META_FEATURES = ("stated_chars",)
 
 
@@ -54,6 +55,7 @@ def text_features(text: str | None) -> list[float]:
         (len(lines) - len(set(lines))) / max(len(lines), 1),
         np.log1p(n / max(len(lines), 1)),
         sum(1 for w in counts if len(w) > 14) / max(len(counts), 1),
+        sum(map(operator.eq, words, words[1:])) / n,
     ]
 
 
@@ -208,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     return co_train(x, rows[["chars"]].to_numpy(), rows[["c1", "c2"]].to_numpy(), rows["own_label"].to_numpy())
 
 
-def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", carry: Sequence[str] = ()) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.35, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", carry: Sequence[str] = ()) -> DataFrame:
     """Per document: ``carry`` columns, key, text_score, meta_score, score (probability of good quality), kept.
 
     Null and empty texts have all-zero text features and are scored like any other;
