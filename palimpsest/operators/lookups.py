@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.logs import calls_of, results_of
+from ..sources.scratch import materialize
 
 
 def identify_results(entries: DataFrame) -> DataFrame:
@@ -85,11 +86,12 @@ def orphan_closure(entries: DataFrame, name: str = "closure") -> DataFrame:
         new_ids = links.join(reached, ["session_id", "pos"], "left_semi").select("session_id", "call_id").distinct()
         if ids is not None:
             new_ids = new_ids.join(ids, ["session_id", "call_id"], "left_anti")
-        new_ids = new_ids.checkpoint()
+        new_ids = materialize(new_ids, f"{name}-ids")
         if not new_ids.limit(1).count():
             return reached
         ids = new_ids if ids is None else ids.unionByName(new_ids)
-        reached = reached.unionByName(links.join(new_ids, ["session_id", "call_id"], "left_semi").select("session_id", "pos")).distinct().checkpoint()
+        reached = reached.unionByName(links.join(new_ids, ["session_id", "call_id"], "left_semi").select("session_id", "pos")).distinct()
+        reached = materialize(reached, name)
 
 
 def ordered_lookup(wanted: DataFrame, archive: DataFrame) -> DataFrame:

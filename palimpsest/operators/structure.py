@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.logs import calls_of, results_of
+from ..sources.scratch import plain_unions
 
 def session_order() -> WindowSpec:
     return W.partitionBy("session_id").orderBy("pos")
@@ -70,6 +71,7 @@ def first_eligible(spans_: DataFrame) -> DataFrame:
 
 def call_intervals(entries: DataFrame) -> DataFrame:
     """Each call with ``closed_at``: the position of its first later result, null while open."""
+    plain_unions(entries.sparkSession)
     events = calls_of(entries).select("session_id", "pos", "call_id", F.lit(True).alias("call")).unionByName(results_of(entries).select("session_id", "pos", "call_id", F.lit(False).alias("call")))
     later = W.partitionBy("session_id", "call_id").orderBy("pos").rangeBetween(1, W.unboundedFollowing)
     return events.withColumn("closed_at", F.min(F.when(~F.col("call"), F.col("pos"))).over(later)).where("call").drop("call")
@@ -77,6 +79,7 @@ def call_intervals(entries: DataFrame) -> DataFrame:
 
 def orphan_sessions(entries: DataFrame) -> DataFrame:
     """Sessions with a result that no open call expects."""
+    plain_unions(entries.sparkSession)
     events = calls_of(entries).select("session_id", "pos", "call_id", F.lit(True).alias("call")).unionByName(results_of(entries).select("session_id", "pos", "call_id", F.lit(False).alias("call")))
     prior = F.lag("call").over(W.partitionBy("session_id", "call_id").orderBy("pos"))
     return events.withColumn("prior", prior).where(~F.col("call") & ~F.coalesce("prior", F.lit(False))).select("session_id").distinct()

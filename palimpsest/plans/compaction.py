@@ -11,6 +11,7 @@ from ..functions.blocks import message_text, transcript
 from ..functions.text import files_section, u16len
 from ..operators import lineage, selection, structure
 from ..sources import logs
+from ..sources.scratch import materialize
 from . import strategies
 
 
@@ -82,8 +83,9 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, before
 
 def run(entries: DataFrame, sessions: DataFrame, strategy: str, price: Column, keep: int, model: Callable[[str], str] | None = None, max_chars: int = 8_192) -> tuple[DataFrame, DataFrame]:
     """The whole plan for the sessions under pressure. Without ``model`` the checkpoint needs none."""
-    rows = priced(entries, price)
+    rows = materialize(priced(entries, price), "priced")  # read by every step below
     due = rows.join(pressured(rows, sessions, strategy).select("session_id"), "session_id", "left_semi")
     selected = strategies.strategy(strategy)(due, keep) if strategy in strategies._REGISTRY else select_before_cut(due, keep)
+    selected = materialize(selected, "selected")
     summaries = basic_summary(due, selected) if model is None else logs.summarize(requests(due, selected), model, max_chars)
-    return commit(rows, selected, summaries)
+    return commit(rows, selected, materialize(summaries, "summaries"))

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import plain_unions
+
 USAGE = T.StructType([T.StructField(n, T.LongType()) for n in ("input", "output", "cache_read", "cache_write", "total")])
 BLOCK = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "text", "id", "name", "arguments", "media_type")])
 RECORD = "session_id long, seq long, plugin string, kind string, data string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def block(kind: str, text: Column | None = None, id: Column | None = None, name: Column | None = None, arguments: Column | None = None, media_type: Column | None = None) -> Column:
