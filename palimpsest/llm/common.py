@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Keep unions from claiming their children's partitioning, which adaptive execution
+    can make untrue (wrong sums seen on Spark 4.1.2)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     table, never what produced it. Unlike ``checkpoint()`` it computes the plan
     once and keeps a columnar copy, so later reads are pruned.
     """
-    spark = df.sparkSession
+    spark = plain_unions(df.sparkSession)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,7 +42,7 @@ def test_codec_equals_library():
     lib, own = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL), codec(queries.MODEL)
     rng = random.Random(3)
     letters = [*"  ▁abcdetnhio\n\x00éß中😀ñ�1", "  ", "th", " the", "ing", "<s>", "<0x0A>"]
-    texts = ["", " ", "   ", "a" * 3000, "th" * 2000, " " * 500 + "x" * 300] + ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(3000)]
+    texts = ["", " ", "   ", "a" * 3000, "th" * 2000, " " * 500 + "x" * 300, "中文字符" * 900, "!?…" * 700] + ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(3000)]
     for t in texts:
         assert own.encode(t, add_eos=True) == lib.encode(t, add_eos=True)
         assert own.decode(own.encode(t)) == lib.decode(lib.encode(t))
