@@ -14,8 +14,12 @@ of the vocabulary can cross one; otherwise the whole text is one unit.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
+import itertools
 import re
+import string
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -25,7 +29,35 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_CACHE_UNITS, _CACHE_PAIRS, _CACHED_LENGTH = 600_000, 400_000, 48
+_BYTE = "\udc00"  # marks a byte in joined surfaces; no piece can hold it
+_CACHE_UNITS, _CACHE_PAIRS, _CACHED_LENGTH = 700_000, 400_000, 48
+
+
+def _unit_pattern(pieces: Iterable[str]) -> str:
+    """A pattern that cuts texts where no merge can reach across.
+
+    A merge across two neighbouring characters makes a piece that holds them side by
+    side. So a text may be cut before white space if no piece goes on after other
+    characters with it, around marks that no piece puts beside anything but marks (and
+    white space before them), and around ASCII characters that no piece holds.
+    """
+    pieces = list(pieces)
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return "(?s).+"
+    marks, left = set(string.punctuation), 0
+    while left != len(marks):
+        left = len(marks)
+        for p in pieces:
+            for x, y in itertools.pairwise(p):
+                if x != SPACE and (x in marks) != (y in marks):
+                    marks -= {x, y}
+    held = set().union(*pieces)
+    alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in held and chr(c) not in marks and c != 32)
+    own = re.escape("".join(sorted(marks)))
+    parts = [f"{SPACE}*[^{SPACE}{own}{alone}]+", f"{SPACE}+"]
+    parts += [f"{SPACE}*[{own}]+"] if own else []
+    parts += [f"[{alone}]"] if alone else []
+    return "|".join([parts[0], *parts[2:], parts[1]])
 
 
 class PieceCodec:
@@ -54,7 +86,7 @@ class PieceCodec:
             elif lib.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.byte_of[i] = int(piece[3:5], 16)
-                self.surface.append("")
+                self.surface.append(_BYTE)
             else:
                 self.ids[piece] = i
                 self.scores[piece] = lib.get_score(i)
@@ -70,8 +102,8 @@ class PieceCodec:
         for piece in self.ids:
             if len(piece) > 1:
                 self._shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids), piece[0])
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._units = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._bigrams = {a + b for p in self.ids for a, b in itertools.pairwise(p)}
+        self._units = re.compile(_unit_pattern(self.ids))
         self._pairs: dict[tuple[str, str], bool] = {}
         self._cache: dict[str, tuple[list[int], str]] = {}
         self._old: dict[str, tuple[list[int], str]] = {}
@@ -142,12 +174,17 @@ class PieceCodec:
             if len(self._cache) < _CACHE_UNITS:
                 self._cache[unit] = found
             return found
-        tokens = self._tokens(unit)
-        try:
-            out = [self.ids[t] for t in tokens]
-        except KeyError:
-            out = self._with_bytes(tokens)
-        found = (out, " ".join([self._numbers[i] for i in out]))
+        if 1 < len(unit) <= _CACHED_LENGTH and unit[-2:] not in self._bigrams:  # no merge reaches the last character
+            out, joined = self._cache.get(unit[:-1]) or self._unit(unit[:-1])
+            last, number = self._cache.get(unit[-1]) or self._unit(unit[-1])
+            found = (out + last, f"{joined} {number}")
+        else:
+            tokens = self._tokens(unit)
+            try:
+                out = [self.ids[t] for t in tokens]
+            except KeyError:
+                out = self._with_bytes(tokens)
+            found = (out, " ".join([self._numbers[i] for i in out]))
         if len(unit) <= _CACHED_LENGTH:
             if len(self._cache) >= _CACHE_UNITS:  # the generation before stays: frequent units are never all lost
                 self._old, self._cache = self._cache, {}
@@ -191,10 +228,9 @@ class PieceCodec:
         """Pieces put together; the space put before the text goes; runs of byte ids
         become characters, bytes that form none U+FFFD each."""
         ids = list(ids)
-        surface = self.surface
-        if self.byte_of and not self.byte_of.keys().isdisjoint(ids):
+        text = "".join(map(self.surface.__getitem__, ids))
+        if _BYTE in text:
             return self._decode_bytes(ids)
-        text = "".join([surface[i] for i in ids])
         return text[1:] if text[:1] == " " and self._starts_with_piece(ids) else text
 
     def _starts_with_piece(self, ids: list[int]) -> bool:
@@ -254,6 +290,18 @@ def codec(model_path: str) -> PieceCodec:
     return _CODECS[model_path]
 
 
+@contextlib.contextmanager
+def _without_cycle_search() -> Iterator[None]:
+    """The caches hold millions of lists and no cycles; searching them for cycles again and again costs a fifth of the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encode_column(df: DataFrame, model_path: str, text: str = "text", ids: str = "token_ids", add_eos: bool = True) -> DataFrame:
     """``df`` with the token ids of ``text`` as an array column ``ids``.
 
@@ -298,11 +346,12 @@ def token_digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str
         own = codec(model_path)
         for part in parts:
             counts, ids_sha, text_sha = [], [], []
-            for t in part["own_text"]:
-                ids, joined = own.encode_joined(t, add_eos=True)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids).encode("utf-8", "replace")).hexdigest())
+            with _without_cycle_search():
+                for t in part["own_text"]:
+                    ids, joined = own.encode_joined(t, add_eos=True)
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(own.decode(ids).encode("utf-8", "replace")).hexdigest())
             yield pd.DataFrame({"own_key": part["own_key"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
     from pyspark.sql import functions as F
@@ -321,7 +370,8 @@ def tokenized(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "
         for part in parts:
             for at in range(0, len(part), 1000):  # a bounded number of id lists at a time
                 some = part.iloc[at : at + 1000]
-                ids = [own.encode(t, add_eos=True) for t in some["own_text"]]
+                with _without_cycle_search():
+                    ids = [own.encode(t, add_eos=True) for t in some["own_text"]]
                 sha = [hashlib.sha256(own.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
                 yield pd.DataFrame({"own_key": some["own_key"], "n_tokens": [len(x) for x in ids], "token_ids": pd.Series(ids, index=some.index, dtype=object), "decoded_sha256": sha})
 
