@@ -284,7 +284,7 @@ _CODECS: dict[str, PieceCodec] = {}
 
 
 def codec(model_path: str) -> PieceCodec:
-    """One codec for each model and process."""
+    """One codec for each model and process; ``release`` gives its memory back."""
     if model_path not in _CODECS:
         _CODECS[model_path] = PieceCodec(model_path)
     return _CODECS[model_path]
@@ -302,6 +302,10 @@ def _without_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
+def release() -> None:
+    _CODECS.clear()
+
+
 def encode_column(df: DataFrame, model_path: str, text: str = "text", ids: str = "token_ids", add_eos: bool = True) -> DataFrame:
     """``df`` with the token ids of ``text`` as an array column ``ids``.
 
@@ -374,6 +378,7 @@ def tokenized(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "
                     ids = [own.encode(t, add_eos=True) for t in some["own_text"]]
                 sha = [hashlib.sha256(own.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
                 yield pd.DataFrame({"own_key": some["own_key"], "n_tokens": [len(x) for x in ids], "token_ids": pd.Series(ids, index=some.index, dtype=object), "decoded_sha256": sha})
+        release()  # the worker goes on to other stages
 
     from pyspark.sql import functions as F
 
