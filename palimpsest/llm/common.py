@@ -1,60 +1,30 @@
-"""Shared helpers: reading tables, cutting lineage, word patterns."""
+"""Shared helpers: reading tables, word patterns, the bounded labelled sample."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the six ASCII white-space characters.
-WORD = "[^\\x20\\x09-\\x0D]+"
+from ..sources.scratch import materialize, plain_unions, scratch_dir
 
+__all__ = ["WORD", "labelled_sample", "materialize", "scratch_path", "table", "word_count"]
 
-def plain_unions(spark: SparkSession) -> SparkSession:
-    """Keep unions from claiming their children's partitioning, which adaptive execution
-    can make untrue (wrong sums seen on Spark 4.1.2)."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return spark
+#: A word: a run of anything but the six ASCII white-space characters.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests, a single machine) a temporary
-    folder is made and remembered in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("palimpsest.scratch.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.scratch.dir", root)
-    return root.rstrip("/")
+    # Texts may be long: a Python worker holds a batch in three forms at once.
+    plain_unions(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back.
-
-    Cuts lineage: a lost executor costs at most the tasks that read the written
-    table, never what produced it. Unlike ``checkpoint()`` it computes the plan
-    once and keeps a columnar copy, so later reads are pruned.
-    """
-    spark = plain_unions(df.sparkSession)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
