@@ -41,7 +41,7 @@ def shared_budget(role: Column, max_chars: int, blocks: Column | str = "blocks",
     return F.when(limited, F.aggregate(blocks, start, step)["out"]).otherwise(F.col(blocks) if isinstance(blocks, str) else blocks)
 
 
-#: How each transcript style names things: result and error labels, call and reasoning labels, clip note.
+#: How each transcript style names things: result and error labels, call and reasoning labels, clip note.
 STYLES = {
     "more": ("[Tool result]: ", "[Tool result]: ", "[Assistant tool calls]: ", "[Assistant thinking]: ", "\n\n[... {} more characters truncated]"),
     "marked": ("[Tool result]: ", "[Tool error]: ", "[Assistant tool call]: ", "[Assistant reasoning]: ", "\n[truncated]"),

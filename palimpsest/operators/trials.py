@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 def outcome(committed: Column, command_ok: Column, command_text: Column, reason: Column, thrown: Column, cut_off: Column, call_failed: Column, changed: Column) -> Column:
     """The class of a compaction; the first condition that holds decides."""
     text = F.coalesce(command_text, F.lit(""))
+    # The phrases that mark each class.
     return (
         F.when(committed & command_ok & ~thrown, "committed")
         .when(committed | text.rlike("(?i)flush|persist|busy|cancelled"), "runtime-error")

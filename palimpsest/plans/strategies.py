@@ -75,6 +75,7 @@ def budget(strategy: str, window: Column, output: Column, reserve: int | None =
     """(trigger, retain) of a strategy as long columns."""
     zero = F.lit(0)
     lit = lambda v: F.lit(v)
+    # The presets' reserves, headrooms and shares.
     r = lambda default: default if reserve is None else lit(reserve)
     share = lambda c, default: F.floor(c * (default if ratio is None else ratio))
     retain = zero

@@ -29,7 +29,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: survives lost executors, and is computed once."""
+    """``df`` written once to the shared folder and read back.
+
+    Cuts lineage: a lost executor costs the tasks that read the table, not what produced
+    it. Unlike ``checkpoint()`` it computes the plan once and keeps columns apart, so
+    later reads are pruned.
+    """
     plain_unions(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
