@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,15 +275,22 @@ def test_monitor(spark, tmp_path):
         spark.createDataFrame(rows, "session_id long, ts string, kind string, series string, tokens long, batches long").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
 
     add(event(0, "turn"), event(1, "step", 10), event(2, "step", 100), event(3, "failure"), event(4, "overflow"), event(5, "overflow"), event(6, "overflow", series="b"))
-    def run():
+    def run(until):
+        """Timers keep a stream busy without end, so it is watched and stopped."""
         decisions = monitor.monitor(monitor.read_events(spark, source), trigger=50, max_retries=1)
-        write = decisions.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        write = decisions.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp")
         started = write.foreachBatch(lambda df, _: out.extend(df.collect())).start()
-        assert started.awaitTermination(60)
-
-    run()
+        try:
+            for _ in range(240):
+                if len(out) >= until:
+                    break
+                time.sleep(0.25)
+        finally:
+            started.stop()
+
+    run(4)
     add(event(10, "step", 100, 1), event(11, "failure"), event(12, "failure"), event(13, "step", 100, 5), event(14, "success"), event(15, "step", 100, 5))
-    run()  # the state goes on from the checkpoint
+    run(7)  # the state goes on from the checkpoint
     assert [(r.action, r.reason) for r in sorted(out, key=lambda r: r.ts)] == [("compact", "pressure"), ("retry", "overflow"), ("refuse", "attempts"), ("retry", "overflow"), ("compact", "pressure"), ("refuse", "failures"), ("compact", "pressure")]
 
 
