@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from .functions import blocks, pricing, text
 from .operators import lineage, lookups, pruning, selection, state, structure, trials, usage
-from .plans import compaction, strategies
+from .plans import compaction, restoration, strategies
 from .sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -966,6 +966,21 @@ def compacted_sessions(spark, sf_dir):
     return out.groupBy("session_id").agg(F.count("*").alias("rows"), F.count_if(structure.checkpoint()).alias("checkpoints"), F.sum("price").alias("tokens"))
 
 
+@query("basic_ranges", f"""WITH {LOG}, {CALLS}, a AS (SELECT *, row_number() OVER (PARTITION BY session_id, role = 'assistant' ORDER BY pos DESC) AS nth, lead(role) OVER (PARTITION BY session_id ORDER BY pos) AS nxt FROM c),
+r AS (SELECT *, sum(CASE WHEN role = 'user' OR (role = 'assistant' AND nth <= 3) THEN price ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos) + 120 AS point, sum(price) OVER (PARTITION BY session_id ORDER BY pos) AS rng, bool_or(source_kind <> 'compact-checkpoint') OVER (PARTITION BY session_id ORDER BY pos) AS fresh FROM a)
+SELECT session_id, coalesce(min(idx + 1) FILTER (open_after = 0 AND coalesce(nxt <> 'tool', true) AND fresh AND point < rng AND point + later <= 60000), max(n))::BIGINT AS cut, max(n) AS "rows" FROM r GROUP BY session_id""")
+def basic_ranges(spark, sf_dir):
+    return restoration.basic_range(log(spark, sf_dir), 60_000)
+
+
+@query("restored_context")
+def restored_context(spark, sf_dir):
+    """State, skills and files of the first half of each session under one budget (its parts have SQL of their own)."""
+    rows = log(spark, sf_dir)
+    out = restoration.restore(rows, rows.where("pos < 30").select("session_id", "pos"), logs.files_from_documents(logs.table(spark, sf_dir, "documents")), budget=2_000, file_tokens=300)
+    return out.select("session_id", "ord", "used", F.md5("text").alias("digest"))
+
+
 # --- trials
 
 _OUTCOMES = ("committed", "runtime-error", "skipped-no-benefit", "summary-truncated", "provider-error", "summary-invalid", "skipped-no-eligible-history", "pruned-only")

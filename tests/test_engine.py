@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest import queries as q
 from palimpsest.functions import pricing, text
 from palimpsest.operators import lineage, lookups, selection, state, structure
-from palimpsest.plans import compaction, strategies
+from palimpsest.plans import compaction, restoration, strategies
 from palimpsest.sources import logs
 
 
@@ -242,6 +242,46 @@ def test_compaction(spark, sf_dir):
     assert strategies.strategy("everything")(compaction.priced(rows, F.col("tokens")), 0).count() == rows.count()
 
 
+def test_summary_retries(spark):
+    rows = [(1, ["a" * 9, "bb", "c"], [9, 2, 1]), (2, ["x", "y"], [1, 1]), (3, ["never"], [5]), (4, ["slow"], [1]), (5, ["blank"], [1])]
+    seen = {"slow": 0}
+
+    def model(prompt):
+        if len(prompt) > 6 or prompt == "x\n\ny":
+            raise RuntimeError("prompt is too long: 9 tokens > 6" if "a" in prompt else "context limit exceeded")
+        if prompt == "never":
+            raise RuntimeError("refused")
+        if prompt == "slow":
+            seen["slow"] += 1
+            if seen["slow"] < 3:
+                raise RuntimeError("server overloaded")
+        return " " if prompt == "blank" else prompt.upper()
+
+    df = spark.createDataFrame(rows, "session_id long, texts array<string>, tokens array<long>").coalesce(1)
+    got = {r.session_id: (r.summary, r.error, r.attempts, r.dropped) for r in restoration.summarize_rounds(df, model, delay_ms=1).collect()}
+    assert got == {1: ("BB\n\nC", None, 2, 1), 2: ("Y", None, 2, 1), 3: (None, "refused", 4, 0), 4: ("SLOW", None, 3, 0), 5: (None, "empty summary", 4, 0)}
+    got = restoration.summarize_rounds(df.where("session_id = 3"), model, main_model=lambda p: "main").first()
+    assert (got.summary, got.error) == ("main", None)
+
+
+def test_restoration(spark):
+    call = lambda i, name, args: [("tool-call", None, i, name, args, None)]
+    say = lambda t: [("text", t, None, None, None, None)]
+    rows = [
+        (1, 0, "user", "plan-note", None, None, False, say("old plan"), "m0"), (1, 1, "user", "plan-note", None, None, False, say("new plan"), "m1"),
+        (1, 2, "assistant", "model", None, None, False, call("s", "Skill", '{"skill": "k"}'), "m2"), (1, 3, "tool", "tool", None, "s", False, say("skill text"), "m3"),
+        (1, 4, "assistant", "model", None, None, False, call("f", "Read", '{"path": "a.py"}'), "m4"), (1, 5, "tool", "tool", None, "f", False, say("seen"), "m5"),
+        (1, 6, "assistant", "model", None, None, False, call("g", "Read", '{"path": "docs/AGENTS.md"}'), "m6"), (1, 7, "tool", "tool", None, "g", False, say("seen"), "m7"),
+        (1, 8, "assistant", "model", None, None, False, call("h", "Read", '{"path": "b.py"}'), "m8"), (1, 9, "tool", "tool", None, "h", False, say("seen"), "m9"),
+        (1, 10, "assistant", "model", None, None, False, call("i", "Read", '{"path": "b.py"}'), "m10"), (1, 11, "tool", "tool", None, "i", False, say("still shown"), "m11"),
+    ]
+    blocks = "array<struct<type:string,text:string,id:string,name:string,arguments:string,media_type:string>>"
+    df = spark.createDataFrame(rows, f"session_id long, pos long, role string, source_kind string, source_form string, tool_call_id string, is_error boolean, blocks {blocks}, message_id string").withColumn("seq", F.col("pos"))
+    files = spark.createDataFrame([("a.py", "print(1)"), ("b.py", "x"), ("docs/AGENTS.md", "x")], "path string, text string")
+    out = restoration.restore(df, df.where("pos < 10").select("session_id", "pos"), files)
+    assert [r.text for r in out.orderBy("ord").collect()] == ["[Restored plan-note context]\nnew plan", '[Invoked skill {"skill": "k"}]\nskill text', "[Current file a.py]\nprint(1)"]
+
+
 def test_refills(spark):
     rows = [(1, i, "t", b) for i, b in enumerate([9, 1, 0, 2, 5, 1])] + [(1, 10, "u", 0)]
     got = [(r.refills, r.blocked) for r in state.rapid_refills(spark.createDataFrame(rows, "session_id long, ord long, turn_key string, batches long")).orderBy("ord").collect()]
