@@ -63,8 +63,9 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def topk(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int = _PIVOTS) -> DataFrame:
     """query_id, rank (from 1), key, score: each query's k best by integer inner product.
 
-    Ties go to the smaller key; a query's own key is no candidate. Vectors must have
-    one length; null ones and those with null or non-finite components take no part.
+    Ties go to the smaller key; a query's own key is no candidate. Null
+    vectors, those with null or non-finite components and those shorter than the longest
+    take no part.
     A query with fewer than k candidates gets all of them; repeated rows of a key in
     the data count once, with one of their vectors. An empty side gives an empty
     result. Scores are exact as long as they fit a 64-bit integer.
@@ -76,6 +77,7 @@ def topk(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "vec_id", v
     width, top = d.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).first()
     if not width:
         return data.sparkSession.createDataFrame([], schema)
+    d, q = d.where(F.size("v") == width), q.where(F.size("v") == width)
     chosen = d.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).collect()  # a fixed number
     chosen = np.unique(np.array([r["v"] for r in chosen], dtype=np.int64), axis=0)  # in one order
     points = _lifted(chosen, top, query=False)

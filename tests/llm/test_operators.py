@@ -70,7 +70,7 @@ def test_topk(spark, copies):
     vectors = rng.normal(size=(120, 8)).round(3)
     rows = [(i, [float(c) for c in v], 7) for i, v in enumerate(vectors)]
     rows += [(200 + i, rows[3][1], 7) for i in range(copies)]
-    rows += [(900, None, 1), (950, [1.0] * 7 + [None], 1), (1000, [1.0] * 7 + [float("nan")], 1), (1050, [float("inf")] * 8, 1)]
+    rows += [(900, None, 1), (950, [1.0] * 7 + [None], 1), (1000, [1.0] * 7 + [float("nan")], 1), (1050, [float("inf")] * 8, 1), (1100, [1.0] * 3, 1), (1150, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = topk_join.topk(df.where("vec_id % 10 = 0"), df, pivots=5).collect()
     good = {i: [math.floor(256 * c) for c in v] for i, v, _ in rows if i < 900}
