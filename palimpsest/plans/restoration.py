@@ -39,12 +39,13 @@ def skill_items(archive: DataFrame) -> DataFrame:
     return newest.join(archive.select("session_id", "pos", logs.text_of().alias("body")), ["session_id", "pos"]).select("session_id", "pos", F.concat(F.lit("Invoked skill "), "arguments").alias("label"), "body")
 
 
-def file_items(selected: DataFrame, remaining: DataFrame, archive: DataFrame, files: DataFrame, most: int = 5, file_tokens: int = 5_000) -> DataFrame:
-    """Files that the selected results touched and no remaining one shows, newest first; instruction files stay out."""
+def file_items(selected: DataFrame, remaining: DataFrame, archive: DataFrame, files: DataFrame, most: int = 5, file_tokens: int = 5_000, instructions: tuple[str, ...] = ("AGENTS.md",)) -> DataFrame:
+    """Files that the selected results touched and no remaining one shows, newest first; files named in ``instructions`` stay out."""
     named = lookups.identify_results(archive).withColumns({"tool": normal_name(F.col("name"), only_letters=True), "path": path_from_json(F.col("arguments"))}).where(F.col("tool").isin(*FILE_TOOLS) & F.col("path").isNotNull())
     shown = named.join(remaining.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
     mine = named.where("not is_error").join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
-    mine = lookups.unprotected_paths(mine, shown).where(~F.col("path").rlike("(?i)(?:^|[/\\\\])(?:CLAUDE|AGENTS)\\.md$"))
+    name = F.lower(F.element_at(F.split("path", "[/\\\\]"), -1))
+    mine = lookups.unprotected_paths(mine, shown).where(~name.isin(*[n.lower() for n in instructions]))
     wanted = mine.groupBy("session_id", "path").agg((-F.max("pos")).alias("rank"))
     found = lineage.restored_files(wanted, files, most, file_tokens)
     return found.select("session_id", (-F.col("rank")).alias("pos"), F.concat(F.lit("Current file "), "path").alias("label"), F.col("content").alias("body"))
