@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_BYTE = "\udc00"  # marks a byte in joined surfaces; no piece can hold it
+_HIGH_BYTES = re.compile("[\udc80-\udcff]+")  # stand for bytes in joined surfaces; no piece can hold them
 _CACHE_UNITS, _CACHE_PAIRS, _CACHED_LENGTH = 700_000, 400_000, 48
 
 
@@ -86,7 +86,8 @@ class PieceCodec:
             elif lib.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.byte_of[i] = int(piece[3:5], 16)
-                self.surface.append(_BYTE)
+                b = self.byte_of[i]
+                self.surface.append(chr(b) if b < 128 else chr(0xDC00 + b))
             else:
                 self.ids[piece] = i
                 self.scores[piece] = lib.get_score(i)
@@ -217,8 +218,8 @@ class PieceCodec:
     def encode_joined(self, text: str | None, add_eos: bool = False) -> tuple[list[int], str]:
         """The ids, and the same in decimal, joined by one space."""
         units = self._encoded_units(text or "")
-        ids = list(chain.from_iterable([own for own, _ in units]))
-        words = [s for _, s in units]
+        lists, words = zip(*units, strict=True) if units else ((), ())
+        ids, words = list(chain.from_iterable(lists)), list(words)
         if add_eos:
             ids.append(self.eos_id)
             words.append(self._numbers[self.eos_id])
@@ -229,36 +230,17 @@ class PieceCodec:
         become characters, bytes that form none U+FFFD each."""
         ids = list(ids)
         text = "".join(map(self.surface.__getitem__, ids))
-        if _BYTE in text:
-            return self._decode_bytes(ids)
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            # Bytes on both sides of an invisible control id are no run.
+            text = "".join([self.surface[i] or "\udc00" for i in ids])
+            text = _HIGH_BYTES.sub(lambda run: _lenient(bytes(ord(c) - 0xDC00 for c in run[0])), text).replace("\udc00", "")
         return text[1:] if text[:1] == " " and self._starts_with_piece(ids) else text
 
     def _starts_with_piece(self, ids: list[int]) -> bool:
         first = next((i for i in ids if self.surface[i]), self.unk_id)
-        return first != self.unk_id
-
-    def _decode_bytes(self, ids: list[int]) -> str:
-        out: list[str] = []
-        run = bytearray()
-        begun = False
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(_lenient(bytes(run)))
-                run.clear()
-                begun = True
-            own = self.surface[i]
-            if own and not begun:
-                begun = True
-                if i != self.unk_id and own[0] == " ":
-                    own = own[1:]
-            out.append(own)
-        if run:
-            out.append(_lenient(bytes(run)))
-        return "".join(out)
+        return first != self.unk_id and first not in self.byte_of
 
 
 def _lenient(raw: bytes) -> str:
