@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .components import components
 
 _BLOCK = 128
@@ -58,7 +58,7 @@ class _Shingler:
         self.n, self.words = n, {}
 
     def _hash(self, word: bytes) -> int:
-        if len(self.words) > 300_000:
+        if len(self.words) > 200_000:
             self.words.clear()
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         self.words[word] = h
@@ -159,6 +159,8 @@ def ngram_classes(
                 sets.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
                 signs.append(sign(g).tobytes() if len(g) else None)
             yield pd.DataFrame({"id": pd.Series(keys, dtype=part["own_key"].dtype), "grams": sets, "n_ngrams": sizes, "bands": signs})
+        del shingler
+        give_back()
 
     own = docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")).where("own_key is not null")
     signed = materialize(own.mapInPandas(describe, f"id {kind}, grams binary, n_ngrams long, bands binary"), "signatures")
@@ -185,6 +187,8 @@ def ngram_classes(
             good = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() == bytes(u) for g, u in zip(sets, part["node"], strict=True)]
             out = part[["root", "node", "copies", "own", "blocks"]].assign(grams=[g.tobytes() for g in sets])
             yield out[np.array(good, dtype=bool)]
+        del shingler
+        give_back()
 
     sets = texts.mapInPandas(shingle, "root binary, node binary, copies long, own int, blocks int, grams binary")
 

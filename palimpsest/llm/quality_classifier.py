@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import give_back, labelled_sample
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _DIGITS = str.maketrans("", "", "0123456789")
@@ -231,6 +231,7 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.35, key
             cats = np.array([[_bucket(s), _bucket(g)] for s, g in zip(part["own_source"], part["own_lang"], strict=True)])
             a, b, c = model.scores(x, meta, cats)
             yield part[["own_key", *taken.values()]].assign(text_score=a, meta_score=b, score=c, kept=c >= threshold)
+        give_back()
 
     kinds = "".join(f"{a} {docs.schema[c].dataType.simpleString()}, " for c, a in taken.items())
     schema = f"own_key {kind}, {kinds}text_score double, meta_score double, score double, kept boolean"

@@ -28,6 +28,8 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 SPACE = "▁"
 _HIGH_BYTES = re.compile("[\udc80-\udcff]+")  # stand for bytes in joined surfaces; no piece can hold them
 _CACHE_UNITS, _CACHE_PAIRS, _CACHED_LENGTH = 700_000, 400_000, 48
@@ -360,7 +362,9 @@ def tokenized(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "
                     ids = [own.encode(t, add_eos=True) for t in some["own_text"]]
                 sha = [hashlib.sha256(own.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids]
                 yield pd.DataFrame({"own_key": some["own_key"], "n_tokens": [len(x) for x in ids], "token_ids": pd.Series(ids, index=some.index, dtype=object), "decoded_sha256": sha})
+        del own
         release()  # the worker goes on to other stages
+        give_back()
 
     from pyspark.sql import functions as F
 
