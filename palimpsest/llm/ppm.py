@@ -7,13 +7,15 @@ plus the counts of pruned ones) is paid and the next shorter context is tried wi
 the symbols already refused excluded. Below the empty context all symbols left are
 equally likely. The code length of a text is the sum over its symbols.
 
-The trie holds the strings whose share of all training symbols is at least
-``1 / nodes``. So it has at most ``nodes`` strings of each length whatever the corpus,
-which proves the size of what is broadcast, while counting covers every text.
-Strings that are too rare count as escapes in their context.
-
-Counts are merged within each task, shuffled and summed; scoring is one pass over
-the texts, vectorised over their bytes, without a shuffle.
+``score`` prunes nothing. The strings of ``order + 1`` symbols of all texts are counted
+and each gets its log probability once, by joins with the tables of the shorter
+strings (``gram_logs``). Strings with at least ``1 / nodes`` of all symbols, so at most
+``nodes`` of them whatever the corpus, are broadcast and looked up while the texts are
+read; the others are joined. A joined string is rarer than that, so no key is hot.
+
+``fit`` is the bounded form in memory, for strings that no text holds: it keeps the
+strings of each length whose share of all training symbols is at least ``1 / nodes``
+and counts rarer ones as escapes in their context.
 """
 
 from __future__ import annotations
@@ -239,6 +241,110 @@ def fit(texts: DataFrame, order: int = 4, nodes: int = _NODES) -> PpmModel:
     return PpmModel(order, strings, contexts)
 
 
+def gram_logs(rows: DataFrame, order: int = 4) -> DataFrame:
+    """gram, m, log: each string of order + 1 symbols of ``rows``, how often they hold it,
+    and log10 of its last symbol's probability under all rows with ``own_train``.
+
+    ``rows``: own_text, own_train (neither null).
+    """
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.select("own_text").mapInPandas(_counted(order), "gram long, n long")
+
+    heard = counted(rows.where("own_train")).select("gram", "n", F.col("n").alias("m"))
+    other = counted(rows.where("not own_train")).select("gram", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    grams = materialize(heard.unionByName(other).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
+
+    def tail(size: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << _BITS * size) - 1))
+
+    strings: dict[int, DataFrame] = {order + 1: grams.where("n > 0").select("gram", "n")}
+    for size in range(order, 0, -1):
+        strings[size] = materialize(strings[size + 1].groupBy(tail(size).alias("gram")).agg(F.sum("n").alias("n")), f"grams{size}")
+    contexts: dict[int, DataFrame] = {}
+    for size in range(order + 1, 0, -1):  # below: what the context's symbols count in the context shorter by one
+        own = strings[size].withColumn("ctx", F.shiftright("gram", _BITS))
+        if size > 1:
+            shorter = strings[size - 1].select(F.col("gram").alias("short"), F.col("n").alias("short_n"))
+            own = own.withColumn("short", tail(size - 1)).join(F.broadcast(shorter) if size <= 3 else shorter, "short")
+        below = F.sum("short_n") if size > 1 else F.lit(0).cast("long")
+        contexts[size] = materialize(own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("own_kinds"), below.alias("below")), f"contexts{size}")
+
+    def weight(mass: Column, kinds: Column) -> Column:
+        return F.col("total") - mass + F.when(F.col("own_kinds") == _SYMBOLS, F.lit(0)).otherwise(F.col("own_kinds") - kinds)
+
+    none = F.lit(0).cast("long")
+    top = grams.where("n > 0").withColumn("ctx", F.shiftright("gram", _BITS)).join(contexts[order + 1], "ctx")
+    top = top.select("gram", "m", F.log10(F.col("n") / weight(none, none)).alias("log"))
+    # Strings never learned: from context to shorter context, with what was refused so far.
+    new = grams.where("n = 0").select("gram", "m", F.lit(0.0).alias("log"), none.alias("mass"), none.alias("kinds"), F.lit(False).alias("found"))
+    for size in range(order + 1, 0, -1):
+        # Tables of at most two symbols are bounded by the alphabet, and their keys may be hot.
+        context = contexts[size]
+        new = new.withColumn("ctx", F.shiftright(tail(size), _BITS)).join(F.broadcast(context) if size <= 3 else context, "ctx", "left").drop("ctx")
+        if size <= order:
+            string = strings[size].select(F.col("gram").alias("short"), F.col("n").alias("short_n"))
+            new = new.withColumn("short", tail(size)).join(F.broadcast(string) if size <= 2 else string, "short", "left").drop("short")
+        else:
+            new = new.withColumn("short_n", F.lit(None).cast("long"))
+        new = new.withColumn("w", weight(F.col("mass"), F.col("kinds")))
+        hit = F.col("short_n").isNotNull()
+        # Nothing left in a context: it refuses nothing more and costs nothing.
+        factor = F.when(hit, F.col("short_n") / F.col("w")).when(F.col("w") > 0, (F.col("own_kinds") - F.col("kinds")) / F.col("w")).otherwise(1.0)
+        on = ~F.col("found") & F.col("total").isNotNull()
+        new = new.select(
+            "gram",
+            "m",
+            F.when(on, F.col("log") + F.log10(factor)).otherwise(F.col("log")).alias("log"),
+            F.when(on, F.col("below")).otherwise(F.col("mass")).alias("mass"),
+            F.when(on, F.col("own_kinds")).otherwise(F.col("kinds")).alias("kinds"),
+            (F.col("found") | hit).alias("found"),
+        )
+    left = F.greatest(F.lit(_SYMBOLS) - F.col("kinds"), F.lit(1))
+    new = new.select("gram", "m", F.when(F.col("found"), F.col("log")).otherwise(F.col("log") - F.log10(left)).alias("log"))
+    return materialize(top.unionByName(new), "gram-logs")
+
+
+@dataclass
+class _Frequent:
+    """The strings that are looked up, with their log probabilities."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def ready(self) -> _Index:
+        if self.uid not in _INDEXES:
+            _INDEXES.clear()
+            _INDEXES[self.uid] = _Index(self.keys)
+        return _INDEXES[self.uid]
+
+
+_INDEXES: dict[str, _Index] = {}
+
+
+def _text_sums(texts: list[bytes], order: int, index: _Index, logs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text: the sum over its strings in ``index``, and its other strings with how often it has them."""
+    symbols, starts = _stream(texts, order)
+    sums = np.zeros(len(texts))
+    owners, others = [], []
+    for at, grams in _slices(symbols, order):
+        real = np.flatnonzero(symbols[at : at + len(grams)] != _PAD)
+        own, grams = np.searchsorted(starts, at + real, side="right") - 1, grams[real]
+        place = index.find(grams)
+        hit = place >= 0
+        sums += np.bincount(own[hit], weights=logs[place[hit]], minlength=len(texts))
+        owners.append(own[~hit])
+        others.append(grams[~hit])
+    own, grams = np.concatenate(owners), np.concatenate(others)
+    order_by = np.lexsort((grams, own))
+    own, grams = own[order_by], grams[order_by]
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])])) if len(own) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.concatenate([first, [len(own)]]))
+    cuts = np.searchsorted(own[first], np.arange(1, len(texts)))
+    return sums, np.split(grams[first], cuts), np.split(n, cuts)
+
+
 def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[bytes] = Counter()
     for frame in frames:
@@ -262,13 +368,19 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     alike; a null key is allowed.
 
     Words with at least ``1 / head`` of all training tokens, at most ``head`` of them,
-    are looked up in a broadcast table, the others by a join.
+    are looked up in a broadcast table, the others by a join; so are strings of symbols
+    with at least ``1 / nodes`` of all symbols. Neither number changes a score.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("own_key"), F.coalesce(F.col(text), F.lit("")).alias("own_text"), F.coalesce(train, F.lit(True)).alias("own_train"))
     learned = rows.where("own_train")
-    model = fit(learned, order, nodes)
+    grams = gram_logs(rows, order)
+    symbols = grams.agg(F.sum("m")).first()[0] or 0
+    often = F.col("m") >= max(1, -(-symbols // nodes))
+    kept = grams.where(often).orderBy("gram").toArrow()  # at most `nodes` rows
+    assert kept.num_rows <= nodes
+    frequent_grams = _Frequent(kept["gram"].to_numpy().astype(np.int64), kept["log"].to_numpy().astype(float))
     words = materialize(learned.select("own_text").mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v")).first()
     ends = learned.count()
@@ -277,27 +389,21 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     frequent = words.where(F.col("c") >= max(1, -(-total // head))).toArrow()
     assert frequent.num_rows <= head
     logs = dict(zip((w.encode() for w in frequent["word"].to_pylist()), np.log10((frequent["c"].to_numpy() + 0.1) / weight).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((model, logs))
+    shared = spark.sparkContext.broadcast((frequent_grams, logs))
     end_log = math.log10((ends + 0.1) / weight)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value
-        scorer = model.ready()
+        table, known = shared.value
+        index = table.ready()
         for frame in frames:
-            scores: list[float] = []
             out: dict[str, list] = {"n_tokens": [], "known": [], "base": [], "rare": [], "rare_n": []}
+            scores: list[float] = []
+            others: dict[str, list] = {"grams": [], "grams_n": []}
             for texts in _batches(frame["own_text"].tolist()):
-                symbols, starts = _stream(texts, model.order)
-                sums = np.zeros(len(texts))
-                for at, grams in _slices(symbols, model.order):
-                    real = symbols[at : at + len(grams)] != _PAD
-                    logs = np.zeros(len(grams))
-                    logs[real] = scorer.log10(grams[real])
-                    first = int(np.searchsorted(starts, at, side="right")) - 1
-                    last = int(np.searchsorted(starts, at + len(grams), side="left"))
-                    cuts = np.maximum(starts[first:last] - at, 0)
-                    sums[first:last] += np.add.reduceat(logs, cuts)
+                sums, rest, rest_n = _text_sums(texts, order, index, table.logs)
                 scores += sums.tolist()
+                others["grams"] += rest
+                others["grams_n"] += rest_n
                 for t in texts:
                     counts = Counter(t.lower().split())
                     base, hits, n, rare, rare_n = end_log, 1 if ends else 0, 1, [], []
@@ -312,15 +418,18 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                             hits += c
                     for name, v in zip(out, (n, hits, base, rare, rare_n), strict=True):
                         out[name].append(v)
-            yield pd.DataFrame({"own_key": frame["own_key"], "own_train": frame["own_train"], "score": scores, **out})
+            yield pd.DataFrame({"own_key": frame["own_key"], "own_train": frame["own_train"], "score": scores, **out, **others})
 
-    schema = f"own_key {kind}, own_train boolean, score double, n_tokens long, known long, base double, rare array<string>, rare_n array<long>"
-    # Written once: the row numbers hold for both reads below.
+    schema = f"own_key {kind}, own_train boolean, score double, n_tokens long, known long, base double, rare array<string>, rare_n array<long>, grams array<long>, grams_n array<long>"
+    # Written once: the row numbers hold for all reads below.
     done = materialize(rows.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select("row", F.col("t.rare").alias("word"), F.col("t.rare_n").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    rare = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(float(weight)))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more_known"))
-    out = done.drop("rare", "rare_n").join(rare, "row", "left")
+    rare = rare.join(words, "word", "left").select("row", (F.col("n") * F.log10((c + 0.1) / F.lit(float(weight)))).alias("more"), F.when(F.col("c").isNotNull(), F.col("n")).alias("more_known"), F.lit(0.0).alias("more_score"))
+    rest = done.select("row", F.explode(F.arrays_zip("grams", "grams_n")).alias("t")).select("row", F.col("t.grams").alias("gram"), F.col("t.grams_n").alias("n"))
+    rest = rest.join(grams.where(~often).select("gram", "log"), "gram").select("row", F.lit(0.0).alias("more"), F.lit(None).cast("long").alias("more_known"), (F.col("n") * F.col("log")).alias("more_score"))
+    more = rare.unionByName(rest).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more", "more_known", "more_score")])
+    out = done.drop("rare", "rare_n", "grams", "grams_n").join(more, "row", "left")
     return out.select(
         F.col("own_key").alias(key),
         F.col("own_train").alias("trained"),
@@ -328,5 +437,5 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

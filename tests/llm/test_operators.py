@@ -244,6 +244,19 @@ def test_ppm_scores(spark):
     assert untrained.train_tokens == 0 and untrained.score == pytest.approx(-14 * math.log10(257))
 
 
+@pytest.mark.parametrize("nodes", [1 << 21, 200, 20])
+def test_ppm_scores_are_of_the_whole_model(spark, nodes):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", f"x{rng.randrange(90)}", "é"]) for _ in range(20)) for _ in range(40)] + ["", "qqq alphx", "zz ab\x00 é9", "alpha"]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    train = F.col("doc_id") % 4 != 1
+    scorer = ppm.fit(df.where(train).select(F.col("text").alias("own_text"))).ready()  # nothing is rare enough to be pruned
+    got = by(ppm.score(df, train, nodes=nodes), "doc_id")
+    for i, t in enumerate(texts):
+        symbols, _ = ppm._stream([t.encode()], 4)
+        assert got[i]["score"] == pytest.approx(float(scorer.log10(ppm._grams(symbols, 4)).sum()), abs=1e-8), t
+
+
 def test_ppm_learns(spark):
     rng = random.Random(1)
     make = lambda: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(50))
