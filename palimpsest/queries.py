@@ -593,9 +593,16 @@ f AS (SELECT session_id, min(pos) AS pos FROM t1 WHERE role <> 'system' GROUP BY
 r AS (SELECT session_id, pos FROM f UNION SELECT b.session_id, b.pos FROM r JOIN l a ON a.session_id = r.session_id AND a.pos = r.pos JOIN l b ON b.session_id = a.session_id AND b.id = a.id)
 SELECT DISTINCT session_id, pos FROM r""")
 def orphan_closure(spark, sf_dir):
+    """On the first 12 to 20 rows of each session, as its SQL says; ``orphan_closure_whole`` is the whole log."""
     return lookups.orphan_closure(log(spark, sf_dir).where("pos < 12 + session_id % 9"))
 
 
+@query("orphan_closure_whole")
+def orphan_closure_whole(spark, sf_dir):
+    """On all rows (no SQL: compared with a literal walk in the tests)."""
+    return lookups.orphan_closure(log(spark, sf_dir))
+
+
 @query("ordered_lookup", f"WITH {LOG} SELECT session_id, seq, 1000 - pos AS ord, role FROM t WHERE k % 9 = 0")
 def ordered_lookup(spark, sf_dir):
     rows = log(spark, sf_dir)

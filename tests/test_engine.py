@@ -184,6 +184,25 @@ def test_orphan_closure(spark):
         assert {p for x, p in got if x == s} == gone
 
 
+def test_orphan_closure_runs_on_the_whole_log(spark, sf_dir):
+    sessions = {}
+    for r in q.log(spark, sf_dir).select("session_id", "pos", "role", "tool_call_id", F.expr("filter(blocks, b -> b.type = 'tool-call')").alias("calls")).orderBy("session_id", "pos").collect():
+        ids = {b["id"] for b in r.calls} | ({r.tool_call_id} - {None})
+        sessions.setdefault(r.session_id, []).append((r.pos, r.role, ids))
+    want = set()
+    for s, rows in sessions.items():
+        first = next((p for p, role, _ in rows if role not in ("system", "developer")), None)
+        gone, more = set(), {first} - {None}
+        while more != gone:
+            gone = more
+            calls = set().union(*(ids for p, _, ids in rows if p in gone))
+            more = gone | {p for p, _, ids in rows if ids & calls}
+        want |= {(s, p) for p in gone}
+    got = [(r.session_id, r.pos) for r in q.QUERIES["orphan_closure_whole"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want)
+    assert max(p for _, p in got) > 20
+
+
 def test_paths_and_todos(spark):
     args = json.dumps({"files": [{"path": " a "}, "b"], "target_file": "c", "other": "d"})
     rows = spark.createDataFrame([(args,), ("{bad",), ("[1]",), (None,)], "a string")
