@@ -16,6 +16,7 @@ products are the smallest distances, and the metric bounds of a Voronoi join hol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,23 +64,32 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def topk(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int = _PIVOTS) -> DataFrame:
     """query_id, rank (from 1), key, score: each query's k best by integer inner product.
 
-    Ties go to the smaller key; a query's own key is no candidate. Null
-    vectors, those with null or non-finite components and those shorter than the longest
-    take no part.
-    A query with fewer than k candidates gets all of them; repeated rows of a key in
-    the data count once, with one of their vectors. An empty side gives an empty
+    Ties go to the smaller key; a query's own key is no candidate. Null vectors and those
+    with null or non-finite components take no part. Vectors of each length are searched
+    among their own, one search a length.
+    Pairs are of rows: each row of a repeated key is a candidate, and the rows of a
+    repeated query key share one ranking.
+    A query with fewer than k candidates gets all of them. An empty side gives an empty
     result. Scores are exact as long as they fit a 64-bit integer.
     """
     key_kind = data.schema[key].dataType.simpleString()
-    d = materialize(quantized(data, key, vector, scale).groupBy("id").agg(F.max("v").alias("v")), "vectors")
-    q = materialize(quantized(queries, key, vector, scale).groupBy("id").agg(F.max("v").alias("v")), "queries")
-    schema = f"query_id {key_kind}, rank int, {key} {key_kind}, score long"
-    width, top = d.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).first()
-    if not width:
-        return data.sparkSession.createDataFrame([], schema)
-    d, q = d.where(F.size("v") == width), q.where(F.size("v") == width)
-    chosen = d.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).collect()  # a fixed number
-    chosen = np.unique(np.array([r["v"] for r in chosen], dtype=np.int64), axis=0)  # in one order
+    # Equal rows are held once, with their number.
+    d = materialize(quantized(data, key, vector, scale).groupBy("id", "v").agg(F.count("*").alias("copies")), "vectors")
+    q = materialize(quantized(queries, key, vector, scale).groupBy("id", "v").agg(F.count("*").alias("copies")), "queries")
+    asked = {r["width"] for r in q.select(F.size("v").alias("width")).distinct().collect()}
+    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    tops = {r["width"]: r["top"] for r in d.groupBy(F.size("v").alias("width")).agg(F.max(norm).alias("top")).collect()}
+    pairs = [_pairs(d.where(F.size("v") == w), q.where(F.size("v") == w), w, tops[w], k, key, key_kind, pivots) for w in sorted(asked & tops.keys())]
+    if not pairs:
+        return data.sparkSession.createDataFrame([], f"query_id {key_kind}, rank int, {key} {key_kind}, score long")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return reduce(DataFrame.unionByName, pairs).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def _pairs(d: DataFrame, q: DataFrame, width: int, top: float, k: int, key: str, key_kind: str, pivots: int) -> DataFrame:
+    """query_id, key, score: among vectors of one length, what holds the k best pairs of each query row."""
+    chosen = d.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(pivots).collect()  # a fixed number
+    chosen = np.array(sorted({tuple(r["v"]) for r in chosen}), dtype=np.int64)  # in one order
     points = _lifted(chosen, top, query=False)
 
     def celled(query: bool):
@@ -87,58 +97,60 @@ def topk(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "vec_id", v
             for part in parts:
                 far = _distances(_lifted(_matrix(part["v"], width), top, query), points)
                 cell = far.argmin(axis=1)
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "cell": cell.astype(np.int32), "far": far[np.arange(len(cell)), cell]})
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "copies": part["copies"], "cell": cell.astype(np.int32), "far": far[np.arange(len(cell)), cell]})
 
         return run
 
-    kind = f"id {key_kind}, v array<long>, cell int, far double"
+    kind = f"id {key_kind}, v array<long>, copies long, cell int, far double"
     d_cells = materialize(d.mapInPandas(celled(False), kind), "vector-cells")
     q_cells = materialize(q.mapInPandas(celled(True), kind), "query-cells")
     # Summaries: a few rows for each pivot.
-    near = d_cells.withColumn("nth", F.row_number().over(W.partitionBy("cell", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("far", "id"))).where(F.col("nth") <= k + 1)
+    near = d_cells.groupBy("cell", "id").agg(F.min("far").alias("far"))
+    near = near.withColumn("nth", F.row_number().over(W.partitionBy("cell", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("far", "id"))).where(F.col("nth") <= k + 1)
     near = near.withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy("far", "id"))).where(F.col("nth") <= k + 1)
-    nearest = near.groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near")).collect()
+    nearest = near.select("cell", "id", "far").collect()
     d_sum = {r["cell"]: r for r in d_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     q_sum = {r["cell"]: r for r in q_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    if not d_sum or not q_sum:
-        return data.sparkSession.createDataFrame([], schema)
     apart = _distances(points, points)
     slack = 1e-6 * (1 + float(np.sqrt(top)))  # rounding in the bounds only lets more through
     reach = {}
     for i, own in q_sum.items():
-        # k neighbours besides the query itself are no farther than the (k+1)-th of these.
-        bounds = sorted(own["far"] + apart[i, r["cell"]] + far for r in nearest for far in r["near"])
+        # k neighbours besides the query itself are no farther than the (k+1)-th of these, of as many keys.
+        closest: dict = {}
+        for r in nearest:
+            bound = own["far"] + apart[i, r["cell"]] + r["far"]
+            closest[r["id"]] = min(bound, closest.get(r["id"], bound))
+        bounds = sorted(closest.values())
         reach[i] = bounds[k] if len(bounds) > k else float("inf")
     # Vectors of cell j go to query cell i if their distance to pivot j reaches the ring's inner edge.
     floors = [(int(i), int(j), float(apart[i, j] - q_sum[i]["far"] - reach[i] - slack), float(reach[i] + q_sum[i]["far"] + apart[i, j] + slack)) for i in q_sum for j in d_sum]
-    spark = data.sparkSession
+    spark = d.sparkSession
     rings = spark.createDataFrame([(i, j, a, b, -(-q_sum[i]["n"] // _QUERY_BLOCK), max(1, -(-d_sum[j]["n"] // _DATA_BLOCK))) for i, j, a, b in floors], "q int, cell int, low double, high double, q_blocks int, d_blocks int")
     # At most pivots^2 rows, whatever the data.
     sent = d_cells.join(F.broadcast(rings), "cell").where("far >= low and far <= high")
-    sent = sent.select("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "cell", F.pmod(F.xxhash64("id"), F.col("d_blocks")).cast("int").alias("db"), "id", "v")
+    sent = sent.select("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "cell", F.pmod(F.xxhash64("id", "v"), F.col("d_blocks")).cast("int").alias("db"), "id", "v", "copies")
     grid = rings.select(F.col("q"), F.col("cell").alias("c"), F.col("q_blocks").alias("n"), F.col("d_blocks").alias("m"))
     asked = q_cells.withColumnRenamed("cell", "q").join(F.broadcast(grid), "q")
-    asked = asked.select("q", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("qb"), F.col("c").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("db"), "id", "v")
+    asked = asked.select("q", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int").alias("qb"), F.col("c").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("db"), "id", "v", "copies")
 
     def solve(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], key: [], "score": []}
         if len(mine) and len(theirs):
             theirs = theirs.sort_values("id")
-            ids = theirs["id"].to_numpy()
+            ids, copies = theirs["id"].to_numpy(), theirs["copies"].to_numpy()
             scores = _products(_matrix(mine["v"], width), _matrix(theirs["v"], width))
-            for own, row in zip(mine["id"], scores, strict=True):
+            for own, times, row in zip(mine["id"], mine["copies"], scores, strict=True):
                 ok = np.flatnonzero(ids != own)
                 s = row[ok]
                 if len(s) > k:
                     least = np.partition(s, len(s) - k)[len(s) - k]
                     ok, s = ok[s >= least], s[s >= least]
                 best = np.lexsort((ids[ok], -s))[:k]
+                best = np.repeat(best, np.minimum(copies[ok][best] * times, k))[:k]
                 out["query_id"] += [own] * len(best)
                 out[key] += ids[ok][best].tolist()
                 out["score"] += s[best].tolist()
         return pd.DataFrame(out)
 
     on = ["q", "qb", "cell", "db"]
-    local = asked.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(solve, f"query_id {key_kind}, {key} {key_kind}, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return asked.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(solve, f"query_id {key_kind}, {key} {key_kind}, score long")

@@ -83,6 +83,19 @@ def test_topk(spark, copies):
     assert topk_join.topk(df.where("vec_id = 0"), df.where("vec_id < 3")).count() == 2
 
 
+def test_topk_searches_each_length_and_each_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in rng.normal(size=n).round(3)]) for i, n in enumerate([8] * 60 + [5] * 40)] + [(200, [1.0] * 9), (210, []), (211, [])]
+    rows += [(i, [float(c) for c in rng.normal(size=8).round(3)]) for i in (3, 3, 10, 20, 20)] + [rows[5]] * 3 + [rows[30]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in good if i % 10 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), i) for j, u in good if j == q for i, v in good if i != q and len(u) == len(v))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, topk_join.topk(df.where("vec_id % 10 = 0"), df, pivots=5).collect())) == sorted(want)
+
+
 # --- 3. Classifier
 
 
