@@ -27,14 +27,20 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    classes = materialize(ngram_join.ngram_classes(docs).select("doc_id", "class_id"), "near-duplicates")
+    """Of each group of near duplicates one row stays, of the document with the smallest id.
+
+    Rows of one id with different texts are judged each by its own text.
+    """
+    classes = materialize(ngram_join.row_classes(docs, "doc_id", "text").select("doc_id", "class_id", "grams", "root"), "near-duplicates")
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count():  # repeated rows of one id
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    return kept
+    if not again.limit(1).count():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias("own_id"), F.col("grams").alias("own_grams"), "root").distinct()
+    rows = ngram_join.with_digest(docs.join(again, "doc_id", "left_semi"))
+    rows = rows.join(heads, (F.col("doc_id") == F.col("own_id")) & F.col("grams").eqNullSafe(F.col("own_grams")))
+    return kept.unionByName(rows.groupBy("own_id", "root").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,24 @@ def _links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     return common >= threshold * union - 1e-6
 
 
+def _digest(grams: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+
+
+def with_digest(docs: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
+    """``docs`` with ``grams``: the digest of each row's n-gram set, null without one."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = _Shingler(n)
+        for part in parts:
+            part["grams"] = [_digest(shingler.set_of(t)) for t in part[text]]
+            yield part
+        del shingler
+        give_back()
+
+    return docs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", grams binary")
+
+
 def ngram_classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -145,6 +163,12 @@ def ngram_classes(
     n-gram set. Null keys are left out. Any number of copies, near copies or members
     of a band is handled, in blocks; nothing is capped.
     """
+    return row_classes(docs, key, text, n, threshold, recall, block).drop("grams", "root")
+
+
+def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = _BLOCK) -> DataFrame:
+    """``ngram_classes`` with ``grams``, the digest of the row's n-gram set, and ``root``, which
+    names its class also where keys repeat; both null without an n-gram."""
     bands, rows = bands_for(threshold, recall)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -156,7 +180,7 @@ def ngram_classes(
                 g = shingler.set_of(t)
                 keys.append(k)
                 sizes.append(len(g))
-                sets.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
+                sets.append(_digest(g))
                 signs.append(sign(g).tobytes() if len(g) else None)
             yield pd.DataFrame({"id": pd.Series(keys, dtype=part["own_key"].dtype), "grams": sets, "n_ngrams": sizes, "bands": signs})
         del shingler
@@ -228,7 +252,7 @@ def ngram_classes(
     classes = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), "classes")
     linked = reps.select(F.col("grams").alias("node"), "rep").join(classes, "node")
     names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = classes.join(names, "root").join(links, "node").select(F.col("node").alias("grams"), "class_id", "links")
-    reps = reps.join(named, "grams", "left").select("grams", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = classes.join(names, "root").join(links, "node").select(F.col("node").alias("grams"), "class_id", "root", "links")
+    reps = reps.join(named, "grams", "left").select("grams", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "grams").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("id", "grams", "n_ngrams").join(reps, "grams", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_ngrams")
+    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_ngrams", "grams", "root")

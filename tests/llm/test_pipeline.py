@@ -9,7 +9,7 @@ import corpus_pipeline as p
 from palimpsest.llm import queries
 from palimpsest.llm.sentencepiece_codec import codec
 
-from .test_operators import WORD, brute_stats, brute_targets, jaccard_classes
+from .test_operators import WORD, brute_stats, brute_targets, jaccard_classes, prose
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,14 @@ def test_stages(spark, sf_dir, docs):
     assert all(r.token_ids == own.encode(text[r.doc_id], add_eos=True) and r.n_tokens == len(r.token_ids) for r in out[:40])
 
 
+def test_near_duplicates_judges_rows_of_one_id_apart(spark, sf_dir, docs):
+    a, b, c, d = (prose(i, 60, 5000) for i in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, d), (3, d), (3, d + " more"), (4, c + " more"), (5, None), (5, ""), (5, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    got = [(r.doc_id, r.text or "") for r in p.near_duplicates_stage(spark, df, sf_dir).collect()]
+    assert sorted(got) in ([(1, a), (2, b), *sorted([(3, c), (3, x)]), (5, "")] for x in (d, d + " more"))
+
+
 def test_empty(spark, sf_dir, docs):
     none = docs.where(F.lit(False))
     for _, stage in p.STAGES:
