@@ -85,11 +85,15 @@ class _Level:
         return out
 
 
+class LevelTooLarge(ValueError):
+    """A level of a cascade is beyond its bound."""
+
+
 def _build_level(keys: DataFrame, n: int, fpp: float, seed: int, max_bytes: int) -> _Level:
     probes = max(1, round(-math.log2(fpp)))
     size = max(8, math.ceil(n * probes / math.log(2) / 8))
     if size > max_bytes:
-        raise ValueError(f"a level of the cascade needs {size} bytes; the bound is {max_bytes}. Use listed_by_join")
+        raise LevelTooLarge(f"a level of the cascade needs {size} bytes; the bound is {max_bytes}. Use listed_by_join")
     level = _Level(size * 8, probes, seed, b"")
     pos = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("pos"))
     rows = (
@@ -165,14 +169,18 @@ def judge_urls(
     The list of the cascade holds the corpus's hosts that have one of
     ``blocked_labels`` among their dot-separated labels. Null urls and urls without
     ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows
-    give repeated rows; an empty table gives an empty one. Columns: key, host, path,
-    rule, verdict.
+    give repeated rows; an empty table gives an empty one. Where a level of the cascade
+    would be beyond ``max_bytes``, listed hosts are joined instead. Columns: key, host,
+    path, rule, verdict.
     """
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     hosts = rows.select(F.col("host").alias("key")).distinct()
     universe = materialize(hosts.withColumn("listed", F.arrays_overlap(F.split("key", "\\."), F.array(*[F.lit(x) for x in blocked_labels]))), "hosts")
-    cascade = BloomCascade.build(universe, max_bytes)
+    try:
+        listed = BloomCascade.build(universe, max_bytes).listed(F.col("host"))
+    except LevelTooLarge:
+        rows, listed = listed_by_join(rows, "host", universe.where("listed").select("key")), F.col("listed")
     text, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(cascade.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(listed, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(key, "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"))

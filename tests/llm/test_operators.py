@@ -136,6 +136,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES, queries.BLOCKED_LABELS).count() == 0
 
 
+def test_urls_beyond_the_bound_of_a_level(spark):
+    urls = [f"http://{'spam-farm.' if i % 3 else ''}h{i}.org/{'es/' if i % 2 else ''}" for i in range(300)] * 2 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    own = [sorted(map(tuple, url_filter.judge_urls(df, queries.URL_RULES, queries.BLOCKED_LABELS, max_bytes=n).collect())) for n in (20, 16 << 20)]
+    assert own[0] == own[1] and {r[4] for r in own[0]} == {"allow", "block"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 300, 3000])
 def test_cascade_is_exact(spark, n):
     universe = spark.range(3000).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(3000)) < n).alias("listed")).cache()
