@@ -1,13 +1,17 @@
 """Chat formatting by quotation linking.
 
 Quoted lines (``>`` marks, nested) are parsed into passages, a passage being a run of
-lines of one quote level. Normalised passages, and their single lines, are hashed and
-linked to the latest earlier message of the conversation whose own text has the same
-whole, paragraph or line. The links order each conversation: every reply stands in
-the thread of the message it quotes, and its quotes are removed.
+lines of one quote level outside fenced code. Normalised passages, their lines and
+their sentences are hashed and linked to the latest earlier message of the conversation
+whose own text has the same whole, paragraph, line or sentence. Linked passages are
+removed from the reply; what is found nowhere stays in it.
 
-Only DataFrame expressions are used. A conversation or passage of any size is spread
-over blocks of turns, and no pair of messages is ever formed.
+The links make each conversation a forest. An Euler tour of every tree, ranked by
+pointer jumping, gives each message its thread, depth and place in reply order, so that
+branches stay apart. ``conversations`` builds from these the ordered conversations.
+
+Only DataFrame expressions are used. A conversation, a message quoted by many, or a
+passage of any size is spread over blocks of turns; no pair of messages is ever formed.
 """
 
 from __future__ import annotations
@@ -19,13 +23,20 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _MARK = "^[ \\t]*(?:>[ \\t]*)+"
-_TURNS = 512
+_FENCE = "^[ \\t]*```"
+_TURNS, _SALT, _MOST = 512, 16, 4096
+_SENTENCE_WORDS = 4  # shorter sentences say too little to name an original
 
 
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
 
 
+def _sentences(text: Column) -> Column:
+    """The sentences of a normalised text that are long enough to link by."""
+    return F.filter(F.split(text, "(?<=[.!?]) "), lambda x: F.size(F.split(x, " ")) >= _SENTENCE_WORDS)
+
+
 def _latest_earlier(quotes: DataFrame, originals: DataFrame) -> DataFrame:
     """(conv, hash, turn) of ``quotes`` with ``link``: the latest smaller turn of ``originals`` with the same conv and hash."""
     rows = quotes.select("conv", "hash", "turn", F.lit(None).cast("long").alias("of")).distinct().union(originals.select("conv", "hash", "turn", F.col("turn").alias("of")).distinct())
@@ -38,62 +49,130 @@ def _latest_earlier(quotes: DataFrame, originals: DataFrame) -> DataFrame:
     return near.join(far, ["conv", "hash", "block"], "left").select("conv", "hash", "turn", F.coalesce("near", "far").alias("link"))
 
 
+def _tour(links: DataFrame) -> DataFrame:
+    """conv, turn, thread_turn, reply_depth, thread_place of every turn of a tree.
+
+    ``links``: conv, turn, parent_turn (smaller), one row a turn. A turn is entered and
+    left once in the tour; each of the two points to the step before it. As no step is
+    pointed to twice, the joins of the pointer jumping have no hot key. A round doubles
+    the distance: their number is the logarithm of the largest tree.
+    """
+    # The sibling before each turn: within its block of turns, else the last of an earlier block.
+    own = links.select("conv", "parent_turn", "turn", F.floor(F.col("turn") / _TURNS).alias("block"))
+    near = own.withColumn("near", F.lag("turn").over(W.partitionBy("conv", "parent_turn", "block").orderBy("turn")))
+    blocks = own.groupBy("conv", "parent_turn", "block").agg(F.max("turn").alias("last"))
+    blocks = blocks.withColumn("far", F.lag("last").over(W.partitionBy("conv", "parent_turn").orderBy("block"))).drop("last")
+    siblings = near.join(blocks, ["conv", "parent_turn", "block"]).select("conv", "turn", "parent_turn", F.coalesce("near", "far").alias("sibling"))
+    last = links.groupBy("conv", F.col("parent_turn").alias("turn")).agg(F.max("turn").alias("last_child"))
+    nodes = siblings.join(last, ["conv", "turn"], "full")
+    step = lambda turn, left: F.struct(turn.alias("turn"), F.lit(left).alias("left"))
+    entered = F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), True)).when(F.col("parent_turn").isNotNull(), step(F.col("parent_turn"), False))
+    left = F.when(F.col("last_child").isNotNull(), step(F.col("last_child"), True)).otherwise(step(F.col("turn"), False))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("left"), entered.alias("to")), F.struct(F.lit(True).alias("left"), left.alias("to"))))
+    tour = nodes.select("conv", "turn", both.alias("e")).select("conv", "turn", "e.left", F.col("e.to.turn").alias("to_turn"), F.col("e.to.left").alias("to_left"))
+    there = F.col("to_turn").isNotNull()
+    # Steps entered and left from the one pointed to up to, not with, this one; ``start`` is known at the end.
+    tour = tour.withColumns({"ins": F.when(there & ~F.col("to_left"), 1).otherwise(0).cast("long"), "outs": F.when(there & F.col("to_left"), 1).otherwise(0).cast("long"), "start": F.when(~there, F.col("turn"))})
+    tour = materialize(tour, "tour")
+    while tour.where("to_turn is not null").limit(1).count():
+        nxt = tour.select("conv", F.col("turn").alias("to_turn"), F.col("left").alias("to_left"), F.col("to_turn").alias("n_turn"), F.col("to_left").alias("n_left"), F.col("ins").alias("n_ins"), F.col("outs").alias("n_outs"), F.col("start").alias("n_start"))
+        jumped = tour.join(nxt, ["conv", "to_turn", "to_left"], "left")
+        zero = F.lit(0).cast("long")
+        tour = materialize(jumped.select("conv", "turn", "left", F.col("n_turn").alias("to_turn"), F.col("n_left").alias("to_left"), (F.col("ins") + F.coalesce("n_ins", zero)).alias("ins"), (F.col("outs") + F.coalesce("n_outs", zero)).alias("outs"), F.coalesce("start", "n_start").alias("start")), "tour")
+    return tour.where("not left").select("conv", "turn", F.col("start").alias("thread_turn"), (F.col("ins") - F.col("outs")).alias("reply_depth"), F.col("ins").alias("thread_place"))
+
+
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per row: conv, turn, role, reply_text (without quotes), n_quoted_lines, n_passages,
-    n_linked, parent_turn, thread_turn, reply_depth.
+    """Per row: conv, turn, role, reply_text (without linked quotes), n_quoted_lines, n_passages,
+    n_linked, parent_turn, thread_turn, reply_depth, thread_place.
 
     ``parent_turn`` is the latest message linked by a passage of level one, else of any
-    level; null without a link, as for passages found in no earlier message.
+    level; null without a link. A passage is linked as a whole, else by its lines, else
+    by its sentences of at least four words; one that is found in no earlier message
+    stays in ``reply_text``, as do marks in fenced code and passages without a word,
+    which don't count.
     ``thread_turn`` is the turn that its chain of parents begins with (its own without
-    a parent), ``reply_depth`` the length of that chain. Ordering a conversation by
-    (thread_turn, turn) puts every reply after what it answers. Null texts count as
-    empty; rows with a null conversation or turn are their own threads (thread_turn is
-    then the turn). Repeated rows are linked alike; several messages of one turn share
-    a parent, the latest of theirs.
+    a parent), ``reply_depth`` the length of that chain, ``thread_place`` its place in
+    the thread (from 0), every message after the one it answers and before the next
+    branch. Null texts count as empty; texts of any length are read whole. Rows with a
+    null conversation or turn are their own threads (thread_turn is then the turn).
+    Repeated rows are linked alike; several messages of one turn share a parent, the
+    latest of theirs, and a place. An empty table gives an empty one; columns of other
+    names are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), t.alias("text"))
-    lines = F.split("text", "\\r?\\n", -1)
-    rows = rows.withColumn("reply_text", F.trim(F.array_join(F.filter(lines, lambda x: ~x.rlike(_MARK)), "\n")))
-    rows = rows.withColumn("n_quoted_lines", F.size(F.filter(lines, lambda x: x.rlike(_MARK))).cast("long"))
     rows = rows.withColumn("mid", F.sha2(F.col("text"), 256))
     quoting = rows.where("conv is not null and turn is not null").where(F.col("text").rlike("(?m)" + _MARK)).select("conv", "turn", "mid", "text").distinct()
     # One row for each line of a quoting message; runs of one level are passages.
-    each = quoting.select("conv", "turn", "mid", F.posexplode(lines).alias("at", "line"))
-    mark = F.regexp_extract("line", _MARK, 0)
-    each = each.withColumns({"level": F.length(mark) - F.length(F.translate(mark, ">", "")), "body": F.substring("line", F.length(mark) + 1, F.length("line"))})
+    each = quoting.select("conv", "turn", "mid", F.posexplode(F.split("text", "\\r?\\n", -1)).alias("at", "line"))
     message = W.partitionBy("conv", "turn", "mid").orderBy("at")
+    fences = F.sum(F.col("line").rlike(_FENCE).cast("int")).over(message)
+    mark = F.when(fences % 2 == 0, F.regexp_extract("line", _MARK, 0)).otherwise("")
+    each = each.withColumn("mark", mark).withColumns({"level": F.length("mark") - F.length(F.translate("mark", ">", "")), "body": F.substring("line", F.length("mark") + 1, F.length("line"))})
     each = each.withColumn("new", (F.coalesce(F.lag("level").over(message), F.lit(-1)) != F.col("level")).cast("int"))
-    each = each.withColumn("passage", F.sum("new").over(message)).where("level > 0")
-    of_passage = ["conv", "turn", "mid", "passage"]
-    passages = each.groupBy(*of_passage).agg(F.first("level").alias("level"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
-    passages = materialize(passages.withColumn("lines", F.transform("lines", lambda x: x["body"])), "passages")
-    # A passage as a whole comes first; its lines count where the whole is nowhere.
-    keys = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.array_join("lines", " ").alias("body"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("body"))))
-    keyed = passages.select(*of_passage, "level", F.explode(keys).alias("k")).select(*of_passage, "level", "k.whole", _normal(F.col("k.body")).alias("body")).where("body <> ''")
-    keyed = keyed.select(*of_passage, "level", "whole", F.sha2("body", 256).alias("hash"))
-    convs = passages.select("conv").distinct()
-    own = rows.where("turn is not null").join(convs, "conv", "left_semi").select("conv", "turn", "reply_text")
-    parts = F.array_union(F.array_union(F.array("reply_text"), F.split("reply_text", "\\n\\s*\\n")), F.split("reply_text", "\\n"))
-    originals = own.select("conv", "turn", F.explode(parts).alias("body")).select("conv", "turn", _normal(F.col("body")).alias("body")).where("body <> ''").select("conv", "turn", F.sha2("body", 256).alias("hash"))
+    each = materialize(each.withColumn("passage", F.sum("new").over(message)).drop("new", "mark"), "quote-lines")
+    of_message = ["conv", "turn", "mid"]
+    of_passage = [*of_message, "passage"]
+    passages = each.where("level > 0").groupBy(*of_passage).agg(F.first("level").alias("level"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
+    passages = passages.withColumn("lines", F.transform("lines", lambda x: x["body"]))
+    # A passage as a whole comes first; its lines count where the whole is nowhere, its sentences where no line is found.
+    whole = _normal(F.array_join("lines", " "))
+    key = lambda rank, body: F.struct(F.lit(rank).alias("rank"), body.alias("body"))
+    keys = F.concat(F.array(key(0, whole)), F.transform("lines", lambda x: key(1, _normal(x))), F.transform(_sentences(whole), lambda x: key(2, x)))
+    keyed = passages.select(*of_passage, "level", F.explode(keys).alias("k")).where("k.body <> ''")
+    keyed = materialize(keyed.select(*of_passage, "level", "k.rank", F.sha2("k.body", 256).alias("hash")), "quote-keys")
+    # Only conversations with a quote are searched; dealt by a salt, as one may hold most messages.
+    convs = keyed.select("conv").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    salted = rows.where("turn is not null").withColumn("salt", F.pmod(F.xxhash64("turn", "mid"), F.lit(_SALT)).cast("int")).join(convs, ["conv", "salt"], "left_semi")
+    unquoted = each.where("level = 0").groupBy(*of_message).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("unquoted"))
+    marked = each.select(*of_message).distinct().join(unquoted, of_message, "left").withColumn("unquoted", F.coalesce("unquoted", F.lit("")))
+    own = salted.join(marked, of_message, "left").select("conv", "turn", F.coalesce("unquoted", "text").alias("own"))
+    paragraphs = F.split("own", "\\r?\\n[ \\t]*\\r?\\n")
+    units = F.concat(F.array(_normal(F.col("own"))), F.transform(paragraphs, _normal), F.transform(F.split("own", "\\r?\\n"), _normal), F.flatten(F.transform(paragraphs, lambda x: _sentences(_normal(x)))))
+    originals = own.select("conv", "turn", F.explode(F.array_distinct(units)).alias("body")).where("body <> ''").select("conv", "turn", F.sha2("body", 256).alias("hash"))
     linked = keyed.join(_latest_earlier(keyed, originals), ["conv", "hash", "turn"], "left")
-    linked = linked.groupBy(*of_passage, "level").agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("link"))), F.max("link")).alias("link"))
-    found = linked.groupBy("conv", "turn", "mid").agg(F.count("*").alias("n_passages"), F.count("link").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("link"))), F.max("link")).alias("parent_turn"))
-    found = materialize(found, "quotes")
-    # Pointer jumping: each round doubles the distance; only linked turns take part.
-    chain = materialize(found.where("parent_turn is not null").groupBy("conv", "turn").agg(F.max("parent_turn").alias("parent_turn")).withColumns({"up": F.col("parent_turn"), "depth": F.lit(1).cast("long")}), "chain")
-    step = 0
-    while True:
-        nxt = chain.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        jumped = chain.join(nxt, ["conv", "up"], "left")
-        if not jumped.where("next is not null").limit(1).count():
-            break
-        chain = materialize(jumped.select("conv", "turn", "parent_turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"chain{step}")
-        step += 1
-    out = rows.join(found.drop("parent_turn"), ["conv", "turn", "mid"], "left").join(chain, ["conv", "turn"], "left")
+    by_rank = [F.max(F.when(F.col("rank") == k, F.col("link"))) for k in range(3)]
+    linked = materialize(linked.groupBy(*of_passage, "level").agg(F.coalesce(*by_rank).alias("link")), "quotes")
+    found = linked.groupBy(*of_message).agg(F.count("*").alias("n_passages"), F.count("link").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("link"))), F.max("link")).alias("parent_turn"))
+    left = each.join(linked.where("link is not null").select(*of_passage, F.lit(True).alias("gone")), of_passage, "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("at", "line"))))
+    replies = left.groupBy(*of_message).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("reply"), F.count_if(F.col("level") > 0).alias("n_quoted_lines"))
+    replies = materialize(replies.join(found, of_message, "left"), "replies")
+    links = materialize(replies.where("parent_turn is not null").groupBy("conv", "turn").agg(F.max("parent_turn").alias("parent_turn")), "reply-links")
+    out = rows.join(replies.drop("parent_turn"), of_message, "left").join(_tour(links), ["conv", "turn"], "left").join(links, ["conv", "turn"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "reply_text", "n_quoted_lines",
-        F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_linked", zero).alias("n_linked"),
-        "parent_turn", F.coalesce("up", "turn").alias("thread_turn"), F.coalesce("depth", zero).alias("reply_depth"),
+        F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.btrim(F.coalesce("reply", "text"), F.lit(" \t\r\n")).alias("reply_text"),
+        F.coalesce("n_quoted_lines", zero).alias("n_quoted_lines"), F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_linked", zero).alias("n_linked"),
+        "parent_turn", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("reply_depth", zero).alias("reply_depth"), F.coalesce("thread_place", zero).alias("thread_place"),
     )
+
+
+def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The conversations in reply order without quotes: conv, part, piece, n_messages, messages.
+
+    ``messages`` is an array of (place, turn, role, text, parent_turn, reply_depth) by
+    place: threads in the order of their first turns, each in the order of its branches.
+    A row holds 512 places of a conversation, ``part`` numbers them; in the odd case of
+    more than 4,096 different messages there (many at one turn), they are dealt by hash
+    over several ``piece`` rows. So no row grows with a conversation. Equal messages of
+    one turn are one. Rows with a null turn come last in their conversation, rows with a
+    null conversation stand under null. See ``link_quotes`` for the rest.
+    """
+    rows = materialize(link_quotes(messages, conv, turn, role, text).select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col("reply_text").alias("text"), "parent_turn", "thread_turn", "reply_depth", "thread_place"), "linked")
+    # Where each thread begins: running sums within blocks of turns, and over the blocks.
+    threads = rows.groupBy("conv", "thread_turn").agg((F.max("thread_place") + 1).alias("n")).withColumn("block", F.floor(F.col("thread_turn") / _TURNS))
+    upto = W.partitionBy("conv", "block").orderBy(F.asc_nulls_last("thread_turn")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = threads.groupBy("conv", "block").agg(F.sum("n").alias("n"))
+    before = W.partitionBy("conv").orderBy(F.asc_nulls_last("block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("conv").alias("b_conv"), F.col("block").alias("b_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    begins = threads.withColumn("nth", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(blocks, F.col("conv").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
+    begins = begins.select(F.col("conv").alias("t_conv"), F.col("thread_turn").alias("t_turn"), (F.col("base") + F.col("nth")).alias("begin"))
+    placed = rows.join(begins, F.col("conv").eqNullSafe(F.col("t_conv")) & F.col("thread_turn").eqNullSafe(F.col("t_turn"))).withColumn("place", F.col("begin") + F.col("thread_place"))
+    placed = placed.withColumn("part", F.floor(F.col("place") / _TURNS))
+    crowded = placed.groupBy(F.col("conv").alias("c_conv"), F.col("part").alias("c_part")).agg(F.ceil(F.count("*") / _MOST).alias("pieces")).where("pieces > 1")
+    placed = placed.join(crowded, F.col("conv").eqNullSafe(F.col("c_conv")) & (F.col("part") == F.col("c_part")), "left")
+    placed = placed.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("pieces")), F.lit(0)).cast("int"))
+    built = placed.groupBy("conv", "part", "piece").agg(F.array_sort(F.collect_set(F.struct("place", "turn", "role", "text", "parent_turn", "reply_depth"))).alias("messages"))
+    return built.select(F.col("conv").alias(conv), "part", "piece", F.size("messages").cast("long").alias("n_messages"), "messages")
