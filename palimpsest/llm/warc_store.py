@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _CRLF = "\r\n"
 
 
@@ -30,6 +32,22 @@ def _uuid(name: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+_CONTROLS = [*range(32), 127]
+
+
+def header_safe(text: Column) -> Column:
+    """``text`` with control characters percent-encoded, so that it stays within its header line."""
+    out = text
+    for code in _CONTROLS:
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(text.rlike("[\\x00-\\x1F\\x7F]"), out).otherwise(text)
+
+
+def _key_text(key: Column) -> Column:
+    """A key as a header value that gives it back exactly; null is empty."""
+    return F.coalesce(F.url_encode(key.cast("string")), F.lit(""))
+
+
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for every row of ``pages`` to the archive at ``path``.
 
@@ -39,31 +57,44 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     (same key, same payload) have the same type. A null key is smaller than any
     other; a null url is written as an empty target. Equal payloads are one stored
     payload, whatever their number.
+
+    Control characters of a url are percent-encoded in its header line; the exact url
+    stays in the column ``target``. A record's id comes from its key, url and payload,
+    so only repeated rows share one. The keys of a record and of what it revisits stand
+    in extension fields of its header.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("record_id"), F.coalesce(F.col(url), F.lit("")).alias("target"), payload.alias("payload"))
     rows = rows.withColumns({"address": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     heads = rows.withColumn("payload_digest", sha1_base32(F.col("payload"))).drop("payload")
     # Only addresses with more than one record take part in the join.
-    groups = heads.groupBy("address").agg(F.max("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    heads = heads.join(groups, "address", "left")
+    newest = F.max(F.struct("record_id", "target"))
+    groups = heads.groupBy("address").agg(newest["record_id"].alias("first_id"), newest["target"].alias("first_target"), F.count("*").alias("n")).where("n > 1")
+    # A row for each payload of a hundredth of all records, a hundred at most, is broadcast; other addresses are joined.
+    groups = materialize(groups, "payload-groups")
+    many = groups.where(F.col("n") * 100 >= (groups.agg(F.sum("n")).first()[0] or 0)).drop("n")
+    hot = heads.join(F.broadcast(many), "address", "left")
+    found = hot.where("first_target is not null")
+    rest = hot.where("first_target is null").drop("first_id", "first_target").join(groups.drop("n"), "address", "left")
+    heads = found.unionByName(rest)
     revisit = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     heads = heads.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id")))
     http = F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}{_CRLF}")
-    uri = lambda c: F.concat(F.lit("<urn:uuid:"), _uuid(F.concat(F.lit("record "), F.coalesce(c.cast("string"), F.lit("")))), F.lit(">"))
+    uri = lambda key, url: F.concat(F.lit("<urn:uuid:"), _uuid(F.concat_ws(" ", F.lit("record"), "address", _key_text(F.col(key)), F.coalesce(url, F.lit("")))), F.lit(">"))
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     length = F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes"))
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     warc = F.concat(
         F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind,
-        F.lit(f"{_CRLF}WARC-Record-ID: "), uri(F.col("record_id")),
-        F.lit(f"{_CRLF}WARC-Date: {date}{_CRLF}WARC-Target-URI: "), F.col("target"),
+        F.lit(f"{_CRLF}WARC-Record-ID: "), uri("record_id", "target"),
+        F.lit(f"{_CRLF}WARC-Date: {date}{_CRLF}WARC-Target-URI: "), header_safe(F.col("target")),
+        F.lit(f"{_CRLF}Record-Key: "), _key_text(F.col("record_id")),
         F.lit(f"{_CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(F.col("revisit"), F.concat(F.lit(f"{_CRLF}WARC-Refers-To: "), uri(F.col("refers_to")), F.lit(f"{_CRLF}WARC-Profile: {profile}"))).otherwise(""),
+        F.when(F.col("revisit"), F.concat(F.lit(f"{_CRLF}WARC-Refers-To: "), uri("refers_to", "first_target"), F.lit(f"{_CRLF}Refers-To-Key: "), _key_text(F.col("refers_to")), F.lit(f"{_CRLF}WARC-Profile: {profile}"))).otherwise(""),
         F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), length.cast("string"),
         F.lit(_CRLF + _CRLF), http,
     )
-    heads.select("record_id", "address", "refers_to", warc.alias("head")).write.parquet(f"{path}/headers")
+    heads.select("record_id", "address", "target", warc.alias("head")).write.parquet(f"{path}/headers")
     # Grouping by the address keeps one copy of the bytes, already within each task.
     rows.groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
@@ -71,7 +102,9 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 def _headers(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/headers")
     field = lambda name: F.regexp_extract("head", f"(?:^|\\r\\n){name}: ([^\\r\\n]*)", 1)
-    return rows.withColumns({"record_type": field("WARC-Type"), "stated_digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")})
+    kind = rows.schema["record_id"].dataType
+    refers_to = F.when(field("WARC-Type") == "revisit", F.url_decode(F.nullif(field("Refers-To-Key"), F.lit(""))).cast(kind))
+    return rows.withColumns({"record_type": field("WARC-Type"), "refers_to": refers_to, "stated_digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")})
 
 
 def _payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +118,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Size and digest are taken from the stored bytes, once for each distinct payload,
     before the join with the headers; they must agree with the digest that the
-    header states.
+    header states. The type and what a revisit refers to are read from the header.
     """
     stored = _payloads(spark, path).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     rows = _headers(spark, path).join(stored, "address")
