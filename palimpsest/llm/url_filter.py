@@ -156,31 +156,40 @@ def listed_by_join(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     return df.join(marks, key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
+def spam_hosts(pages: DataFrame, labels: Sequence[str], url: str = "url") -> DataFrame:
+    """A list to filter by: the hosts of ``pages`` that have one of ``labels`` among their dot-separated labels."""
+    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("host", "\\."), F.array(*[F.lit(x) for x in labels])))
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
-    blocked_labels: Sequence[str],
+    listed: DataFrame,
     key: str = "page_id",
     url: str = "url",
     max_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """Verdict for every url: the longest fitting rule's, else the cascade's.
-
-    The list of the cascade holds the corpus's hosts that have one of
-    ``blocked_labels`` among their dot-separated labels. Null urls and urls without
-    ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows
-    give repeated rows; an empty table gives an empty one. Where a level of the cascade
-    would be beyond ``max_bytes``, listed hosts are joined instead. Columns: key, host,
-    path, rule, verdict.
+    """Verdict for every url: the longest fitting rule's, else the cascade's, which blocks listed hosts.
+
+    ``listed`` holds blocked hosts in its first column, lower-cased; hosts that the
+    corpus has not, nulls and repeats change nothing. Null urls and urls without
+    ``://`` have an empty host and path and fit no rule; the empty host is never listed.
+    Repeated rows give repeated rows; an empty table gives an empty one, an empty list
+    allows whatever no rule blocks. Urls of any length are judged whole. Where a level of
+    the cascade would be beyond ``max_bytes``, listed hosts are joined instead. Columns:
+    key, host, path, rule, verdict.
     """
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     hosts = rows.select(F.col("host").alias("key")).distinct()
-    universe = materialize(hosts.withColumn("listed", F.arrays_overlap(F.split("key", "\\."), F.array(*[F.lit(x) for x in blocked_labels]))), "hosts")
+    marks = listed.select(F.col(listed.columns[0]).alias("key")).where("key <> ''").distinct().withColumn("mark", F.lit(True))
+    # One row for each host: the only join, on distinct keys, to build the cascade.
+    universe = materialize(hosts.join(marks, "key", "left").select("key", F.coalesce("mark", F.lit(False)).alias("listed")), "hosts")
     try:
-        listed = BloomCascade.build(universe, max_bytes).listed(F.col("host"))
+        blocked = BloomCascade.build(universe, max_bytes).listed(F.col("host"))
     except LevelTooLarge:
-        rows, listed = listed_by_join(rows, "host", universe.where("listed").select("key")), F.col("listed")
+        rows, blocked = listed_by_join(rows, "host", universe.where("listed").select("key")), F.col("listed")
     text, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(listed, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(key, "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
