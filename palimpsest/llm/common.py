@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, plain_unions, scratch_dir
 
-__all__ = ["WORD", "give_back", "labelled_sample", "materialize", "scratch_path", "table", "word_count"]
+__all__ = ["WORD", "give_back", "labelled_sample", "materialize", "scratch_path", "table", "whole_rows", "word_count"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -38,13 +38,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
-    """``docs`` rows of at most ``bound`` labelled keys, with the column ``own_label`` (0 or 1).
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that none can clash with a column an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("none"))
+
+
+def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
+    """``rows`` (with ``own_key``) of at most ``bound`` labelled keys, with the column ``own_label`` (0 or 1).
 
     The keys with the smallest hash are taken, so reruns and other partitionings
     agree. Null labels don't count; a key labelled twice has its largest label. The
-    bounded side is what is broadcast.
+    bounded side is what is broadcast. The bound is on keys: who collects the sample
+    reduces it to one row a key first.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("own_key")).agg(F.max(label).cast("int").alias("own_label"))
-    marks = marks.orderBy(F.xxhash64("own_key"), "own_key").limit(bound)
-    return docs.join(F.broadcast(marks), F.col(key) == F.col("own_key")).drop("own_key")
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("marked_key")).agg(F.max(label).cast("int").alias("own_label"))
+    marks = marks.orderBy(F.xxhash64("marked_key"), "marked_key").limit(bound)
+    return rows.join(F.broadcast(marks), F.col("own_key") == F.col("marked_key")).drop("marked_key")

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, whole_rows, word_count
 
-_STEPS, _TOLERANCE, _BLOCK, _STARTS = 40, 1e-9, 2048, 32
+_STEPS, _TOLERANCE, _BLOCK, _STARTS = 100, 1e-9, 2048, 32
 
 
 def _rate(lam: Column, x: Column, cap: float) -> Column:
@@ -92,9 +92,10 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: float, name: str = "tilt") -
         new = F.when(F.col("lam").isNull() | (F.col("off") <= _TOLERANCE) | F.col("got").isNull(), F.col("lam")).otherwise(F.when(bad, middle).otherwise(newton))
         nxt = nxt.select("source", "source_size", "target", "mean", new.alias("lam"), low.alias("low"), high.alias("high"), F.coalesce(F.try_divide(F.abs(gap), F.col("target")), F.lit(0.0)).alias("off"))
         state = materialize(nxt, f"{name}{step}")
-        if (state.agg(F.max("off").alias("off")).first()["off"] or 0.0) <= _TOLERANCE:
-            break
-    return state
+        left = state.agg(F.max("off").alias("off")).first()["off"] or 0.0
+        if left <= _TOLERANCE:
+            return state
+    raise RuntimeError(f"entropy balancing did not converge in {_STEPS} steps: a source is off its target by {left:.3g} of it")
 
 
 def mix(
@@ -105,16 +106,21 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per document: key, size (words), source_size, target, rate, copies, taken (words).
 
+    With ``carry`` these columns of ``docs`` come as the struct ``row`` beside them; keep
+    them small, as rows are sorted. Other columns of ``docs`` may have any name.
+
     A null text has size 0, a null source is a source of its own. Documents of size 0
     take no part in balancing and are taken once if their source's target is above 0
     or the source has no words. Repeated rows are separate documents with the same
     position, so all but a fraction of them share a decision. An empty table gives an
     empty one. Reruns agree.
     """
-    rows = materialize(docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    row = [whole_rows(docs.select(*[f"`{c}`" for c in carry])).alias("row")] if carry else []
+    rows = materialize(docs.select(F.col(key).alias("own_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *row), "sizes")
     hist = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     state = tilts(hist, source_targets(hist, weights, share, cap), cap)
     blocks = hist.groupBy("source").agg(F.ceil(F.sum("n") / _BLOCK).alias("blocks"))
@@ -124,10 +130,10 @@ def mix(
     rows = rows.join(state, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("lam").isNotNull(), _rate(F.col("lam"), F.col("size") / F.col("mean"), cap))
     rate = F.coalesce(rate, F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0))
-    chance = F.xxhash64(F.col(key), F.lit("block"))
+    chance = F.xxhash64("own_key", F.lit("block"))
     rows = rows.withColumns({"rate": rate, "block": F.pmod(chance, F.col("blocks"))})
     block = ["source", "block"]
-    upto = F.sum("rate").over(W.partitionBy(*block).orderBy(F.desc("size"), F.xxhash64(F.col(key)), F.col(key)).rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("rate").over(W.partitionBy(*block).orderBy(F.desc("size"), F.xxhash64("own_key"), "own_key", *(["row"] if carry else [])).rowsBetween(W.unboundedPreceding, 0))
     rows = materialize(rows.withColumn("upto", upto), "rates")
 
     def copies(start: Column) -> Column:
@@ -140,4 +146,4 @@ def mix(
     off = [F.struct(F.abs(t - _exact_sum(F.col("size") * F.col("rate"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
     best = rows.groupBy(F.col("source").alias("of"), F.col("block").alias("nth")).agg(F.array_min(F.array(*off))["start"].alias("start"))
     rows = rows.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth"))).withColumn("copies", copies(F.col("start")))
-    return rows.select(key, "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select(F.col("own_key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["row"] if carry else []))

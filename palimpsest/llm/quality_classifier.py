@@ -2,10 +2,13 @@
 
 Two additive logistic models see disjoint parts of a document: what its text looks
 like, and what is recorded about it (source, language, stated size). In each round
-each of them labels the pool documents it is surest of for the other one. Held-out
-labels then calibrate both, and a final logistic model combines the two log odds.
-Fitting sees a bounded number of rows; scoring goes over all documents in one pass
-without a shuffle.
+each of them goes over all unlabelled documents and labels for the other one some of
+those that it is sure of. Held-out labels then calibrate both, and a final logistic
+model combines the two log odds.
+
+Texts are read once: ``featured`` writes their numbers, which the rounds and the final
+scores read. What is fitted on is bounded (``bound`` labelled keys and ``confident``
+pseudo-labels for each class, view and round); what it is chosen from is not.
 """
 
 from __future__ import annotations
@@ -13,15 +16,16 @@ from __future__ import annotations
 import operator
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, labelled_sample
+from .common import give_back, labelled_sample, materialize, whole_rows
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _DIGITS = str.maketrans("", "", "0123456789")
@@ -135,107 +139,166 @@ class CoTrained:
         return p(a), p(b), p(c)
 
 
-def co_train(text_x: np.ndarray, meta_x: np.ndarray, cats: np.ndarray, y: np.ndarray, rounds: int = 4, share: float = 0.05) -> CoTrained | None:
-    """``y``: 1, 0, or -1 for pool rows. None if a class has no labelled row."""
-    known = y >= 0
+@dataclass
+class Rows:
+    """Feature rows: numbers of the text view, numbers and categories of the metadata view, and a mark of them all."""
+
+    text_x: np.ndarray
+    meta_x: np.ndarray
+    cats: np.ndarray
+    mark: np.ndarray
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame) -> Rows:
+        return cls(frame[_TEXT].to_numpy(dtype=float), frame[["chars"]].to_numpy(dtype=float), frame[["c1", "c2"]].to_numpy(dtype=np.int64), frame["mark"].to_numpy(dtype=np.int64))
+
+    def view(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return (self.text_x, np.zeros((len(self.text_x), 0), dtype=np.int64)) if k == 0 else (self.meta_x, self.cats)
+
+
+def sure_rows(frame: pd.DataFrame, views: Sequence[View], taken: Sequence[set[int]], most: int, sure: float) -> pd.DataFrame:
+    """Of rows that a view is sure of, those of the ``most`` smallest marks for each view and class, equal rows once.
+
+    The column ``grp`` is twice the view that labels plus the class. ``taken[k]`` holds
+    the marks that view ``k`` has learned from.
+    """
+    if not len(frame):
+        return frame.assign(grp=pd.Series(dtype=np.int32))
+    rows, out = Rows.of(frame), []
+    for k in (0, 1):
+        odds = views[k].log_odds(*rows.view(k))
+        fresh = ~np.isin(rows.mark, np.fromiter(taken[1 - k], dtype=np.int64, count=len(taken[1 - k])))
+        for label, hit in ((0, odds < -sure), (1, odds > sure)):
+            own = frame[hit & fresh].drop_duplicates("mark").nsmallest(most, "mark")
+            out.append(own.assign(grp=np.int32(2 * k + label)))
+    return pd.concat(out)
+
+
+def co_train(known: Rows, y: np.ndarray, confident: Callable[[Sequence[View], Sequence[set[int]]], pd.DataFrame], rounds: int = 4) -> CoTrained | None:
+    """Co-train from labelled rows. None if a class has no labelled row.
+
+    ``confident(views, taken)`` gives what each view labels for the other in a round:
+    feature rows with ``grp`` as in ``sure_rows``.
+    """
     if not (y == 1).any() or not (y == 0).any():
         return None
     # A fifth of the labels is kept for calibration.
-    held = known & (np.arange(len(y)) % 5 == 0)
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[known & ~held])) < 2:
-        held = known
-        train = known
+    held = np.arange(len(y)) % 5 == 0
+    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
+        held = train = np.ones(len(y), dtype=bool)
     else:
-        train = known & ~held
-    none = np.zeros((len(y), 0), dtype=np.int64)
-    own = [np.where(train, y, -1), np.where(train, y, -1)]  # what each view learns from
-    views = [View(), View()]
-    for step in range(rounds + 1):
-        odds = []
-        for k, (x, c) in enumerate(((text_x, none), (meta_x, cats))):
-            rows = own[k] >= 0
-            views[k] = View().fit(x[rows], c[rows], own[k][rows].astype(float))
-            odds.append(views[k].log_odds(x, c))
-        if step == rounds:
-            break
-        for k in (0, 1):  # view k labels for the other
-            free = np.flatnonzero((own[1 - k] < 0) & ~known)
-            if not len(free):
-                continue
-            ranked = free[np.argsort(odds[k][free], kind="stable")]
-            most = max(1, int(len(free) * share / 2))
-            sure = 2.2  # log odds of nine to one
-            low, high = ranked[:most], ranked[::-1][:most]
-            own[1 - k][low[odds[k][low] < -sure]] = 0
-            own[1 - k][high[odds[k][high] > sure]] = 1
+        train = ~held
+    own = [[(*(p[train] for p in known.view(k)), y[train].astype(float))] for k in (0, 1)]  # what each view learns from
+    taken: list[set[int]] = [set(), set()]
+
+    def views() -> list[View]:
+        return [View().fit(*(np.concatenate(p) for p in zip(*own[k], strict=True))) for k in (0, 1)]
+
+    for _ in range(rounds):
+        frame = confident(views(), taken)
+        for k in (0, 1):
+            mine = frame[frame["grp"] // 2 == 1 - k].sort_values(["grp", "mark"])
+            if len(mine):
+                own[k].append((*Rows.of(mine).view(k), (mine["grp"] % 2).to_numpy(dtype=float)))
+                taken[k] |= set(mine["mark"].tolist())
+    final = views()
     yh = y[held].astype(float)
-    a, b = (views[0].log_odds(text_x, none)[held], views[1].log_odds(meta_x, cats)[held])
+    a, b = (final[k].log_odds(*known.view(k))[held] for k in (0, 1))
     text_cal, meta_cal = _logistic(a[:, None], yh), _logistic(b[:, None], yh)
     za, zb = text_cal[0] + text_cal[1] * a, meta_cal[0] + meta_cal[1] * b
-    return CoTrained(views[0], views[1], text_cal, meta_cal, _logistic(np.stack([za, zb], axis=1), yh))
+    return CoTrained(*final, text_cal, meta_cal, _logistic(np.stack([za, zb], axis=1), yh))
 
 
-def _featured(rows: DataFrame, extra: list[str]) -> DataFrame:
-    kinds = dict(rows.dtypes)
+_TEXT = [f"f{i}" for i in range(len(TEXT_FEATURES))]
+_COLUMNS = [*_TEXT, "chars", "c1", "c2", "mark"]
+_KINDS = ", ".join([f"{c} double" for c in [*_TEXT, "chars"]] + [f"{c} long" for c in ("c1", "c2", "mark")])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = part[extra].copy()
-            out["x"] = [text_features(t) for t in part["own_text"]]
-            out["chars"] = np.log1p(np.maximum(part["own_chars"].fillna(0).astype(float), 0))
-            out["c1"] = [_bucket(s) for s in part["own_source"]]
-            out["c2"] = [_bucket(s) for s in part["own_lang"]]
-            yield out
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in extra) + ", x array<double>, chars double, c1 long, c2 long"
-    return rows.mapInPandas(run, schema)
+def _marks(values: np.ndarray) -> np.ndarray:
+    """A hash of each row of numbers."""
+    out = np.zeros(len(values), dtype=np.uint64)
+    for column in np.ascontiguousarray(values, dtype=np.float64).view(np.uint64).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
-def _views(df: DataFrame, key: str, text: str, source: str, lang: str, chars: str) -> list:
-    return [F.col(key).alias("own_key"), F.col(text).alias("own_text"), F.col(source).alias("own_source"), F.col(lang).alias("own_lang"), F.col(chars).cast("double").alias("own_chars")]
+def _numbers(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for text, source, lang, chars in parts:
+        x = np.array([text_features(t) for t in text], dtype=float).reshape(len(text), len(TEXT_FEATURES))
+        out = pd.DataFrame(x, columns=_TEXT)
+        out["chars"] = np.log1p(np.maximum(chars.fillna(0).to_numpy(dtype=float), 0))
+        out["c1"] = np.array([_bucket(s) for s in source], dtype=np.int64)
+        out["c2"] = np.array([_bucket(s) for s in lang], dtype=np.int64)
+        out["mark"] = _marks(out.to_numpy(dtype=float))
+        yield out
+    give_back()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 12_000, pool: int = 6_000, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars") -> CoTrained | None:
-    """Co-train on at most ``bound`` labelled and ``pool`` unlabelled documents, those with the smallest key hashes."""
-    cols = _views(docs, key, text, source, lang, chars)
-    known = labelled_sample(docs, labels, label, bound, key).select(*cols, "own_label")
-    ids = docs.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).join(labels.select(F.col(key).alias("k")), "k", "left_anti")
-    ids = ids.distinct().orderBy(F.xxhash64("k", F.lit("pool")), "k").limit(pool)
-    free = docs.join(F.broadcast(ids), F.col(key) == F.col("k")).select(*cols, F.lit(-1).alias("own_label"))
-    rows = _featured(known.unionByName(free), ["own_key", "own_label"]).toPandas()
-    if not len(rows):
+def featured(docs: DataFrame, carry: Sequence[str] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars") -> DataFrame:
+    """``docs`` written with the numbers of both views: ``row`` (the columns ``carry``, or all), own_key and the features.
+
+    Columns of ``docs`` may have any name: they stay apart in ``row``. Null and empty
+    texts have all-zero text features, null metadata is a category of its own, and a
+    null or negative stated size counts as 0.
+    """
+    row = whole_rows(docs if carry is None else docs.select(*[f"`{c}`" for c in carry]))
+    numbers = F.pandas_udf(_numbers, _KINDS).asNondeterministic()  # else a later filter would run it once more
+    rows = docs.select(row.alias("row"), F.col(key).alias("own_key"), numbers(F.col(text), F.col(source), F.col(lang), F.col(chars).cast("double")).alias("x"))
+    return materialize(rows.select("row", "own_key", "x.*"), "features")
+
+
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 12_000, confident: int = 150, rounds: int = 4, sure: float = 2.2, key: str = "doc_id") -> CoTrained | None:
+    """Co-train on ``rows`` (of ``featured``) and the labels of their keys.
+
+    Labelled rows are those of at most ``bound`` keys, the ones with the smallest hashes
+    (of a repeated key's rows the one with the smallest numbers). In each round all rows
+    whose key has no label are candidates; of those that a view is ``sure`` of (log
+    odds), it labels the ``confident`` ones with the smallest hashes in each class, equal
+    rows once. Reruns and other partitionings agree. Null keys and labels don't count.
+    None if a class has no labelled row.
+    """
+    narrow = rows.select("own_key", *_COLUMNS)
+    sample = labelled_sample(narrow, labels, label, bound, key)
+    known = sample.groupBy("own_key").agg(F.min(F.struct(*_COLUMNS, "own_label")).alias("r")).select("own_key", "r.*").toPandas()  # a row a key
+    if not len(known):
         return None
-    rows = rows.sort_values(["own_key", "own_label"], kind="stable")
-    x = np.array(rows["x"].tolist())
-    return co_train(x, rows[["chars"]].to_numpy(), rows[["c1", "c2"]].to_numpy(), rows["own_label"].to_numpy())
+    known = known.sort_values("own_key", kind="stable")
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("own_key")).distinct()
+    free = materialize(narrow.join(marked, "own_key", "left_anti").select(*_COLUMNS), "unlabelled")
 
+    def surest(views: Sequence[View], taken: Sequence[set[int]]) -> pd.DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for part in parts:
+                own = sure_rows(part, views, taken, confident, sure)
+                best = own if best is None else pd.concat([best, own]).drop_duplicates(["grp", "mark"]).sort_values(["grp", "mark"]).groupby("grp").head(confident)
+            if best is not None:
+                yield best
 
-def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.35, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", chars: str = "n_chars", carry: Sequence[str] = ()) -> DataFrame:
-    """Per document: ``carry`` columns, key, text_score, meta_score, score (probability of good quality), kept.
+        found = free.mapInPandas(run, f"{_KINDS}, grp int").dropDuplicates(["grp", "mark"])
+        nth = F.row_number().over(W.partitionBy("grp").orderBy("mark"))  # each task sends at most `confident` a group
+        return found.withColumn("nth", nth).where(F.col("nth") <= confident).drop("nth").toPandas()
 
-    Null and empty texts have all-zero text features and are scored like any other;
-    null metadata is a category of its own. Repeated rows get the same score. Without
-    a model (no labels of one class) scores are null and everything is kept.
+    return co_train(Rows.of(known), known["own_label"].to_numpy(), surest, rounds)
+
+
+def score(rows: DataFrame, model: CoTrained | None, threshold: float = 0.35) -> DataFrame:
+    """Per row of ``featured``: row, text_score, meta_score, score (probability of good quality), kept.
+
+    Repeated rows get the same score. Without a model (no labels of one class) scores
+    are null and everything is kept. An empty table gives an empty one.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    carry = [c for c in carry if c != key]
-    taken = {c: f"own_carried_{i}" for i, c in enumerate(carry)}
-    rows = docs.select(*_views(docs, key, text, source, lang, chars), *[F.col(c).alias(a) for c, a in taken.items()])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            x = np.array([text_features(t) for t in part["own_text"]])
-            meta = np.log1p(np.maximum(part["own_chars"].fillna(0).to_numpy(dtype=float), 0))[:, None]
-            cats = np.array([[_bucket(s), _bucket(g)] for s, g in zip(part["own_source"], part["own_lang"], strict=True)])
-            a, b, c = model.scores(x, meta, cats)
-            yield part[["own_key", *taken.values()]].assign(text_score=a, meta_score=b, score=c, kept=c >= threshold)
-        give_back()
-
-    kinds = "".join(f"{a} {docs.schema[c].dataType.simpleString()}, " for c, a in taken.items())
-    schema = f"own_key {kind}, {kinds}text_score double, meta_score double, score double, kept boolean"
     if model is None:
         null = F.lit(None).cast("double")
-        return docs.select(F.col(key), *carry, null.alias("text_score"), null.alias("meta_score"), null.alias("score"), F.lit(True).alias("kept"))
-    return rows.mapInPandas(run, schema).withColumnsRenamed({"own_key": key, **{a: c for c, a in taken.items()}})
+        return rows.select("row", null.alias("text_score"), null.alias("meta_score"), null.alias("score"), F.lit(True).alias("kept"))
+
+    @F.pandas_udf("text_score double, meta_score double, score double")
+    def judged(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in parts:
+            own = Rows.of(pd.concat(columns, axis=1, keys=_COLUMNS))
+            a, b, c = model.scores(own.text_x, own.meta_x, own.cats)
+            yield pd.DataFrame({"text_score": a, "meta_score": b, "score": c})
+
+    out = rows.select("row", judged.asNondeterministic()(*_COLUMNS).alias("s")).select("row", "s.*")
+    return out.withColumn("kept", F.col("score") >= threshold)

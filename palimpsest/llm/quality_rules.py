@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, labelled_sample
+from .common import WORD, labelled_sample, whole_rows
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WINDOW = 8
@@ -37,19 +37,15 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"_t": t, "_words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0))})
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     df = df.withColumns({"_n": F.size("_words"), "_lines": lines, "_hashes": F.transform("_words", lambda w: F.xxhash64(w))})
-    windows = F.when(
-        F.col("_n") >= _WINDOW,
-        F.transform(F.sequence(F.lit(0), F.col("_n") - _WINDOW), lambda i: F.xxhash64(*[F.get("_hashes", i + j) for j in range(_WINDOW)])),
-    )
-    df = df.withColumn("_windows", windows)
-    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    exact = F.when(
-        again,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.col("_n") - _WINDOW), lambda i: F.struct(F.concat_ws(" ", F.slice("_words", i + 1, _WINDOW)).alias("w"), i.alias("at")))),
-    )
-    df = df.withColumn("_sorted", exact)
-    same = lambda x, j: (F.get("_sorted", j - 1)["w"] == x["w"]) | (F.get("_sorted", j + 1)["w"] == x["w"])
-    starts = F.array_sort(F.transform(F.filter("_sorted", lambda x, j: F.coalesce(same(x, j), (F.get("_sorted", j + 1)["w"] == x["w"]), (F.get("_sorted", j - 1)["w"] == x["w"]))), lambda x: x["at"]))
+    windows = F.transform(F.sequence(F.lit(0), F.col("_n") - _WINDOW), lambda i: F.xxhash64(*[F.get("_hashes", i + j) for j in range(_WINDOW)]))
+    df = df.withColumn("_windows", F.when(F.col("_n") >= _WINDOW, windows))
+    # Windows whose hash occurs again, by one sort of (hash, place); then the exact words of only those.
+    ranked = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    df = df.withColumn("_ranked", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ranked))
+    near = lambda name, field, x, j: F.coalesce(F.get(name, j + 1)[field] == x[field], F.lit(False)) | F.coalesce(F.get(name, j - 1)[field] == x[field], F.lit(False))
+    again = F.filter("_ranked", lambda x, j: near("_ranked", "h", x, j))
+    df = df.withColumn("_sorted", F.array_sort(F.transform(again, lambda x: F.struct(F.concat_ws(" ", F.slice("_words", x["at"] + 1, _WINDOW)).alias("w"), x["at"].alias("at")))))
+    starts = F.array_sort(F.transform(F.filter("_sorted", lambda x, j: near("_sorted", "w", x, j)), lambda x: x["at"]))
     df = df.withColumn("_starts", starts)
     covered = F.aggregate(
         "_starts",
@@ -184,13 +180,16 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, prune_part: np.ndarray
 def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 20_000, key: str = "doc_id", text: str = "text") -> list[Rule]:
     """Learn from the statistics of at most ``bound`` labelled documents (label 0: reject).
 
-    Rows that the base limits reject are left out: the list is for the others.
+    Rows that the base limits reject are left out: the list is for the others. Of the
+    rows of a repeated key, the one with the smallest statistics is learned from; null
+    keys and labels are not. No labelled row or an empty table gives an empty list.
     """
-    sample = labelled_sample(docs.select(F.col(key), F.col(text).alias("text")), labels, label, bound, key)
+    sample = labelled_sample(docs.select(F.col(key).alias("own_key"), F.col(text).alias("text")), labels, label, bound, key)
     stats = with_stats(sample).where(~base_failed())
     names = list(features())
-    third = F.pmod(F.xxhash64(F.col(key), F.lit("prune")), F.lit(3)) == 0
-    rows = stats.select(*[c.alias(n) for n, c in features().items()], (F.col("own_label") == 0).alias("bad"), third.alias("third")).collect()
+    third = F.pmod(F.xxhash64("own_key", F.lit("prune")), F.lit(3)) == 0
+    rows = stats.select("own_key", *[c.alias(n) for n, c in features().items()], (F.col("own_label") == 0).alias("bad"), third.alias("third"))
+    rows = rows.groupBy("own_key").agg(F.min(F.struct(*names, "bad", "third")).alias("row")).select("row.*").collect()  # a row a key: at most `bound`
     if not rows:
         return []
     # In one order whatever the partitioning: learning depends on the set of rows only.
@@ -207,5 +206,12 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with the statistics, ``base_failed`` and ``kept``. Null texts fail the base limits."""
-    return with_stats(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    """Per row of ``docs``: ``row`` (its columns, as a struct), the statistics, ``base_failed`` and ``kept``.
+
+    Columns of ``docs`` may have any name: they stay apart in ``row``. Null and empty
+    texts fail the base limits; repeated rows are judged alike; an empty table gives an
+    empty one.
+    """
+    rows = docs.select(whole_rows(docs).alias("row"), F.col(text).alias("text"))
+    judged = with_stats(rows).drop("text")
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

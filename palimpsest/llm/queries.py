@@ -33,22 +33,24 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    rows = quality_classifier.featured(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    scored = quality_classifier.score(rows, quality_classifier.fit(rows, table(spark, sf_dir, "labels")))
+    return scored.select("row.doc_id", "text_score", "meta_score", "score", "kept")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_LABELS)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.spam_hosts(pages, BLOCKED_LABELS))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotation.link_quotes(table(spark, sf_dir, "conversations"))
+    return quotation.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+    return quality_rules.judge(docs, rules).select("row.doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

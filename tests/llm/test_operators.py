@@ -106,23 +106,29 @@ def test_classifier(spark):
     rows = [(i, t, "s") for i, t in enumerate(good + bad)] + [(900, None, None), (901, "", "s"), (902, "w1 " * 50_000, "s")]
     df = docs(spark, rows)
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(210) if i % 3] + [(5, None, 0)], "doc_id long, quality int, toxic int")
-    got = by(quality_classifier.score(df, quality_classifier.fit(df, labels)), "doc_id")
+    own = quality_classifier.featured(df)
+    judged = lambda x, m: quality_classifier.score(x, m).select("row.*", "text_score", "meta_score", "score", "kept")
+    got = by(judged(own, quality_classifier.fit(own, labels)), "doc_id")
     assert len(got) == len(rows)
     held = [i for i in range(210) if i % 3 == 0]
     assert sum(got[i]["kept"] == (i < 150) for i in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    none = quality_classifier.score(df, quality_classifier.fit(df, labels.where("quality = 1")))
+    none = judged(own, quality_classifier.fit(own, labels.where("quality = 1")))
     assert none.where("not kept").count() == 0
-    assert quality_classifier.score(df.limit(0), quality_classifier.fit(df, labels)).count() == 0
+    assert judged(quality_classifier.featured(df.limit(0)), quality_classifier.fit(own, labels)).count() == 0
+    assert quality_classifier.fit(quality_classifier.featured(df.limit(0)), labels) is None
 
 
 # --- 4. URLs
 
 
 def test_urls(spark):
-    urls = ["http://Blog.Example.COM/en/7x?q", "https://example.com/en/8", "http://notexample.com/en/7", "ftp://a.example.net/de/8", "x://net/de/", "http://a.org/es", "http://a.org/es/", None, "", "no scheme", "a://b://c/d", "http://h?x/en/", "http://h#f", "http://spam-farm.example.org/fr/1"]
+    urls = ["http://Blog.Example.COM/en/7x?q", "https://example.com/en/8", "http://notexample.com/en/7", "ftp://a.example.net/de/8", "x://net/de/", "http://a.org/es", "http://a.org/es/", None, "", "no scheme", "a://b://c/d", "http://h?x/en/", "http://h#f", "http://spam-farm.example.org/fr/1", "http://" + "h" * 300_000 + ".org/es/" + "p" * 300_000]
     df = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)] + [(0, urls[0], "h", "clash")], "page_id long, url string, html string, host string")
-    got = url_filter.judge_urls(df, queries.URL_RULES, queries.BLOCKED_LABELS).collect()
+    spam = url_filter.spam_hosts(df, queries.BLOCKED_LABELS)
+    assert {r.host for r in spam.collect()} == {"spam-farm.example.org"}
+    listed = spam.unionByName(spark.createDataFrame([("a.org",), ("a.org",), (None,), ("",), ("elsewhere",)], "host string"))
+    got = url_filter.judge_urls(df, queries.URL_RULES, listed).collect()
     assert len(got) == len(df.collect())
     for r in got:
         url = urls[r.page_id] or ""
@@ -131,15 +137,17 @@ def test_urls(spark):
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         fits = [x for x in queries.URL_RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
         best = max(fits, key=lambda x: len(x.text), default=None)
-        listed = any(x in queries.BLOCKED_LABELS for x in host.split("."))
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best.text, best.verdict if best else "block" if listed else "allow")
-    assert url_filter.judge_urls(df.limit(0), queries.URL_RULES, queries.BLOCKED_LABELS).count() == 0
+        blocked = host in ("spam-farm.example.org", "a.org")
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best.text, best.verdict if best else "block" if blocked else "allow")
+    assert url_filter.judge_urls(df.limit(0), queries.URL_RULES, listed).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(df, [], listed.limit(0)).collect()} == {"allow"}
 
 
 def test_urls_beyond_the_bound_of_a_level(spark):
     urls = [f"http://{'spam-farm.' if i % 3 else ''}h{i}.org/{'es/' if i % 2 else ''}" for i in range(300)] * 2 + [None, ""]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    own = [sorted(map(tuple, url_filter.judge_urls(df, queries.URL_RULES, queries.BLOCKED_LABELS, max_bytes=n).collect())) for n in (20, 16 << 20)]
+    listed = url_filter.spam_hosts(df, queries.BLOCKED_LABELS)
+    own = [sorted(map(tuple, url_filter.judge_urls(df, queries.URL_RULES, listed, max_bytes=n).collect())) for n in (20, 16 << 20)]
     assert own[0] == own[1] and {r[4] for r in own[0]} == {"allow", "block"}
 
 
@@ -174,8 +182,119 @@ def test_quotes(spark):
     assert got[1].reply_text == "Yes." and (got[1].parent_turn, got[1].thread_turn, got[1].reply_depth) == (0, 0, 1)
     assert (got[2].n_passages, got[2].n_linked, got[2].parent_turn, got[2].thread_turn, got[2].reply_depth) == (2, 2, 1, 0, 2)
     assert (got[4].n_linked, got[4].parent_turn, got[4].thread_turn) == (0, None, 4)
+    assert got[4].reply_text == ">never said\nHm"
     assert got[5].parent_turn == 3
     assert quotation.link_quotes(df.limit(0)).count() == 0
+    assert quotation.conversations(df.limit(0)).count() == 0
+
+
+_QUOTE = re.compile(r"[ \t]*(?:>[ \t]*)+")
+
+
+def quote_units(text):
+    normal = lambda x: re.sub(r"\s+", " ", x.lower()).strip(" ")
+    sentences = lambda x: [y for y in re.split(r"(?<=[.!?]) ", x) if len(y.split(" ")) >= 4]
+    return normal, sentences
+
+
+def brute_quotes(rows):
+    """turn -> (reply, parent, passages, linked) of one conversation, one message a turn, by plain loops."""
+    normal, sentences = quote_units("")
+    said, out = {}, {}
+    for turn, text in sorted(rows):
+        fence, passages, kept = False, [], []
+        for line in re.split(r"\r?\n", text):
+            if re.match(r"[ \t]*```", line):
+                fence = not fence
+                level = 0
+            else:
+                level = 0 if fence or not _QUOTE.match(line) else _QUOTE.match(line)[0].count(">")
+            if level and passages and passages[-1][0] == level and kept and kept[-1][0] == len(passages) - 1:
+                passages[-1][1].append(_QUOTE.sub("", line, count=1))
+            elif level:
+                passages.append((level, [_QUOTE.sub("", line, count=1)]))
+            kept.append((len(passages) - 1 if level else None, line))
+        links = []
+        for _, lines in passages:
+            whole = normal(" ".join(lines))
+            for units in ([whole], map(normal, lines), sentences(whole)):
+                hits = [t for u in units if u for t, known in said.items() if u in known]
+                if hits:
+                    break
+            links.append(max(hits, default=None))
+        first = [x for x, (level, _) in zip(links, passages, strict=True) if level == 1 and x is not None]
+        every = [x for x in links if x is not None]
+        reply = "\n".join(line for k, line in kept if k is None or links[k] is None).strip(" \t\r\n")
+        out[turn] = (reply, max(first or every, default=None), sum(any(normal(x) for x in lines) for _, lines in passages), len(every))
+        own = "\n".join(line for k, line in kept if k is None)
+        paragraphs = re.split(r"\r?\n[ \t]*\r?\n", own)
+        said[turn] = {normal(own), *map(normal, paragraphs), *map(normal, re.split(r"\r?\n", own)), *(y for x in paragraphs for y in sentences(normal(x)))}
+    return out
+
+
+def chat(seed, n, hot=0.3):
+    """Messages that quote earlier ones: whole, by line or sentence, nested, rewrapped, inside code, or nothing ever said."""
+    rng, rows = random.Random(seed), []
+    for turn in range(n):
+        parts = []
+        for _ in range(rng.choice([0, 1, 1, 2]) if rows else 0):
+            old = rows[0 if rng.random() < hot else rng.randrange(len(rows))][1]
+            how = rng.randrange(6)
+            if how == 0:
+                old = rng.choice(old.split("\n"))
+            elif how == 1:
+                old = rng.choice(re.split(r"(?<=[.!?])\s", old))
+            elif how == 2:
+                old = old.replace(" ", "\n", 2).upper()
+            elif how == 3:
+                old = "never said by anyone here. " + str(turn)
+            quote = "\n".join(rng.choice(["> ", ">", " > "]) + line for line in old.split("\n"))
+            parts.append(f"```\n{quote}\n```" if how == 4 else quote)
+        parts += [f"Message {turn} says number {rng.randrange(9)} today. Then it says more about {turn % 7} things!\nSecond line {turn}"] * rng.randrange(1, 3)
+        rows.append((turn * 5, "\n".join(parts)))
+    return rows
+
+
+def test_quotes_brute(spark):
+    chats = {1: chat(1, 60), 2: chat(2, 300, 0.9), 3: chat(3, 40, 0.0)}
+    df = spark.createDataFrame([(c, t, "u", x) for c, rows in chats.items() for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotation.link_quotes(df).collect()}
+    built = {}
+    for r in sorted(quotation.conversations(df).collect(), key=lambda r: (r.conv_id, r.part)):
+        assert r.piece == 0 and r.n_messages == len(r.messages)
+        built.setdefault(r.conv_id, []).extend(r.messages)
+    for c, rows in chats.items():
+        want = brute_quotes(rows)
+        children, order = {}, []
+        for turn, (reply, parent, passages, linked) in want.items():
+            r = got[c, turn]
+            assert (r.reply_text, r.parent_turn, r.n_passages, r.n_linked) == (reply, parent, passages, linked)
+            children.setdefault(parent, []).append(turn)
+
+        def walk(turn, root, depth, children=children, order=order):
+            order.append((turn, root, depth))
+            for x in children.get(turn, []):
+                walk(x, root, depth + 1)
+
+        for x in children[None]:
+            begin = len(order)
+            walk(x, x, 0)
+            for place, (turn, root, depth) in enumerate(order[begin:]):
+                r = got[c, turn]
+                assert (r.thread_turn, r.reply_depth, r.thread_place) == (root, depth, place)
+        assert [(m.place, m.turn, m.text) for m in built[c]] == [(k, t, want[t][0]) for k, (t, _, _) in enumerate(order)]
+
+
+def test_conversations_odd_rows(spark):
+    rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (1, None, "u", "late"), (None, 3, "u", "x"), (None, None, None, None), (2, 7, "u", "long " * 200_000)] + [(3, 1, "u", f"m{i}") for i in range(9000)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, messages string")
+    got = quotation.conversations(df).collect()
+    texts = {}
+    for r in got:
+        texts.setdefault(r.conv_id, []).extend(m.text for m in r.messages)
+        assert r.n_messages < 4096 * 2
+    assert texts[1] == ["a", "late"] and sorted(texts[None]) == ["", "x"] and texts[2] == [("long " * 200_000).strip()]
+    assert len(texts[3]) == 9000 and sum(r.conv_id == 3 for r in got) == 3
 
 
 def test_quotes_link_to_the_latest_across_blocks(spark):
@@ -215,7 +334,7 @@ def test_rules(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
     rules = quality_rules.fit_rules(df, labels)
     assert rules and all(str(r) for r in rules)
-    got = by(quality_rules.judge(df, rules), "doc_id")
+    got = by(quality_rules.judge(df, rules).select("row.*", "base_failed", "kept"), "doc_id")
     assert all(got[i]["kept"] == (i % 4 > 0) for i in range(200))
     assert got[900]["base_failed"] and not got[900]["kept"]
     assert quality_rules.fit_rules(df, labels.limit(0)) == []
@@ -310,6 +429,20 @@ def test_warc(spark, tmp_path):
             assert head.startswith(b"WARC/1.1\r\n") and bytes(r.payload) == raw
             length = int(re.search(rb"Content-Length: (\d+)", head)[1])
             assert body[:length].partition(b"\r\n\r\n")[2] == (raw if r.record_type == "response" else b"") and body[length:] == b"\r\n\r\n"
+    odd = [(1, "http://x/\r\nWARC-Payload-Digest: sha1:NO\x7f", "a"), (1, "http://y", "b"), (None, "http://z", "a"), (2, "http://w", "a"), (2, "http://w", "a")]
+    path = f"file://{tmp_path}/odd"
+    warc_store.write_archive(spark.createDataFrame(odd, "page_id long, url string, html string"), path)
+    assert Counter((r.record_id, r.record_type, r.refers_to) for r in warc_store.read_digests(spark, path).collect()) == Counter([(1, "revisit", 2), (1, "response", None), (None, "revisit", 2), (2, "response", None), (2, "response", None)])
+    heads = spark.read.parquet(f"{path}/headers").collect()
+    assert {r.target for r in heads} == {x[1] for x in odd}
+    field = lambda r, name: re.search(rf"\r\n{name}: ([^\r\n]*)", r.head)[1]
+    assert len({field(r, "WARC-Record-ID") for r in heads}) == 4
+    target = next(field(r, "WARC-Record-ID") for r in heads if r.record_id == 2)
+    assert {field(r, "WARC-Refers-To") for r in heads if "revisit\r" in r.head} == {target}
+    assert field(next(r for r in heads if r.target == odd[0][1]), "WARC-Target-URI") == "http://x/%0D%0AWARC-Payload-Digest: sha1:NO%7F"
+    named = spark.createDataFrame([("a b&\n%", "u", "p"), ("é", "v", "p"), ("0", "w", "q")], "page_id string, url string, html string")
+    warc_store.write_archive(named, f"file://{tmp_path}/named")
+    assert {(r.record_id, r.refers_to) for r in warc_store.read_digests(spark, f"file://{tmp_path}/named").collect()} == {("a b&\n%", "é"), ("é", None), ("0", None)}
     warc_store.write_archive(df.limit(0), f"file://{tmp_path}/none")
     assert warc_store.read_digests(spark, f"file://{tmp_path}/none").count() == 0
 
