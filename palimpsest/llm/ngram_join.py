@@ -2,15 +2,17 @@
 
 1. Every text becomes the set of its five-word n-grams (64-bit hashes), a digest of
    that set, and one hash for each of ``b`` bands of ``r`` MinHash rows. ``b`` and
-   ``r`` are the cheapest pair that finds a pair of the threshold similarity with the
-   target recall.
+   ``r`` are the most selective scheme, within a number of hashes, that finds a pair of
+   the threshold similarity with the target recall.
 2. Documents with the same set are one representative with a count.
 3. Representatives that meet in a band are tied to the smallest one there (rows
    linear in the members of a band's bucket) and the ties' components are the
    candidate groups: every candidate pair lies within one.
-4. Groups are dealt in blocks; each pair of blocks of a group is verified by exact
-   set intersections in one task of bounded size, which returns counts of links and
-   a spanning set of edges, never the pairs.
+4. A group's members are dealt in blocks, or, where that sends fewer rows, those of
+   each of its buckets: a group that hangs together by chains costs what its buckets
+   cost, not its square. Each pair of blocks is verified by exact set intersections in
+   one task of bounded size, a pair of documents once, in the first band they share.
+   It returns counts of links and a spanning set of edges, never the pairs.
 5. The components of the edges are the classes.
 """
 
@@ -182,49 +184,63 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
                 sizes.append(len(g))
                 sets.append(_digest(g))
                 signs.append(sign(g).tobytes() if len(g) else None)
-            yield pd.DataFrame({"id": pd.Series(keys, dtype=part["own_key"].dtype), "grams": sets, "n_ngrams": sizes, "bands": signs})
+            yield pd.DataFrame({"id": pd.Series(keys, dtype=part["own_key"].dtype), "own_hash": part["own_hash"], "grams": sets, "n_ngrams": sizes, "bands": signs})
         del shingler
         give_back()
 
-    own = docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text")).where("own_key is not null")
-    signed = materialize(own.mapInPandas(describe, f"id {kind}, grams binary, n_ngrams long, bands binary"), "signatures")
+    own = docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text"), F.xxhash64(F.col(text)).alias("own_hash")).where("own_key is not null")
+    signed = materialize(own.mapInPandas(describe, f"id {kind}, own_hash long, grams binary, n_ngrams long, bands binary"), "signatures")
     # One representative for each set: partial aggregation meets the copies before the shuffle.
-    ids = signed.where("grams is not null").groupBy("grams", "id").agg(F.first("bands").alias("bands"))
-    reps = materialize(ids.groupBy("grams").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "representatives")
+    ids = signed.where("grams is not null").groupBy("grams", "id").agg(F.min("own_hash").alias("own_hash"), F.first("bands").alias("bands"))
+    reps = ids.groupBy("grams").agg(F.min(F.struct("id", "own_hash")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("grams", F.col("rep.id").alias("rep"), F.col("rep.own_hash").alias("rep_hash"), "copies", "bands"), "representatives")
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))
     # The 16 bytes of the set identify a representative also where keys repeat.
     members = reps.select("grams", F.posexplode(hashes).alias("band", "hash"))
-    hubs = members.groupBy("band", "hash").agg(F.min("grams").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = materialize(members.groupBy("band", "hash").agg(F.min("grams").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
     ties = members.join(hubs, ["band", "hash"]).select(F.col("grams").alias("u"), "v").where("u <> v").distinct()
     groups = materialize(components(ties, "candidates"), "candidate-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "root").join(reps.select(F.col("grams").alias("node"), "rep", "copies"), "node")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # The texts of the candidates only; each is sent to the block pairs of its group.
-    texts = own.join(dealt.withColumnRenamed("rep", "own_key"), "own_key")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("low"), F.greatest(i, F.col("own")).alias("high")))
-
-    def shingle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    # What a group costs in rows sent: by blocks of the whole, and by blocks of its buckets.
+    by_bucket = hubs.join(groups.withColumnRenamed("node", "v"), "v").groupBy("root").agg(F.sum(F.col("n") * blocks("n")).alias("by_bucket"))
+    plan = groups.groupBy("root").agg(F.count("*").alias("size")).join(by_bucket, "root")
+    plan = plan.select("root", blocks("size").alias("blocks"), (F.col("by_bucket") < F.col("size") * blocks("size")).alias("split"))
+    dealt = groups.join(plan, "root").join(reps.withColumnRenamed("grams", "node"), "node")
+    mine = lambda own, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("low"), F.greatest(i, own).alias("high")))
+    unit = lambda band, hash_, own, k: F.transform(mine(own, k), lambda x: F.struct(band.alias("band"), hash_.alias("hash"), x["low"].alias("low"), x["high"].alias("high"), k.alias("of")))
+    place = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    whole = dealt.where("not split").select("node", "root", "rep", "rep_hash", "copies", F.lit(None).cast("binary").alias("bands"), unit(F.lit(-1), F.lit(b""), place(F.col("blocks")), F.col("blocks")).alias("units"))
+    parts = dealt.where("split").select("node", F.posexplode(hashes).alias("band", "hash")).join(hubs.select("band", "hash", "n"), ["band", "hash"])
+    parts = parts.groupBy("node").agg(F.flatten(F.collect_list(unit(F.col("band"), F.col("hash"), place(blocks("n")), blocks("n")))).alias("units"))
+    parts = dealt.where("split").join(parts, "node").select("node", "root", "rep", "rep_hash", "copies", "bands", "units")
+    work = materialize(whole.unionByName(parts), "work")
+    # The texts of the candidates only, one for each set; each set is sent where its member is verified.
+    texts = own.join(work, (F.col("own_key") == F.col("rep")) & F.col("own_hash").eqNullSafe(F.col("rep_hash"))).dropDuplicates(["own_key", "own_hash", "node"])
+
+    def shingle(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shingler = _Shingler(n)
-        for part in parts:
-            sets = [shingler.set_of(t) for t in part["own_text"]]
-            good = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() == bytes(u) for g, u in zip(sets, part["node"], strict=True)]
-            out = part[["root", "node", "copies", "own", "blocks"]].assign(grams=[g.tobytes() for g in sets])
-            yield out[np.array(good, dtype=bool)]
+        for own_text, node in parts:
+            sets = [shingler.set_of(t) for t in own_text]
+            yield pd.Series([g.tobytes() if _digest(g) == bytes(u) else None for g, u in zip(sets, node, strict=True)], dtype=object)
         del shingler
         give_back()
 
-    sets = texts.mapInPandas(shingle, "root binary, node binary, copies long, own int, blocks int, grams binary")
+    own_set = F.pandas_udf(shingle, "binary").asNondeterministic()
+    sets = texts.select("root", "node", "copies", "bands", "units", own_set("own_text", "node").alias("grams")).where("grams is not null")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node").sort_values("node")
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        low, high, band = int(group["low"].iloc[0]), int(group["high"].iloc[0]), int(group["band"].iloc[0])
         nodes, copies, where = group["node"].tolist(), group["copies"].to_numpy(), group["own"].to_numpy()
         grams = [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]]
         left, right = np.flatnonzero(where == low), np.flatnonzero(where == high)
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "other": [], "links": []})
         linked = _links(grams, left, right, threshold)
+        if band >= 0:  # pairs that share an earlier band are verified there
+            signs = np.array([np.frombuffer(x, dtype=np.int64) for x in group["bands"]])
+            for b in range(band):
+                linked &= signs[left, b][:, None] != signs[right, b][None, :]
         if low == high:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(nodes), dtype=np.int64)
@@ -246,13 +262,18 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
         hit = np.flatnonzero(links > 0)
         return pd.DataFrame({"node": [nodes[i] for i in hit], "other": [nodes[find(int(i))] for i in hit], "links": links[hit]})
 
-    work = sets.select("root", "node", "copies", "own", "grams", F.explode(pairs).alias("pair")).select("root", "node", "copies", "own", "grams", "pair.low", "pair.high")
-    found = materialize(work.groupBy("root", "low", "high").applyInPandas(verify, "node binary, other binary, links long"), "links")
+    sent = sets.select("root", "node", "copies", "bands", "grams", F.explode("units").alias("unit")).select("root", "node", "copies", "bands", "grams", "unit.*")
+    sent = sent.withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).drop("of")
+    found = materialize(sent.groupBy("root", "band", "hash", "low", "high").applyInPandas(verify, "node binary, other binary, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), "classes")
     linked = reps.select(F.col("grams").alias("node"), "rep").join(classes, "node")
     names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = classes.join(names, "root").join(links, "node").select(F.col("node").alias("grams"), "class_id", "root", "links")
-    reps = reps.join(named, "grams", "left").select("grams", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "grams").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("id", "grams", "n_ngrams").join(reps, "grams", "left")
+    reps = materialize(reps.join(named, "grams", "left").select("grams", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "grams").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    # Sets of at least a thousandth of all documents, a thousand at most, are broadcast; the others are joined.
+    often = F.col("copies") * 1000 >= (reps.agg(F.sum("copies")).first()[0] or 0)
+    out = signed.select("id", "grams", "n_ngrams").join(F.broadcast(reps.where(often).drop("copies")), "grams", "left")
+    rest = out.where("root is null").select("id", "grams", "n_ngrams").join(reps.where(~often).drop("copies"), "grams", "left")
+    out = out.where("root is not null").unionByName(rest)
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_ngrams", "grams", "root")

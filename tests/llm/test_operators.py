@@ -499,6 +499,38 @@ def test_ngram_join(spark, block):
     assert len(twice) == 2 * len(rows) and {r.doc_id: (r.class_id, r.n_links) for r in twice} == got
 
 
+def test_ngram_join_of_chains_and_repeated_keys(spark):
+    words = [f"c{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[i * 5 : i * 5 + 70])) for i in range(300)]  # each near its neighbours only
+    rows += [(300 + i, " ".join([f"t{i % 40}", *words[:60]])) for i in range(60)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_classes(docs(spark, [(i, t, "s") for i, t in rows]), block=4).collect()}
+    assert got == jaccard_classes(rows)
+    a, b, c = (prose(i, 60, 5000) for i in range(3))
+    twice = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a), (4, c), (None, a)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_classes(docs(spark, [(i, t, "s") for i, t in twice])).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
+
+
+def test_ngram_join_recall_on_supplied_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_classes(rows).collect()}
+    sets, holds = {}, {}
+    for r in rows.collect():
+        w = WORD.findall(r.text or "")
+        sets[r.doc_id] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[r.doc_id]:
+            holds.setdefault(g, []).append(r.doc_id)
+    links = {i: set() for i in sets}
+    for i, own in sets.items():
+        shared = Counter(j for g in own for j in holds[g] if j > i)
+        for j, k in shared.items():
+            if k >= 0.8 * (len(own) + len(sets[j]) - k) - 1e-9:
+                links[i].add(j), links[j].add(i)
+    ends = sum(map(len, links.values()))
+    assert ends > 100 and sum(n for _, n in got.values()) >= 0.999 * ends
+    assert all(got[i][1] <= len(x) for i, x in links.items())
+
+
 def test_bands():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t)
