@@ -10,48 +10,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec
-from palimpsest.llm.common import materialize, table
+from palimpsest.llm.common import materialize, table, whole_rows
 from palimpsest.llm.queries import MODEL
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base limits or the learned decision list go."""
+    """Documents that fail the base limits or the learned decision list go.
+
+    Null and empty texts fail the base limits, so they go. Repeated rows are judged
+    alike, texts of any length whole. Without labels only the base limits decide.
+    """
     rules = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, rules).where("kept").select("row.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores as poor go."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, carry=docs.columns).where("kept").select(*docs.columns)
+    """Documents that the co-trained classifier scores as poor go.
+
+    Null and empty texts and null metadata are scored like any other; repeated rows get
+    the same score. Without labels of both classes all stay.
+    """
+    rows = quality_classifier.featured(docs)
+    model = quality_classifier.fit(rows, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(rows, model).where("kept").select("row.*")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Each row as ``row``, with a number of its own. Written, so that the numbers hold for all reads."""
+    return materialize(docs.select(whole_rows(docs).alias("row"), F.monotonically_increasing_id().alias("nth")), "numbered")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, of the document with the smallest id.
+    """Of each group of near duplicates one row stays, that with the smallest id (null last).
 
-    Rows of one id with different texts are judged each by its own text.
+    Rows are judged by their own texts, also where ids repeat or are null. Texts without
+    a word (null, empty, blank) are near to nothing and all stay. Of equal rows the one
+    read first stays.
     """
-    classes = materialize(ngram_join.row_classes(docs, "doc_id", "text").select("doc_id", "class_id", "grams", "root"), "near-duplicates")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    again = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    kept = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias("own_id"), F.col("grams").alias("own_grams"), "root").distinct()
-    rows = ngram_join.with_digest(docs.join(again, "doc_id", "left_semi"))
-    rows = rows.join(heads, (F.col("doc_id") == F.col("own_id")) & F.col("grams").eqNullSafe(F.col("own_grams")))
-    return kept.unionByName(rows.groupBy("own_id", "root").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    rows = _numbered(docs)
+    classes = ngram_join.ngram_classes(rows.select("nth", "row.text"), key="nth").select("nth", "class_id")
+    named = materialize(classes.join(rows.select("nth", "row.doc_id"), "nth"), "near-duplicates")
+    heads = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))["nth"].alias("nth"))
+    return rows.select("row", "nth").join(heads.select("nth"), "nth", "left_semi").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("own_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("own_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Copies belong to rows, not to ids: repeated and null ids are mixed row by row. A
+    null source is one of its own; a text without words is taken once if its source
+    is taken from at all.
+    """
+    rows = _numbered(docs)
+    copies = mixing.mix(rows.select("nth", "row.doc_id", "row.text", "row.source"), carry=["nth"]).where("copies > 0").select(F.col("row.nth").alias("own"), "copies")
+    taken = rows.select("row", "nth").join(copies, F.col("nth") == F.col("own"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document kept, and a digest of what they decode to."""
+    """Token ids of every document kept, and a digest of what they decode to.
+
+    Null and empty texts are the end id alone; repeated rows are encoded alike.
+    """
     return sentencepiece_codec.tokenized(docs, MODEL)
 
 
