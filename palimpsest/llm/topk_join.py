@@ -1,20 +1,23 @@
 """Exact top-k search by a Voronoi kNN join on inner products.
 
-Adding one component, the square root of ``M^2 - |v|^2`` with ``M`` the largest norm,
-gives all vectors the norm ``M``; a query gets a zero there. Then the largest inner
-products are the smallest distances, and the metric bounds of a Voronoi join hold:
-
-1. Pivots are taken from the data by hash, a fixed number of them; every query and
-   every vector goes to the cell of its nearest pivot.
-2. Summaries: for each cell its size, radius and the ``k`` smallest distances to its
-   pivot. They bound, for each cell of queries, the distance of the k-th neighbour.
-3. A vector is sent to a cell of queries only if the triangle inequality lets it be
-   within that bound. Cells are dealt in blocks, so a crowded one is many tasks.
-4. Blocks are solved locally with exact integers; the best k of all blocks remain.
+1. Pivots are taken from the data by hash, their number grows with the root of its
+   size up to a bound; every vector goes to the cell of its nearest pivot, every query
+   to the cell of the pivot with which it has the largest product.
+2. Summaries: for each cell its number of vectors, radius and largest norm, a few rows
+   for each pivot. For a pivot ``p`` and a vector ``v`` of its cell, no product ``q v``
+   exceeds ``q p + |q| |v - p|`` or ``|q| |v|``.
+3. A first pass searches each query in its own cell, which gives a score that its k-th
+   best can't be below. A query is then sent only to cells whose bound reaches that
+   score, and of a cell only vectors far enough from its pivot are sent.
+4. Small cells share a block and crowded ones are several, so a task has a bounded
+   number of vectors and queries. A vector is sent once in each pass, and again only
+   for each further slice of queries. Blocks are solved locally with exact integers;
+   the best k of all remain.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_PIVOTS, _QUERY_BLOCK, _DATA_BLOCK, _LIMIT = 24, 256, 1024, 1 << 53
+_PIVOTS, _QUERY_BLOCK, _DATA_BLOCK, _CHUNK, _LIMIT = 1024, 8192, 4096, 512, 1 << 53
 
 
 def quantized(df: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -43,17 +46,18 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floating point where no sum can leave its exact range."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * max(q.shape[1], 1)
+    """Exact integer inner products: by floating point where no sum can leave its exact range,
+    by integers of any size (then the nearest 64-bit one) where a sum could leave 64 bits."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(d.astype(np.float64)).max(initial=0)) * max(q.shape[1], 1)
     if most < _LIMIT:
         return (q.astype(np.float64) @ d.astype(np.float64).T).astype(np.int64)
-    return q @ d.T
+    if most < 2.0**62:
+        return q @ d.T
+    return np.clip(q.astype(object) @ d.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def _lifted(v: np.ndarray, top: float, query: bool) -> np.ndarray:
-    x = v.astype(np.float64)
-    extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
-    return np.hstack([x, extra[:, None]])
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -70,87 +74,129 @@ def topk(queries: DataFrame, data: DataFrame, k: int = 5, key: str = "vec_id", v
     Pairs are of rows: each row of a repeated key is a candidate, and the rows of a
     repeated query key share one ranking.
     A query with fewer than k candidates gets all of them. An empty side gives an empty
-    result. Scores are exact as long as they fit a 64-bit integer.
+    result. Scores are exact; one beyond 64 bits is given as the nearest 64-bit integer,
+    as is a component. Other columns may have any name.
     """
     key_kind = data.schema[key].dataType.simpleString()
     # Equal rows are held once, with their number.
     d = materialize(quantized(data, key, vector, scale).groupBy("id", "v").agg(F.count("*").alias("copies")), "vectors")
     q = materialize(quantized(queries, key, vector, scale).groupBy("id", "v").agg(F.count("*").alias("copies")), "queries")
     asked = {r["width"] for r in q.select(F.size("v").alias("width")).distinct().collect()}
-    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    tops = {r["width"]: r["top"] for r in d.groupBy(F.size("v").alias("width")).agg(F.max(norm).alias("top")).collect()}
-    pairs = [_pairs(d.where(F.size("v") == w), q.where(F.size("v") == w), w, tops[w], k, key, key_kind, pivots) for w in sorted(asked & tops.keys())]
+    counts = {r["width"]: r["n"] for r in d.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
+    pairs = [_pairs(d.where(F.size("v") == w), q.where(F.size("v") == w), w, counts[w], k, key, key_kind, pivots) for w in sorted(asked & counts.keys())]
     if not pairs:
         return data.sparkSession.createDataFrame([], f"query_id {key_kind}, rank int, {key} {key_kind}, score long")
+    return _best(reduce(DataFrame.unionByName, pairs), k, key).select("query_id", "rank", key, "score")
+
+
+def _best(pairs: DataFrame, k: int, key: str) -> DataFrame:
+    """``pairs`` with ``rank``: the k best of each query_id."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return reduce(DataFrame.unionByName, pairs).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _units(sizes: dict[int, int]) -> dict[int, int]:
+    """cell -> unit: cells in order share a unit while it holds at most a block of vectors."""
+    out, unit, held = {}, 0, 0
+    for cell in sorted(sizes):
+        if held and held + sizes[cell] > _DATA_BLOCK:
+            unit, held = unit + 1, 0
+        out[cell] = unit
+        held += sizes[cell]
+    return out
 
 
-def _pairs(d: DataFrame, q: DataFrame, width: int, top: float, k: int, key: str, key_kind: str, pivots: int) -> DataFrame:
+def _pairs(d: DataFrame, q: DataFrame, width: int, n: int, k: int, key: str, key_kind: str, pivots: int) -> DataFrame:
     """query_id, key, score: among vectors of one length, what holds the k best pairs of each query row."""
-    chosen = d.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(pivots).collect()  # a fixed number
-    chosen = np.array(sorted({tuple(r["v"]) for r in chosen}), dtype=np.int64)  # in one order
-    points = _lifted(chosen, top, query=False)
-
-    def celled(query: bool):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                far = _distances(_lifted(_matrix(part["v"], width), top, query), points)
-                cell = far.argmin(axis=1)
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "copies": part["copies"], "cell": cell.astype(np.int32), "far": far[np.arange(len(cell)), cell]})
-
-        return run
-
-    kind = f"id {key_kind}, v array<long>, copies long, cell int, far double"
-    d_cells = materialize(d.mapInPandas(celled(False), kind), "vector-cells")
-    q_cells = materialize(q.mapInPandas(celled(True), kind), "query-cells")
-    # Summaries: a few rows for each pivot.
-    near = d_cells.groupBy("cell", "id").agg(F.min("far").alias("far"))
-    near = near.withColumn("nth", F.row_number().over(W.partitionBy("cell", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("far", "id"))).where(F.col("nth") <= k + 1)
-    near = near.withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy("far", "id"))).where(F.col("nth") <= k + 1)
-    nearest = near.select("cell", "id", "far").collect()
-    d_sum = {r["cell"]: r for r in d_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    q_sum = {r["cell"]: r for r in q_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    apart = _distances(points, points)
-    slack = 1e-6 * (1 + float(np.sqrt(top)))  # rounding in the bounds only lets more through
-    reach = {}
-    for i, own in q_sum.items():
-        # k neighbours besides the query itself are no farther than the (k+1)-th of these, of as many keys.
-        closest: dict = {}
-        for r in nearest:
-            bound = own["far"] + apart[i, r["cell"]] + r["far"]
-            closest[r["id"]] = min(bound, closest.get(r["id"], bound))
-        bounds = sorted(closest.values())
-        reach[i] = bounds[k] if len(bounds) > k else float("inf")
-    # Vectors of cell j go to query cell i if their distance to pivot j reaches the ring's inner edge.
-    floors = [(int(i), int(j), float(apart[i, j] - q_sum[i]["far"] - reach[i] - slack), float(reach[i] + q_sum[i]["far"] + apart[i, j] + slack)) for i in q_sum for j in d_sum]
     spark = d.sparkSession
-    rings = spark.createDataFrame([(i, j, a, b, -(-q_sum[i]["n"] // _QUERY_BLOCK), max(1, -(-d_sum[j]["n"] // _DATA_BLOCK))) for i, j, a, b in floors], "q int, cell int, low double, high double, q_blocks int, d_blocks int")
-    # At most pivots^2 rows, whatever the data.
-    sent = d_cells.join(F.broadcast(rings), "cell").where("far >= low and far <= high")
-    sent = sent.select("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "cell", F.pmod(F.xxhash64("id", "v"), F.col("d_blocks")).cast("int").alias("db"), "id", "v", "copies")
-    grid = rings.select(F.col("q"), F.col("cell").alias("c"), F.col("q_blocks").alias("n"), F.col("d_blocks").alias("m"))
-    asked = q_cells.withColumnRenamed("cell", "q").join(F.broadcast(grid), "q")
-    asked = asked.select("q", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int").alias("qb"), F.col("c").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("db"), "id", "v", "copies")
+    some = min(pivots, max(8, math.isqrt(n) // 2))
+    chosen = d.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(some).collect()  # at most `pivots` rows
+    distinct = sorted({tuple(r["v"]) for r in chosen})  # in one order
+    points = np.array(distinct, dtype=np.int64).astype(np.float64).reshape(len(distinct), width)
+
+    def celled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = _matrix(part["v"], width).astype(np.float64)
+            far = _distances(x, points)
+            cell = far.argmin(axis=1)
+            yield part.assign(cell=cell.astype(np.int32), far=far[np.arange(len(cell)), cell], norm=_norms(x))
+
+    kind = f"id {key_kind}, v array<long>, copies long"
+    cells = materialize(d.mapInPandas(celled, f"{kind}, cell int, far double, norm double"), "vector-cells")
+    # Summaries: a row for each pivot.
+    sums = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
+    held = sorted(sums)
+    unit_of = _units({c: sums[c]["n"] for c in held})
+    sizes: dict[int, int] = {}
+    for c, u in unit_of.items():
+        sizes[u] = sizes.get(u, 0) + sums[c]["n"]
+    centres, radius, norm = points[held], np.array([sums[c]["far"] for c in held]), np.array([sums[c]["norm"] for c in held])
+
+    def homes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            near = (_matrix(part["v"], width).astype(np.float64) @ centres.T).argmax(axis=1)
+            yield part.assign(units=[[unit_of[held[i]]] for i in near], cells=[[] for _ in near], needs=[[] for _ in near])
+
+    def reached(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x = _matrix(part["v"], width).astype(np.float64)
+            own, at = _norms(x)[:, None], x @ centres.T
+            slack = 1e-7 * (1 + own * (norm + radius)[None, :])  # rounding in the bounds only lets more through
+            kth = part["kth"].astype(float).fillna(-np.inf).to_numpy()[:, None]
+            ok = np.minimum(at + own * radius[None, :], own * norm[None, :]) + slack >= kth
+            need = (kth - at - slack) / np.where(own > 0, own, np.inf) - 1e-7 * (1 + radius + norm)[None, :]
+            need = np.where(own > 0, need, -np.inf)
+            out: dict[str, list] = {"units": [], "cells": [], "needs": []}
+            for row, far, home in zip(ok, need, part["units"], strict=True):
+                mine = [j for j in np.flatnonzero(row) if unit_of[held[j]] != home[0]]
+                out["units"].append(sorted({unit_of[held[j]] for j in mine}))
+                out["cells"].append([held[j] for j in mine])
+                out["needs"].append([float(far[j]) for j in mine])
+            yield part[["id", "v", "copies"]].assign(**out)
+
+    def searched(asked: DataFrame, wanted: DataFrame | None) -> DataFrame:
+        """The k best pairs in each block that ``asked`` (id, v, copies, units) is sent to; ``wanted``: cell, need."""
+        each = asked.select("id", "v", "copies", F.explode("units").alias("unit"))
+        asks = {r["unit"]: r["n"] for r in each.groupBy("unit").agg(F.count("*").alias("n")).collect()}  # a row for each unit
+        if not asks:
+            return spark.createDataFrame([], f"query_id {key_kind}, {key} {key_kind}, score long")
+        grid = [(u, -(-m // _QUERY_BLOCK), -(-sizes[u] // _DATA_BLOCK)) for u, m in asks.items()]
+        grid = spark.createDataFrame(grid, "unit int, slices int, blocks int")  # at most as many rows as pivots
+        of_cell = spark.createDataFrame([(c, u) for c, u in unit_of.items()], "cell int, unit int")
+        sent = cells.join(F.broadcast(of_cell), "cell").join(F.broadcast(grid), "unit")
+        if wanted is not None:
+            sent = sent.join(F.broadcast(wanted), "cell").where("far >= need")
+        nth = lambda m: F.pmod(F.xxhash64("id", "v"), m).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+        sent = sent.select("unit", nth(F.col("blocks")).alias("block"), every(F.col("slices")).alias("slice"), "id", "v", "copies")
+        each = each.join(F.broadcast(grid), "unit").select("unit", every(F.col("blocks")).alias("block"), nth(F.col("slices")).alias("slice"), "id", "v", "copies")
+        on = ["unit", "block", "slice"]
+        return each.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(solve, f"query_id {key_kind}, {key} {key_kind}, score long")
 
     def solve(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], key: [], "score": []}
         if len(mine) and len(theirs):
             theirs = theirs.sort_values("id")
-            ids, copies = theirs["id"].to_numpy(), theirs["copies"].to_numpy()
-            scores = _products(_matrix(mine["v"], width), _matrix(theirs["v"], width))
-            for own, times, row in zip(mine["id"], mine["copies"], scores, strict=True):
-                ok = np.flatnonzero(ids != own)
-                s = row[ok]
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    ok, s = ok[s >= least], s[s >= least]
-                best = np.lexsort((ids[ok], -s))[:k]
-                best = np.repeat(best, np.minimum(copies[ok][best] * times, k))[:k]
-                out["query_id"] += [own] * len(best)
-                out[key] += ids[ok][best].tolist()
-                out["score"] += s[best].tolist()
+            ids, copies, data = theirs["id"].to_numpy(), theirs["copies"].to_numpy(), _matrix(theirs["v"], width)
+            for at in range(0, len(mine), _CHUNK):
+                some = mine.iloc[at : at + _CHUNK]
+                for own, times, row in zip(some["id"], some["copies"], _products(_matrix(some["v"], width), data), strict=True):
+                    ok = np.flatnonzero(ids != own)
+                    s = row[ok]
+                    if len(s) > k:
+                        least = np.partition(s, len(s) - k)[len(s) - k]
+                        ok, s = ok[s >= least], s[s >= least]
+                    best = np.lexsort((ids[ok], -s))[:k]
+                    best = np.repeat(best, np.minimum(copies[ok][best] * times, k))[:k]
+                    out["query_id"] += [own] * len(best)
+                    out[key] += ids[ok][best].tolist()
+                    out["score"] += s[best].tolist()
         return pd.DataFrame(out)
 
-    on = ["q", "qb", "cell", "db"]
-    return asked.groupBy(*on).cogroup(sent.groupBy(*on)).applyInPandas(solve, f"query_id {key_kind}, {key} {key_kind}, score long")
+    at_home = materialize(q.mapInPandas(homes, f"{kind}, units array<int>, cells array<int>, needs array<double>"), "query-homes")
+    first = materialize(_best(searched(at_home, None), k, key).drop("rank"), "first-pass")
+    kth = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    asked = at_home.drop("cells", "needs").join(kth, "id", "left")
+    asked = materialize(asked.mapInPandas(reached, f"{kind}, units array<int>, cells array<int>, needs array<double>"), "query-cells")
+    wanted = asked.select(F.explode(F.arrays_zip("cells", "needs")).alias("w")).groupBy(F.col("w.cells").alias("cell")).agg(F.min("w.needs").alias("need"))
+    return first.unionByName(searched(asked, wanted))

@@ -96,6 +96,26 @@ def test_topk_searches_each_length_and_each_row(spark):
     assert sorted(map(tuple, topk_join.topk(df.where("vec_id % 10 = 0"), df, pivots=5).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e17])
+def test_topk_in_clusters_and_small_blocks(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk_join, "_DATA_BLOCK", 16)
+    monkeypatch.setattr(topk_join, "_QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * 10
+    vectors = (centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6)) * 0.3).round(2) * scale
+    df = spark.createDataFrame([(i, [float(c) for c in v], "clash") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, units string")
+    good = [[math.floor(256 * c) for c in v] for v in vectors]
+    want = []
+    for q in range(0, 600, 10):
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in enumerate(good) if i != q)[:5]
+        want += [(q, k + 1, i, min(-s, (1 << 63) - 1)) for k, (s, i) in enumerate(scores)]
+    got = topk_join.topk(df.where("vec_id % 10 = 0"), df).collect()
+    if scale == 1.0:
+        assert sorted(map(tuple, got)) == sorted(want)
+    else:  # beyond 64 bits: equal scores go to the smaller key
+        assert len(got) == len(want) and all(r.score == (1 << 63) - 1 for r in got)
+
+
 # --- 3. Classifier
 
 
