@@ -106,5 +106,25 @@ fit AS (SELECT page_id, host, path, rhost || rpath AS rule, verdict, row_number(
 SELECT u.page_id, u.host, u.path, fit.rule,
        coalesce(fit.verdict, CASE WHEN list_has_any(string_split(u.host, '.'), [{_LABELS}]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN fit ON u.page_id = fit.page_id AND fit.k = 1
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(d, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) % 32 + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to
+FROM p
+""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT w.doc_id, least(w.doc_id, c.y) AS class_id, coalesce(k.k, 0) AS n_links, coalesce(n.n, 0) AS n_ngrams
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.x LEFT JOIN k ON w.doc_id = k.x
 """,
 }

@@ -359,9 +359,73 @@ def test_rules(spark):
     assert got[900]["base_failed"] and not got[900]["kept"]
     assert quality_rules.fit_rules(df, labels.limit(0)) == []
     assert quality_rules.judge(df.limit(0), rules).count() == 0
+    twice = df.union(df).union(df.where("doc_id = 0"))
+    assert quality_rules.fit_rules(twice, labels) == rules
     assert quality_rules.judge(df, rules).where("kept").count() == sum(r["kept"] for r in got.values())
 
 
+def literal_covering(rows, bad, prune, max_rules=8, most=4, precision=0.95, least=5):
+    """Sequential covering by plain loops: every condition at every middle between neighbouring values."""
+    names = list(rows[0])
+    cuts = {}
+    for n in names:
+        own = sorted({r[n] for r in rows})
+        cuts[n] = [(a + b) / 2 for a, b in zip(own, own[1:])]
+        assert len(cuts[n]) <= 256
+    holds = lambda c, r: r[c[0]] > c[2] if c[1] else r[c[0]] <= c[2]
+    left, out = list(range(len(rows))), []
+    while len(out) < max_rules and any(bad[i] for i in left):
+        grow, held = [i for i in left if not prune[i]], [i for i in left if prune[i]]
+        rule, inside = [], grow
+        while len(rule) < most:
+            p = sum(bad[i] for i in inside)
+            if not p or p == len(inside):
+                break
+            best = (1e-9, None)
+            for n in names:
+                for above in (False, True):
+                    own = (0.0, None)
+                    for cut in cuts[n]:
+                        hit = [i for i in inside if holds((n, above, cut), rows[i])]
+                        k = sum(bad[i] for i in hit)
+                        gain = k * (math.log2(k / len(hit)) - math.log2(p / len(inside))) if k else -1
+                        if own[1] is None or gain > own[0]:
+                            own = (gain, (n, above, cut))
+                    if own[1] and own[0] > best[0]:
+                        best = own
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            inside = [i for i in inside if holds(best[1], rows[i])]
+        if not rule:
+            break
+
+        def worth(k, rule=rule, held=held):
+            hit = [i for i in held if all(holds(c, rows[i]) for c in rule[:k])]
+            return (2 * sum(bad[i] for i in hit) - len(hit)) / len(hit) if hit else -1.0
+
+        rule = rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
+        hit = [i for i in left if all(holds(c, rows[i]) for c in rule)]
+        k = sum(bad[i] for i in hit)
+        if k < least or k / len(hit) < precision:
+            break
+        out.append(rule)
+        left = [i for i in left if i not in set(hit)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rules_equal_literal_covering(seed):
+    """Two kinds of bad rows, each told by two conditions: the learned list has several rules with several conditions."""
+    rng = random.Random(seed)
+    rows = [{n: rng.randrange(20) / 2 for n in ("a", "b", "c")} for _ in range(400)]
+    bad = [(r["a"] > 6 and r["b"] <= 4) or (r["c"] <= 2 and r["b"] > 6) for r in rows]
+    prune = [rng.random() < 1 / 3 for _ in rows]
+    got = quality_rules.learn_list({n: np.array([r[n] for r in rows]) for n in ("a", "b", "c")}, np.array(bad), np.array(prune))
+    assert [[(c.feature, c.above, c.threshold) for c in r.conditions] for r in got] == literal_covering(rows, bad, prune)
+    assert len(got) >= 2 and max(len(r.conditions) for r in got) >= 2
+
+
 # --- 7. PPM
 
 
@@ -416,6 +480,46 @@ def test_ppm_scores_are_of_the_whole_model(spark, nodes):
         assert got[i]["score"] == pytest.approx(float(scorer.log10(ppm._grams(symbols, 4)).sum()), abs=1e-8), t
 
 
+def literal_ppm(train, text, order=4):
+    """log10 of a text's probability by prediction by partial matching, method C with exclusion, from plain tables."""
+    end, pad = 256, 257
+    after = {}
+    for t in train:
+        line = [pad] * order + list(t.encode()) + [end]
+        for i in range(order, len(line)):
+            for k in range(order + 1):
+                after.setdefault(tuple(line[i - k : i]), Counter())[line[i]] += 1
+    out, line = 0.0, [pad] * order + list(text.encode()) + [end]
+    for i in range(order, len(line)):
+        refused = set()
+        for k in range(order, -1, -1):
+            own = after.get(tuple(line[i - k : i]))
+            if own is None:
+                continue
+            left = {s: n for s, n in own.items() if s not in refused}
+            new = 0 if len(own) == 257 else len(left)
+            if line[i] in own:
+                out += math.log10(own[line[i]] / (sum(left.values()) + new))
+                break
+            if left:
+                out += math.log10(new / (sum(left.values()) + new))
+            refused |= set(own)
+        else:
+            out -= math.log10(257 - len(refused))
+    return out
+
+
+@pytest.mark.parametrize("nodes", [1 << 21, 30])
+def test_ppm_scores_equal_the_literal_model(spark, nodes):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", f"x{rng.randrange(90)}", "é"]) for _ in range(20)) for _ in range(40)] + ["", "qqq alphx", "zz ab\x00 é9", "alpha", "alpha"]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = by(ppm.score(df, F.col("doc_id") % 4 != 1, nodes=nodes), "doc_id")
+    train = [t for i, t in enumerate(texts) if i % 4 != 1]
+    for i, t in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(literal_ppm(train, t), abs=1e-6), t
+
+
 def test_ppm_learns(spark):
     rng = random.Random(1)
     make = lambda: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(50))
