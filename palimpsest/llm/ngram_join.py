@@ -215,7 +215,8 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     parts = dealt.where("split").join(parts, "node").select("node", "root", "rep", "rep_hash", "copies", "bands", "units")
     work = materialize(whole.unionByName(parts), "work")
     # The texts of the candidates only, one for each set; each set is sent where its member is verified.
-    texts = own.join(work, (F.col("own_key") == F.col("rep")) & F.col("own_hash").eqNullSafe(F.col("rep_hash"))).dropDuplicates(["own_key", "own_hash", "node"])
+    # Never broadcast: plan and costs are the same at every size.
+    texts = own.join(work.hint("merge"), (F.col("own_key") == F.col("rep")) & F.col("own_hash").eqNullSafe(F.col("rep_hash"))).dropDuplicates(["own_key", "own_hash", "node"])
 
     def shingle(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shingler = _Shingler(n)
