@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, plain_unions, scratch_dir
 
-__all__ = ["WORD", "give_back", "labelled_sample", "materialize", "scratch_path", "table", "whole_rows", "word_count"]
+__all__ = ["WORD", "give_back", "join_hot", "labelled_sample", "materialize", "scratch_path", "table", "whole_rows", "word_count"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -43,6 +43,18 @@ def whole_rows(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("none"))
 
 
+def join_hot(rows: DataFrame, named: DataFrame, on: str, n: str = "n") -> DataFrame:
+    """Left join with ``named``, a written table of one row a key whose column ``n`` is the key's number of ``rows``.
+
+    Keys with a thousandth of all, a thousand at most, are broadcast, so that no task
+    gets all rows of one; the others are joined by shuffle.
+    """
+    often = F.col(n) * 1000 >= (named.agg(F.sum(n)).first()[0] or 0)
+    out = rows.join(F.broadcast(named.where(often).drop(n).withColumn("own_hot", F.lit(True))), on, "left")
+    rest = out.where("own_hot is null").select(*rows.columns).join(named.where(~often).drop(n), on, "left")
+    return out.where("own_hot").drop("own_hot").unionByName(rest)
+
+
 def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
     """``rows`` (with ``own_key``) of at most ``bound`` labelled keys, with the column ``own_label`` (0 or 1).
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import give_back, join_hot, materialize
 from .components import components
 
 _BLOCK = 128
@@ -191,9 +191,9 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     own = docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text"), F.xxhash64(F.col(text)).alias("own_hash")).where("own_key is not null")
     signed = materialize(own.mapInPandas(describe, f"id {kind}, own_hash long, grams binary, n_ngrams long, bands binary"), "signatures")
     # One representative for each set: partial aggregation meets the copies before the shuffle.
-    ids = signed.where("grams is not null").groupBy("grams", "id").agg(F.min("own_hash").alias("own_hash"), F.first("bands").alias("bands"))
-    reps = ids.groupBy("grams").agg(F.min(F.struct("id", "own_hash")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    reps = materialize(reps.select("grams", F.col("rep.id").alias("rep"), F.col("rep.own_hash").alias("rep_hash"), "copies", "bands"), "representatives")
+    ids = signed.where("grams is not null").groupBy("grams", "id").agg(F.min("own_hash").alias("own_hash"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    reps = ids.groupBy("grams").agg(F.min(F.struct("id", "own_hash")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.sum("rows").alias("rows"))
+    reps = materialize(reps.select("grams", F.col("rep.id").alias("rep"), F.col("rep.own_hash").alias("rep_hash"), "copies", "rows", "bands"), "representatives")
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))
     # The 16 bytes of the set identify a representative also where keys repeat.
     members = reps.select("grams", F.posexplode(hashes).alias("band", "hash"))
@@ -204,8 +204,8 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     # What a group costs in rows sent: by blocks of the whole, and by blocks of its buckets.
     by_bucket = hubs.join(groups.withColumnRenamed("node", "v"), "v").groupBy("root").agg(F.sum(F.col("n") * blocks("n")).alias("by_bucket"))
     plan = groups.groupBy("root").agg(F.count("*").alias("size")).join(by_bucket, "root")
-    plan = plan.select("root", blocks("size").alias("blocks"), (F.col("by_bucket") < F.col("size") * blocks("size")).alias("split"))
-    dealt = groups.join(plan, "root").join(reps.withColumnRenamed("grams", "node"), "node")
+    plan = materialize(plan.select("root", "size", blocks("size").alias("blocks"), (F.col("by_bucket") < F.col("size") * blocks("size")).alias("split")), "plan")
+    dealt = join_hot(groups, plan, "root", "size").join(reps.withColumnRenamed("grams", "node"), "node")
     mine = lambda own, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("low"), F.greatest(i, own).alias("high")))
     unit = lambda band, hash_, own, k: F.transform(mine(own, k), lambda x: F.struct(band.alias("band"), hash_.alias("hash"), x["low"].alias("low"), x["high"].alias("high"), k.alias("of")))
     place = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
@@ -268,13 +268,9 @@ def row_classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     found = materialize(sent.groupBy("root", "band", "hash", "low", "high").applyInPandas(verify, "node binary, other binary, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), "classes")
-    linked = reps.select(F.col("grams").alias("node"), "rep").join(classes, "node")
-    names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = classes.join(names, "root").join(links, "node").select(F.col("node").alias("grams"), "class_id", "root", "links")
-    reps = materialize(reps.join(named, "grams", "left").select("grams", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "grams").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    # Sets of at least a thousandth of all documents, a thousand at most, are broadcast; the others are joined.
-    often = F.col("copies") * 1000 >= (reps.agg(F.sum("copies")).first()[0] or 0)
-    out = signed.select("id", "grams", "n_ngrams").join(F.broadcast(reps.where(often).drop("copies")), "grams", "left")
-    rest = out.where("root is null").select("id", "grams", "n_ngrams").join(reps.where(~often).drop("copies"), "grams", "left")
-    out = out.where("root is not null").unionByName(rest)
+    linked = materialize(classes.join(links, "node").join(reps.select(F.col("grams").alias("node"), "rep"), "node"), "linked")
+    names = materialize(linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "class-names")
+    named = join_hot(linked.select("node", "root", "links"), names, "root").select(F.col("node").alias("grams"), "class_id", "root", "links")
+    reps = materialize(reps.join(named, "grams", "left").select("grams", "rows", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "grams").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    out = join_hot(signed.select("id", "grams", "n_ngrams"), reps, "grams", "rows")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_ngrams", "grams", "root")
