@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 _CRLF = "\r\n"
 
@@ -70,13 +70,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     # Only addresses with more than one record take part in the join.
     newest = F.max(F.struct("record_id", "target"))
     groups = heads.groupBy("address").agg(newest["record_id"].alias("first_id"), newest["target"].alias("first_target"), F.count("*").alias("n")).where("n > 1")
-    # A row for each payload of a hundredth of all records, a hundred at most, is broadcast; other addresses are joined.
-    groups = materialize(groups, "payload-groups")
-    many = groups.where(F.col("n") * 100 >= (groups.agg(F.sum("n")).first()[0] or 0)).drop("n")
-    hot = heads.join(F.broadcast(many), "address", "left")
-    found = hot.where("first_target is not null")
-    rest = hot.where("first_target is null").drop("first_id", "first_target").join(groups.drop("n"), "address", "left")
-    heads = found.unionByName(rest)
+    heads = join_hot(heads, materialize(groups, "payload-groups"), "address")
     revisit = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     heads = heads.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id")))
     http = F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}{_CRLF}")
