@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +21,16 @@ def plain_unions(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, a temporary folder that the session remembers."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.scratch.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.scratch.dir", root)
-    return root.rstrip("/")
+    """``spark.checkpoint.dir``; where it is unset, a folder beside the warehouse, which executors share too.
+
+    Never a folder of one machine: the warehouse is on the local disk only where the
+    session is local itself.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch").rstrip("/")
+
+
+_WRITTEN: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,5 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     plain_unions(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _WRITTEN:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes inside, at the end. Only what is written elsewhere outlives it."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
