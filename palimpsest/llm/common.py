@@ -43,13 +43,14 @@ def whole_rows(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("none"))
 
 
-def join_hot(rows: DataFrame, named: DataFrame, on: str, n: str = "n") -> DataFrame:
-    """Left join with ``named``, a written table of one row a key whose column ``n`` is the key's number of ``rows``.
+def join_hot(rows: DataFrame, named: DataFrame, on: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """Left join with ``named``, one row a key whose column ``n`` is the key's number of ``rows``.
 
-    Keys with a thousandth of all, a thousand at most, are broadcast, so that no task
-    gets all rows of one; the others are joined by shuffle.
+    Keys with a thousandth of ``total`` (of all, unless given), a thousand at most, are
+    broadcast, so that no task gets all rows of one; the others are joined by shuffle.
     """
-    often = F.col(n) * 1000 >= (named.agg(F.sum(n)).first()[0] or 0)
+    all_ = (named.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    often = F.col(n) * 1000 >= all_
     out = rows.join(F.broadcast(named.where(often).drop(n).withColumn("own_hot", F.lit(True))), on, "left")
     rest = out.where("own_hot is null").select(*rows.columns).join(named.where(~often).drop(n), on, "left")
     return out.where("own_hot").drop("own_hot").unionByName(rest)

@@ -10,24 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 _ROUNDS = 60
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """Each node's smaller neighbours are linked to the smallest of them (u > v)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    linked = join_hot(edges, least, "u", total=total)
     out = linked.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
     return out.select("e.u", "e.v").where("u <> v").distinct()
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour or itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    linked = join_hot(both.where("v > u"), least, "u", total=2 * total)
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -40,7 +41,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     for step in range(_ROUNDS):
         if not before[0]:
             break
-        e = materialize(_small(_large(e)), f"{name}{step}")
+        larger = materialize(_large(e, before[0]), f"{name}{step}-large")
+        e = materialize(_small(larger, larger.count()), f"{name}{step}")
         now = mark(e)
         if now == before:
             break
