@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec
-from palimpsest.llm.common import materialize, table, whole_rows
+from palimpsest.llm.common import materialize, scratch_path, table, whole_rows
 from palimpsest.llm.queries import MODEL
+from palimpsest.sources.scratch import cleared, delete
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +89,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Each stage's output is written to the shared folder; what it wrote beside that, and
+    the input it has read, are deleted once the output stands, so that disk use does not add up over stages."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
