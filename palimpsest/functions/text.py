@@ -194,22 +194,6 @@ def token_gap(message: Column, commas: bool = False) -> Column:
     return F.when(found, F.when(gap > 0, gap) if commas else F.greatest(gap, F.lit(0)))
 
 
-# Error patterns by class, tried in this order.
-ERROR_CLASSES = (
-    ("overflow", "(?i)prompt.{0,16}too.?long|context.{0,35}(overflow|exceed|limit|length|window)|maximum.{0,20}token|tokens?\\s*>\\s*\\d"),
-    ("media", "(?i)(media|image)_too_large|unsupported_content|request_too_large"),
-    ("cancelled", "(?i)abort|cancel|interrupt"),
-    ("transient", "(?i)rate.?limit|timeout|server|network|overloaded|unavailable"),
-)
-
-
-def error_class(message: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in ERROR_CLASSES:
-        out = out.when(message.rlike(pattern), name)
-    return out.otherwise("other")
-
-
 def response_fault(finish: Column, kinds: Column, text: Column) -> Column:
     """Why a summary answer can't be used; null if it can."""
     media = F.exists(kinds, lambda k: ~k.isin("text", "reasoning"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.logs import calls_of, results_of
+from ..sources.logs import calls_of, results_of, text_of
 from ..sources.scratch import materialize
 
 
@@ -105,22 +105,43 @@ def unprotected_paths(rows: DataFrame, protected: DataFrame) -> DataFrame:
     return rows.join(protected.select("session_id", "path").distinct(), ["session_id", "path"], "left_anti")
 
 
-def injected_context(entries: DataFrame) -> DataFrame:
-    """Context put among the user's messages: session_id, key, seq, pos, text columns kept."""
-    form, kind = F.col("source_form"), F.col("source_kind")
-    known = form.isin("instructions", "catalog", "snapshot") | kind.rlike("skill|plan|subagent|agent-instructions")
-    rows = entries.where((F.col("role") == "user") & ~kind.isin("user", "compact-checkpoint") & F.coalesce(known, F.lit(False)))
-    by_kind = F.coalesce(form.isin("snapshot", "catalog"), F.lit(False)) | kind.rlike("plan")
-    return rows.withColumn("key", F.when(by_kind, F.to_json(F.array(kind, form))).otherwise(F.to_json(F.struct(kind, form, F.col("message_id")))))
+# The forms and kinds of source that mark a message as context rather than speech.
+STATE_FORMS = ("instructions", "catalog", "snapshot")
+STATE_KINDS = "skill|plan|subagent|agent-instructions"
 
 
-def retained_state(entries: DataFrame, saved_users: DataFrame) -> DataFrame:
-    """Typed messages of live rows, and those of the matching record where a row is a checkpoint: session_id, pos, nth, text.
+def with_state(entries: DataFrame, forms: tuple[str, ...] = (), kinds: str = "$^") -> DataFrame:
+    """Entries with ``source``, the JSON of where a message is from, and ``state_key``, what context it is a version of.
 
-    ``saved_users``: session_id, seq (of the checkpoint), nth, text.
+    Context of the given ``forms``, or of kinds that match ``kinds``, is one state for
+    each kind and form; other context is one for each source. Null for speech.
     """
-    from ..sources.logs import text_of
+    whole = F.to_json(F.struct("source_kind", "source_form", "message_id"))
+    matches = lambda isin, like: F.coalesce(F.col("source_form").isin(*isin) if isin else F.lit(False), F.lit(False)) | F.coalesce(F.col("source_kind").rlike(like), F.lit(False))
+    shared = F.to_json(F.struct("source_kind", "source_form"))
+    key = F.when(matches(STATE_FORMS, STATE_KINDS), F.when(matches(forms, kinds), shared).otherwise(whole))
+    return entries.withColumns({"source": whole, "state_key": key})
 
-    live = entries.where((F.col("role") == "user") & (F.col("source_kind") == "user")).select("session_id", "pos", F.lit(0).alias("nth"), text_of("").alias("text"))
-    held = entries.where("source_kind = 'compact-checkpoint'").select("session_id", "pos", "seq").join(saved_users, ["session_id", "seq"])
-    return live.unionByName(held.select("session_id", "pos", "nth", "text"))
+
+def retained_state(entries: DataFrame, saved_users: DataFrame, saved_context: DataFrame | None = None) -> DataFrame:
+    """What a session keeps beside its summary: session_id, pos, nth, what, state_key, text, in order of (pos, nth).
+
+    ``what`` is ``user`` (typed messages) or ``context`` (context among the user's
+    messages, of each state the newest). Live rows give their own; a row that is a
+    checkpoint gives what its matching record has saved.
+    ``saved_users``: session_id, seq (of the checkpoint), nth, text; ``saved_context``
+    has a state_key too.
+    """
+    none = F.lit(None).cast("string")
+    typed = F.coalesce(F.col("source_kind") == "user", F.lit(False))
+    point = F.coalesce(F.col("source_kind") == "compact-checkpoint", F.lit(False))
+    live = with_state(entries, forms=("snapshot", "catalog"), kinds="plan").where((F.col("role") == "user") & ~point & (typed | F.col("state_key").isNotNull()))
+    live = live.select("session_id", "pos", F.lit(0).alias("nth"), F.when(typed, "user").otherwise("context").alias("what"), F.when(~typed, F.col("state_key")).alias("state_key"), text_of("").alias("text"))
+    points = entries.where(point).select("session_id", "pos", "seq")
+    held = points.join(saved_users, ["session_id", "seq"]).select("session_id", "pos", "nth", F.lit("user").alias("what"), none.alias("state_key"), "text")
+    rows = live.unionByName(held)
+    if saved_context is not None:
+        held = points.join(saved_context, ["session_id", "seq"]).select("session_id", "pos", "nth", F.lit("context").alias("what"), "state_key", "text")
+        rows = rows.unionByName(held)
+    newest = F.max(F.struct("pos", "nth")).over(W.partitionBy("session_id", "what", "state_key"))
+    return rows.withColumn("_newest", newest).where((F.col("what") == "user") | (F.struct("pos", "nth") == F.col("_newest"))).drop("_newest")

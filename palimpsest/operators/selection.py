@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ceil_div
 from .structure import all_rows, balanced, checkpoint, indexed, orphan_sessions, rounds, rows_upto, session_order, typed_user
 
 def _by_round() -> WindowSpec:
@@ -184,7 +185,7 @@ def turn_tail(entries: DataFrame, budget: int, tail_turns: int | None = None) ->
             break
         return pd.DataFrame({"session_id": [rows["session_id"].iloc[0]], "rows": [n], "kept": [kept or n]})
 
-    return rows.groupBy("session_id").applyInPandas(walk, "session_id long, rows long, kept long")
+    return rows.groupBy("session_id").applyInPandas(walk, f"session_id {rows.schema['session_id'].dataType.simpleString()}, rows long, kept long")
 
 
 def append_within(items: DataFrame, budget: int) -> DataFrame:
@@ -210,27 +211,32 @@ def append_within(items: DataFrame, budget: int) -> DataFrame:
 
 
 def fit_rows(rows: DataFrame, available: int) -> DataFrame:
-    """Blank the oldest groups without a user's text until the joined rows fit ``available`` tokens of three characters.
-
-    ``rows``: session_id, idx, grp, user (boolean), text. The first row of a blanked
-    group carries a note. Sessions that still don't fit have ``fits`` false.
-    """
-    note = "[Earlier activity omitted to fit the request]"
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        text = part["text"].tolist()
-        tokens = lambda: max(1, -(-(sum(map(len, text)) + 2 * max(len(text) - 1, 0)) // 3))
-        for _, g in part.groupby("grp", sort=True):
-            if tokens() <= available:
-                break
-            if g["user"].any() or g["idx"].iloc[0] == part["idx"].iloc[0]:
-                continue
-            places = [part.index.get_loc(i) for i in g.index]
-            for k, at in enumerate(places):
-                text[at] = note if k == 0 else ""
-        return part[["session_id", "idx"]].assign(text=text, fits=tokens() <= available)
-
-    return rows.groupBy("session_id").applyInPandas(fit, "session_id long, idx long, text string, fits boolean")
+    """Shorten and blank until the joined rows fit ``available`` tokens of three characters.
 
+    ``rows``: session_id, idx, grp, user (boolean), text, and ``short``, the text with
+    its tool output cut closer. If the texts don't fit, all become ``short``; then the
+    oldest groups without a user's text are blanked, the first row of each carrying a
+    note, as many as it takes. Rows are joined by two characters, blank ones too.
+    Sessions that still don't fit have ``fits`` false.
 
+    How much blanking a group saves doesn't depend on the others, so the groups that go
+    are found by a running sum over groups.
+    """
+    # Fixed value: what stands for a blanked group.
+    note = "[Earlier assistant/tool activity omitted to fit the summary request]"
+    chars = lambda c: F.sum(F.length(c)).over(all_rows()) + 2 * F.greatest(F.col("n") - 1, F.lit(0))
+    tokens = lambda c: F.greatest(F.lit(1), ceil_div(c, 3))
+    rows = rows.withColumn("n", F.count("*").over(all_rows()))
+    rows = rows.withColumn("text", F.when(tokens(chars("text")) <= available, F.col("text")).otherwise(F.col("short")))
+    group = W.partitionBy("session_id", "grp")
+    may_go = ~F.max("user").over(group) & (F.min("idx").over(group) > F.min("idx").over(all_rows()))
+    rows = rows.withColumns({"size": chars("text"), "may_go": may_go, "first": F.col("idx") == F.min("idx").over(group)})
+    saved = F.when(F.col("may_go"), F.length("text") - F.when(F.col("first"), F.lit(len(note))).otherwise(0)).otherwise(0)
+    # What the groups before this one save if all of them that may go do.
+    rows = rows.withColumn("before", F.coalesce(F.sum(saved).over(W.partitionBy("session_id").orderBy("grp").rangeBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # Groups go in order until the first point at which the rest fits.
+    enough = F.min(F.when(tokens(F.col("size") - F.col("before")) <= available, F.col("grp"))).over(all_rows())
+    rows = rows.withColumn("stop", enough)
+    gone = F.col("may_go") & (F.col("stop").isNull() | (F.col("grp") < F.col("stop")))
+    rows = rows.withColumn("text", F.when(gone, F.when(F.col("first"), note).otherwise("")).otherwise(F.col("text")))
+    return rows.withColumn("fits", tokens(chars("text")) <= available).select("session_id", "idx", "text", "fits")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pricing import usage_total
@@ -10,9 +11,9 @@ from .structure import checkpoint, protected, typed_user
 
 
 def anchors(entries: DataFrame, count: Column, valid: Column) -> DataFrame:
-    """Per session the last assistant row with usage that ``valid`` admits: anchor_pos, anchor_seq, anchor."""
+    """Per session the last assistant row with usage that ``valid`` admits: anchor_pos, anchor_seq, anchor_id, anchor."""
     rows = entries.where((F.col("role") == "assistant") & F.col("usage").isNotNull() & valid).withColumn("_count", count)
-    return rows.groupBy("session_id").agg(F.max("pos").alias("anchor_pos"), F.max_by("seq", "pos").alias("anchor_seq"), F.max_by("_count", "pos").alias("anchor"))
+    return rows.groupBy("session_id").agg(F.max("pos").alias("anchor_pos"), F.max_by("seq", "pos").alias("anchor_seq"), F.max_by("message_id", "pos").alias("anchor_id"), F.max_by("_count", "pos").alias("anchor"))
 
 
 def _finished() -> Column:
@@ -25,7 +26,8 @@ def context_size(entries: DataFrame, policy: str, price: str = "price", removed:
     Policies: ``stale_flag`` (anchor and later estimates; stale if a checkpoint is newer),
     ``since_checkpoint`` (only anchors at or after the last one), ``last_only`` (no later
     rows; 0 is no total), ``clamped`` (the anchor less removals, at least 0, and later
-    rows), ``floored`` (all of it at least 0), ``padded`` (later rows at one and a half).
+    rows), ``floored`` (all of it at least 0, later rows from the first row of the
+    anchor's message id on, without its own), ``padded`` (later rows at one and a half).
     ``removed``: session_id, seq of the anchor, tokens.
     """
     zero = F.lit(0).cast("long")
@@ -46,9 +48,19 @@ def context_size(entries: DataFrame, policy: str, price: str = "price", removed:
         found = found.join(gone, ["session_id", "anchor_seq"], "left")
     else:
         found = found.withColumn("gone", zero)
-    sums = rows.join(found, "session_id", "left").groupBy("session_id").agg(
+    rows = rows.join(found, "session_id", "left")
+    after = F.col("pos") > F.col("anchor_pos")
+    if policy == "floored":
+        # An answer may be several rows of one message id with results between them: what is later
+        # begins after the first of them, and leaves out the answer's own rows.
+        whole, own = W.partitionBy("session_id"), F.col("message_id") == F.col("anchor_id")
+        other = F.max(F.when((F.col("role") == "assistant") & ~own & (F.col("pos") < F.col("anchor_pos")), F.col("pos"))).over(whole)
+        rows = rows.withColumn("_other", F.coalesce(other, F.lit(-1)))
+        rows = rows.withColumn("_first", F.min(F.when(own & (F.col("pos") > F.col("_other")), F.col("pos"))).over(whole))
+        after = (F.col("pos") > F.col("_first")) & ~own
+    sums = rows.groupBy("session_id").agg(
         F.first("anchor").alias("anchor"), F.coalesce(F.first("gone"), zero).alias("gone"), F.first("anchor_seq").alias("anchor_seq"), F.first("cp_seq").alias("cp_seq"),
-        F.sum(price).alias("all"), F.coalesce(F.sum(F.when(F.col("pos") > F.col("anchor_pos"), F.col(price))), zero).alias("later"),
+        F.sum(price).alias("all"), F.coalesce(F.sum(F.when(after, F.col(price))), zero).alias("later"),
     )
     half = lambda c: F.floor((c * 3 + 1) / 2)  # noqa: E731  one and a half, rounded up
     a, later = F.col("anchor"), F.col("later")
@@ -63,8 +75,6 @@ def context_size(entries: DataFrame, policy: str, price: str = "price", removed:
 
 def message_pairs(entries: DataFrame) -> DataFrame:
     """Per session: typed messages that an answer followed (only those two kinds count)."""
-    from pyspark.sql import Window as W
-
     rows = entries.where(typed_user() | (F.col("role") == "assistant"))
     prior = F.lag(typed_user()).over(W.partitionBy("session_id").orderBy("pos"))
     return rows.withColumn("_p", prior).groupBy("session_id").agg(F.count_if((F.col("role") == "assistant") & F.coalesce("_p", F.lit(False))).alias("pairs"))

@@ -5,37 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.blocks import message_text, transcript
-from ..functions.text import files_section, u16len
-from ..operators import lineage, selection, structure
+from ..functions.text import file_tags, files_section, u16len
+from ..operators import lineage, lookups, selection, state, structure
 from ..sources import logs
 from ..sources.scratch import materialize
-from . import strategies
+from . import presets, restoration, strategies
 
 
 def priced(entries: DataFrame, price: Column) -> DataFrame:
     return entries.withColumn("price", price.cast("long"))
 
 
-def pressured(entries: DataFrame, sessions: DataFrame, strategy: str) -> DataFrame:
+def pressured(entries: DataFrame, sessions: DataFrame, strategy: str, settings: strategies.Config | None = None) -> DataFrame:
     """Sessions whose price reaches the strategy's trigger: session_id, tokens, trigger. ``sessions``: session_id, window, output."""
     sums = entries.groupBy("session_id").agg(F.sum("price").alias("tokens"))
-    trigger, _ = strategies.budget(strategy, F.col("window"), F.col("output"))
+    own = settings or strategies.Config()
+    trigger, _ = strategies.budget(strategy if strategy in strategies.STRATEGIES else "split_turn", F.col("window"), F.col("output"), own.reserve_tokens, own.threshold_ratio)
     rows = sums.join(sessions, "session_id").withColumn("trigger", trigger)
     return rows.where(strategies.fires(F.col("tokens"), F.col("trigger"), F.lit(strategy == "split_turn"))).select("session_id", "tokens", "trigger")
 
 
-def select_before_cut(entries: DataFrame, keep: int) -> DataFrame:
-    """Rows of each session's first eligible island that lie before its suffix cut: session_id, pos, seq, price."""
-    inside = structure.islands(entries)
-    first = structure.first_eligible(structure.spans(entries)).select("session_id", "island")
-    span = inside.join(first, ["session_id", "island"]).drop("island")
-    cuts = selection.suffix_cut(span, keep).where("cut > 0").select("session_id", "cut")
-    return structure.indexed(span).join(cuts, "session_id").where("idx < cut").select("session_id", "pos", "seq", "price")
-
-
 def select_region(entries: DataFrame, start: int, end: int) -> DataFrame:
     """An explicit range of positions."""
     return entries.where(F.col("pos").between(start, end)).select("session_id", "pos", "seq", "price")
@@ -47,32 +40,65 @@ def requests(entries: DataFrame, selected: DataFrame, tool_chars: int = 2_000) -
     return transcript(rows, message_text("more", tool_chars)).withColumnRenamed("transcript", "prompt")
 
 
-def basic_summary(entries: DataFrame, selected: DataFrame) -> DataFrame:
-    """The model-free checkpoint of each session: its file activity as text."""
-    rows = entries.join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
+def basic_checkpoint(entries: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model-free checkpoint of each session: (session_id, summary, error) and its preserved texts (session_id, ord, text).
+
+    Preserved are earlier checkpoints, what users wrote, context among their messages,
+    and the session's last three answers where they are selected; the summary lists
+    files and commands.
+    """
+    chosen = selected.select("session_id", "pos")
+    said = F.trim(logs.text_of())
+    answers = entries.where((F.col("role") == "assistant") & (said != "")).withColumn("_nth", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("pos")))).where("_nth <= 3")
+    rows = entries.join(chosen, ["session_id", "pos"], "left_semi").join(answers.select("session_id", "pos", F.lit(True).alias("recent")), ["session_id", "pos"], "left")
+    point, user = structure.checkpoint(), F.col("role") == "user"
+    # How preserved texts are introduced.
+    head = F.when(point, "").when(structure.typed_user(), "[User request]\n").when(user, "[Recorded context]\n").when(F.col("recent"), "[Recent assistant response]\n")
+    preserved = rows.where(head.isNotNull() & (said != "")).select("session_id", F.col("pos").alias("ord"), F.concat(head, logs.text_of()).alias("text"))
     acts = lineage.activity(rows).groupBy("session_id").agg(*[
         F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == k, F.struct("first_pos", "item"))), lambda x: x.isNotNull())), lambda x: x["item"]).alias(k)
         for k in ("read", "edited", "command")
     ])
-    rows = rows.select("session_id").distinct().join(acts, "session_id", "left")
+    sessions = rows.select("session_id").distinct().join(acts, "session_id", "left")
+    none = F.array().cast("array<string>")
+    commands = F.coalesce(F.nullif(F.array_join(F.transform(F.coalesce("command", none), lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("")), F.lit("- none"))
+    text = F.concat(F.lit("Context record:\n\n"), files_section(F.coalesce("read", none), F.coalesce("edited", none)), F.lit("\n\n## Tool commands\n"), commands, F.lit("\n\nGo on with what is pending. Commands listed were tried; see their results for success."))
+    return sessions.select("session_id", text.alias("summary"), F.lit(None).cast("string").alias("error")), preserved
+
+
+def branch_summaries(entries: DataFrame, wanted: DataFrame, model: Callable[[str], str], budget: int, tool_chars: int = 2_000, max_chars: int = 16_384) -> DataFrame:
+    """A summary of each explored branch: session_id, summary, error, rows, tokens.
+
+    ``wanted``: session_id, seq, ord of the branch's rows, all of which must be there;
+    the newest within ``budget`` are summarized, and the files that the whole branch
+    read or modified are listed.
+    """
+    # Written before anything is left out of it: a missing row must be seen.
+    rows = materialize(lookups.ordered_lookup(wanted, entries).drop("ord"), "branch").where(~structure.protected())
+    taken = selection.branch(rows, budget)
+    asked = requests(rows, taken, tool_chars)
+    files = lineage.activity(rows).groupBy("session_id").agg(F.collect_set(F.when(F.col("kind") == "read", F.col("item"))).alias("r"), F.collect_set(F.when(F.col("kind") == "edited", F.col("item"))).alias("w"))
+    out = logs.summarize(asked, model, max_chars).join(files, "session_id", "left").join(taken.groupBy("session_id").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")), "session_id")
     none = F.array().cast("array<string>")
-    text = F.concat(F.lit("Context record:\n\n"), files_section(F.coalesce("read", none), F.coalesce("edited", none)))
-    return rows.select("session_id", text.alias("summary"), F.lit(None).cast("string").alias("error"))
+    text = F.concat(F.lit("What another branch of this conversation explored:\n\n"), F.col("summary"), file_tags(F.coalesce("r", none), F.coalesce("w", none)))
+    return out.select("session_id", text.alias("summary"), "error", "rows", "tokens")
 
 
-def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, before: Column | None = None, restored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preserved: DataFrame | None = None, restored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new entries, verdicts). A checkpoint replaces its range only if it is smaller.
 
-    Its blocks are the summary and the texts of ``restored`` (session_id, ord, text).
+    Its blocks are the texts of ``preserved`` (session_id, ord, text), the summary, and
+    the texts of ``restored``.
     """
     good = summaries.where("summary is not null")
-    if restored is not None:
-        extra = restored.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: logs.block("text", x["text"])).alias("extra"))
-        good = good.join(extra, "session_id", "left")
-    else:
-        good = good.withColumn("extra", F.lit(None).cast(entries.schema["blocks"].dataType))
-    blocks = F.concat(F.array(logs.block("text", F.col("summary"))), F.coalesce("extra", F.array().cast(entries.schema["blocks"].dataType)))
-    good = good.withColumn("blocks", blocks)
+    kind = entries.schema["blocks"].dataType
+    for name, texts in (("ahead", preserved), ("extra", restored)):
+        if texts is None:
+            good = good.withColumn(name, F.array().cast(kind))
+            continue
+        own = texts.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: logs.block("text", x["text"])).alias(name))
+        good = good.join(own, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    good = good.withColumn("blocks", F.concat("ahead", F.array(logs.block("text", F.col("summary"))), "extra"))
     tokens = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.floor((u16len(b["text"]) + 3) / 4).cast("long"))
     old = selected.groupBy("session_id").agg(F.sum("price").alias("old_tokens"), F.count("*").alias("rows"))
     last = entries.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
@@ -81,11 +107,59 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, before
     return logs.compact(entries, selected, points), verdicts.select("session_id", "rows", "old_tokens", "tokens", "accepted")
 
 
-def run(entries: DataFrame, sessions: DataFrame, strategy: str, price: Column, keep: int, model: Callable[[str], str] | None = None, max_chars: int = 8_192) -> tuple[DataFrame, DataFrame]:
-    """The whole plan for the sessions under pressure. Without ``model`` the checkpoint needs none."""
+#: Presets whose summary is asked for in rounds, with the rounds' mode, and those that restore context.
+_BY_ROUNDS = {"idle_headroom": "message", "image_guard": "pending"}
+_RESTORES = ("idle_headroom", "image_guard", "round_keep")
+
+_VERSIONED = ["pos", "seq", "role", "blocks"]
+
+#: What stands before the summary, where a preset keeps anything.
+_PRESERVED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"user_tail": presets.retained_users, "head_tail": presets.head_and_tail_users}
+
+
+def run(
+    entries: DataFrame,
+    sessions: DataFrame,
+    strategy: str,
+    price: Column,
+    keep: int | None = None,
+    model: Callable[[str], str] | None = None,
+    max_chars: int = 8_192,
+    settings: strategies.Config | None = None,
+    latest: DataFrame | None = None,
+    files: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole plan for the sessions under pressure: price, trigger, select, summarize, restore, check, commit.
+
+    Without ``model`` the checkpoint needs none. ``keep`` defaults to the setting
+    ``keep_recent_tokens``, else to 0. ``settings`` also sets reserve and ratio of the
+    trigger. With ``latest``, the log as read again before the commit, sessions that
+    changed meanwhile are left as they are: another writer came first. With ``files``
+    (path, text), presets that restore context put it after the summary.
+    """
+    own = settings or strategies.Config()
+    keep = own.keep_recent_tokens or 0 if keep is None else keep
     rows = materialize(priced(entries, price), "priced")  # read by every step below
-    due = rows.join(pressured(rows, sessions, strategy).select("session_id"), "session_id", "left_semi")
-    selected = strategies.strategy(strategy)(due, keep) if strategy in strategies._REGISTRY else select_before_cut(due, keep)
-    selected = materialize(selected, "selected")
-    summaries = basic_summary(due, selected) if model is None else logs.summarize(requests(due, selected), model, max_chars)
-    return commit(rows, selected, materialize(summaries, "summaries"))
+    due = rows.join(pressured(rows, sessions, strategy, own).select("session_id"), "session_id", "left_semi")
+    select = strategies.strategy(strategy) if strategy in strategies._REGISTRY else presets.SELECT[strategy]
+    selected = materialize(select(due, keep), "selected")
+    if model is None:
+        summaries, preserved = basic_checkpoint(due, selected)
+    else:
+        chars = 2_000 if own.summary_tool_chars is None else own.summary_tool_chars
+        if strategy in _BY_ROUNDS:  # what is too long for the model loses its oldest rounds
+            gone = due.join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
+            texts = restoration.round_texts(gone, message_text("more", chars), _BY_ROUNDS[strategy])
+            summaries = restoration.summarize_rounds(texts, model, own.max_summary_attempts or 4, 500 if own.summary_retry_delay_ms is None else own.summary_retry_delay_ms, strategy=strategy)
+            summaries = summaries.select("session_id", F.substring("summary", 1, max_chars).alias("summary"), "error")
+        else:
+            summaries = logs.summarize(requests(due, selected, chars), model, max_chars)
+        preserved = _PRESERVED[strategy](due, selected) if strategy in _PRESERVED and own.restore_context is not False else None
+    summaries = materialize(summaries, "summaries")
+    if latest is not None:
+        summaries = summaries.join(state.unchanged(state.version(entries, _VERSIONED), state.version(latest, _VERSIONED)), "session_id", "left_semi")
+    restored = None
+    if files is not None and strategy in _RESTORES and own.restore_context is not False:
+        limits = (own.max_restore_tokens or 50_000, own.max_skill_tokens or 5_000, own.max_file_tokens or 5_000, own.max_restored_files or 5)
+        restored = restoration.restore(due, selected, files, *limits).select("session_id", "ord", "text")
+    return commit(rows, selected, summaries, preserved, restored)

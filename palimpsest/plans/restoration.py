@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import faults
 from ..functions.text import normal_name, path_from_json
 from ..operators import lineage, lookups, selection, structure
 from ..sources import logs
@@ -20,16 +22,14 @@ SKILL_TOOLS = ("skill", "loadskill", "skillread")
 
 
 def state_items(archive: DataFrame, visible: DataFrame) -> DataFrame:
-    """The newest context of each state key that is not visible any more: session_id, pos, label, body.
+    """The newest context of each state that is not visible any more: session_id, pos, label, body.
 
     Snapshots, plans and sub-agent notes are one state for each kind, others for each source.
     """
-    form, kind = F.col("source_form"), F.col("source_kind")
-    known = F.coalesce(form.isin("instructions", "snapshot", "catalog"), F.lit(False)) | F.coalesce(kind.rlike("skill|plan|subagent|agent-instructions"), F.lit(False))
-    source = F.to_json(F.struct("source_kind", "source_form", "message_id"))
-    by_kind = F.coalesce(form == "snapshot", F.lit(False)) | kind.rlike("plan|subagent")
-    rows = archive.where(known).select("session_id", "pos", source.alias("source"), F.when(by_kind, kind).otherwise(source).alias("state_key"), F.concat(F.lit("Restored "), kind, F.lit(" context")).alias("label"), logs.text_of().alias("body"))
-    return lineage.newest_sources(rows, visible.select("session_id", source.alias("source"))).select("session_id", "pos", "label", "body")
+    rows = lookups.with_state(archive, forms=("snapshot",), kinds="plan|subagent").where("state_key is not null")
+    rows = rows.select("session_id", "pos", "source", "state_key", F.concat(F.lit("Restored "), "source_kind", F.lit(" context")).alias("label"), logs.text_of().alias("body"))
+    seen = lookups.with_state(visible).select("session_id", "source")
+    return lineage.newest_sources(rows, seen).select("session_id", "pos", "label", "body")
 
 
 def skill_items(archive: DataFrame) -> DataFrame:
@@ -85,52 +85,67 @@ def basic_range(entries: DataFrame, target: int, overhead: int = 120) -> DataFra
     return rows.groupBy("session_id").agg(F.coalesce(F.min(F.when(fits, F.col("idx") + 1)), F.max("n")).alias("cut"), F.max("n").alias("rows"))
 
 
-_OVERFLOW = re.compile(r"prompt.{0,16}too.?long|context.{0,30}(overflow|exceed|limit)|maximum.{0,20}token|tokens?\s*>\s*\d", re.I)
-_TRANSIENT = re.compile(r"rate.?limit|timeout|server|network|overloaded|unavailable", re.I)
+#: Fixed value: how an error states the size of a request and the limit.
 _GAP = re.compile(r"([\d,]+)\s*tokens?\s*>\s*([\d,]+)", re.I)
 
 
-def summarize_rounds(rounds: DataFrame, model: Callable[[str], str], attempts: int = 4, delay_ms: int = 500, cap_ms: int = 32_000, main_model: Callable[[str], str] | None = None) -> DataFrame:
+def stated_gap(message: str) -> int | None:
+    """By how many tokens a request was too large, if the error says so."""
+    found = _GAP.search(message)
+    return int(found[1].replace(",", "")) - int(found[2].replace(",", "")) if found else None
+
+
+def rounds_to_drop(tokens: Sequence[int], gap: int | None) -> int:
+    """How many of the oldest rounds go: the fewest that hold ``gap`` tokens, a fifth without one; one at least goes, one stays."""
+    enough = len(tokens) // 5 if gap is None else int(np.searchsorted(np.cumsum(tokens), gap)) + 1
+    return int(np.clip(enough, 1, len(tokens) - 1))
+
+
+def summarize_rounds(
+    rounds: DataFrame,
+    model: Callable[[str], str],
+    attempts: int = 4,
+    delay_ms: int = 500,
+    cap_ms: int = 32_000,
+    main_model: Callable[[str], str] | None = None,
+    strategy: str = "idle_headroom",
+    passing: str = "head_tail",
+) -> DataFrame:
     """Summaries with retries: session_id, summary, error, attempts, dropped.
 
-    ``rounds``: session_id, texts (array, oldest first), tokens (array). On an overflow the
-    oldest rounds go, enough to cover the stated gap, else a fifth; on a passing fault the
-    call waits, longer each time; ``main_model`` is asked last if it is given. What still
-    fails is an error row.
+    ``rounds``: session_id, texts (array, oldest first), tokens (array). What an error
+    means is read from the table of ``strategy``, and whether it passes from that of
+    ``passing`` (its message counts as its code where it has none). On an overflow the
+    oldest rounds go (``rounds_to_drop``); on a passing fault the call waits, longer each
+    time; ``main_model`` is asked last if it is given. What still fails is an error row.
     """
 
+    def ask(call: Callable[[str], str], texts: list[str]) -> tuple[str | None, list[tuple[str, str]]]:
+        try:
+            out = call("\n\n".join(texts))
+        except Exception as e:  # noqa: BLE001  the model's faults are data
+            return None, faults.chain_of(e)
+        return (out, []) if out and out.strip() else (None, [("", "empty summary")])
+
     def one(texts: list[str], tokens: list[int]) -> tuple[str | None, str | None, int, int]:
-        error, dropped, waits = "no attempt", 0, 0
+        dropped, waits, chain = 0, 0, [("", "no attempt")]
         for n in range(1, attempts + 1):
-            try:
-                out = model("\n\n".join(texts[dropped:]))
-                if out and out.strip():
-                    return out, None, n, dropped
-                error = "empty summary"
-            except Exception as e:  # noqa: BLE001  the model's faults are data
-                error = str(e)
-            left = len(texts) - dropped
-            if _OVERFLOW.search(error) and left > 1:
-                found, go = _GAP.search(error), max(1, left // 5)
-                if found:
-                    gap, covered, go = int(found[1].replace(",", "")) - int(found[2].replace(",", "")), 0, 0
-                    while go < left - 1 and covered < gap:
-                        covered += tokens[dropped + go]
-                        go += 1
-                dropped += min(left - 1, max(1, go))
-            elif _TRANSIENT.search(error):
+            out, chain = ask(model, texts[dropped:])
+            if out is not None:
+                return out, None, n, dropped
+            if faults.classify(strategy, chain) == "overflow" and len(texts) - dropped > 1:
+                dropped += rounds_to_drop(tokens[dropped:], stated_gap(chain[0][1]))
+            elif faults.classify(passing, [(c or m, m) for c, m in chain]) == "transient":
                 time.sleep(min(cap_ms, delay_ms * 2**waits) / 1000)
                 waits += 1
             else:
                 break
         if main_model is not None:
-            try:
-                out = main_model("\n\n".join(texts[dropped:]))
-                if out and out.strip():
-                    return out, None, attempts + 1, dropped
-            except Exception as e:  # noqa: BLE001
-                error = str(e)
-        return None, error, attempts, dropped
+            out, last = ask(main_model, texts[dropped:])
+            if out is not None:
+                return out, None, attempts + 1, dropped
+            chain = last
+        return None, chain[0][1], attempts, dropped
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .functions import blocks, pricing, text
+from .functions import blocks, faults, pricing, text
 from .operators import lineage, lookups, pruning, selection, state, structure, trials, usage
-from .plans import compaction, restoration, strategies
+from .plans import compaction, presets, restoration, strategies
 from .sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,20 +126,27 @@ _ANCHOR = {
     "since_checkpoint": ("coalesce(u_total, u_input + u_output + u_cache)", "finish NOT IN ('error', 'aborted') AND n > 0 AND seq >= cp", "a.n + later", "total", "false"),
     "last_only": ("coalesce(nullif(u_total, 0), u_input + u_output + u_cache)", "true", "a.n", "total", "false"),
     "clamped": ("coalesce(u_total, u_input + u_output + u_cache)", "true", "greatest(a.n - coalesce(r.gone, 0), 0) + later", "total", "false"),
-    "floored": ("u_input + u_output + u_cache", "true", "greatest(a.n + later - coalesce(r.gone, 0), 0)", "total", "false"),
+    "floored": ("u_input + u_output + u_cache", "true", "greatest(a.n + z.later - coalesce(r.gone, 0), 0)", "total", "false"),
     "padded": ("u_input + u_output + u_cache", "true", "greatest(a.n + (later * 3 + 1) // 2 - coalesce(r.gone, 0), 0)", "(total * 3 + 1) // 2", "false"),
 }
 
 
+#: Rows after the first of the anchor's message id, without its own: an answer may be several rows with results between.
+_FLOORED = """, b AS (SELECT a.session_id, a.message_id, a.pos, coalesce(max(t.pos), -1) AS other FROM a LEFT JOIN t ON t.session_id = a.session_id AND t.role = 'assistant' AND t.pos < a.pos AND t.message_id <> a.message_id GROUP BY ALL),
+f AS (SELECT b.session_id, b.message_id, min(t.pos) AS first FROM b JOIN t ON t.session_id = b.session_id AND t.message_id = b.message_id AND t.pos > b.other GROUP BY ALL),
+z AS (SELECT f.session_id, coalesce(sum(t.price), 0) AS later FROM f LEFT JOIN t ON t.session_id = f.session_id AND t.pos > f.first AND t.message_id <> f.message_id GROUP BY f.session_id)"""
+
+
 def _context(policy: str) -> None:
     count, valid, size, bare, stale = _ANCHOR[policy]
+    more, join = (_FLOORED, " LEFT JOIN z ON z.session_id = d.session_id") if policy == "floored" else ("", "")
 
     @query(f"context_{policy}", f"""WITH {LOG}, cps AS (SELECT session_id, coalesce(max(CASE WHEN source_kind = 'compact-checkpoint' THEN seq END), -1) AS cp FROM t GROUP BY session_id),
 w AS (SELECT t.*, cp, {count} AS n, sum(price) OVER (PARTITION BY t.session_id) AS total, coalesce(sum(price) OVER (PARTITION BY t.session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM t JOIN cps ON t.session_id = cps.session_id),
 a AS (SELECT * FROM w WHERE has_usage AND {valid} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) = 1),
-r AS (SELECT session_id, seq, sum(k)::BIGINT AS gone FROM t WHERE has_usage GROUP BY ALL)
+r AS (SELECT session_id, seq, sum(k)::BIGINT AS gone FROM t WHERE has_usage GROUP BY ALL){more}
 SELECT d.session_id, CASE WHEN a.n IS NULL THEN {bare.replace('total', 'd.total')} ELSE {size} END::BIGINT AS tokens, coalesce({stale}, false) AS stale
-FROM (SELECT session_id, sum(price) AS total FROM t GROUP BY session_id) d LEFT JOIN a ON a.session_id = d.session_id LEFT JOIN r ON r.session_id = a.session_id AND r.seq = a.seq""")
+FROM (SELECT session_id, sum(price) AS total FROM t GROUP BY session_id) d LEFT JOIN a ON a.session_id = d.session_id LEFT JOIN r ON r.session_id = a.session_id AND r.seq = a.seq{join}""")
     def run(spark, sf_dir):
         rows = log(spark, sf_dir)
         removed = rows.where("usage is not null").select("session_id", "seq", F.col("k").alias("tokens"))
@@ -270,7 +277,6 @@ def call_intervals(spark, sf_dir):
     return structure.call_intervals(log(spark, sf_dir)).select("session_id", "pos", "call_id", "closed_at")
 
 
-_SHORT = "t1 AS (SELECT * FROM t WHERE pos < 12 + session_id % 9)"
 
 
 @query("orphan_sessions", f"WITH {LOG}, ev AS (SELECT session_id, pos, coalesce(call_id, result_id) AS id, call_id IS NOT NULL AS call FROM t WHERE kind IN ('view', 'click', 'error')), l AS (SELECT *, lag(call) OVER (PARTITION BY session_id, id ORDER BY pos) AS prior FROM ev) SELECT DISTINCT session_id FROM l WHERE NOT call AND NOT coalesce(prior, false)")
@@ -448,6 +454,7 @@ def appended_within_budget(spark, sf_dir):
 @query("fitted_rows")
 def fitted_rows(spark, sf_dir):
     rows = structure.rounds(conv(spark, sf_dir)).select("session_id", F.col("pos").alias("idx"), F.col("round").alias("grp"), (F.col("role") == "user").alias("user"), logs.text_of().alias("text"))
+    rows = rows.withColumn("short", text.clip(F.col("text"), 256, "\n[{} characters omitted]"))
     return selection.fit_rows(rows, 600).select("session_id", "idx", F.length("text").cast("long").alias("chars"), "fits")
 
 
@@ -542,12 +549,14 @@ def failed_calls(spark, sf_dir):
     return lookups.failed_calls(log(spark, sf_dir)).select("session_id", "pos", "call_id", "failed")
 
 
-@query("completed_batches", f"""WITH {LOG}, f AS (SELECT * FROM t WHERE role = 'assistant' AND seq > 2000 QUALIFY row_number() OVER (PARTITION BY session_id, message_id ORDER BY pos) = 1),
+@query("completed_batches", f"""WITH {LOG}, cp AS (SELECT session_id, max(seq) AS cp FROM t WHERE source_kind = 'compact-checkpoint' GROUP BY session_id),
+f AS (SELECT t.* FROM t LEFT JOIN cp USING (session_id) WHERE role = 'assistant' AND seq > coalesce(cp, -1) QUALIFY row_number() OVER (PARTITION BY session_id, message_id ORDER BY pos) = 1),
 r AS (SELECT session_id, result_id, max(seq) AS rs FROM t WHERE result_id IS NOT NULL GROUP BY ALL)
 SELECT f.session_id, count(*) FILTER (coalesce(rs > f.seq, false)) AS batches FROM f LEFT JOIN r ON r.session_id = f.session_id AND r.result_id = f.call_id WHERE f.call_id IS NOT NULL GROUP BY f.session_id""")
 def completed_batches(spark, sf_dir):
+    """Since each session's last checkpoint."""
     rows = log(spark, sf_dir)
-    return lookups.completed_batches(rows, rows.select("session_id").distinct().withColumn("seq", F.lit(2000)))
+    return lookups.completed_batches(rows, rows.where("source_kind = 'compact-checkpoint'").groupBy("session_id").agg(F.max("seq").alias("seq")))
 
 
 @query("succeeded_calls", f"WITH {LOG} SELECT session_id, pos, call_id FROM t WHERE call_id IS NOT NULL AND EXISTS (SELECT 1 FROM t r WHERE r.session_id = t.session_id AND r.result_id = t.call_id AND NOT r.is_error)")
@@ -588,18 +597,12 @@ def original_users(spark, sf_dir):
     return lookups.original_users(log(spark, sf_dir), F.lit(1000), F.lit(6000)).select("session_id", "pos")
 
 
-@query("orphan_closure", f"""WITH RECURSIVE {LOG}, {_SHORT}, l AS (SELECT session_id, pos, coalesce(call_id, result_id) AS id FROM t1 WHERE kind IN ('view', 'click', 'error')),
-f AS (SELECT session_id, min(pos) AS pos FROM t1 WHERE role <> 'system' GROUP BY session_id),
-r AS (SELECT session_id, pos FROM f UNION SELECT b.session_id, b.pos FROM r JOIN l a ON a.session_id = r.session_id AND a.pos = r.pos JOIN l b ON b.session_id = a.session_id AND b.id = a.id)
-SELECT DISTINCT session_id, pos FROM r""")
+@query("orphan_closure", f"""WITH RECURSIVE {LOG}, l AS (SELECT DISTINCT session_id, pos, coalesce(call_id, result_id) AS id FROM t WHERE kind IN ('view', 'click', 'error')),
+f AS (SELECT session_id, min(pos) AS pos FROM t WHERE role <> 'system' GROUP BY session_id),
+n AS (SELECT DISTINCT a.session_id, a.id, b.id AS other FROM l a JOIN l b ON b.session_id = a.session_id AND b.pos = a.pos),
+r AS (SELECT session_id, id FROM f JOIN l USING (session_id, pos) UNION SELECT r.session_id, n.other FROM r JOIN n ON n.session_id = r.session_id AND n.id = r.id)
+SELECT session_id, pos FROM f UNION SELECT session_id, pos FROM r JOIN l USING (session_id, id)""")
 def orphan_closure(spark, sf_dir):
-    """On the first 12 to 20 rows of each session, as its SQL says; ``orphan_closure_whole`` is the whole log."""
-    return lookups.orphan_closure(log(spark, sf_dir).where("pos < 12 + session_id % 9"))
-
-
-@query("orphan_closure_whole")
-def orphan_closure_whole(spark, sf_dir):
-    """On all rows (no SQL: compared with a literal walk in the tests)."""
     return lookups.orphan_closure(log(spark, sf_dir))
 
 
@@ -616,12 +619,16 @@ def protected_paths(spark, sf_dir):
     return lookups.unprotected_paths(rows.where("tool_call_id is not null"), rows.where("source_form = 'instructions'")).select("session_id", "pos", "path")
 
 
-@query("retained_state", f"""WITH {LOG} SELECT session_id, pos, 0 AS nth, 'signup ' || k AS text FROM t WHERE role = 'user' AND source_kind = 'user'
-UNION ALL SELECT session_id, pos, n::INTEGER, 'saved ' || k || ' ' || n FROM t, (SELECT unnest([0, 1]) AS n) WHERE source_kind = 'compact-checkpoint' AND k % 2 = 1""")
+@query("retained_state", f"""WITH {LOG}, u AS (SELECT *, CASE WHEN source_kind = 'user' AND source_form IS NOT NULL THEN 'note' ELSE source_kind END AS sk FROM t WHERE role = 'user')
+SELECT session_id, pos, 0 AS nth, 'user' AS what, 'signup ' || k AS text FROM u WHERE sk = 'user'
+UNION ALL (SELECT session_id, pos, 0, 'context', 'signup ' || k FROM u WHERE sk = 'note' QUALIFY row_number() OVER (PARTITION BY session_id, source_form, CASE WHEN source_form = 'instructions' THEN message_id END ORDER BY pos DESC) = 1)
+UNION ALL SELECT session_id, pos, n::INTEGER, 'user', 'saved ' || k || ' ' || n FROM u, (SELECT unnest([0, 1]) AS n) WHERE sk = 'compact-checkpoint' AND k % 2 = 1""")
 def retained_state(spark, sf_dir):
     rows = log(spark, sf_dir)
+    rows = rows.withColumn("source_kind", F.when((F.col("source_kind") == "user") & F.col("source_form").isNotNull(), "note").otherwise(F.col("source_kind")))
     saved = rows.where("source_kind = 'compact-checkpoint' and k % 2 = 1").select("session_id", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"), "k")
-    return lookups.retained_state(rows, saved.select("session_id", "seq", "nth", F.concat(F.lit("saved "), F.col("k").cast("string"), F.lit(" "), F.col("nth").cast("string")).alias("text")))
+    saved = saved.select("session_id", "seq", "nth", F.concat(F.lit("saved "), F.col("k").cast("string"), F.lit(" "), F.col("nth").cast("string")).alias("text"))
+    return lookups.retained_state(rows, saved).drop("state_key")
 
 
 # --- lineage, sets, order
@@ -791,10 +798,33 @@ def token_gaps(spark, sf_dir):
     return rows.select("event_id", text.token_gap(plain).alias("gap"), text.token_gap(commas, commas=True).alias("grouped"))
 
 
-@query("error_classes", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'overflow' WHEN 1 THEN 'media' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'transient' ELSE 'other' END AS class FROM events")
-def error_classes(spark, sf_dir):
-    samples = F.array(*[F.lit(x) for x in ("Prompt was too long", "IMAGE_TOO_LARGE", "request was aborted", "rate-limit hit", "no such file")])
-    return logs.table(spark, sf_dir, "events").select("event_id", text.error_class(F.element_at(samples, (F.col("event_id") % 5 + 1).cast("int"))).alias("class"))
+#: Errors as (code, message, code of the cause), one for each eighth event.
+_ERRORS = (
+    ("", "prompt is too long: 210000 tokens > 200000", ""), ("CONTEXT_WINDOW_EXCEEDED", "refused", ""), ("IMAGE_TOO_LARGE", "no", ""), ("ABORTED", "the user stopped", ""),
+    ("", "service unavailable", "RATE_LIMIT"), ("MAX_TOKENS", "summary truncated", ""), ("", "context length above the limit", ""), ("X", "no such file", "PROMPT_TOO_LONG"),
+)
+_ERROR_SQL = {
+    "idle_headroom": "CASE WHEN regexp_matches(m, '(?i)prompt.{0,16}too.?long|context.{0,30}(overflow|exceed|limit)|maximum.{0,20}token') THEN 'overflow' END",
+    "user_tail": "CASE WHEN regexp_matches(c, '(?i)ABORT|CANCEL|INTERRUPT|SESSION_BUDGET_EXCEEDED') THEN 'terminal' WHEN regexp_matches(c, '(?i)CONTEXT.*(EXCEED|OVERFLOW|LENGTH)|PROMPT_TOO_LONG') OR regexp_matches(m, '(?i)context.{0,35}(exceed|overflow|limit)|prompt.{0,16}too.?long|maximum context length') THEN 'overflow' END",
+    "image_guard": "CASE WHEN regexp_matches(m, '(?i)context.{0,40}(exceed|limit|overflow)|prompt.{0,16}too.?long|maximum.{0,20}token') THEN 'overflow' END",
+    "round_keep": "CASE WHEN regexp_matches(c, '(?i)MEDIA_TOO_LARGE|IMAGE_TOO_LARGE|UNSUPPORTED_CONTENT|REQUEST_TOO_LARGE') THEN 'media' WHEN regexp_matches(c, '(?i)CONTEXT.*(EXCEED|OVERFLOW)|PROMPT_TOO_LONG') OR regexp_matches(m, '(?i)context.*(window|length|exceed)|prompt.*too long|tokens?\\s*>\\s*\\d') THEN 'overflow' END",
+    "head_tail": "CASE WHEN regexp_matches(c || '|' || k, '(?i)CONTEXT[^|]*(EXCEED|OVERFLOW)|PROMPT_TOO_LONG') OR regexp_matches(m, '(?i)context.*(length|window|exceed)|prompt.*too long') THEN 'overflow' WHEN regexp_matches(c || '|' || k, '(?i)MAX_TOKENS|EMPTY_RESPONSE') THEN 'incomplete' WHEN regexp_matches(c || '|' || k, '(?i)RATE_LIMIT|TIMEOUT|SERVER|NETWORK|OVERLOADED|UNAVAILABLE') THEN 'transient' END",
+    "calibrated": "CASE WHEN regexp_matches(c, '(?i)^(?:ABORTED|CANCELLED|CANCELED|ABORT_ERR)$') OR regexp_matches(k, '(?i)^(?:ABORTED|CANCELLED|CANCELED|ABORT_ERR)$') THEN 'cancelled' END",
+}
+
+
+@query("fault_classes", "WITH x(i, c, m, k) AS (VALUES " + ", ".join(f"({i}, '{c}', '{m}', '{k}')" for i, (c, m, k) in enumerate(_ERRORS)) + ") SELECT event_id, " + ", ".join(f"{sql} AS {name}" for name, sql in _ERROR_SQL.items()) + " FROM events JOIN x ON event_id % 8 = i")
+def fault_classes(spark, sf_dir):
+    link = lambda c, m: F.struct(F.lit(c).alias("code"), F.lit(m).alias("message"))
+    chains = F.array(*[F.array(link(c, m), link(k, "")) for c, m, k in _ERRORS])
+    chain = F.element_at(chains, (F.col("event_id") % 8 + 1).cast("int"))
+    return logs.table(spark, sf_dir, "events").select("event_id", *[faults.fault_class(name, chain).alias(name) for name in _ERROR_SQL])
+
+
+@query("request_triggers", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'request-too-large' WHEN 1 THEN 'context-overflow' END AS asks_for FROM events")
+def request_triggers(spark, sf_dir):
+    i = F.col("event_id") % 3
+    return logs.table(spark, sf_dir, "events").select("event_id", faults.request_trigger(F.when(i == 0, 413).otherwise(400), F.when(i == 1, "CONTEXT_WINDOW_EXCEEDED").otherwise("BAD")).alias("asks_for"))
 
 
 @query("response_faults", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'truncated' WHEN 1 THEN 'error' WHEN 2 THEN 'not text' WHEN 3 THEN 'empty' END AS fault FROM events")
@@ -813,12 +843,16 @@ def file_tag_texts(spark, sf_dir):
     return g.select("session_id", text.file_tags(F.col("r"), F.col("w")).alias("tags"))
 
 
-@query("files_sections", f"""WITH {LOG}, f AS (SELECT session_id, list_sort(list_distinct(list(path) FILTER (tool = 'read_file' AND k < 10))) AS r FROM t WHERE call_id IS NOT NULL GROUP BY session_id)
-SELECT session_id, '## Files' || chr(10) || 'Read:' || chr(10) || CASE WHEN len(coalesce(r, [])) > 0 THEN '- ' || array_to_string(r, chr(10) || '- ') ELSE '- none' END || chr(10) || 'Edited:' || chr(10) || '- none' AS section FROM f""")
+_PATHS = lambda c: f"CASE WHEN len({c}) > 0 THEN '- ' || array_to_string({c}, chr(10) || '- ') ELSE '- none' END"
+
+
+@query("files_sections", f"""WITH {LOG}, f AS (SELECT session_id, coalesce(list_sort(list_distinct(list(path) FILTER (tool = 'read_file'))), []) AS r, coalesce(list_sort(list_distinct(list(path) FILTER (tool = 'write-file'))), []) AS w FROM t WHERE call_id IS NOT NULL GROUP BY session_id)
+SELECT session_id, '## Files' || chr(10) || 'Read:' || chr(10) || {_PATHS('r')} || chr(10) || 'Edited:' || chr(10) || {_PATHS('w')} AS section FROM f""")
 def files_sections(spark, sf_dir):
-    rows = logs.calls_of(log(spark, sf_dir)).join(log(spark, sf_dir).select("session_id", "pos", "k"), ["session_id", "pos"]).withColumn("path", text.path_from_json(F.col("arguments")))
-    g = rows.groupBy("session_id").agg(F.array_sort(F.collect_set(F.when((F.col("name") == "read_file") & (F.col("k") < 10), F.col("path")))).alias("r"))
-    return g.select("session_id", text.files_section(F.col("r"), F.array().cast("array<string>")).alias("section"))
+    rows = logs.calls_of(log(spark, sf_dir)).withColumn("path", text.path_from_json(F.col("arguments")))
+    named = lambda tool: F.array_sort(F.collect_set(F.when(F.col("name") == tool, F.col("path"))))
+    g = rows.groupBy("session_id").agg(named("read_file").alias("r"), named("write-file").alias("w"))
+    return g.select("session_id", text.files_section(F.col("r"), F.col("w")).alias("section"))
 
 
 @query("clipped_text", "SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN left(text, 100) || chr(10) || '[' || (length(text) - 100) || ' characters omitted]' ELSE text END AS clipped FROM conversations")
@@ -839,10 +873,13 @@ def media_placeholders(spark, sf_dir):
     return logs.table(spark, sf_dir, "events").select("event_id", logs.text_of(blocks=blocks.media_as_text(own)).alias("text"))
 
 
-@query("fingerprints", "SELECT count(DISTINCT props || event_type)::BIGINT AS contents, count(DISTINCT user_id)::BIGINT AS sessions FROM events WHERE event_type <> 'view'")
+@query("fingerprints", f"""WITH {LOG}, c AS (SELECT *, CASE WHEN kind = 'view' THEN 'call ' || (k % 20) ELSE kind || ' ' || k END AS content FROM t)
+SELECT session_id, pos, min(pos) OVER (PARTITION BY session_id, content) AS same_as, count(*) OVER (PARTITION BY content) AS times FROM c""")
 def fingerprints(spark, sf_dir):
-    rows = log(spark, sf_dir).where(~F.exists("blocks", lambda b: b["type"] == "tool-call"))
-    return rows.agg(F.count_distinct(lookups.fingerprint()).alias("contents"), F.count_distinct("session_id").alias("sessions"))
+    """Each row with the first row of its session, and the number of all rows, that have its content."""
+    rows = log(spark, sf_dir).select("session_id", "pos", lookups.fingerprint().alias("f"))
+    times = rows.groupBy("f").agg(F.count("*").alias("times"))
+    return rows.withColumn("same_as", F.min("pos").over(W.partitionBy("session_id", "f"))).join(times, "f").select("session_id", "pos", "same_as", "times")
 
 
 @query("session_paths", "SELECT event_id, regexp_replace(regexp_replace(trim(s), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS name, replace(s, '|', chr(92) || '|') AS cell FROM (SELECT event_id, ' /' || event_type || '|' || event_id || '/ ' AS s FROM events)")
@@ -928,9 +965,9 @@ def unchanged_sessions(spark, sf_dir):
     return state.unchanged(state.version(rows, ["pos", "seq", "price"]), state.version(changed, ["pos", "seq", "price"]))
 
 
-@query("shrink_checks", f"WITH {LOG}, o AS (SELECT session_id, sum(price)::BIGINT AS old_tokens FROM t WHERE pos < 5 GROUP BY session_id) SELECT session_id, 400 + session_id AS tokens, old_tokens, 400 + session_id < old_tokens AS accepted FROM o")
+@query("shrink_checks", f"WITH {LOG}, o AS (SELECT session_id, sum(price)::BIGINT AS old_tokens FROM t GROUP BY session_id) SELECT session_id, 400 + session_id AS tokens, old_tokens, 400 + session_id < old_tokens AS accepted FROM o")
 def shrink_checks(spark, sf_dir):
-    rows = log(spark, sf_dir).where("pos < 5")
+    rows = log(spark, sf_dir)
     return state.shrinks(rows, rows.select("session_id").distinct().withColumn("tokens", F.lit(400) + F.col("session_id"))).select("session_id", "tokens", "old_tokens", "accepted")
 
 
@@ -951,12 +988,48 @@ def compacted_entries(spark, sf_dir):
     return logs.compact(rows, rows.where("pos between 3 and 9"), points).select("session_id", "pos", "role", "source_kind")
 
 
-@query("checkpoint_parts", "SELECT conv_id AS session_id, array_to_string(['before', 'summary ' || conv_id] || list('kept ' || turn ORDER BY turn), '|') AS parts FROM conversations WHERE turn < 2 GROUP BY conv_id")
+@query("checkpoint_parts", "SELECT conv_id AS session_id, array_to_string(['before', 'summary ' || conv_id] || list('kept ' || turn ORDER BY turn), '|') AS parts FROM conversations GROUP BY conv_id")
 def checkpoint_parts(spark, sf_dir):
-    rows = logs.table(spark, sf_dir, "conversations").where("turn < 2").groupBy(F.col("conv_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("kept "), F.col("turn").cast("string")))).alias("restored"))
+    kept = F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.concat(F.lit("kept "), x.cast("string")))
+    rows = logs.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(kept.alias("restored"))
     return rows.select("session_id", F.array_join(F.concat(F.array(F.lit("before"), F.concat(F.lit("summary "), F.col("session_id").cast("string"))), "restored"), "|").alias("parts"))
 
 
+_SPAN = "i AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS island FROM t)"
+_SELECT_SQL = {
+    "head_tail": f"""WITH {LOG}, {_SPAN}, s AS (SELECT session_id, island, count(*) AS "rows", sum(price)::BIGINT AS tokens, min(pos) AS first_pos, max(pos) AS last_pos FROM i WHERE role <> 'system' GROUP BY ALL HAVING bool_or(source_kind <> 'compact-checkpoint'))
+SELECT session_id, "rows", tokens, first_pos, last_pos FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY island) = 1""",
+}
+
+
+def _select(preset: str, keep: int) -> None:
+    @query(f"select_{preset}", _SELECT_SQL.get(preset))
+    def run(spark, sf_dir):
+        """What the preset hands to a summary (without SQL: compared with literal walks in the tests)."""
+        rows = log(spark, sf_dir)
+        if preset == "calibrated":
+            rows = expected_only(rows)
+        if preset == "turn_tail":
+            rows = rows.withColumn("json_len", F.col("price") * 4)
+        return presets.SELECT[preset](rows, keep).groupBy("session_id").agg(F.count("*").alias("rows"), F.sum("price").alias("tokens"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+for _p in strategies.STRATEGIES:
+    _select(_p, 6_000)
+
+
+def _kept_users(name: str, preset: Callable[..., DataFrame]) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        """The users' texts that the preset keeps of whole conversations (no SQL: literal walks in the tests)."""
+        rows = conv(spark, sf_dir)
+        return preset(rows, rows, 300).select("session_id", "ord", F.length("text").cast("long").alias("chars"))
+
+
+_kept_users("retained_users", presets.retained_users)
+_kept_users("head_and_tail_users", presets.head_and_tail_users)
+
+
 @query("compaction_verdicts")
 def compaction_verdicts(spark, sf_dir):
     """The whole plan with the model-free checkpoint (checked by invariants in the tests)."""
@@ -1025,9 +1098,9 @@ def repeated_reads(spark, sf_dir):
     return trials.repeated_reads(calls, ["session_id", "arguments", "k"], "pos")
 
 
-@query("recall_scores", f"WITH {LOG} SELECT session_id, count(*) FILTER (k % 3 > 0) AS passed, count(*) AS total FROM t WHERE pos < 10 GROUP BY session_id")
+@query("recall_scores", f"WITH {LOG} SELECT session_id, count(*) FILTER (k % 3 > 0) AS passed, count(*) AS total FROM t GROUP BY session_id")
 def recall_scores(spark, sf_dir):
-    return trials.recall_score(log(spark, sf_dir).where("pos < 10").withColumn("passed", F.col("k") % 3 > 0))
+    return trials.recall_score(log(spark, sf_dir).withColumn("passed", F.col("k") % 3 > 0))
 
 
 @query("reductions", f"WITH {LOG}, m AS (SELECT session_id, sum(price) AS b, sum(price) FILTER (pos >= 20) AS a FROM t GROUP BY session_id) SELECT session_id, round(100.0::DOUBLE * (1 - a::DOUBLE / b), 1) AS percent FROM m")

@@ -198,7 +198,7 @@ def test_orphan_closure_runs_on_the_whole_log(spark, sf_dir):
             calls = set().union(*(ids for p, _, ids in rows if p in gone))
             more = gone | {p for p, _, ids in rows if ids & calls}
         want |= {(s, p) for p in gone}
-    got = [(r.session_id, r.pos) for r in q.QUERIES["orphan_closure_whole"](spark, sf_dir).collect()]
+    got = [(r.session_id, r.pos) for r in q.QUERIES["orphan_closure"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
     assert max(p for _, p in got) > 20
 
