@@ -159,8 +159,10 @@ def test_run_for_every_preset(spark):
         assert rows and all(r.accepted == (r.tokens < r.old_tokens) for r in rows), name
         assert new.where(structure.checkpoint()).count() >= sum(r.accepted for r in rows), name
     files = spark.createDataFrame([("p", "file body")], "path string, text string")
-    new, _ = compaction.run(df, sessions, "idle_headroom", F.col("price") * 100, 50, lambda p: "short", settings=settings, files=files)
-    assert new.where(structure.checkpoint()).where(F.exists("blocks", lambda b: F.coalesce(b["text"].contains("file body"), F.lit(False)))).count() >= 0
+    new, verdicts = compaction.run(df, sessions, "idle_headroom", F.col("price") * 100, 50, lambda p: "short", settings=settings, files=files)
+    done = verdicts.where("accepted").select("session_id")
+    given = new.where(structure.checkpoint()).join(done, "session_id", "left_semi").where(F.exists("blocks", lambda b: b["text"] == "short"))
+    assert given.select("session_id").distinct().count() == done.count() > 0
 
     def picky(prompt):
         if len(prompt) > 120:
