@@ -36,35 +36,47 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_classifier.score(rows, model).where("kept").select("row.*")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Each row as ``row``, with a number of its own. Written, so that the numbers hold for all reads."""
-    return materialize(docs.select(whole_rows(docs).alias("row"), F.monotonically_increasing_id().alias("nth")), "numbered")
+def _named(docs: DataFrame) -> DataFrame:
+    """Each row as ``row``, with ``name``, a hash of all of it: only equal rows share one. Nothing is written."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in cols])
+    return docs.select(whole_rows(docs).alias("row"), F.concat_ws("-", F.hex(F.xxhash64(nulls, *cols)), F.hex(F.xxhash64(F.lit("row"), nulls, *cols))).alias("name"))
+
+
+def _chosen(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` of ``names`` (name, n: how many rows have it, and more columns), one for each name."""
+    kept = rows.join(names.where("n = 1"), "name")
+    again = names.where("n > 1")
+    if again.limit(1).count():  # only equal rows are sent to be told apart
+        kept = kept.unionByName(rows.join(again, "name").dropDuplicates(["name"]))
+    return kept
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that with the smallest id (null last).
 
-    Rows are judged by their own texts, also where ids repeat or are null. Texts without
-    a word (null, empty, blank) are near to nothing and all stay. Of equal rows the one
-    read first stays.
+    Rows are judged by their own texts, also where ids repeat or are null; of equal rows
+    one stays. Texts without a word (null, empty, blank) are near to nothing: of each
+    different row with one, one stays.
     """
-    rows = _numbered(docs)
-    classes = ngram_join.ngram_classes(rows.select("nth", "row.text"), key="nth").select("nth", "class_id")
-    named = materialize(classes.join(rows.select("nth", "row.doc_id"), "nth"), "near-duplicates")
-    heads = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))["nth"].alias("nth"))
-    return rows.select("row", "nth").join(heads.select("nth"), "nth", "left_semi").select("row.*")
+    rows = _named(docs)
+    classes = ngram_join.ngram_classes(rows.select("name", "row.text"), key="name").groupBy("name").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    ids = rows.select("name", "row.doc_id").distinct()
+    heads = classes.join(ids, "name").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name", "n")).alias("head"))
+    return _chosen(rows, materialize(heads.select("head.name", "head.n"), "near-duplicates")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice.
 
-    Copies belong to rows, not to ids: repeated and null ids are mixed row by row. A
-    null source is one of its own; a text without words is taken once if its source
-    is taken from at all.
+    Copies belong to rows, not to ids: repeated and null ids are mixed row by row, and
+    equal rows come as often as the mix takes them together. A null source is one of its
+    own; a text without words is taken once if its source is taken from at all.
     """
-    rows = _numbered(docs)
-    copies = mixing.mix(rows.select("nth", "row.doc_id", "row.text", "row.source"), carry=["nth"]).where("copies > 0").select(F.col("row.nth").alias("own"), "copies")
-    taken = rows.select("row", "nth").join(copies, F.col("nth") == F.col("own"))
+    rows = _named(docs)
+    mixed = mixing.mix(rows.select("name", "row.doc_id", "row.text", "row.source"), carry=["name"])
+    copies = mixed.groupBy("row.name").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    taken = _chosen(rows, materialize(copies, "copies"))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
