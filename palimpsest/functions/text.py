@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,34 +44,34 @@ def markdown_cell(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), "\\r?\\n", "<br>")
 
 
-def cut_middle(text: str, tokens: float) -> str:
-    """Both ends of a text within ``tokens`` of four UTF-8 bytes, and how many tokens went."""
-    raw, room = text.encode("utf-8", "replace"), max(0, int(tokens // 1)) * 4
-    if len(raw) <= room:
-        return text
-    front = raw[: room // 2].decode("utf-8", "ignore")
-    back = raw[len(raw) - (room - room // 2) :]
-    while back and back[0] & 0xC0 == 0x80:
-        back = back[1:]
-    return f"{front}…{-(-(len(raw) - room) // 4)} tokens truncated…{back.decode()}"
+def _continues(raw: Column, at: Column) -> Column:
+    """Whether the byte at this place (from 1) goes on with a character that began before it."""
+    return F.hex(F.substring(raw, at, F.lit(1))).between("80", "BF")
 
 
-def _cut_middles(text: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else cut_middle(t, n) for t, n in zip(text, tokens, strict=True)], dtype=object)
+def middle_truncate(text: Column, tokens: Column) -> Column:
+    """Both ends of a text within ``tokens`` of four UTF-8 bytes, cut between characters, and how many tokens went."""
+    raw, n = text.cast("binary"), F.octet_length(text)
+    room = (F.greatest(F.lit(0), F.floor(tokens)) * 4).cast("int")
+    front = F.floor(room / 2).cast("int")
+    back = n - (room - front) + 1
+    # A character has at most four bytes, so its edge is at most three away.
+    last = F.when(~_continues(raw, front + 1), front).when(~_continues(raw, front), front - 1).when(~_continues(raw, front - 1), front - 2).otherwise(front - 3)
+    first = F.when(~_continues(raw, back), back).when(~_continues(raw, back + 1), back + 1).when(~_continues(raw, back + 2), back + 2).otherwise(back + 3)
+    gone = ceil_div(n - room, 4).cast("string")
+    ends = F.concat(F.substring(raw, F.lit(1), last).cast("string"), F.lit("…"), gone, F.lit(" tokens truncated…"), F.substring(raw, first, n).cast("string"))
+    return F.when(n <= room, text).otherwise(ends)
 
 
 def clip_weighted(text: str, budget: float, from_end: bool = False) -> str:
     """The longest start (or end) whose price is within ``budget``: a token for four ASCII characters or one other."""
-    ascii_, other, n = 0, 0, 0
-    for ch in reversed(text) if from_end else text:
-        if ch < "\x80":
-            ascii_ += 1
-        else:
-            other += 1
-        if -(-ascii_ // 4) + other > budget:
-            break
-        n += 1
-    return text[len(text) - n :] if from_end else text[:n]
+    most = max(0, 4 * int(budget))  # no more characters than that can fit
+    part = text[max(0, len(text) - most) :] if from_end else text[:most]
+    wide = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4") >= 128
+    other = np.cumsum(wide[::-1] if from_end else wide)
+    price = (np.arange(1, len(part) + 1) - other + 3) // 4 + other
+    n = int(np.searchsorted(price, budget, "right"))
+    return part[len(part) - n :] if from_end else part[:n]
 
 
 def _clips(text: pd.Series, budget: pd.Series, from_end: pd.Series) -> pd.Series:
@@ -94,10 +95,6 @@ def _objects(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([first_object(t) for t in part], dtype=object)
 
 
-def middle_truncate(text: Column, tokens: Column) -> Column:
-    return F.pandas_udf(_cut_middles, T.StringType())(text, tokens)
-
-
 def weighted_clip(text: Column, budget: Column, from_end: Column) -> Column:
     return F.pandas_udf(_clips, T.StringType())(text, budget, from_end)
 

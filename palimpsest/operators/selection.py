@@ -5,13 +5,12 @@ Sums of later rows are taken as total minus prefix, so one sort serves them all.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ceil_div
-from .structure import all_rows, balanced, checkpoint, indexed, orphan_sessions, rounds, rows_upto, session_order, typed_user
+from .structure import all_rows, balanced, checkpoint, indexed, orphan_sessions, rounds, rows_upto, session_order, turns, typed_user
 
 def _by_round() -> WindowSpec:
     return W.partitionBy("session_id").orderBy("round")
@@ -23,21 +22,28 @@ def with_suffix(entries: DataFrame, price: str = "price") -> DataFrame:
     return rows.withColumns({"later": F.col("total") - F.col("_upto"), "suffix": F.col("total") - F.col("_upto") + F.col(price)}).drop("_upto")
 
 
-def suffix_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
-    """Per session: total, cut (index of the first kept row, 0: nothing selected), rows and tokens selected.
+def with_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
+    """Rows with ``idx``, ``total``, ``cut`` (index of the first kept row, 0: nothing selected) and ``chosen`` (before the cut).
 
     The cut is the first valid one at or after the last row whose suffix reaches
     ``keep``, else the first valid one. Valid: not a result, nothing open before.
+    A start that holds nothing but checkpoints is not chosen.
     """
     rows = indexed(with_suffix(balanced(entries), price))
-    rows = rows.withColumn("valid", (F.col("role") != "tool") & (F.col("open_before") == 0))
-    rows = rows.withColumn("reach", F.max(F.when(F.col("suffix") >= keep, F.col("idx"))).over(all_rows()))
-    ends = rows.groupBy("session_id").agg(F.first("total").alias("total"), F.coalesce(F.min(F.when(F.col("valid") & (F.col("idx") >= F.col("reach")), F.col("idx"))), F.min(F.when(F.col("valid"), F.col("idx"))), F.lit(0)).alias("cut"))
-    chosen = rows.select("session_id", "idx", price, checkpoint().alias("c")).join(ends.select("session_id", "cut"), "session_id").where("idx < cut")
-    chosen = chosen.groupBy("session_id").agg(F.count("*").alias("rows"), F.sum(price).alias("tokens"), F.min("c").alias("only"))
+    rows = rows.withColumns({"_valid": (F.col("role") != "tool") & (F.col("open_before") == 0), "_reach": F.max(F.when(F.col("suffix") >= keep, F.col("idx"))).over(all_rows())})
+    at_reach, at_all = F.when(F.col("_valid") & (F.col("idx") >= F.col("_reach")), F.col("idx")), F.when(F.col("_valid"), F.col("idx"))
+    rows = rows.withColumn("cut", F.coalesce(F.min(at_reach).over(all_rows()), F.min(at_all).over(all_rows()), F.lit(0)).cast("long"))
+    fresh = F.coalesce(F.max(F.when(F.col("idx") < F.col("cut"), ~checkpoint())).over(all_rows()), F.lit(False))
+    rows = rows.withColumn("cut", F.when(fresh, F.col("cut")).otherwise(0))
+    return rows.withColumn("chosen", F.col("idx") < F.col("cut")).drop("_valid", "_reach", "later", "suffix", "open_before", "open_after")
+
+
+def suffix_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
+    """Per session: total, cut, rows and tokens selected, by ``with_cut``."""
     zero = F.lit(0).cast("long")
-    some = ~F.coalesce("only", F.lit(True))
-    return ends.join(chosen, "session_id", "left").select("session_id", "total", F.when(some, F.col("cut")).otherwise(zero).alias("cut"), F.when(some, F.col("rows")).otherwise(zero).alias("selected_rows"), F.when(some, F.col("tokens")).otherwise(zero).alias("selected_tokens"))
+    return with_cut(entries, keep, price).groupBy("session_id").agg(
+        F.first("total").alias("total"), F.first("cut").alias("cut"), F.count_if("chosen").alias("selected_rows"), F.coalesce(F.sum(F.when(F.col("chosen"), F.col(price))), zero).alias("selected_tokens"),
+    )
 
 
 def split_turn(entries: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -160,32 +166,32 @@ def turn_tail(entries: DataFrame, budget: int, tail_turns: int | None = None) ->
 
     Turns are taken newest first; of the first that is too large, the earliest balanced
     suffix that fits. The price of a run of messages is that of its JSON array
-    (``json_len`` of the rows, commas, brackets), which is no sum of rows; so each
-    session is walked in one place, over three numbers for each row.
+    (``json_len`` of the rows, commas, brackets), which is no sum of rows; but a turn's
+    price depends on that turn alone, so running sums over turns tell where taking ends.
     """
-    rows = indexed(balanced(entries)).select("session_id", "idx", "role", checkpoint().alias("cp"), "open_before", "json_len")
-
-    def walk(parts: pd.DataFrame) -> pd.DataFrame:
-        rows = parts.sort_values("idx")
-        role, n = rows["role"].tolist(), len(rows)
-        sums = [0, *rows["json_len"].cumsum().tolist()]
-        price = lambda a, b: (sums[b] - sums[a] + max(b - a - 1, 0) + 2 + 2) // 4
-        cut = [v == 0 for v in rows["open_before"]]
-        starts = [i for i in range(n) if role[i] == "user" and not rows["cp"].iloc[i]]
-        kept, total = n, 0
-        if tail_turns == 0 or not starts:
-            return pd.DataFrame({"session_id": [rows["session_id"].iloc[0]], "rows": [n], "kept": [n]})
-        ends = [*starts[1:], n]
-        for start, end in reversed(list(zip(starts, ends, strict=True))[-(tail_turns or len(starts)) :]):
-            size = price(start, end)
-            if total + size <= budget and cut[start]:
-                total, kept = total + size, start
-                continue
-            kept = next((i for i in range(start + 1, end) if cut[i] and role[i] != "tool" and price(i, end) <= budget - total), kept)
-            break
-        return pd.DataFrame({"session_id": [rows["session_id"].iloc[0]], "rows": [n], "kept": [kept or n]})
-
-    return rows.groupBy("session_id").applyInPandas(walk, f"session_id {rows.schema['session_id'].dataType.simpleString()}, rows long, kept long")
+    rows = turns(indexed(balanced(entries)))
+    turn = W.partitionBy("session_id", "turn_no")
+    upto = turn.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    array = lambda chars, n: F.floor((chars + F.greatest(n - 1, F.lit(0)) + 4) / 4).cast("long")
+    rows = rows.withColumns({"_chars": F.sum("json_len").over(turn), "_rows": F.count("*").over(turn), "_seen": F.sum("json_len").over(upto) - F.col("json_len"), "_nth": F.row_number().over(turn.orderBy("idx")) - 1})
+    rows = rows.withColumn("_from", array(F.col("_chars") - F.col("_seen"), F.col("_rows") - F.col("_nth")))  # the price from this row to the turn's end
+    head, clean = F.col("_nth") == 0, (F.col("open_before") == 0) & (F.col("role") != "tool")
+    spots = F.collect_list(F.when(clean & ~head, F.struct("_from", "idx")))
+    own = rows.groupBy("session_id", "turn_no").agg(
+        F.max("n").alias("rows"), F.min("idx").alias("start"), F.max(F.when(head, F.col("_from"))).alias("size"), F.max(F.when(head, F.col("open_before") == 0)).alias("cut"), spots.alias("spots"),
+    )
+    back = W.partitionBy("session_id").orderBy(F.desc("turn_no"))
+    sofar = back.rowsBetween(W.unboundedPreceding, 0)
+    real = F.col("turn_no") > 0  # rows before the first turn belong to none
+    own = own.withColumns({"_upto": F.sum("size").over(sofar), "_age": F.row_number().over(back)})
+    inside = real & (F.lit(True) if tail_turns is None else F.col("_age") <= tail_turns)
+    own = own.withColumn("_ends", F.max((inside & ~(F.col("cut") & (F.col("_upto") <= budget))).cast("int")).over(sofar))
+    own = own.withColumn("_ended", F.coalesce(F.max("_ends").over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    left = F.lit(budget) - (F.col("_upto") - F.col("size"))
+    part = F.array_min(F.transform(F.filter("spots", lambda x: x["_from"] <= left), lambda x: x["idx"]))
+    place = F.when(inside & (F.col("_ends") == 0), F.col("start")).when(inside & (F.col("_ended") == 0), part)
+    out = own.groupBy("session_id").agg(F.max("rows").alias("rows"), F.min(place).alias("kept"))
+    return out.select("session_id", "rows", F.coalesce(F.nullif("kept", F.lit(0)), F.col("rows")).alias("kept"))
 
 
 def append_within(items: DataFrame, budget: int) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.logs import calls_of, results_of
 from ..sources.scratch import plain_unions
 
 def session_order() -> WindowSpec:
@@ -69,34 +68,47 @@ def first_eligible(spans_: DataFrame) -> DataFrame:
     return spans_.where("eligible").groupBy("session_id").agg(F.min_by(F.struct("island", "first_pos", "last_pos", "rows"), "first_pos").alias("s")).select("session_id", "s.*")
 
 
+def call_events(entries: DataFrame) -> DataFrame:
+    """One row for each tool call and each result, in one pass: session_id, pos, call_id, call (false for a result)."""
+    kind = "array<struct<call_id:string,call:boolean>>"
+    calls = F.transform(F.filter("blocks", lambda b: b["type"] == "tool-call"), lambda b: F.struct(b["id"].alias("call_id"), F.lit(True).alias("call"))).cast(kind)
+    answer = F.when((F.col("role") == "tool") & F.col("tool_call_id").isNotNull(), F.array(F.struct(F.col("tool_call_id").alias("call_id"), F.lit(False).alias("call"))).cast(kind))
+    none = F.array().cast(kind)
+    events = entries.select("session_id", "pos", F.explode(F.concat(F.coalesce(calls, none), F.coalesce(answer, none))).alias("e"))
+    return events.select("session_id", "pos", "e.*")
+
+
 def call_intervals(entries: DataFrame) -> DataFrame:
     """Each call with ``closed_at``: the position of its first later result, null while open."""
-    plain_unions(entries.sparkSession)
-    events = calls_of(entries).select("session_id", "pos", "call_id", F.lit(True).alias("call")).unionByName(results_of(entries).select("session_id", "pos", "call_id", F.lit(False).alias("call")))
     later = W.partitionBy("session_id", "call_id").orderBy("pos").rangeBetween(1, W.unboundedFollowing)
-    return events.withColumn("closed_at", F.min(F.when(~F.col("call"), F.col("pos"))).over(later)).where("call").drop("call")
+    return call_events(entries).withColumn("closed_at", F.min(F.when(~F.col("call"), F.col("pos"))).over(later)).where("call").drop("call")
+
+
+def unexpected_results(entries: DataFrame) -> DataFrame:
+    """Results that no open call expects: session_id, pos."""
+    prior = F.lag("call").over(W.partitionBy("session_id", "call_id").orderBy("pos"))
+    return call_events(entries).withColumn("prior", prior).where(~F.col("call") & ~F.coalesce("prior", F.lit(False))).select("session_id", "pos")
 
 
 def orphan_sessions(entries: DataFrame) -> DataFrame:
     """Sessions with a result that no open call expects."""
-    plain_unions(entries.sparkSession)
-    events = calls_of(entries).select("session_id", "pos", "call_id", F.lit(True).alias("call")).unionByName(results_of(entries).select("session_id", "pos", "call_id", F.lit(False).alias("call")))
-    prior = F.lag("call").over(W.partitionBy("session_id", "call_id").orderBy("pos"))
-    return events.withColumn("prior", prior).where(~F.col("call") & ~F.coalesce("prior", F.lit(False))).select("session_id").distinct()
+    return unexpected_results(entries).select("session_id").distinct()
 
 
 def balanced(entries: DataFrame) -> DataFrame:
     """Entries with ``open_before`` and ``open_after``: calls without a result around each row.
 
     Calls are a set: a result closes every earlier call of its id, and results that
-    no call expects change nothing.
+    no call expects change nothing. Openings and closings run along with the rows
+    through one window, so rows are shuffled by session only, never by place.
     """
-    calls = call_intervals(entries)
-    steps = calls.select("session_id", "pos", F.lit(1).cast("long").alias("d")).unionByName(calls.where("closed_at is not null").select("session_id", F.col("closed_at").alias("pos"), F.lit(-1).cast("long").alias("d")))
-    steps = steps.groupBy("session_id", "pos").agg(F.sum("d").alias("d"))
-    rows = entries.join(steps, ["session_id", "pos"], "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
-    rows = rows.withColumn("open_after", F.sum("d").over(rows_upto()))
-    return rows.withColumn("open_before", F.col("open_after") - F.col("d")).drop("d")
+    plain_unions(entries.sparkSession)
+    step = lambda pos, d: F.struct(pos.alias("pos"), F.lit(d).cast("long").alias("_d"))
+    both = F.array(step(F.col("pos"), 1), step(F.col("closed_at"), -1))
+    steps = call_intervals(entries).select("session_id", F.explode(F.filter(both, lambda x: x["pos"].isNotNull())).alias("s")).select("session_id", "s.*")
+    rows = entries.withColumns({"_d": F.lit(0).cast("long"), "_step": F.lit(False)}).unionByName(steps.withColumn("_step", F.lit(True)), allowMissingColumns=True)
+    opened = lambda last: F.coalesce(F.sum("_d").over(session_order().rangeBetween(W.unboundedPreceding, last)), F.lit(0)).cast("long")
+    return rows.withColumns({"open_after": opened(0), "open_before": opened(-1)}).where("not _step").drop("_d", "_step")
 
 
 def safe_spans(entries: DataFrame) -> DataFrame:

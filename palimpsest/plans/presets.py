@@ -79,11 +79,10 @@ def before_turn_tail(entries: DataFrame, keep: int, tail_turns: int | None = Non
 
 def before_cut(entries: DataFrame, keep: int) -> DataFrame:
     """Rows of the first span that lie before its suffix cut."""
-    rows = structure.islands(entries)
-    first = structure.first_eligible(structure.spans(entries)).select("session_id", "island")
-    span = rows.join(first, ["session_id", "island"]).drop("island")
-    cuts = selection.suffix_cut(span, keep).where("cut > 0").select("session_id", "cut")
-    return structure.indexed(span).join(cuts, "session_id").where("idx < cut").select("session_id", "pos", "seq", "price")
+    rows = structure.islands(entries).withColumn("_fresh", F.max(~checkpoint()).over(W.partitionBy("session_id", "island")))
+    rows = rows.withColumn("_first", F.min(F.when(F.col("_fresh"), F.col("island"))).over(all_rows()))
+    span = rows.where(F.col("island") == F.col("_first")).drop("island", "_fresh", "_first")
+    return selection.with_cut(span, keep).where("chosen").select("session_id", "pos", "seq", "price")
 
 
 def before_kept_rounds(entries: DataFrame, keep: int, tail_rounds: int = 1) -> DataFrame:

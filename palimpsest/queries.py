@@ -65,6 +65,22 @@ b AS (SELECT t.*, coalesce(d, 0) AS d, (sum(coalesce(d, 0)) OVER (PARTITION BY t
 c AS (SELECT *, open_after - d AS open_before, sum(price) OVER (PARTITION BY session_id)::BIGINT AS total,
              coalesce(sum(price) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS later FROM b)"""
 
+# The log without results that no open call expects.
+EXPECTED = LOG.replace("t AS (SELECT user_id", "ta AS (SELECT user_id") + """,
+ux AS (SELECT session_id, pos FROM (SELECT session_id, pos, result_id, lag(call_id IS NOT NULL) OVER (PARTITION BY session_id, coalesce(call_id, result_id) ORDER BY pos) AS prior FROM ta WHERE call_id IS NOT NULL OR result_id IS NOT NULL) WHERE result_id IS NOT NULL AND NOT coalesce(prior, false)),
+t AS (SELECT * FROM ta WHERE NOT EXISTS (SELECT 1 FROM ux WHERE ux.session_id = ta.session_id AND ux.pos = ta.pos))"""
+# The rows of each session's first span that has more than checkpoints in it.
+FIRST_SPAN = LOG.replace("t AS (SELECT user_id", "ta AS (SELECT user_id") + """,
+i0 AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS island FROM ta),
+i1 AS (SELECT session_id, min(island) AS island FROM i0 WHERE role <> 'system' AND source_kind <> 'compact-checkpoint' GROUP BY session_id),
+t AS (SELECT i0.* EXCLUDE (island) FROM i0 JOIN i1 ON i0.session_id = i1.session_id AND i0.island = i1.island WHERE role <> 'system')"""
+
+# The rows of all spans with more than checkpoints in them; session_id is the span's, ``owner`` the session.
+SPANS = LOG.replace("t AS (SELECT user_id", "ta AS (SELECT user_id") + """,
+i0 AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS island, coalesce(sum(price) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS tail FROM ta),
+i1 AS (SELECT *, bool_or(source_kind <> 'compact-checkpoint') OVER (PARTITION BY session_id, island) AS fresh FROM i0 WHERE role <> 'system'),
+t AS (SELECT * EXCLUDE (session_id, fresh), session_id AS owner, session_id || '#' || island AS session_id FROM i1 WHERE fresh)"""
+
 # --- prices
 
 
@@ -102,6 +118,28 @@ def price_slice_json4(spark, sf_dir):
     return rows.select("session_id", pricing.slice_json4(F.col("len"), F.col("n")).alias("tokens"))
 
 
+_PARTS = "x AS (SELECT *, 'thought ' || k AS thought, CASE WHEN call_id IS NULL THEN kind || ' ' || k ELSE '{\"path\": \"' || path || '\"}' END AS body FROM t WHERE role IN ('user', 'assistant'))"
+_CALLED = "CASE WHEN call_id IS NULL THEN 0 ELSE length(tool) END + length(body)"
+_CALL_JSON = """length('{"type":"tool-call","id":"' || call_id || '","name":"' || tool || '","arguments":"{\\"path\\": \\"' || path || '\\"}"}')"""
+_FILE_JSON = """length('{"type":"file","media_type":"text/csv"}')"""
+
+
+@query("price_mixed_blocks", f"""WITH {LOG}, {_PARTS}, y AS (SELECT *, {_CALLED} + length(thought) AS plain, (length(thought) + 3) // 4 AS th, CASE WHEN call_id IS NULL THEN (length(body) + 3) // 4 ELSE ({_CALL_JSON} + 3) // 4 END AS own FROM x)
+SELECT session_id, pos, ((plain + 4800 + 3) // 4)::BIGINT AS whole, ((plain + {_FILE_JSON} + length('{{"type":"image","media_type":"image/png"}}') + 3) // 4)::BIGINT AS others,
+ (own + th + 2000 + ({_FILE_JSON} + 3) // 4)::BIGINT AS by_block, (own + th + 1600 + ({_FILE_JSON} + 3) // 4)::BIGINT AS by_block_small, (({_CALLED} + 7373 + 3) // 4)::BIGINT AS bytes FROM y""")
+def price_mixed_blocks(spark, sf_dir):
+    """Messages with speech or a call, reasoning, an image and a file, where the prices differ."""
+    rows = log(spark, sf_dir).where("role in ('user', 'assistant')")
+    thought = logs.block("reasoning", F.concat(F.lit("thought "), F.col("k").cast("string")))
+    b = F.concat("blocks", F.array(thought, logs.block("image", media_type=F.lit("image/png")), logs.block("file", media_type=F.lit("text/csv"))))
+    rows = rows.withColumn("blocks", b)
+    b = F.col("blocks")
+    return rows.select(
+        "session_id", "pos", pricing.chars4(b).alias("whole"), pricing.chars4(b, others=True).alias("others"), pricing.block4(b).alias("by_block"), pricing.block4(b, image=1600).alias("by_block_small"),
+        pricing.bytes4(b, F.col("role"), F.lit("")).alias("bytes"),
+    )
+
+
 @query("usage_totals_of_rows", f"""WITH {LOG} SELECT session_id, pos, coalesce(nullif(u_total, 0), u_input + u_output + u_cache)::BIGINT AS zero_absent, coalesce(u_total, u_input + u_output + u_cache)::BIGINT AS zero_counts FROM t WHERE has_usage""")
 def usage_totals_of_rows(spark, sf_dir):
     u = F.col("usage")
@@ -284,17 +322,20 @@ def orphan_sessions(spark, sf_dir):
     return structure.orphan_sessions(log(spark, sf_dir))
 
 
-@query("safe_spans")
+_SAFE = f"""{EXPECTED}, {CALLS}, i AS (SELECT *, (sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos))::BIGINT AS island FROM c),
+se AS (SELECT session_id, island, min(idx) FILTER (open_before = 0) AS a, max(idx + 1) FILTER (open_after = 0) AS b FROM i WHERE role <> 'system' GROUP BY ALL),
+z AS (SELECT i.* EXCLUDE (total, later, n) FROM i JOIN se ON i.session_id = se.session_id AND i.island = se.island WHERE role <> 'system' AND idx >= a AND idx < b),
+ss AS (SELECT session_id, island, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS "rows" FROM z GROUP BY ALL HAVING count(*) > 1 AND bool_or(source_kind <> 'compact-checkpoint'))"""
+
+
+@query("safe_spans", f'WITH {_SAFE} SELECT session_id, island, first_pos, last_pos, "rows" FROM ss')
 def safe_spans(spark, sf_dir):
-    """On logs from which unexpected results were removed (no SQL: compared with a literal walk in the tests)."""
+    """On logs from which unexpected results were removed."""
     return structure.safe_spans(expected_only(log(spark, sf_dir)))
 
 
 def expected_only(entries: DataFrame) -> DataFrame:
-    events = logs.calls_of(entries).select("session_id", "pos", "call_id", F.lit(True).alias("call")).unionByName(logs.results_of(entries).select("session_id", "pos", "call_id", F.lit(False).alias("call")))
-    prior = F.lag("call").over(W.partitionBy("session_id", "call_id").orderBy("pos"))
-    bad = events.withColumn("p", prior).where(~F.col("call") & ~F.coalesce("p", F.lit(False))).select("session_id", "pos")
-    return entries.join(bad, ["session_id", "pos"], "left_anti")
+    return entries.join(structure.unexpected_results(entries), ["session_id", "pos"], "left_anti")
 
 
 @query("completed_spans", f"""WITH {LOG}, {CALLS}, i AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos)::BIGINT AS island FROM c),
@@ -437,21 +478,53 @@ def branch_selection(spark, sf_dir):
     return selection.branch(log(spark, sf_dir), 7_000)
 
 
-@query("turn_tail")
+def _tail_sql(budget: int) -> str:
+    """``tl``: session_id, kept. Over ``v``: session_id, idx, n, role, cp, open_before, len."""
+    return f"""u0 AS (SELECT *, sum((role = 'user' AND NOT cp)::BIGINT) OVER (PARTITION BY session_id ORDER BY idx) AS turn FROM v),
+u1 AS (SELECT *, (sum(len) OVER w + count(*) OVER w - 1 + 4) // 4 AS rest, row_number() OVER (PARTITION BY session_id, turn ORDER BY idx) AS nth FROM u0 WINDOW w AS (PARTITION BY session_id, turn ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+u2 AS (SELECT session_id, turn, idx AS start, rest AS size, open_before = 0 AS cut, sum(rest) OVER (PARTITION BY session_id ORDER BY turn DESC) AS upto FROM u1 WHERE nth = 1 AND turn > 0),
+u3 AS (SELECT session_id, max(turn) AS turn FROM u2 WHERE NOT cut OR upto > {budget} GROUP BY session_id),
+u4 AS (SELECT u2.session_id, min(start) AS kept FROM u2 LEFT JOIN u3 ON u2.session_id = u3.session_id WHERE u3.turn IS NULL OR u2.turn > u3.turn GROUP BY ALL),
+u5 AS (SELECT u1.session_id, min(idx) AS part FROM u1 JOIN u3 ON u1.session_id = u3.session_id AND u1.turn = u3.turn JOIN u2 ON u2.session_id = u1.session_id AND u2.turn = u1.turn
+       WHERE nth > 1 AND open_before = 0 AND role <> 'tool' AND rest <= {budget} - (upto - size) GROUP BY ALL),
+tl AS (SELECT s.session_id, n, coalesce(nullif(coalesce(part, kept), 0), n) AS kept FROM (SELECT session_id, max(n) AS n FROM v GROUP BY session_id) s LEFT JOIN u4 ON s.session_id = u4.session_id LEFT JOIN u5 ON s.session_id = u5.session_id)"""
+
+
+_ROW_JSON = """length(CASE WHEN call_id IS NULL THEN '{"role":"' || role || '","blocks":[{"type":"text","text":"' || kind || ' ' || k || '"}]}'
+ ELSE '{"role":"assistant","blocks":[{"type":"tool-call","id":"' || call_id || '","name":"' || tool || '","arguments":"{\\"path\\": \\"' || path || '\\"}"}]}' END)"""
+
+
+@query("turn_tail", f"WITH {LOG}, {CALLS}, v AS (SELECT session_id, idx, n, role, source_kind = 'compact-checkpoint' AS cp, open_before, {_ROW_JSON} AS len FROM c), {_tail_sql(400)} SELECT session_id, n AS \"rows\", kept FROM tl")
 def turn_tail(spark, sf_dir):
-    """No SQL: the price of a run is no sum of rows; compared with a literal walk in the tests."""
     rows = log(spark, sf_dir).withColumn("json_len", text.u16len(F.to_json(F.struct("role", "blocks"))))
     return selection.turn_tail(rows, 400)
 
 
-@query("appended_within_budget")
+@query("appended_within_budget", """WITH RECURSIVE e AS (SELECT conv_id AS session_id, turn AS ord, '[' || role || ']' || chr(10) AS header, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+f AS (SELECT session_id, 0::BIGINT AS nth, 400::BIGINT AS room, NULL::BIGINT AS ord, NULL::VARCHAR AS text, 0::BIGINT AS used FROM e GROUP BY session_id
+ UNION ALL SELECT session_id, nth, left_ - CASE WHEN fits THEN cost ELSE 0 END, CASE WHEN fits THEN ord END, body, cost FROM (
+  SELECT *, space > 0 AND length(own) > 0 AS fits, header || left(own, space) AS body, ((length(header || left(own, space)) + 3) // 4)::BIGINT AS cost
+  FROM (SELECT e.session_id, e.nth, e.ord, f.room AS left_, header, e.body AS own, greatest(0, least(f.room, 100) * 4 - length(header)) AS space FROM f JOIN e ON e.session_id = f.session_id AND e.nth = f.nth + 1)))
+SELECT session_id, ord, text, used FROM f WHERE ord IS NOT NULL""")
 def appended_within_budget(spark, sf_dir):
-    """A fold whose budget depends on earlier clips; compared with a plain loop in the tests."""
+    """A fold whose budget depends on earlier clips."""
     rows = conv(spark, sf_dir).select("session_id", F.col("pos").alias("ord"), "role", logs.text_of().alias("body"), F.lit(100).cast("long").alias("cap"))
     return selection.append_within(rows.withColumnRenamed("role", "label"), 400)
 
 
-@query("fitted_rows")
+_NOTE = "'[Earlier assistant/tool activity omitted to fit the summary request]'"
+_TOKENS = lambda chars: f"greatest(1, ({chars} + 2 * (n - 1) + 2) // 3)"
+
+
+@query("fitted_rows", f"""WITH {CONV}, g0 AS (SELECT session_id, pos, idx, n, role, text, CASE WHEN length(text) > 256 THEN left(text, 256) || chr(10) || '[' || (length(text) - 256) || ' characters omitted]' ELSE text END AS short,
+ sum((role = 'assistant' AND idx > 0)::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS grp, sum(length(text)) OVER (PARTITION BY session_id) AS chars FROM p),
+g1 AS (SELECT session_id, pos, n, role, grp, CASE WHEN {_TOKENS('chars')} <= 600 THEN text ELSE short END AS text, idx, row_number() OVER (PARTITION BY session_id, grp ORDER BY pos) = 1 AS head FROM g0),
+g2 AS (SELECT session_id, grp, max(n) AS n, NOT bool_or(role = 'user') AND grp > 0 AS goes, sum(length(text)) AS chars FROM g1 GROUP BY session_id, grp),
+g3 AS (SELECT *, sum(chars) OVER (PARTITION BY session_id) - coalesce(sum(CASE WHEN goes THEN chars - length({_NOTE}) ELSE 0 END) OVER (PARTITION BY session_id ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM g2),
+g4 AS (SELECT session_id, min(grp) AS stop FROM g3 WHERE {_TOKENS('left_')} <= 600 GROUP BY session_id),
+g5 AS (SELECT g1.*, goes AND (stop IS NULL OR g1.grp < stop) AS gone FROM g1 JOIN g2 ON g1.session_id = g2.session_id AND g1.grp = g2.grp LEFT JOIN g4 ON g4.session_id = g1.session_id),
+g6 AS (SELECT *, CASE WHEN gone AND head THEN length({_NOTE}) WHEN gone THEN 0 ELSE length(text) END AS chars FROM g5)
+SELECT session_id, pos AS idx, chars, {_TOKENS('sum(chars) OVER (PARTITION BY session_id)')} <= 600 AS fits FROM g6""")
 def fitted_rows(spark, sf_dir):
     rows = structure.rounds(conv(spark, sf_dir)).select("session_id", F.col("pos").alias("idx"), F.col("round").alias("grp"), (F.col("role") == "user").alias("user"), logs.text_of().alias("text"))
     rows = rows.withColumn("short", text.clip(F.col("text"), 256, "\n[{} characters omitted]"))
@@ -531,6 +604,47 @@ def tool_identity(spark, sf_dir):
     return rows.select("session_id", "pos", "call_id", "is_error", "name", text.path_from_json(F.col("arguments")).alias("path"))
 
 
+@query("archive_scan", f"WITH {LOG}, k AS (SELECT session_id, call_id, max_by(tool, pos) AS name FROM t WHERE call_id IS NOT NULL GROUP BY ALL) SELECT t.session_id, t.pos, t.seq, name AS tool_name FROM t LEFT JOIN k ON k.session_id = t.session_id AND k.call_id = t.result_id")
+def archive_scan(spark, sf_dir):
+    return logs.snapshot(log(spark, sf_dir)).select("session_id", "pos", "seq", "tool_name")
+
+
+@query("recovered_sessions", f"WITH {LOG}, s AS (SELECT DISTINCT session_id FROM t), o AS (SELECT session_id, count(*) AS faults, max(pos) AS last_fault FROM t WHERE kind = 'error' AND k >= 50 GROUP BY session_id) SELECT s.session_id, faults, last_fault FROM s LEFT JOIN o ON s.session_id = o.session_id")
+def recovered_sessions(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    seen = rows.where("is_error and k >= 50").groupBy("session_id").agg(F.count("*").alias("faults"), F.max("pos").alias("last_fault"))
+    return logs.with_recovery(rows.select("session_id").distinct(), seen)
+
+
+@query("joined_texts", f"""WITH {LOG} SELECT session_id, pos, CASE WHEN call_id IS NULL THEN kind || ' ' || k || chr(10) || chr(10) ELSE '' END || 'why ' || k AS thoughts, CASE WHEN call_id IS NULL THEN kind || ' ' || k ELSE '' END AS plain, CASE WHEN call_id IS NULL THEN kind || ' ' || k ELSE '' END || '|' AS slots FROM t""")
+def joined_texts(spark, sf_dir):
+    """Texts with reasoning joined by a blank line, without it, and with an empty slot for each other block."""
+    rows = log(spark, sf_dir).withColumn("blocks", F.concat("blocks", F.array(logs.block("reasoning", F.concat(F.lit("why "), F.col("k").cast("string"))))))
+    return rows.select("session_id", "pos", logs.text_of("\n\n", ("text", "reasoning")).alias("thoughts"), logs.text_of("").alias("plain"), logs.text_of("|", keep_slots=True).alias("slots"))
+
+
+@query("context_prefixes", f"WITH {LOG} SELECT session_id, pos, role = 'system' OR (role = 'user' AND source_kind <> 'user' AND k % 2 = 1) AS guarded FROM t")
+def context_prefixes(spark, sf_dir):
+    """Protected rows and reminders among the user's messages (here: odd rows begin as one, only untyped ones count)."""
+    said = F.when(F.col("k") % 2 == 1, F.concat(F.lit("  <system-reminder>"), logs.text_of())).otherwise(logs.text_of())
+    return log(spark, sf_dir).select("session_id", "pos", structure.context_prefix(said).alias("guarded"))
+
+
+@query("injected_context", f"""WITH {LOG}, u AS (SELECT *, CASE k % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'plan' WHEN 2 THEN 'agent-instructions' ELSE source_kind END AS sk FROM t WHERE role = 'user')
+SELECT session_id, pos, sk IN ('skill', 'plan', 'agent-instructions') OR coalesce(source_form, '') IN ('instructions', 'snapshot') AS context, CASE WHEN sk = 'plan' OR source_form = 'snapshot' THEN '{{"source_kind":"' || sk || '"' || CASE WHEN source_form IS NULL THEN '' ELSE ',"source_form":"' || source_form || '"' END || '}}' END AS shared FROM u""")
+def injected_context(spark, sf_dir):
+    """Rows that are context by form or kind, and the state that versions of one context share."""
+    kind = F.when(F.col("k") % 5 == 0, "skill").when(F.col("k") % 5 == 1, "plan").when(F.col("k") % 5 == 2, "agent-instructions").otherwise(F.col("source_kind"))
+    rows = lookups.with_state(log(spark, sf_dir).where("role = 'user'").withColumn("source_kind", kind), forms=("snapshot",), kinds="plan")
+    return rows.select("session_id", "pos", F.col("state_key").isNotNull().alias("context"), F.when(F.col("state_key") != F.col("source"), F.col("state_key")).alias("shared"))
+
+
+@query("explicit_regions", f"WITH {LOG} SELECT session_id, count(*) AS \"rows\", sum(price)::BIGINT AS tokens FROM t WHERE pos BETWEEN 5 AND 24 GROUP BY session_id")
+def explicit_regions(spark, sf_dir):
+    """The range that a caller names (its feature)."""
+    return compaction.select_region(log(spark, sf_dir), 5, 24).groupBy("session_id").agg(F.count("*").alias("rows"), F.sum("price").alias("tokens"))
+
+
 @query("snapshot_identity", f"WITH {LOG}, k AS (SELECT session_id, call_id, max_by(tool, pos) AS name FROM t WHERE call_id IS NOT NULL GROUP BY ALL) SELECT t.session_id, t.pos + 1000 AS pos, t.seq, name AS tool_name FROM t LEFT JOIN k ON k.session_id = t.session_id AND k.call_id = result_id WHERE t.k % 5 < 4")
 def snapshot_identity(spark, sf_dir):
     rows = log(spark, sf_dir)
@@ -758,7 +872,7 @@ def tool_names(spark, sf_dir):
     return logs.table(spark, sf_dir, "events").select("event_id", text.normal_name(n).alias("plain"), text.normal_name(n, only_letters=True).alias("letters"), text.normal_name(n, last_segment=True).alias("last"))
 
 
-@query("nested_paths")
+@query("nested_paths", "SELECT event_id, 'c/' || k || ',a/' || k || ',b' AS paths FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)")
 def nested_paths(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     args = F.concat(F.lit('{"files": [{"path": "a/'), k, F.lit('"}, " b "], "target_file": "c/'), k, F.lit('", "other": "x"}'))
@@ -888,18 +1002,29 @@ def session_paths(spark, sf_dir):
     return logs.table(spark, sf_dir, "events").select("event_id", text.session_path(s).alias("name"), text.markdown_cell(s).alias("cell"))
 
 
-@query("middle_truncated")
+def _ends_sql(text: str, front: str, back: str, gone: str, most: int) -> str:
+    """Both ends of ``text`` in whole characters of at most ``front`` and ``back`` bytes, neither above ``most``."""
+    long = lambda side, n: f"{side}({text}, list_max(list_filter(range(0, {most + 1}), lambda i: strlen({side}({text}, i)) <= {n})))"
+    return f"{long('left', front)} || '…' || {gone} || ' tokens truncated…' || {long('right', back)}"
+
+
+@query("middle_truncated", f"SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE {_ends_sql('text', '100', '100', '((strlen(text) - 200 + 3) // 4)', 100)} END AS cut FROM documents")
 def middle_truncated(spark, sf_dir):
     return logs.table(spark, sf_dir, "documents").select("doc_id", text.middle_truncate(F.col("text"), F.lit(50)).alias("cut"))
 
 
-@query("weighted_clips")
+def _clip_sql(side: str, budget: int) -> str:
+    part = f"{side}(text, i)"
+    return f"{side}(text, list_max(list_filter(range(0, {4 * budget + 1}), lambda i: {_WEIGHTED(part)} <= {budget})))"
+
+
+@query("weighted_clips", f"SELECT doc_id, {_clip_sql('left', 40)} AS head, {_clip_sql('right', 40)} AS tail FROM documents")
 def weighted_clips(spark, sf_dir):
     t = F.col("text")
     return logs.table(spark, sf_dir, "documents").select("doc_id", text.weighted_clip(t, F.lit(40), F.lit(False)).alias("head"), text.weighted_clip(t, F.lit(40), F.lit(True)).alias("tail"))
 
 
-@query("json_objects")
+@query("json_objects", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS found FROM events")
 def json_objects(spark, sf_dir):
     prose = F.concat(F.lit("result {not json} then "), F.col("props"), F.lit(" and more"))
     return logs.table(spark, sf_dir, "events").select("event_id", text.json_object(prose).alias("found"))
@@ -996,7 +1121,45 @@ def checkpoint_parts(spark, sf_dir):
 
 
 _SPAN = "i AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS island FROM t)"
+_CHOSEN = "count(*) AS \"rows\", sum(price)::BIGINT AS tokens, min(pos) AS first_pos, max(pos) AS last_pos"
+
+
+def _recent_rounds_sql(mode: str) -> str:
+    return f"""WITH {SPANS}, {CALLS}, e AS (SELECT session_id, max(pos) FILTER (open_after = 0) AS endpos FROM c GROUP BY session_id),
+d AS (SELECT c.*, min(tail) OVER (PARTITION BY c.session_id) AS rest, count(*) OVER (PARTITION BY c.session_id) AS m FROM c JOIN e ON c.session_id = e.session_id AND pos <= endpos),
+l AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN message_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lastid FROM d WHERE m >= 2),
+r AS (SELECT *, sum(({_ROUND_SQL[mode]} AND idx > 0)::BIGINT) OVER (PARTITION BY session_id ORDER BY pos)::BIGINT AS round FROM l),
+g AS (SELECT *, sum(price) OVER (PARTITION BY session_id) - sum(price) OVER (PARTITION BY session_id ORDER BY round RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer FROM r)
+SELECT owner AS session_id, {_CHOSEN} FROM g WHERE newer >= greatest(0, 6000 - rest) GROUP BY owner, island HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY island) = 1"""
+
+
 _SELECT_SQL = {
+    "idle_headroom": _recent_rounds_sql("message"),
+    "image_guard": _recent_rounds_sql("pending"),
+    "round_keep": f"""WITH {SPANS}, {CALLS}, r AS (SELECT *, sum((role = 'assistant' AND idx > 0)::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS round FROM c),
+w0 AS (SELECT session_id, round, sum(price) AS tokens FROM r GROUP BY ALL),
+w1 AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS rounds, coalesce(sum(tokens) OVER (PARTITION BY session_id ORDER BY round ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS newer FROM w0),
+w2 AS (SELECT session_id, max(rounds) AS rounds, CASE WHEN max(rounds) = 1 THEN 0 ELSE greatest(1, count(*) FILTER (round > 0 AND newer < 6000)) END AS keep FROM w1 GROUP BY session_id),
+x AS (SELECT r.* FROM r JOIN w2 ON r.session_id = w2.session_id AND round < rounds - keep), e AS (SELECT session_id, max(pos) FILTER (open_after = 0) AS endpos FROM x GROUP BY session_id)
+SELECT owner AS session_id, {_CHOSEN} FROM x JOIN e ON x.session_id = e.session_id AND pos <= endpos GROUP BY owner, island HAVING count(DISTINCT round) >= 2 AND bool_or(role = 'assistant') QUALIFY row_number() OVER (PARTITION BY owner ORDER BY island) = 1""",
+    "turn_tail": f"""WITH {SPANS}, {CALLS}, v AS (SELECT *, source_kind = 'compact-checkpoint' AS cp, price * 4 AS len FROM c), {_tail_sql(6000)}
+SELECT owner AS session_id, {_CHOSEN} FROM c JOIN tl ON c.session_id = tl.session_id WHERE idx < kept GROUP BY owner, island HAVING bool_or(source_kind <> 'compact-checkpoint') QUALIFY row_number() OVER (PARTITION BY owner ORDER BY island) = 1""",
+    "split_turn": f"""WITH {FIRST_SPAN}, {CALLS}, v AS (SELECT *, role <> 'tool' AND open_before = 0 AS valid, max(CASE WHEN later + price >= 6000 THEN idx END) OVER (PARTITION BY session_id) AS reach FROM c),
+g AS (SELECT session_id, coalesce(min(idx) FILTER (valid AND idx >= reach), min(idx) FILTER (valid), 0) AS cut FROM v GROUP BY session_id)
+SELECT c.session_id, {_CHOSEN} FROM c JOIN g ON c.session_id = g.session_id WHERE idx < cut GROUP BY c.session_id HAVING bool_or(source_kind <> 'compact-checkpoint')""",
+    "calibrated": f"""WITH {_SAFE}, l AS (SELECT session_id, max(pos) FILTER (role = 'user' AND source_kind = 'user') AS latest FROM t GROUP BY session_id),
+y AS (SELECT z.*, last_pos, latest, row_number() OVER w - 1 AS i, coalesce(sum(price) OVER (PARTITION BY z.session_id, z.island ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS suffix
+      FROM z JOIN ss ON z.session_id = ss.session_id AND z.island = ss.island JOIN l ON l.session_id = z.session_id WINDOW w AS (PARTITION BY z.session_id, z.island ORDER BY pos)),
+m AS (SELECT session_id, island, coalesce(max(i) FILTER (suffix >= 6000), 0) AS reach, max(i) FILTER (role = 'user' AND source_kind = 'user') AS typed FROM y GROUP BY ALL),
+q AS (SELECT y.session_id, y.island, max(i) AS cut FROM y JOIN m ON y.session_id = m.session_id AND y.island = m.island WHERE open_before = 0 AND role <> 'tool' AND i <= CASE WHEN typed > 0 THEN least(reach, typed) ELSE reach END GROUP BY ALL)
+SELECT y.session_id, {_CHOSEN} FROM y LEFT JOIN q ON y.session_id = q.session_id AND y.island = q.island WHERE last_pos < coalesce(latest, -1) OR i < coalesce(cut, 0)
+GROUP BY y.session_id, y.island HAVING bool_or(source_kind <> 'compact-checkpoint') QUALIFY row_number() OVER (PARTITION BY y.session_id ORDER BY y.island) = 1""",
+    "user_tail": f"""WITH {LOG}, {CALLS}, i AS (SELECT *, sum((role = 'system')::BIGINT) OVER (PARTITION BY session_id ORDER BY pos) AS island FROM c),
+a AS (SELECT session_id, island, min(pos) AS first_pos FROM i WHERE role NOT IN ('system', 'tool') AND open_before = 0 GROUP BY ALL),
+z AS (SELECT i.session_id, i.island, max(pos) AS last_pos FROM i JOIN a ON i.session_id = a.session_id AND i.island = a.island WHERE role <> 'system' AND pos >= first_pos AND open_after = 0 GROUP BY ALL),
+g AS (SELECT i.session_id, i.island, {_CHOSEN} FROM i JOIN a ON i.session_id = a.session_id AND i.island = a.island JOIN z ON i.session_id = z.session_id AND i.island = z.island
+      WHERE role <> 'system' AND i.pos BETWEEN a.first_pos AND z.last_pos GROUP BY ALL HAVING bool_or(role IN ('assistant', 'tool')))
+SELECT session_id, "rows", tokens, first_pos, last_pos FROM g QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY island) = 1 AND "rows" > 1""",
     "head_tail": f"""WITH {LOG}, {_SPAN}, s AS (SELECT session_id, island, count(*) AS "rows", sum(price)::BIGINT AS tokens, min(pos) AS first_pos, max(pos) AS last_pos FROM i WHERE role <> 'system' GROUP BY ALL HAVING bool_or(source_kind <> 'compact-checkpoint'))
 SELECT session_id, "rows", tokens, first_pos, last_pos FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY island) = 1""",
 }
@@ -1018,15 +1181,18 @@ for _p in strategies.STRATEGIES:
     _select(_p, 6_000)
 
 
-def _kept_users(name: str, preset: Callable[..., DataFrame]) -> None:
-    @query(name)
+def _kept_users(name: str, preset: Callable[..., DataFrame], sql: str | None = None) -> None:
+    @query(name, sql)
     def run(spark, sf_dir):
-        """The users' texts that the preset keeps of whole conversations (no SQL: literal walks in the tests)."""
+        """The users' texts that the preset keeps of whole conversations (without SQL: literal walks in the tests)."""
         rows = conv(spark, sf_dir)
         return preset(rows, rows, 300).select("session_id", "ord", F.length("text").cast("long").alias("chars"))
 
 
-_kept_users("retained_users", presets.retained_users)
+_CUT = _ends_sql("text", "2 * kept", "2 * kept", "((strlen(text) - 4 * kept + 3) // 4)", 600)
+_kept_users("retained_users", presets.retained_users, f"""WITH {CONV}, u AS (SELECT session_id, pos, text, price, coalesce(sum(price) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS newer FROM p WHERE role = 'user'),
+g AS (SELECT *, least(price, 300 - newer)::BIGINT AS kept, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS ord FROM u WHERE newer < 300)
+SELECT session_id, ord, length('[Retained user message ' || ord || ']' || chr(10) || CASE WHEN kept < price AND strlen(text) > 4 * kept THEN {_CUT} ELSE text END) AS chars FROM g""")
 _kept_users("head_and_tail_users", presets.head_and_tail_users)
 
 

@@ -41,9 +41,20 @@ def test_config():
 
 
 def test_text_goldens(spark):
-    assert text.cut_middle("abcdefghijklmno", 2) == "abcd…2 tokens truncated…lmno"
-    assert text.cut_middle("ééééé", 1) == "é…2 tokens truncated…é"
-    assert text.cut_middle("short", 5) == "short"
+    cuts = [("abcdefghijklmno", 2, "abcd…2 tokens truncated…lmno"), ("ééééé", 1, "é…2 tokens truncated…é"), ("short", 5, "short"), ("abc", 0, "…1 tokens truncated…"), ("", 0, ""), (None, 3, None)]
+    rng = random.Random(4)
+    for _ in range(200):  # every width of character on both edges
+        t, n = "".join(rng.choices("aé前😀", k=rng.randrange(40))), rng.randrange(9)
+        front = max(i for i in range(len(t) + 1) if len(t[:i].encode()) <= 2 * n)
+        back = min(i for i in range(len(t) + 1) if len(t[i:].encode()) <= 2 * n)
+        size = len(t.encode())
+        cuts.append((t, n, t if size <= 4 * n else f"{t[:front]}…{-(-(size - 4 * n) // 4)} tokens truncated…{t[back:]}"))
+    df = spark.createDataFrame(cuts, "t string, n int, want string")
+    assert df.where(~text.middle_truncate(F.col("t"), F.col("n")).eqNullSafe(F.col("want"))).count() == 0
+    for t, _, _ in cuts[6:]:
+        price = lambda x: -(-sum(c < "\x80" for c in x) // 4) + sum(c >= "\x80" for c in x)
+        assert text.clip_weighted(t, 5) == max((t[:i] for i in range(len(t) + 1) if price(t[:i]) <= 5), key=len)
+        assert text.clip_weighted(t, 5, True) == max((t[i:] for i in range(len(t) + 1) if price(t[i:]) <= 5), key=len)
     assert text.clip_weighted("abcdefgh前前", 3) == "abcdefgh前" and text.clip_weighted("abcdefgh前前", 2, True) == "前前"
     assert text.first_object('x {no} {"a": {"b": 1}} y') == '{"a":{"b":1}}' and text.first_object("none {") is None and text.first_object(None) is None
     row = spark.range(1).select(
