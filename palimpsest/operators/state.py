@@ -56,6 +56,25 @@ def open_sections(events: DataFrame, begin: Column, end: Column, reset: Column)
     return events.withColumn("_k", kind).where("_k is not null").groupBy("session_id").agg((F.max_by("_k", "pos") == 1).alias("open"))
 
 
+def ownership(events: DataFrame, begin: Column, end: Column, turn_begin: Column, turn_end: Column) -> DataFrame:
+    """Per session: ``active`` (a compaction is under way) and ``in_turn`` (a turn is open), by the last event of each kind."""
+    last = lambda on, off: F.coalesce(F.max_by(F.when(on, True).when(off, False), F.when(on | off, F.col("pos"))), F.lit(False))
+    return events.groupBy("session_id").agg(last(begin, end).alias("active"), last(turn_begin, turn_end).alias("in_turn"))
+
+
+def refusal(manual: bool) -> Column:
+    """Why a session of ``ownership`` may not be compacted now, null if it may: one writer at a time, and an
+    automatic compaction belongs to an open turn while one asked for by hand waits until there is none."""
+    return F.when(F.col("active"), "active").when(F.col("in_turn") if manual else ~F.col("in_turn"), "in a turn" if manual else "no turn")
+
+
+def retried(events: DataFrame, failed: Column, replaced: Column) -> DataFrame:
+    """Failed requests (session_id, pos) with ``retry``: whether the history was replaced before the next one failed."""
+    rows = events.withColumns({"_failed": failed, "_replaced": replaced}).where("_failed or _replaced")
+    following = F.lead("_replaced").over(W.partitionBy("session_id").orderBy("pos"))
+    return rows.withColumn("retry", F.coalesce(following, F.lit(False))).where("_failed").select("session_id", "pos", "retry")
+
+
 def observed_window(state: DataFrame) -> DataFrame:
     """The capacity last learned of each session and route. ``state``: session_id, route, seq, observed."""
     return state.where("observed is not null").groupBy("session_id", "route").agg(F.max_by("observed", "seq").alias("observed"))

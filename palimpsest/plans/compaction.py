@@ -128,6 +128,8 @@ def run(
     settings: strategies.Config | None = None,
     latest: DataFrame | None = None,
     files: DataFrame | None = None,
+    owners: DataFrame | None = None,
+    manual: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole plan for the sessions under pressure: price, trigger, select, summarize, restore, check, commit.
 
@@ -135,11 +137,15 @@ def run(
     ``keep_recent_tokens``, else to 0. ``settings`` also sets reserve and ratio of the
     trigger. With ``latest``, the log as read again before the commit, sessions that
     changed meanwhile are left as they are: another writer came first. With ``files``
-    (path, text), presets that restore context put it after the summary.
+    (path, text), presets that restore context put it after the summary. With
+    ``owners`` (``state.ownership``), sessions that another writer holds, or whose turn
+    does not admit this compaction (``manual`` or not), are left as they are.
     """
     own = settings or strategies.Config()
     keep = own.keep_recent_tokens or 0 if keep is None else keep
     rows = materialize(priced(entries, price), "priced")  # read by every step below
+    if owners is not None:
+        sessions = sessions.join(owners.where(state.refusal(manual).isNull()).select("session_id"), "session_id", "left_semi")
     due = rows.join(pressured(rows, sessions, strategy, own).select("session_id"), "session_id", "left_semi")
     select = strategies.strategy(strategy) if strategy in strategies._REGISTRY else presets.SELECT[strategy]
     selected = materialize(select(due, keep), "selected")

@@ -1196,6 +1196,74 @@ SELECT session_id, ord, length('[Retained user message ' || ord || ']' || chr(10
 _kept_users("head_and_tail_users", presets.head_and_tail_users)
 
 
+_WINDOW, _OUTPUT = 120_000, 8_192
+
+
+def _sessions(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id").distinct().select("session_id", F.lit(_WINDOW).cast("long").alias("window"), F.lit(_OUTPUT).cast("long").alias("output"))
+
+
+def _compact(preset: str, keep: int) -> None:
+    log_sql = EXPECTED if preset == "calibrated" else LOG
+    fires = ">" if preset == "split_turn" else ">="
+
+    @query(f"compact_{preset}", f"""WITH chosen AS ({_SELECT_SQL[preset]}), b AS (SELECT {_WINDOW} AS w, {_OUTPUT} AS o), d AS (WITH {log_sql} SELECT session_id, sum(price) AS total FROM t GROUP BY session_id)
+SELECT chosen.session_id, "rows", chosen.tokens AS old_tokens, 2::BIGINT AS tokens, 2 < chosen.tokens AS accepted FROM chosen JOIN d ON d.session_id = chosen.session_id, b WHERE total {fires} {_BUDGET_SQL[preset][0]}""")
+    def run(spark, sf_dir):
+        """The preset's whole plan with a model that always answers the same."""
+        rows = log(spark, sf_dir).withColumn("json_len", F.col("price") * 4)
+        rows = expected_only(rows) if preset == "calibrated" else rows
+        return compaction.run(rows, _sessions(rows), preset, F.col("tokens"), keep, lambda prompt: "summary!")[1]
+
+
+for _p in ("idle_headroom", "turn_tail", "split_turn", "image_guard", "round_keep", "calibrated"):
+    _compact(_p, 6_000)
+
+
+def _events(rows: DataFrame) -> DataFrame:
+    """Who holds each session, of events that stand for begins and ends: calls and results of one id, requests and answers."""
+    call, k = F.exists("blocks", lambda b: b["type"] == "tool-call"), F.col("k")
+    return state.ownership(rows, call & (k % 4 == 1), (F.col("role") == "tool") & (k % 4 == 1), F.col("role") == "user", F.col("usage").isNotNull())
+
+
+_OWNERS = """o0 AS (SELECT session_id, max(pos) FILTER (call_id = 'c1') AS b, max(pos) FILTER (result_id = 'c1') AS e, max(pos) FILTER (role = 'user') AS tb, max(pos) FILTER (has_usage) AS te FROM t GROUP BY session_id),
+ow AS (SELECT session_id, coalesce(b, -1) > coalesce(e, -1) AS active, coalesce(tb, -1) > coalesce(te, -1) AS in_turn FROM o0)"""
+
+
+@query("session_owners", f"""WITH {LOG}, {_OWNERS} SELECT session_id, active, in_turn, CASE WHEN active THEN 'active' WHEN NOT in_turn THEN 'no turn' END AS refused, CASE WHEN active THEN 'active' WHEN in_turn THEN 'in a turn' END AS by_hand FROM ow""")
+def session_owners(spark, sf_dir):
+    return _events(log(spark, sf_dir)).select("session_id", "active", "in_turn", state.refusal(False).alias("refused"), state.refusal(True).alias("by_hand"))
+
+
+@query("own_strategy", f"""WITH {LOG}, {_OWNERS}, d AS (SELECT session_id, sum(price) AS total FROM t GROUP BY session_id HAVING sum(price) >= greatest(0, {_WINDOW} - 16384))
+SELECT t.session_id, count(*) AS "rows", sum(price)::BIGINT AS old_tokens, 2::BIGINT AS tokens, 2 < sum(price) AS accepted FROM t JOIN d ON t.session_id = d.session_id JOIN ow ON t.session_id = ow.session_id WHERE role <> 'system' AND NOT active AND NOT in_turn GROUP BY t.session_id""")
+def own_strategy(spark, sf_dir):
+    """A strategy registered by its user, asked for by hand: sessions that are held or in a turn are left alone."""
+    if "all_but_protected" not in strategies._REGISTRY:
+        strategies.register_strategy("all_but_protected", lambda due, keep: due.where(~structure.protected()).select("session_id", "pos", "seq", "price"))
+    rows = log(spark, sf_dir)
+    return compaction.run(rows, _sessions(rows), "all_but_protected", F.col("tokens"), 0, lambda prompt: "summary!", owners=_events(rows), manual=True)[1]
+
+
+@query("retried_requests", f"""WITH {LOG}, x AS (SELECT session_id, pos, kind = 'error' AS failed, lead(source_kind = 'compact-checkpoint') OVER (PARTITION BY session_id ORDER BY pos) AS nxt FROM t WHERE kind = 'error' OR source_kind = 'compact-checkpoint') SELECT session_id, pos, coalesce(nxt, false) AS retry FROM x WHERE failed""")
+def retried_requests(spark, sf_dir):
+    return state.retried(log(spark, sf_dir), F.col("is_error"), structure.checkpoint())
+
+
+def _answer(prompt: str) -> str:
+    if len(prompt) % 5 == 0:
+        raise RuntimeError("refused")
+    return "" if len(prompt) % 5 == 1 else f"{len(prompt)} characters"
+
+
+@query("summarized_sessions", """WITH x AS (SELECT conv_id AS session_id, length(string_agg(CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS n FROM conversations GROUP BY conv_id)
+SELECT session_id, CASE WHEN n % 5 > 1 THEN n || ' characters' END AS summary, CASE n % 5 WHEN 0 THEN 'refused' WHEN 1 THEN 'empty summary' END AS error FROM x""")
+def summarized_sessions(spark, sf_dir):
+    """Requests, answers and failures of a model, here one that counts, refuses or says nothing."""
+    rows = conv(spark, sf_dir)
+    return logs.summarize(compaction.requests(rows, rows), _answer, 8_192)
+
+
 @query("compaction_verdicts")
 def compaction_verdicts(spark, sf_dir):
     """The whole plan with the model-free checkpoint (checked by invariants in the tests)."""

@@ -211,9 +211,11 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of at most ``limit`` rows; a report is small by nature."""
+    """A Markdown table. A report is small by nature: more than ``limit`` rows are an error, never cut."""
     from ..functions.text import markdown_cell
 
-    shown = rows.select(*[markdown_cell(F.col(c).cast("string")).alias(c) for c in rows.columns]).limit(limit).collect()
+    shown = rows.select(*[markdown_cell(F.col(c).cast("string")).alias(c) for c in rows.columns]).limit(limit + 1).collect()
+    if len(shown) > limit:
+        raise ValueError(f"more than {limit} rows for a report")
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *[line(["" if v is None else v for v in r]) for r in shown]])
