@@ -65,7 +65,7 @@ def middle_truncate(text: Column, tokens: Column) -> Column:
 
 def clip_weighted(text: str, budget: float, from_end: bool = False) -> str:
     """The longest start (or end) whose price is within ``budget``: a token for four ASCII characters or one other."""
-    most = max(0, 4 * int(budget))  # no more characters than that can fit
+    most = int(max(0, min(4 * budget, len(text))))  # no more characters than that can fit
     part = text[max(0, len(text) - most) :] if from_end else text[:most]
     wide = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4") >= 128
     other = np.cumsum(wide[::-1] if from_end else wide)
@@ -75,7 +75,7 @@ def clip_weighted(text: str, budget: float, from_end: bool = False) -> str:
 
 
 def _clips(text: pd.Series, budget: pd.Series, from_end: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else clip_weighted(t, b, e) for t, b, e in zip(text, budget, from_end, strict=True)], dtype=object)
+    return pd.Series([None if t is None or pd.isna(b) else clip_weighted(t, b, e) for t, b, e in zip(text, budget, from_end, strict=True)], dtype=object)
 
 
 def first_object(text: str | None) -> str | None:
@@ -96,6 +96,7 @@ def _objects(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def weighted_clip(text: Column, budget: Column, from_end: Column) -> Column:
+    """``clip_weighted`` of each row; null where the text or the budget is."""
     return F.pandas_udf(_clips, T.StringType())(text, budget, from_end)
 
 

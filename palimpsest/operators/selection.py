@@ -54,14 +54,23 @@ def split_turn(entries: DataFrame, cuts: DataFrame) -> DataFrame:
     return ends.select("session_id", "cut", begin.alias("history_rows"), (F.col("cut") - begin).alias("prefix_rows"))
 
 
-def typed_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
-    """Per session ``cut``: where the suffix reaches ``keep``, but not after the latest typed message, moved back to a safe row."""
-    rows = indexed(with_suffix(balanced(entries), price)).join(orphan_sessions(entries).withColumn("_orphan", F.lit(True)), "session_id", "left")
+def with_typed_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
+    """Rows with ``idx`` and ``cut``: where the suffix reaches ``keep``, but not after the latest typed message, moved back to
+    a row with no call open that is no result."""
+    rows = indexed(with_suffix(balanced(entries), price))
     aim = F.coalesce(F.max(F.when(F.col("suffix") >= keep, F.col("idx"))).over(all_rows()), F.lit(0))
-    user = F.max(F.when(typed_user(), F.col("idx"))).over(all_rows())
-    rows = rows.withColumn("aim", F.when(user > 0, F.least(aim, user)).otherwise(aim))
-    safe = F.col("_orphan").isNull() & (F.col("open_before") == 0) & (F.col("role") != "tool") & (F.col("idx") <= F.col("aim"))
-    return rows.groupBy("session_id").agg(F.coalesce(F.max(F.when(safe, F.col("idx"))), F.lit(0)).cast("long").alias("cut"))
+    rows = rows.withColumns({"_aim": aim, "_user": F.max(F.when(typed_user(), F.col("idx"))).over(all_rows())})
+    most = F.when(F.col("_user") > 0, F.least("_aim", "_user")).otherwise(F.col("_aim"))
+    good = (F.col("open_before") == 0) & (F.col("role") != "tool") & (F.col("idx") <= most)
+    cut = F.coalesce(F.max(F.when(good, F.col("idx"))).over(all_rows()), F.lit(0)).cast("long")
+    return rows.withColumn("cut", cut).drop("_aim", "_user", "open_before", "open_after", "suffix", "later", "total")
+
+
+def typed_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
+    """Per session the ``cut`` of ``with_typed_cut``; 0 where a result is unexpected, as then no row is safe."""
+    cuts = with_typed_cut(entries, keep, price).groupBy("session_id").agg(F.first("cut").alias("cut"))
+    rows = cuts.join(orphan_sessions(entries).withColumn("_orphan", F.lit(True)), "session_id", "left")
+    return rows.select("session_id", F.when(F.col("_orphan"), F.lit(0)).otherwise(F.col("cut")).cast("long").alias("cut"))
 
 
 def _round_sums(entries: DataFrame, mode: str, price: str) -> DataFrame:

@@ -111,15 +111,20 @@ def balanced(entries: DataFrame) -> DataFrame:
     return rows.withColumns({"open_after": opened(0), "open_before": opened(-1)}).where("not _step").drop("_d", "_step")
 
 
+def safe_rows(entries: DataFrame) -> DataFrame:
+    """Rows with ``island`` of the parts of islands that begin and end with no call open and hold more than one row
+    and more than checkpoints; sessions with an unexpected result have none."""
+    whole = W.partitionBy("session_id", "island")
+    rows = islands(indexed(balanced(entries)))
+    rows = rows.withColumns({"_a": F.min(F.when(F.col("open_before") == 0, F.col("idx"))).over(whole), "_b": F.max(F.when(F.col("open_after") == 0, F.col("idx"))).over(whole)})
+    rows = rows.where("idx between _a and _b").withColumns({"_rows": F.count("*").over(whole), "_fresh": F.max(~checkpoint()).over(whole)})
+    rows = rows.where("_rows > 1 and _fresh").drop("_a", "_b", "_rows", "_fresh")
+    return rows.join(orphan_sessions(entries), "session_id", "left_anti")
+
+
 def safe_spans(entries: DataFrame) -> DataFrame:
-    """Islands of more than one row, trimmed inward to cuts without an open call; sessions with an unexpected result have none."""
-    rows = indexed(balanced(entries)).join(orphan_sessions(entries), "session_id", "left_anti")
-    rows = islands(rows)
-    ends = rows.groupBy("session_id", "island").agg(F.min(F.when(F.col("open_before") == 0, F.col("idx"))).alias("a"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.max(F.when(F.col("open_after") == 0, F.col("idx") + 1)).alias("b0"))
-    # The island's end is itself a place to cut; so is its start.
-    ends = ends.where("a is not null").withColumn("b", F.greatest(F.coalesce("b0", "a"), F.col("a")))
-    inside = rows.join(ends.select("session_id", "island", "a", "b"), ["session_id", "island"]).where("idx >= a and idx < b")
-    return inside.groupBy("session_id", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("rows"), F.max(~checkpoint()).alias("eligible")).where("rows > 1 and eligible").drop("eligible")
+    """One row for each span of ``safe_rows``: first_pos, last_pos, rows."""
+    return safe_rows(entries).groupBy("session_id", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("rows"))
 
 
 def completed_spans(entries: DataFrame) -> DataFrame:

@@ -102,12 +102,11 @@ def first_whole_span(entries: DataFrame, keep: int) -> DataFrame:
 
 def before_typed_cut(entries: DataFrame, keep: int) -> DataFrame:
     """The first safe span: whole if it ends before the latest typed message, else up to its typed cut."""
-    latest = entries.groupBy("session_id").agg(F.max(F.when(typed_user(), F.col("pos"))).alias("latest"))
-    ends = structure.safe_spans(entries).select("session_id", "first_pos", "last_pos", F.col("island"))
-    rows = entries.join(ends, "session_id").where(F.col("pos").between(F.col("first_pos"), F.col("last_pos"))).join(latest, "session_id")
+    latest = F.max(F.when(typed_user(), F.col("pos"))).over(all_rows())
+    rows = structure.safe_rows(entries.withColumn("_latest", F.coalesce(latest, F.lit(-1)))).drop("idx", "n", "open_before", "open_after")
     rows = rows.withColumn("owner", F.col("session_id")).withColumn("session_id", F.concat_ws("#", F.col("owner").cast("string"), F.col("island").cast("string")))
-    cuts = selection.typed_cut(rows, keep)
-    rows = structure.indexed(rows).join(cuts, "session_id").where((F.col("last_pos") < F.coalesce("latest", F.lit(-1))) | (F.col("idx") < F.col("cut")))
+    rows = selection.with_typed_cut(rows.withColumn("_last", F.max("pos").over(all_rows())), keep)
+    rows = rows.where((F.col("_last") < F.col("_latest")) | (F.col("idx") < F.col("cut")))
     fresh = F.max((~checkpoint()).cast("int")).over(all_rows())
     return first_span(rows.withColumn("_fresh", fresh).where("_fresh = 1"))
 
