@@ -42,20 +42,20 @@ def only_read(files: DataFrame) -> DataFrame:
 
 def activity(entries: DataFrame) -> DataFrame:
     """(session_id, kind, item, first_pos): read, edited, command; items of failed calls say so."""
-    rows = failed_calls(entries).withColumn("tool", normal_name(F.col("name")))
-    suffix = F.when(F.col("failed"), " (failed)").otherwise("")
-    paths = collect_paths(F.col("arguments"))
+    rows = failed_calls(entries).withColumns({"tool": normal_name(F.col("name")), "paths": collect_paths(F.col("arguments"))})
     patch = F.coalesce(F.get_json_object("arguments", "$.patch"), F.get_json_object("arguments", "$.patchText"), F.lit(""))
     kinds = {
-        "read": (F.col("tool").isin("read", "readfile", "readfiles"), paths),
-        "edited": (F.col("tool").isin("editor", "edit", "editfile", "write", "writefile", "applypatch"), F.concat(paths, patch_paths(patch))),
-        "command": (F.col("tool").isin("runcommands", "executecommand", "execcommand", "bash", "shell"), F.array(clip(F.trim(F.coalesce(F.get_json_object("arguments", "$.command"), F.get_json_object("arguments", "$.cmd"), F.lit(""))), 100, "\n[{} characters omitted]"))),
+        "read": (("read", "readfile", "readfiles"), F.col("paths")),
+        "edited": (("editor", "edit", "editfile", "write", "writefile", "applypatch"), F.concat("paths", patch_paths(patch))),
+        "command": (("runcommands", "executecommand", "execcommand", "bash", "shell"), F.array(clip(F.trim(F.coalesce(F.get_json_object("arguments", "$.command"), F.get_json_object("arguments", "$.cmd"), F.lit(""))), 100, "\n[{} characters omitted]"))),
     }
-    out = None
-    for kind, (which, items) in kinds.items():
-        own = rows.where(which).select("session_id", "pos", F.lit(kind).alias("kind"), F.explode(F.filter(items, lambda x: x != "")).alias("item"), suffix.alias("s"))
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy("session_id", "kind", F.concat("item", "s").alias("item")).agg(F.min("pos").alias("first_pos"))
+    # A tool is of one kind, so one pass over the calls gives all three.
+    kind, items = F.lit(None), F.lit(None)
+    for name, (tools, own) in kinds.items():
+        mine = F.col("tool").isin(*tools)
+        kind, items = F.when(mine, name).otherwise(kind), F.when(mine, own).otherwise(items)
+    rows = rows.select("session_id", "pos", kind.alias("kind"), F.explode(F.filter(items, lambda x: x != "")).alias("item"), F.when(F.col("failed"), " (failed)").otherwise("").alias("s"))
+    return rows.groupBy("session_id", "kind", F.concat("item", "s").alias("item")).agg(F.min("pos").alias("first_pos"))
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
