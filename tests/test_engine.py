@@ -163,6 +163,16 @@ def test_turn_tail(spark, tail):
         assert got[s] == (kept or n)
 
 
+def test_ownership(spark):
+    """A session is held while a compaction is under way; only the open turn's own compaction, or one by hand without a turn, may begin."""
+    kinds = ["begin", "end", "turn", "done"]
+    events = [(1, ["turn"]), (2, ["turn", "begin"]), (3, ["turn", "begin", "end", "done"]), (4, ["done", "turn", "done", "begin", "end", "turn"]), (5, ["other"])]
+    df = spark.createDataFrame([(s, i, k) for s, ks in events for i, k in enumerate(ks)], "session_id long, pos long, kind string")
+    held = state.ownership(df, *[F.col("kind") == k for k in kinds])
+    got = {r.session_id: (r.auto, r.hand) for r in held.select("session_id", state.refusal(False).alias("auto"), state.refusal(True).alias("hand")).collect()}
+    assert got == {1: (None, "in a turn"), 2: ("active", "active"), 3: ("no turn", None), 4: (None, "in a turn"), 5: ("no turn", None)}
+
+
 def test_append_within(spark):
     rng = random.Random(6)
     items = [(s, i, "L", "x" * rng.randrange(300), rng.choice([20, 60])) for s in range(5) for i in range(8)]
@@ -240,6 +250,8 @@ def test_write_paths(spark, tmp_path):
     logs.write_report(back, f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report").count() == back.count()
     table = logs.markdown_table(spark.createDataFrame([("a|b", None)], "x string, y string"))
+    with pytest.raises(ValueError):
+        logs.markdown_table(spark.range(3), 2)
     assert table.splitlines() == ["| x | y |", "| --- | --- |", "| a\\|b |  |"]
     found, missing = logs.read_files(spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a", "hello")], "path string, text string"), 3)
     assert [(r.path, r.content) for r in found.orderBy("path").collect()] == [("a", "hel"), ("b", None)] and [r.path for r in missing.collect()] == ["b"]
