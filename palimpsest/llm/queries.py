@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, ppm, quality_classifier, quality_rules, quotation, sentencepiece_codec, topk_join, url_filter, warc_store
+from . import mixing, ngram_join, ppm, quality_classifier, quality_rules, quotation, sentencepiece_codec, simhash, topk_join, url_filter, warc_store
 from .common import scratch_path, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,6 +74,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op11_simhash": op11_simhash,
 }
 
 _LABELS = ", ".join(f"'{x}'" for x in BLOCKED_LABELS)
