@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, mixing, ngram_join, ppm, quality_classifier, quality_rules, quotation, sentencepiece_codec, simhash, topk_join, url_filter, warc_store
+from . import hard_negatives, merkle, mixing, ngram_join, ppm, quality_classifier, quality_rules, quotation, sentencepiece_codec, simhash, topk_join, url_filter, warc_store
 from .common import scratch_path, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,6 +84,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, hit = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(docs, "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", {"n_chars": F.col("n_chars") + 1}, hit)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
@@ -97,9 +102,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_simhash": op11_simhash,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LABELS = ", ".join(f"'{x}'" for x in BLOCKED_LABELS)
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({c})::VARCHAR))::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -146,5 +158,24 @@ s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_in
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS changed,
+    list_transform(range(8 * length(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT) AS bits FROM documents),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], bits), lambda x, y: xor(xor(x, y) >> 1, 3988292384::BIGINT * (xor(x, y) & 1))), 4294967295::BIGINT) AS crc FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM c),
+nodes AS (SELECT lang, 0 AS level, idx, n, leaf AS h FROM l
+          UNION ALL SELECT lang, level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2),
+t AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (SELECT 0 AS level, idx, n, subroot AS h FROM t
+        UNION ALL SELECT level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 2),
+f AS (SELECT doc_id, lang, idx, 0 AS level, n, CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END AS h, '' AS proof FROM l
+      UNION ALL SELECT f.doc_id, f.lang, f.idx // 2, f.level + 1, (f.n + 1) // 2, sha256(CASE WHEN f.idx % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END), f.proof || coalesce(s.h, '')
+      FROM f LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1),
+g AS (SELECT f.doc_id, f.lang, t.idx, 0 AS level, t.n, f.h, f.proof FROM f JOIN t ON f.lang IS NOT DISTINCT FROM t.lang WHERE f.n = 1
+      UNION ALL SELECT g.doc_id, g.lang, g.idx // 2, g.level + 1, (g.n + 1) // 2, sha256(CASE WHEN g.idx % 2 = 0 THEN g.h || coalesce(s.h, '') ELSE s.h || g.h END), g.proof || coalesce(s.h, '')
+      FROM g LEFT JOIN top s ON s.level = g.level AND s.idx = xor(g.idx, 1) WHERE g.n > 1)
+SELECT l.doc_id, l.leaf, t.subroot, top.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = top.h AS verified
+FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang JOIN g ON g.doc_id = l.doc_id AND g.n = 1 JOIN top ON top.n = 1
 """,
 }
