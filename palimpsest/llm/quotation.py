@@ -3,8 +3,8 @@
 Quoted lines (``>`` marks, nested) are parsed into passages, a passage being a run of
 lines of one quote level outside fenced code. Normalised passages, their lines and
 their sentences are hashed and linked to the latest earlier message of the conversation
-whose own text has the same whole, paragraph, line or sentence. Linked passages are
-removed from the reply; what is found nowhere stays in it.
+whose own text has the same whole, paragraph, line or sentence. Only what is linked
+is removed from the reply; what is found nowhere stays in it.
 
 The links make each conversation a forest. An Euler tour of every tree, ranked by
 pointer jumping, gives each message its thread, depth and place in reply order, so that
@@ -25,7 +25,7 @@ from .common import materialize
 _MARK = "^[ \\t]*(?:>[ \\t]*)+"
 _FENCE = "^[ \\t]*```"
 _TURNS, _SALT, _MOST = 512, 16, 4096
-_SENTENCE_WORDS = 4  # shorter sentences say too little to name an original
+_UNIT_WORDS = 4  # a shorter sentence or line says too little to name an original
 
 
 def _normal(text: Column) -> Column:
@@ -34,7 +34,7 @@ def _normal(text: Column) -> Column:
 
 def _sentences(text: Column) -> Column:
     """The sentences of a normalised text that are long enough to link by."""
-    return F.filter(F.split(text, "(?<=[.!?]) "), lambda x: F.size(F.split(x, " ")) >= _SENTENCE_WORDS)
+    return F.filter(F.split(text, "(?<=[.!?]) "), lambda x: F.size(F.split(x, " ")) >= _UNIT_WORDS)
 
 
 def _latest_earlier(quotes: DataFrame, originals: DataFrame) -> DataFrame:
@@ -86,11 +86,15 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """Per row: conv, turn, role, reply_text (without linked quotes), n_quoted_lines, n_passages,
     n_linked, parent_turn, thread_turn, reply_depth, thread_place.
 
-    ``parent_turn`` is the latest message linked by a passage of level one, else of any
-    level; null without a link. A passage is linked as a whole, else by its lines, else
-    by its sentences of at least four words; one that is found in no earlier message
-    stays in ``reply_text``, as do marks in fenced code and passages without a word,
-    which don't count.
+    A passage that is found as a whole goes as a whole. Of others, lines of at least four
+    words that are found go, shorter ones only beside another found line, and sentences of
+    at least four words that are found, also where they are wrapped or stand beside others
+    in a line. What is found in no earlier message stays in ``reply_text``, as do marks in
+    fenced code and passages without a word, which don't count. A quoted line without a
+    word goes with the last of its passage. ``n_linked`` counts what was found: wholes,
+    else lines, else sentences. ``parent_turn`` is the message with the most linked words,
+    among passages of level one if any is linked there, the latest of equal ones; null
+    without a link. Each unit is linked to the latest earlier message that has it.
     ``thread_turn`` is the turn that its chain of parents begins with (its own without
     a parent), ``reply_depth`` the length of that chain, ``thread_place`` its place in
     the thread (from 0), every message after the one it answers and before the next
@@ -111,17 +115,20 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     mark = F.when(fences % 2 == 0, F.regexp_extract("line", _MARK, 0)).otherwise("")
     each = each.withColumn("mark", mark).withColumns({"level": F.length("mark") - F.length(F.translate("mark", ">", "")), "body": F.substring("line", F.length("mark") + 1, F.length("line"))})
     each = each.withColumn("new", (F.coalesce(F.lag("level").over(message), F.lit(-1)) != F.col("level")).cast("int"))
-    each = materialize(each.withColumn("passage", F.sum("new").over(message)).drop("new", "mark"), "quote-lines")
+    each = materialize(each.withColumn("passage", F.sum("new").over(message)).drop("new"), "quote-lines")
     of_message = ["conv", "turn", "mid"]
     of_passage = [*of_message, "passage"]
-    passages = each.where("level > 0").groupBy(*of_passage).agg(F.first("level").alias("level"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
-    passages = passages.withColumn("lines", F.transform("lines", lambda x: x["body"]))
-    # A passage as a whole comes first; its lines count where the whole is nowhere, its sentences where no line is found.
-    whole = _normal(F.array_join("lines", " "))
-    key = lambda rank, body: F.struct(F.lit(rank).alias("rank"), body.alias("body"))
-    keys = F.concat(F.array(key(0, whole)), F.transform("lines", lambda x: key(1, _normal(x))), F.transform(_sentences(whole), lambda x: key(2, x)))
-    keyed = passages.select(*of_passage, "level", F.explode(keys).alias("k")).where("k.body <> ''")
-    keyed = materialize(keyed.select(*of_passage, "level", "k.rank", F.sha2("k.body", 256).alias("hash")), "quote-keys")
+    # A line's pieces end where a sentence ends or the line does; a sentence is one or more pieces.
+    split = F.split(F.btrim("body", F.lit(" \t\r\n\x0b\f")), "(?<=[.!?])\\s+", -1)
+    pieces = each.where("level > 0").select(*of_passage, "level", "at", F.posexplode(split).alias("nth", "piece")).withColumn("body", _normal(F.col("piece"))).where("body <> ''")
+    place = W.partitionBy(*of_passage).orderBy("at", "nth")
+    ended = F.coalesce(F.lag(F.col("body").rlike("[.!?]$")).over(place), F.lit(False))
+    pieces = pieces.withColumns({"ended": ended.cast("int"), "words": F.size(F.split("body", " "))})
+    pieces = materialize(pieces.withColumn("sentence", F.sum("ended").over(place).cast("int")).drop("ended"), "quote-pieces")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "nth", "body"))), lambda x: x["body"]), " ")
+    unit = lambda rank, of: pieces.groupBy(*of_passage, of.alias("unit")).agg(joined.alias("body"), F.sum("words").alias("words")).withColumn("rank", F.lit(rank))
+    units = unit(0, F.lit(0)).unionByName(unit(1, F.col("at"))).unionByName(unit(2, F.col("sentence")).where(F.col("words") >= _UNIT_WORDS))
+    keyed = materialize(units.select(*of_passage, "rank", "unit", "words", F.sha2("body", 256).alias("hash")), "quote-keys")
     # Only conversations with a quote are searched; dealt by a salt, as one may hold most messages.
     convs = keyed.select("conv").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
     salted = rows.where("turn is not null").withColumn("salt", F.pmod(F.xxhash64("turn", "mid"), F.lit(_SALT)).cast("int")).join(convs, ["conv", "salt"], "left_semi")
@@ -132,12 +139,29 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     units = F.concat(F.array(_normal(F.col("own"))), F.transform(paragraphs, _normal), F.transform(F.split("own", "\\r?\\n"), _normal), F.flatten(F.transform(paragraphs, lambda x: _sentences(_normal(x)))))
     originals = own.select("conv", "turn", F.explode(F.array_distinct(units)).alias("body")).where("body <> ''").select("conv", "turn", F.sha2("body", 256).alias("hash"))
     linked = keyed.join(_latest_earlier(keyed, originals), ["conv", "hash", "turn"], "left")
-    by_rank = [F.max(F.when(F.col("rank") == k, F.col("link"))) for k in range(3)]
-    linked = materialize(linked.groupBy(*of_passage, "level").agg(F.coalesce(*by_rank).alias("link")), "quotes")
-    found = linked.groupBy(*of_message).agg(F.count("*").alias("n_passages"), F.count("link").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("link"))), F.max("link")).alias("parent_turn"))
-    left = each.join(linked.where("link is not null").select(*of_passage, F.lit(True).alias("gone")), of_passage, "left")
-    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("at", "line"))))
-    replies = left.groupBy(*of_message).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("reply"), F.count_if(F.col("level") > 0).alias("n_quoted_lines"))
+    # A short line says too little alone: it needs a found line beside it.
+    there, lines = F.col("link").isNotNull(), W.partitionBy(*of_passage, "rank").orderBy("unit")
+    beside = F.coalesce(F.lag(there).over(lines), F.lit(False)) | F.coalesce(F.lead(there).over(lines), F.lit(False))
+    sure = there & ((F.col("rank") != 1) | (F.col("words") >= _UNIT_WORDS) | beside)
+    linked = materialize(linked.withColumn("sure", sure).where("sure").select(*of_passage, "rank", "unit", "link"), "quotes")
+    for rank, of in ((0, None), (1, "at"), (2, "sentence")):
+        own = linked.where(F.col("rank") == rank).select(*of_passage, *([F.col("unit").alias(of)] if of else []), F.col("link").alias(f"link{rank}"))
+        pieces = pieces.join(own, [*of_passage, *([of] if of else [])], "left")
+    gone = [F.col(f"link{rank}").isNotNull() for rank in range(3)]
+    taken = F.when(gone[0], F.struct(F.lit(0).alias("rank"), F.lit(0).alias("unit"))).when(gone[1], F.struct(F.lit(1).alias("rank"), F.col("at").alias("unit"))).when(gone[2], F.struct(F.lit(2).alias("rank"), F.col("sentence").alias("unit")))
+    pieces = materialize(pieces.select(*of_passage, "level", "at", "nth", "piece", "words", taken.alias("taken"), F.coalesce("link0", "link1", "link2").alias("link")), "quote-links")
+    counts = pieces.groupBy(*of_message).agg(F.count_distinct("passage").alias("n_passages"), F.count_distinct(F.when(F.col("taken").isNotNull(), F.struct("passage", "taken"))).alias("n_linked"))
+    shares = pieces.where("link is not null").groupBy(*of_message, (F.col("level") == 1).alias("direct"), "link").agg(F.sum("words").alias("words"))
+    parents = shares.groupBy(*of_message).agg(F.max_by("link", F.struct("direct", "words", "link")).alias("parent_turn"))
+    found = counts.join(parents, of_message, "left")
+    left = F.array_sort(F.collect_list(F.when(F.col("link").isNull(), F.struct("nth", "piece"))))
+    by_line = pieces.groupBy(*of_passage, "at").agg(F.transform(left, lambda x: x["piece"]).alias("left"), F.count("*").alias("n"))
+    by_passage = pieces.groupBy(*of_passage).agg(F.count_if(F.col("link").isNull()).alias("stay"))
+    lines_left = each.join(by_line, [*of_passage, "at"], "left").join(by_passage, of_passage, "left")
+    whole = F.when(F.col("left").isNull(), (F.coalesce("stay", F.lit(1)) > 0) | (F.col("level") == 0)).otherwise(F.size("left") == F.col("n"))
+    line = F.when(whole, F.col("line")).when(F.size("left") > 0, F.concat("mark", F.array_join("left", " ")))
+    kept = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(F.col("at"), line.alias("line")))))
+    replies = lines_left.groupBy(*of_message).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("reply"), F.count_if(F.col("level") > 0).alias("n_quoted_lines"))
     replies = materialize(replies.join(found, of_message, "left"), "replies")
     links = materialize(replies.where("parent_turn is not null").groupBy("conv", "turn").agg(F.max("parent_turn").alias("parent_turn")), "reply-links")
     out = rows.join(replies.drop("parent_turn"), of_message, "left").join(_tour(links), ["conv", "turn"], "left").join(links, ["conv", "turn"], "left")

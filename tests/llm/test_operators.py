@@ -234,24 +234,78 @@ def brute_quotes(rows):
             elif level:
                 passages.append((level, [_QUOTE.sub("", line, count=1)]))
             kept.append((len(passages) - 1 if level else None, line))
-        links = []
-        for _, lines in passages:
-            whole = normal(" ".join(lines))
-            for units in ([whole], map(normal, lines), sentences(whole)):
-                hits = [t for u in units if u for t, known in said.items() if u in known]
-                if hits:
-                    break
-            links.append(max(hits, default=None))
-        first = [x for x, (level, _) in zip(links, passages, strict=True) if level == 1 and x is not None]
-        every = [x for x in links if x is not None]
-        reply = "\n".join(line for k, line in kept if k is None or links[k] is None).strip(" \t\r\n")
-        out[turn] = (reply, max(first or every, default=None), sum(any(normal(x) for x in lines) for _, lines in passages), len(every))
+        latest = lambda unit: max((t for t, known in said.items() if unit in known), default=None)
+        shares, n_linked, gone, blank_stays = {}, 0, {}, {}  # gone: (passage, line) -> raw pieces left
+        for k, (level, lines) in enumerate(passages):
+            pieces = [(i, raw) for i, line in enumerate(lines) for raw in re.split(r"(?<=[.!?])\s+", line.strip(" \t\r\n\x0b\f")) if normal(raw)]
+            if not pieces:
+                continue
+            taken = {}  # place of a piece -> link
+            hit = latest(normal(" ".join(lines)))
+            if hit is not None:
+                taken, n_linked = dict.fromkeys(range(len(pieces)), hit), n_linked + 1
+            else:
+                filled = sorted({i for i, _ in pieces})
+                hits = [latest(normal(lines[i])) for i in filled]
+                for x, i in enumerate(filled):
+                    beside = any(0 <= y < len(filled) and hits[y] is not None for y in (x - 1, x + 1))
+                    if hits[x] is not None and (len(normal(lines[i]).split(" ")) >= 4 or beside):
+                        taken |= {p: hits[x] for p, (at, _) in enumerate(pieces) if at == i}
+                        n_linked += 1
+                begin = 0
+                for p, (_, raw) in enumerate(pieces):
+                    if raw[-1:] in ".!?" or p + 1 == len(pieces):
+                        sentence = " ".join(normal(x) for _, x in pieces[begin : p + 1])
+                        hit = latest(sentence) if len(sentence.split(" ")) >= 4 else None
+                        new = [x for x in range(begin, p + 1) if hit is not None and x not in taken]
+                        taken |= dict.fromkeys(new, hit)
+                        n_linked += bool(new)
+                        begin = p + 1
+            for p, link in taken.items():
+                by = shares.setdefault(level == 1, {})
+                by[link] = by.get(link, 0) + len(normal(pieces[p][1]).split(" "))
+            for p, (i, raw) in enumerate(pieces):
+                stay = gone.setdefault((k, i), [[], 0])
+                stay[1] += 1
+                if p not in taken:
+                    stay[0].append(raw)
+            blank_stays[k] = len(taken) < len(pieces)
+        best = shares.get(True) or shares.get(False) or {}
+        parent = max(best, key=lambda t: (best[t], t), default=None)
+        reply, at = [], {}
+        for k, line in kept:
+            i = at[k] = at.get(k, -1) + 1
+            if k is None or (k, i) not in gone:
+                left = [line] if k is None or blank_stays.get(k, True) else []
+            elif len(gone[k, i][0]) == gone[k, i][1]:
+                left = [line]
+            else:
+                left = [_QUOTE.match(line)[0] + " ".join(gone[k, i][0])] if gone[k, i][0] else []
+            reply += left
+        out[turn] = ("\n".join(reply).strip(" \t\r\n"), parent, sum(any(normal(x) for x in lines) for _, lines in passages), n_linked)
         own = "\n".join(line for k, line in kept if k is None)
         paragraphs = re.split(r"\r?\n[ \t]*\r?\n", own)
         said[turn] = {normal(own), *map(normal, paragraphs), *map(normal, re.split(r"\r?\n", own)), *(y for x in paragraphs for y in sentences(normal(x)))}
     return out
 
 
+def test_quotes_keep_what_is_found_nowhere(spark):
+    rows = [
+        (1, 0, "ok"), (1, 1, "> ok\n> a wholly new line that nobody said before\n> and one more unfounded line\nmy answer"),
+        (2, 0, "yes"), (2, 1, "> Dear all,\n> yes\n> the contract value is 5 million\nfine"),
+        (3, 0, "The cat sat on the mat today."), (3, 1, "> The cat sat on the mat today. And the secret code is 1234 never quoted.\nhm"),
+        (4, 0, "First line has five words.\nok\nthanks"), (4, 1, "> new words that are nowhere else\n> ok\n> thanks\n>\n> First line has five words.\nseen"),
+        (5, 0, "one two three four"), (5, 1, "five six seven eight nine"), (5, 2, "> one two three four\n> five six seven eight nine\n> what nobody said\nboth"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotation.link_quotes(df).collect()}
+    assert (got[1, 1].reply_text, got[1, 1].parent_turn, got[1, 1].n_linked) == (rows[1][2], None, 0)
+    assert got[2, 1].reply_text == rows[3][2]
+    assert (got[3, 1].reply_text, got[3, 1].parent_turn) == ("> And the secret code is 1234 never quoted.\nhm", 0)
+    assert (got[4, 1].reply_text, got[4, 1].n_linked) == ("> new words that are nowhere else\n>\nseen", 3)
+    assert (got[5, 2].reply_text, got[5, 2].parent_turn, got[5, 2].n_linked) == ("> what nobody said\nboth", 1, 2)
+
+
 def chat(seed, n, hot=0.3):
     """Messages that quote earlier ones: whole, by line or sentence, nested, rewrapped, inside code, or nothing ever said."""
     rng, rows = random.Random(seed), []
