@@ -85,10 +85,24 @@ class _Level:
         return out
 
 
+_CHUNK = 1 << 15
+
+
 class LevelTooLarge(ValueError):
     """A level of a cascade is beyond its bound."""
 
 
+def _chunks(pos: DataFrame) -> DataFrame:
+    """chunk, data: the bytes of a bit field in pieces of 32 KB, from the positions of its set bits."""
+    # Words of 64 bits whose hexadecimal digits are the field's bytes in order, the lowest bit of a byte first.
+    bit = F.lit(56) - 8 * F.floor(F.col("pos") % 64 / 8) + F.col("pos") % 8
+    words = pos.groupBy(F.floor(F.col("pos") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("bits"))
+    per = _CHUNK // 8
+    own = words.groupBy(F.floor(F.col("word") / per).alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % per).cast("int").alias("at"), "bits"))).alias("words"))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("words", i), F.lit(0).cast("long"))), 16, "0"))
+    return own.select("chunk", F.unhex(F.array_join(digits, "")).alias("data"))
+
+
 def _build_level(keys: DataFrame, n: int, fpp: float, seed: int, max_bytes: int) -> _Level:
     probes = max(1, round(-math.log2(fpp)))
     size = max(8, math.ceil(n * probes / math.log(2) / 8))
@@ -96,14 +110,10 @@ def _build_level(keys: DataFrame, n: int, fpp: float, seed: int, max_bytes: int)
         raise LevelTooLarge(f"a level of the cascade needs {size} bytes; the bound is {max_bytes}. Use listed_by_join")
     level = _Level(size * 8, probes, seed, b"")
     pos = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("pos"))
-    rows = (
-        pos.groupBy(F.floor(F.col("pos") / 8).cast("long").alias("at"))
-        .agg(F.bit_or(F.element_at(_masks(), (F.col("pos") % 8 + 1).cast("int"))).alias("byte"))
-        .collect()  # at most `size` rows, which is checked above
-    )
     data = bytearray(size)
-    for r in rows:
-        data[r["at"]] = r["byte"]
+    for r in _chunks(pos).collect():  # a row for each 32 KB of at most `max_bytes`
+        own = bytes(r["data"])[: size - r["chunk"] * _CHUNK]
+        data[r["chunk"] * _CHUNK : r["chunk"] * _CHUNK + len(own)] = own
     return _Level(level.bits, probes, seed, bytes(data))
 
 

@@ -182,6 +182,21 @@ def test_cascade_is_exact(spark, n):
     assert joined.where("listed").count() == universe.where("listed").count()
 
 
+def test_levels_reach_the_driver_in_chunks(spark):
+    universe = spark.range(600_000).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("listed"))
+    cascade = url_filter.BloomCascade.build(universe, max_bytes=1 << 18)
+    assert universe.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
+    level = cascade.levels[0]
+    pos = universe.where("listed").select(F.explode(F.array(*level.positions(F.col("key")))).alias("pos"))
+    assert len(level.data) > 2 << 15 and url_filter._chunks(pos).count() == -(-len(level.data) // (1 << 15))
+    few = spark.createDataFrame([(x,) for x in (0, 7, 8, 63, 64, 300_001)], "pos long")
+    got = {r.chunk: bytes(r["data"]) for r in url_filter._chunks(few).collect()}
+    want = bytearray(2 << 15)
+    for x in (0, 7, 8, 63, 64, 300_001):
+        want[x // 8] |= 1 << x % 8
+    assert got == {0: bytes(want[: 1 << 15]), 1: bytes(want[1 << 15 :])}
+
+
 # --- 5. Quotation
 
 
