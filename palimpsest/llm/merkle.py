@@ -145,7 +145,8 @@ def build(leaves: DataFrame, order: list[str], fanout: int = 2, block_rows: int
         return _records(of, int(part["block"].iloc[0]))
 
     records = materialize(indexed.select("grp", "size", "block", "node", "digest").groupBy("block").applyInPandas(stack, _NODE), f"{name}-records")
-    outer, peaks, parts = records.where("peak"), records.where("peak"), blocks
+    outer, peaks = records.where("peak"), records.where("peak")
+    parts = (counts.agg(F.max("block")).first()[0] or 0) + 1  # as dealt, whatever was asked for
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         # In order of leaves: by the part they come from, and within it as the stack held them.

@@ -107,6 +107,14 @@ def test_ranges_merge_to_one_peak_wherever_they_are_cut(fanout):
         assert sorted(made) == sorted((k, i, h) for k, level in enumerate(tree) if k for i, h in enumerate(level))  # each node once
 
 
+def test_more_blocks_than_asked_for(spark, monkeypatch):
+    frame = type(spark.range(1))
+    ranged = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *keys: ranged(self, 9, *keys))
+    rows = rows_of(3, 120)
+    assert sorted(map(tuple, run(spark, rows).collect()), key=repr) == brute(rows, 2)
+
+
 def test_node_records(spark):
     rows = [(i, f"t{i}", "en" if i % 3 else None, None, i) for i in range(150)]
     df = spark.createDataFrame([(f"{r[2]}" if r[2] else None, r[0], H(r[1])) for r in rows], "grp string, key long, digest string")
