@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.logs import calls_of, results_of, text_of
 from ..sources.scratch import materialize
+from .graph import components
 
 
 def identify_results(entries: DataFrame) -> DataFrame:
@@ -72,26 +73,21 @@ def original_users(archive: DataFrame, lower: Column, upper: Column) -> DataFram
     return archive.join(first.where((F.col("first_seq") > lower) & (F.col("first_seq") < upper)).select("session_id", "message_id"), ["session_id", "message_id"], "left_semi")
 
 
-def orphan_closure(entries: DataFrame, name: str = "closure") -> DataFrame:
+def orphan_closure(entries: DataFrame, rounds: int = 60) -> DataFrame:
     """The oldest unprotected row of each session and all rows tied to it by shared call ids: session_id, pos.
 
-    Rows of one id are tied to that id's first row; rounds of joins follow the ties until
-    nothing is added, so only reached rows are handled in a round.
+    Rows and call ids are the two sides of a graph, held as links of each row to the first
+    row of its ids; star contraction finds its components in a number of rounds that is
+    logarithmic in the longest chain of ties, over no more links than there were.
     """
     first = entries.where(~F.col("role").isin("system", "developer")).groupBy("session_id").agg(F.min("pos").alias("pos"))
-    links = calls_of(entries).select("session_id", "pos", "call_id").unionByName(results_of(entries).select("session_id", "pos", "call_id")).distinct()
-    reached = first
-    ids = None
-    while True:
-        new_ids = links.join(reached, ["session_id", "pos"], "left_semi").select("session_id", "call_id").distinct()
-        if ids is not None:
-            new_ids = new_ids.join(ids, ["session_id", "call_id"], "left_anti")
-        new_ids = materialize(new_ids, f"{name}-ids")
-        if not new_ids.limit(1).count():
-            return reached
-        ids = new_ids if ids is None else ids.unionByName(new_ids)
-        reached = reached.unionByName(links.join(new_ids, ["session_id", "call_id"], "left_semi").select("session_id", "pos")).distinct()
-        reached = materialize(reached, name)
+    ties = calls_of(entries).select("session_id", "pos", "call_id").unionByName(results_of(entries).select("session_id", "pos", "call_id"))
+    hubs = ties.groupBy("session_id", "call_id").agg(F.min("pos").alias("hub"))
+    links = ties.join(hubs, ["session_id", "call_id"]).select("session_id", F.col("pos").alias("u"), F.col("hub").alias("v"))
+    member = materialize(components(links, rounds), "closure")
+    roots = first.join(member.withColumnRenamed("node", "pos"), ["session_id", "pos"]).select("session_id", "root")
+    tied = member.join(roots, ["session_id", "root"], "left_semi").select("session_id", F.col("node").alias("pos"))
+    return tied.unionByName(first).distinct()
 
 
 def ordered_lookup(wanted: DataFrame, archive: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ceil_div
+from .scans import Running, scans
 from .structure import all_rows, balanced, checkpoint, indexed, orphan_sessions, rounds, rows_upto, session_order, turns, typed_user
 
 def _by_round() -> WindowSpec:
@@ -38,14 +39,34 @@ def with_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
     return rows.withColumn("chosen", F.col("idx") < F.col("cut")).drop("_valid", "_reach", "later", "suffix", "open_before", "open_after")
 
 
-def suffix_cut(entries: DataFrame, keep: int, price: str = "price") -> DataFrame:
-    """Per session: total, cut, rows and tokens selected, by ``with_cut``."""
+def suffix_cut(entries: DataFrame, keep: int, price: str = "price", block: int | None = None) -> DataFrame:
+    """Per session: total, cut, rows and tokens selected, by ``with_cut``.
+
+    With ``block`` sessions are dealt by that many places and only running values and a
+    row for each session are formed; prices must not be negative then.
+    """
+    if block is not None:
+        return _blocked_cut(entries, keep, price, block)
     zero = F.lit(0).cast("long")
     return with_cut(entries, keep, price).groupBy("session_id").agg(
         F.first("total").alias("total"), F.first("cut").alias("cut"), F.count_if("chosen").alias("selected_rows"), F.coalesce(F.sum(F.when(F.col("chosen"), F.col(price))), zero).alias("selected_tokens"),
     )
 
 
+def _blocked_cut(entries: DataFrame, keep: int, price: str, block: int) -> DataFrame:
+    own = F.col(price)
+    rows = scans(balanced(entries, block), ["session_id"], {"idx": Running(F.lit(1).cast("long")), "before": Running(own), "later": Running(own, backward=True), "after": Running(F.lit(1), backward=True)}, block=block)
+    valid = (F.col("role") != "tool") & (F.col("open_before") == 0)
+    # Without negative prices a row lies at or after the last one whose suffix reaches `keep` if what is later doesn't.
+    first = lambda ok: F.min_by(F.struct("idx", "before"), F.when(ok, F.col("idx")))
+    found = rows.groupBy("session_id").agg(F.sum(own).alias("total"), first(valid & ((F.col("later") < keep) | (F.col("after") == 0))).alias("near"), first(valid).alias("any"), F.min(F.when(~checkpoint(), F.col("idx"))).alias("fresh"))
+    cut = F.coalesce("near", "any")
+    some = F.coalesce(F.col("fresh") < cut["idx"], F.lit(False))
+    zero = F.lit(0).cast("long")
+    at = F.when(some, cut["idx"]).otherwise(zero)
+    return found.select("session_id", "total", at.alias("cut"), at.alias("selected_rows"), F.when(some, cut["before"]).otherwise(zero).alias("selected_tokens"))
+
+
 def split_turn(entries: DataFrame, cuts: DataFrame) -> DataFrame:
     """Per cut session: rows of the history part and of the turn prefix when the cut falls on an answer."""
     rows = indexed(entries).join(cuts.where("cut > 0").select("session_id", "cut"), "session_id")

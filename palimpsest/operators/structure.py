@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import plain_unions
+from .scans import Running, scans
+
 
 def session_order() -> WindowSpec:
     return W.partitionBy("session_id").orderBy("pos")
@@ -78,8 +80,11 @@ def call_events(entries: DataFrame) -> DataFrame:
     return events.select("session_id", "pos", "e.*")
 
 
-def call_intervals(entries: DataFrame) -> DataFrame:
+def call_intervals(entries: DataFrame, block: int | None = None) -> DataFrame:
     """Each call with ``closed_at``: the position of its first later result, null while open."""
+    if block is not None:
+        result = Running(F.when(~F.col("call"), F.col("pos")), "min", backward=True)
+        return scans(call_events(entries), ["session_id", "call_id"], {"closed_at": result}, block=block).where("call").drop("call")
     later = W.partitionBy("session_id", "call_id").orderBy("pos").rangeBetween(1, W.unboundedFollowing)
     return call_events(entries).withColumn("closed_at", F.min(F.when(~F.col("call"), F.col("pos"))).over(later)).where("call").drop("call")
 
@@ -95,18 +100,22 @@ def orphan_sessions(entries: DataFrame) -> DataFrame:
     return unexpected_results(entries).select("session_id").distinct()
 
 
-def balanced(entries: DataFrame) -> DataFrame:
+def balanced(entries: DataFrame, block: int | None = None) -> DataFrame:
     """Entries with ``open_before`` and ``open_after``: calls without a result around each row.
 
     Calls are a set: a result closes every earlier call of its id, and results that
     no call expects change nothing. Openings and closings run along with the rows
-    through one window, so rows are shuffled by session only, never by place.
+    through one window, so rows are shuffled by session only, never by place. With
+    ``block`` they are dealt by that many places, for sessions larger than a task.
     """
     plain_unions(entries.sparkSession)
     step = lambda pos, d: F.struct(pos.alias("pos"), F.lit(d).cast("long").alias("_d"))
     both = F.array(step(F.col("pos"), 1), step(F.col("closed_at"), -1))
-    steps = call_intervals(entries).select("session_id", F.explode(F.filter(both, lambda x: x["pos"].isNotNull())).alias("s")).select("session_id", "s.*")
+    steps = call_intervals(entries, block).select("session_id", F.explode(F.filter(both, lambda x: x["pos"].isNotNull())).alias("s")).select("session_id", "s.*")
     rows = entries.withColumns({"_d": F.lit(0).cast("long"), "_step": F.lit(False)}).unionByName(steps.withColumn("_step", F.lit(True)), allowMissingColumns=True)
+    if block is not None:
+        opened = {"open_after": Running(F.col("_d"), inclusive=True), "open_before": Running(F.col("_d"))}
+        return scans(rows, ["session_id"], opened, block=block).where("not _step").drop("_d", "_step")
     opened = lambda last: F.coalesce(F.sum("_d").over(session_order().rangeBetween(W.unboundedPreceding, last)), F.lit(0)).cast("long")
     return rows.withColumns({"open_after": opened(0), "open_before": opened(-1)}).where("not _step").drop("_d", "_step")
 
@@ -138,10 +147,12 @@ def completed_spans(entries: DataFrame) -> DataFrame:
     return found.groupBy("session_id").agg(F.min_by(F.struct("first_pos", "last_pos", "rows"), "island").alias("s")).select("session_id", "s.*")
 
 
-def rounds(entries: DataFrame, mode: str = "assistant") -> DataFrame:
+def rounds(entries: DataFrame, mode: str = "assistant", block: int | None = None) -> DataFrame:
     """Entries with ``round`` (from 0). A round starts at an assistant message: at each
     (``assistant``), with nothing open (``pending``), or with nothing open and another
-    message id than the assistant message before (``message``)."""
+    message id than the assistant message before (``message``). ``block`` as in ``balanced``."""
+    if block is not None:
+        return _blocked_rounds(entries, mode, block)
     rows = entries
     opens = F.col("role") == "assistant"
     if mode != "assistant":
@@ -154,6 +165,18 @@ def rounds(entries: DataFrame, mode: str = "assistant") -> DataFrame:
     return rows.withColumn("round", F.sum("_opens").over(rows_upto())).drop("_opens", "_prior", "open_before", "open_after")
 
 
+def _blocked_rounds(entries: DataFrame, mode: str, block: int) -> DataFrame:
+    rows = entries if mode == "assistant" else balanced(entries, block)
+    answer = F.col("role") == "assistant"
+    rows = scans(rows, ["session_id"], {"_first": Running(F.lit(1)), "_prior": Running(F.when(answer, F.col("message_id")), "last")}, block=block)
+    opens = answer & (F.col("_first") > 0)
+    if mode != "assistant":
+        opens = opens & (F.col("open_before") == 0)
+    if mode == "message":
+        opens = opens & (F.col("_prior").isNull() | (F.col("_prior") != F.col("message_id")))
+    return scans(rows, ["session_id"], {"round": Running(opens.cast("long"), inclusive=True)}, block=block).drop("_first", "_prior", "open_before", "open_after")
+
+
 def enough(with_rounds: DataFrame) -> DataFrame:
     """Sessions with at least two rounds and an answer."""
     return with_rounds.groupBy("session_id").agg(F.count_distinct("round").alias("rounds"), F.max(F.col("role") == "assistant").alias("answered")).where("rounds >= 2 and answered").select("session_id", "rounds")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import blocks, faults, pricing, text
-from .operators import lineage, lookups, pruning, selection, state, structure, trials, usage
+from .operators import lineage, lookups, pruning, selection, state, structure, surface, trials, usage
 from .plans import compaction, presets, restoration, strategies
 from .sources import logs
 
@@ -401,6 +401,27 @@ def suffix_cut_tools(spark, sf_dir):
     return selection.suffix_cut(log(spark, sf_dir), 8_000)
 
 
+# The same by blocks of places, small ones here, so that sessions are spread.
+@query("blocked_balance", ORACLE_SQL["balanced_cuts"])
+def blocked_balance(spark, sf_dir):
+    return structure.balanced(log(spark, sf_dir), block=16).where("open_after = 0").select("session_id", "pos", "open_before", "open_after")
+
+
+@query("blocked_intervals", ORACLE_SQL["call_intervals"])
+def blocked_intervals(spark, sf_dir):
+    return structure.call_intervals(log(spark, sf_dir), block=16).select("session_id", "pos", "call_id", "closed_at")
+
+
+@query("blocked_rounds", ORACLE_SQL["rounds_message"])
+def blocked_rounds(spark, sf_dir):
+    return structure.rounds(log(spark, sf_dir), "message", block=16).select("session_id", "pos", "round")
+
+
+@query("blocked_suffix_cut", ORACLE_SQL["suffix_cut_tools"])
+def blocked_suffix_cut(spark, sf_dir):
+    return selection.suffix_cut(log(spark, sf_dir), 8_000, block=16)
+
+
 @query("split_turn", f"""WITH {CONV}, r AS (SELECT *, max(CASE WHEN later + price >= 300 THEN idx END) OVER (PARTITION BY session_id) AS reach FROM s),
 c AS (SELECT session_id, coalesce(min(idx) FILTER (idx >= reach), min(idx), 0) AS cut FROM r GROUP BY session_id),
 z AS (SELECT c.session_id, c.cut, bool_or(s.idx = c.cut AND role = 'assistant') AS mid, max(s.idx) FILTER (s.idx < c.cut AND role = 'user') AS start FROM c JOIN s ON s.session_id = c.session_id WHERE c.cut > 0 GROUP BY ALL)
@@ -652,6 +673,54 @@ def snapshot_identity(spark, sf_dir):
     return logs.snapshot(rows, surface).select("session_id", "pos", "seq", "tool_name")
 
 
+_REPLAY = lambda now: f"""{LOG}, w AS (SELECT *, lag(source_kind = 'compact-checkpoint') OVER (PARTITION BY session_id ORDER BY pos) AS after_point,
+  max(CASE WHEN source_kind = 'compact-checkpoint' THEN pos END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS point FROM t WHERE {now}),
+o AS (SELECT session_id, pos AS seq, CASE WHEN source_kind = 'compact-checkpoint' THEN coalesce(point, 0) ELSE pos - 1 END AS a, pos - 1 AS b FROM w
+      WHERE source_kind = 'compact-checkpoint' AND pos > 0 OR is_error AND k % 10 = 3 AND pos > 1 AND NOT after_point),
+ca AS (SELECT session_id, seq, a FROM o UNION ALL SELECT ca.session_id, ca.seq, o.a FROM ca JOIN o ON o.session_id = ca.session_id AND o.seq = ca.a),
+cb AS (SELECT session_id, seq, b FROM o UNION ALL SELECT cb.session_id, cb.seq, o.b FROM cb JOIN o ON o.session_id = cb.session_id AND o.seq = cb.b),
+iv AS (SELECT session_id, seq, min(a) AS low, any_value(high) AS high FROM ca JOIN (SELECT session_id, seq, min(b) AS high FROM cb GROUP BY ALL) USING (session_id, seq) GROUP BY session_id, seq),
+lf AS (SELECT w.session_id, w.pos AS place FROM w ANTI JOIN o ON o.session_id = w.session_id AND o.seq = w.pos),
+tp AS (SELECT lf.session_id, place, coalesce(max(iv.seq), place) AS seq FROM lf LEFT JOIN iv ON iv.session_id = lf.session_id AND place BETWEEN low AND high GROUP BY lf.session_id, place),
+sf AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY min(place)) - 1 AS pos, seq FROM tp GROUP BY session_id, seq)"""
+_MIDDLE = "time_ms <= (SELECT (min(time_ms) + max(time_ms)) // 2 FROM t)"
+
+
+def _replayed(spark, sf_dir, middle: bool) -> tuple[DataFrame, DataFrame]:
+    """The log and its surface, at the end or in the middle of the log's time."""
+    rows, now = log(spark, sf_dir), None
+    if middle:
+        now = F.col("time_ms") <= rows.agg(F.floor((F.min("time_ms") + F.max("time_ms")) / 2)).first()[0]
+    messages = rows.select("session_id", F.col("pos").alias("seq"), "time_ms")
+    return rows, surface.replay(messages, logs.operations_from_events(rows), now, block=16)[0]
+
+
+@query("replayed_surface", f"WITH RECURSIVE {_REPLAY('true')} SELECT session_id, pos, seq FROM sf")
+def replayed_surface(spark, sf_dir):
+    return _replayed(spark, sf_dir, False)[1]
+
+
+@query("surface_as_of", f"WITH RECURSIVE {_REPLAY(_MIDDLE)} SELECT session_id, pos, seq FROM sf")
+def surface_as_of(spark, sf_dir):
+    return _replayed(spark, sf_dir, True)[1]
+
+
+@query("measured_surface", f"""WITH RECURSIVE {_REPLAY(_MIDDLE)}, m AS (SELECT session_id, pos - 1 AS seq, pos AS stamp, chars // 3 AS tokens FROM w WHERE kind = 'purchase' UNION ALL SELECT session_id, pos - 2, pos, chars // 5 FROM w WHERE kind = 'click'),
+mm AS (SELECT session_id, seq, max_by(tokens, stamp) AS tokens FROM m GROUP BY ALL)
+SELECT sf.session_id, sf.pos, sf.seq, coalesce(mm.tokens, w.price)::BIGINT AS tokens, w.finish, CASE WHEN w.has_usage THEN w.u_total END AS usage_total
+FROM sf JOIN w ON w.session_id = sf.session_id AND w.pos = sf.seq LEFT JOIN mm ON mm.session_id = sf.session_id AND mm.seq = sf.seq""")
+def measured_surface(spark, sf_dir):
+    """Measurements: an answer measures the row before it, a result the one two before it; the latest by that time counts."""
+    rows, visible = _replayed(spark, sf_dir, True)
+    numbered = rows.withColumns({"seq": F.col("pos"), "at": F.col("pos")})
+    measured = lambda kind, back, part: numbered.where(kind).select("session_id", (F.col("pos") - back).alias("seq"), F.col("pos").alias("measured_at"), F.floor(F.col("chars") / part).cast("long").alias("tokens"), "time_ms")
+    middle = rows.agg(F.floor((F.min("time_ms") + F.max("time_ms")) / 2)).first()[0]
+    prices = measured(F.col("usage").isNotNull(), 1, 3).unionByName(measured((F.col("role") == "tool") & ~F.col("is_error"), 2, 5))
+    answers = numbered.where("usage is not null").select("session_id", "seq", F.col("pos").alias("answered_at"), "finish", "usage", "time_ms")
+    out = surface.attach(logs.snapshot(numbered, visible), prices, answers, F.col("price"), F.col("time_ms") <= middle)
+    return out.select("session_id", "pos", "seq", "tokens", "finish", F.col("usage.total").alias("usage_total"))
+
+
 @query("latest_records", f"WITH {LOG} SELECT session_id, max(seq) AS seq, max_by('{{\"count\":' || k || '}}', seq) AS data FROM t WHERE kind = 'error' GROUP BY session_id")
 def latest_records(spark, sf_dir):
     rows = log(spark, sf_dir).where("role = 'tool' and is_error").select("session_id", "seq", F.col("k").alias("count"), F.lit(None).cast("string").alias("left_out"))

@@ -83,6 +83,22 @@ def entries_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def operations_from_events(entries: DataFrame) -> DataFrame:
+    """Replace operations in our reading of ``events``, with a row's place as its number: session_id, seq, start_seq, end_seq, time_ms.
+
+    A checkpoint takes the place of all that is visible before it, a failed result whose
+    ``k`` ends in 3 that of the row before it, unless that is the first row or a checkpoint.
+    """
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("session_id").orderBy("pos")
+    point = F.col("source_kind") == "compact-checkpoint"
+    earlier = F.coalesce(F.max(F.when(point, F.col("pos"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.when(point & (F.col("pos") > 0), earlier).when(F.col("is_error") & (F.col("k") % 10 == 3) & (F.col("pos") > 1) & ~F.lag(point).over(order), F.col("pos") - 1)
+    rows = entries.select("session_id", F.col("pos").alias("seq"), start.alias("start_seq"), (F.col("pos") - 1).alias("end_seq"), "time_ms")
+    return rows.where("start_seq is not null")
+
+
 def files_from_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
 
