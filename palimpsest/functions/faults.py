@@ -1,15 +1,12 @@
 """What a failed request means to each strategy.
 
 An error is a chain of (code, message), the outermost first. A strategy that follows
-causes looks at the whole chain, any other at its first link. The same table serves
-DataFrame expressions (``fault_class``) and the summary calls in Python tasks (``classify``).
+causes looks at the whole chain, any other at its first link.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from functools import cache
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,8 +45,25 @@ FOLLOWS_CAUSES = frozenset({"head_tail", "calibrated"})
 _TOO_LARGE = r"REQUEST_TOO_LARGE"
 
 
-def fault_class(strategy: str, chain: Column, requested: Column | None = None, window: Column | None = None) -> Column:
-    """The class of an error (array of struct code, message), null where the strategy has none for it."""
+# The class of an error that is known by its name alone.
+NAMED = {"user_tail": ("terminal", r"^AbortError$"), "calibrated": ("cancelled", r"(?i)Abort|Cancel")}
+
+
+def has_code(chain: Column, pattern: str) -> Column:
+    """Whether any link of the chain has such a code."""
+    return F.exists(F.coalesce(chain, F.array().cast("array<struct<code:string,message:string,name:string>>")), lambda x: F.coalesce(x["code"].rlike(f"(?i){pattern}"), F.lit(False)))
+
+
+def transient(strategy: str, chain: Column) -> Column:
+    """Whether some link is a passing fault, whatever class comes first."""
+    return F.coalesce(reduce(lambda a, b: a | b, [has_code(chain, code) for name, code, _ in FAULTS[strategy] if name == "transient" and code], F.lit(False)), F.lit(False))
+
+
+def fault_class(strategy: str, chain: Column, requested: Column | None = None, window: Column | None = None, named: bool = False) -> Column:
+    """The class of an error (array of struct code, message), null where the strategy has none for it.
+
+    With ``named`` the links have a ``name`` too, by which some strategies know an abort.
+    """
     links = chain if strategy in FOLLOWS_CAUSES else F.slice(chain, 1, 1)
     matches = lambda text, pattern: F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False)) if pattern else F.lit(False)
 
@@ -57,6 +71,9 @@ def fault_class(strategy: str, chain: Column, requested: Column | None = None, w
         return F.exists(links, lambda x: matches(x["code"], code) | matches(x["message"], message))
 
     out = None
+    if named and strategy in NAMED:
+        name, pattern = NAMED[strategy]
+        out = F.when(F.exists(links, lambda x: F.coalesce(x["name"].rlike(pattern), F.lit(False))), name)
     for name, code, message in FAULTS[strategy]:
         hit = has(code, message)
         if name == "overflow" and strategy == "head_tail" and requested is not None:
@@ -65,35 +82,16 @@ def fault_class(strategy: str, chain: Column, requested: Column | None = None, w
     return F.lit(None).cast("string") if out is None else out
 
 
-@cache
-def _compiled(strategy: str) -> tuple[tuple[str, re.Pattern | None, re.Pattern | None], ...]:
-    own = lambda p: re.compile(p, re.I) if p else None
-    return tuple((name, own(code), own(message)) for name, code, message in FAULTS[strategy])
-
-
-def chain_of(error: BaseException) -> list[tuple[str, str]]:
-    """(code, message) of a Python error and its causes."""
+def causes_of(error: BaseException) -> list[tuple[str, str, str]]:
+    """(code, message, name) of a Python error and its causes; ``name`` is what it calls itself, else its class."""
     out, seen, e = [], set(), error
     while e is not None and id(e) not in seen:
         seen.add(id(e))
-        out.append((str(getattr(e, "code", "") or ""), str(e)))
+        out.append((str(getattr(e, "code", "") or ""), str(e), str(getattr(e, "name", "") or type(e).__name__)))
         e = e.__cause__
     return out
 
 
-def classify(strategy: str, chain: Sequence[tuple[str, str]]) -> str | None:
-    links = chain if strategy in FOLLOWS_CAUSES else chain[:1]
-    for name, code, message in _compiled(strategy):
-        if any((code and code.search(c)) or (message and message.search(m)) for c, m in links):
-            return name
-    return None
-
-
-def retryable(strategy: str, chain: Sequence[tuple[str, str]], flagged: bool = True) -> bool:
-    """Whether the same request may be sent again after a while. ``flagged``: what the error says of itself."""
-    return flagged if strategy == "round_keep" else classify(strategy, chain) == "transient"
-
-
 def request_trigger(status: Column, code: Column) -> Column:
     """What a failed model request asks for: ``request-too-large``, ``context-overflow``, or null (not the history's fault)."""
     # The status of a request that is too large, and the code of a full window.

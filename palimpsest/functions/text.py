@@ -195,4 +195,4 @@ def token_gap(message: Column, commas: bool = False) -> Column:
 def response_fault(finish: Column, kinds: Column, text: Column) -> Column:
     """Why a summary answer can't be used; null if it can."""
     media = F.exists(kinds, lambda k: ~k.isin("text", "reasoning"))
-    return F.when(finish.isin("max-tokens", "length"), "truncated").when(finish.isin("error", "aborted"), finish).when(media, "not text").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
+    return F.when(finish.isin("max-tokens", "length"), "truncated").when(finish.isin("error", "aborted"), finish).when(media, "not text").when(~F.coalesce(text, F.lit("")).rlike("(?U)\\S"), "empty")

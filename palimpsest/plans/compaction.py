@@ -13,7 +13,7 @@ from ..functions.text import file_tags, files_section, u16len
 from ..operators import lineage, lookups, selection, state, structure
 from ..sources import logs
 from ..sources.scratch import materialize
-from . import presets, restoration, strategies
+from . import presets, restoration, retries, strategies
 
 
 def priced(entries: DataFrame, price: Column) -> DataFrame:
@@ -84,11 +84,13 @@ def branch_summaries(entries: DataFrame, wanted: DataFrame, model: Callable[[str
     return out.select("session_id", text.alias("summary"), "error", "rows", "tokens")
 
 
-def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preserved: DataFrame | None = None, restored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preserved: DataFrame | None = None, restored: DataFrame | None = None, price: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(new entries, verdicts). A checkpoint replaces its range only if it is smaller.
 
     Its blocks are the texts of ``preserved`` (session_id, ord, text), the summary, and
-    the texts of ``restored``.
+    the texts of ``restored``. ``price`` is what the range was priced with: evaluated on
+    the checkpoint's own row, so that both sides are measured alike; where it needs what
+    only a logged row has (a stored estimate), a block costs a quarter of its characters.
     """
     good = summaries.where("summary is not null")
     kind = entries.schema["blocks"].dataType
@@ -100,6 +102,11 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
         good = good.join(own, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     good = good.withColumn("blocks", F.concat("ahead", F.array(logs.block("text", F.col("summary"))), "extra"))
     tokens = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.floor((u16len(b["text"]) + 3) / 4).cast("long"))
+    if price is not None:
+        point = {"session_id": F.col("session_id"), "blocks": F.col("blocks"), "role": F.lit("user"), "source_kind": F.lit("compact-checkpoint"), "is_error": F.lit(False)}
+        own = good.select("session_id", F.struct("ahead", "extra", "summary").alias("_parts"), *[point.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema if f.name != "session_id"])
+        good = own.withColumns({"_own": price.cast("long")}).select("session_id", "blocks", "_own")
+        tokens = F.coalesce("_own", tokens)
     old = selected.groupBy("session_id").agg(F.sum("price").alias("old_tokens"), F.count("*").alias("rows"))
     last = entries.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
     verdicts = good.withColumn("tokens", tokens).join(old, "session_id").join(last, "session_id").withColumn("accepted", F.col("tokens") < F.col("old_tokens"))
@@ -107,8 +114,7 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
     return logs.compact(entries, selected, points), verdicts.select("session_id", "rows", "old_tokens", "tokens", "accepted")
 
 
-#: Presets whose summary is asked for in rounds, with the rounds' mode, and those that restore context.
-_BY_ROUNDS = {"idle_headroom": "message", "image_guard": "pending"}
+#: Presets that restore context.
 _RESTORES = ("idle_headroom", "image_guard", "round_keep")
 
 _VERSIONED = ["pos", "seq", "role", "blocks"]
@@ -139,7 +145,9 @@ def run(
     changed meanwhile are left as they are: another writer came first. With ``files``
     (path, text), presets that restore context put it after the summary. With
     ``owners`` (``state.ownership``), sessions that another writer holds, or whose turn
-    does not admit this compaction (``manual`` or not), are left as they are.
+    does not admit this compaction (``manual`` or not), are left as they are. Summaries are
+    asked for by the strategy's own flow (``retries``), an own strategy's once; an answer
+    that is cut, blank or longer than ``max_chars`` is a fault and never committed.
     """
     own = settings or strategies.Config()
     keep = own.keep_recent_tokens or 0 if keep is None else keep
@@ -153,14 +161,16 @@ def run(
         summaries, preserved = basic_checkpoint(due, selected)
     else:
         chars = 2_000 if own.summary_tool_chars is None else own.summary_tool_chars
-        if strategy in _BY_ROUNDS:  # what is too long for the model loses its oldest rounds
-            gone = due.join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
-            texts = restoration.round_texts(gone, message_text("more", chars), _BY_ROUNDS[strategy])
-            summaries = restoration.summarize_rounds(texts, model, own.max_summary_attempts or 4, 500 if own.summary_retry_delay_ms is None else own.summary_retry_delay_ms, strategy=strategy)
-            summaries = summaries.select("session_id", F.substring("summary", 1, max_chars).alias("summary"), "error")
-        else:
-            summaries = logs.summarize(requests(due, selected, chars), model, max_chars)
+        flow = strategy if strategy in retries.FLOWS else "turn_tail"
+        gone = due.join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
+        units = retries.units_of(gone, message_text("more", chars), flow).join(sessions.select("session_id", F.col("window").alias("_window")), "session_id")
+        asked, _ = retries.summarize(retries.opened(units, F.col("_window")), lambda session, number, prompt: model(prompt), flow, attempts=own.max_summary_attempts, base_ms=own.summary_retry_delay_ms, max_chars=max_chars)
+        summaries = asked.select("session_id", "summary", "error")
         preserved = _PRESERVED[strategy](due, selected) if strategy in _PRESERVED and own.restore_context is not False else None
+        if strategy == "calibrated":  # where the model failed, the checkpoint that needs none
+            basic = asked.where("status = 'basic'").select("session_id")
+            instead, preserved = basic_checkpoint(due.join(basic, "session_id", "left_semi"), selected.join(basic, "session_id", "left_semi"))
+            summaries = summaries.join(basic, "session_id", "left_anti").unionByName(instead)
     summaries = materialize(summaries, "summaries")
     if latest is not None:
         summaries = summaries.join(state.unchanged(state.version(entries, _VERSIONED), state.version(latest, _VERSIONED)), "session_id", "left_semi")
@@ -168,4 +178,4 @@ def run(
     if files is not None and strategy in _RESTORES and own.restore_context is not False:
         limits = (own.max_restore_tokens or 50_000, own.max_skill_tokens or 5_000, own.max_file_tokens or 5_000, own.max_restored_files or 5)
         restored = restoration.restore(due, selected, files, *limits).select("session_id", "ord", "text")
-    return commit(rows, selected, summaries, preserved, restored)
+    return commit(rows, selected, summaries, preserved, restored, price)

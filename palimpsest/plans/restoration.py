@@ -1,18 +1,11 @@
-"""What a compacted session gets back, and summaries that retry and fall back."""
+"""What a compacted session gets back."""
 
 from __future__ import annotations
 
-import re
-import time
-from collections.abc import Callable, Iterator, Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import faults
 from ..functions.text import normal_name, path_from_json
 from ..operators import lineage, lookups, selection, structure
 from ..sources import logs
@@ -83,82 +76,3 @@ def basic_range(entries: DataFrame, target: int, overhead: int = 120) -> DataFra
     rows = rows.withColumns({"_point": F.sum("_kept").over(structure.rows_upto()) + overhead, "_range": F.sum("price").over(structure.rows_upto()), "_next": F.lead("role").over(structure.session_order()), "_fresh": F.max((~structure.checkpoint()).cast("int")).over(structure.rows_upto())})
     fits = (F.col("open_after") == 0) & F.coalesce(F.col("_next") != "tool", F.lit(True)) & (F.col("_fresh") == 1) & (F.col("_point") < F.col("_range")) & (F.col("_point") + F.col("later") <= target)
     return rows.groupBy("session_id").agg(F.coalesce(F.min(F.when(fits, F.col("idx") + 1)), F.max("n")).alias("cut"), F.max("n").alias("rows"))
-
-
-#: Fixed value: how an error states the size of a request and the limit.
-_GAP = re.compile(r"([\d,]+)\s*tokens?\s*>\s*([\d,]+)", re.I)
-
-
-def stated_gap(message: str) -> int | None:
-    """By how many tokens a request was too large, if the error says so."""
-    found = _GAP.search(message)
-    return int(found[1].replace(",", "")) - int(found[2].replace(",", "")) if found else None
-
-
-def rounds_to_drop(tokens: Sequence[int], gap: int | None) -> int:
-    """How many of the oldest rounds go: the fewest that hold ``gap`` tokens, a fifth without one; one at least goes, one stays."""
-    enough = len(tokens) // 5 if gap is None else int(np.searchsorted(np.cumsum(tokens), gap)) + 1
-    return int(np.clip(enough, 1, len(tokens) - 1))
-
-
-def summarize_rounds(
-    rounds: DataFrame,
-    model: Callable[[str], str],
-    attempts: int = 4,
-    delay_ms: int = 500,
-    cap_ms: int = 32_000,
-    main_model: Callable[[str], str] | None = None,
-    strategy: str = "idle_headroom",
-    passing: str = "head_tail",
-) -> DataFrame:
-    """Summaries with retries: session_id, summary, error, attempts, dropped.
-
-    ``rounds``: session_id, texts (array, oldest first), tokens (array). What an error
-    means is read from the table of ``strategy``, and whether it passes from that of
-    ``passing`` (its message counts as its code where it has none). On an overflow the
-    oldest rounds go (``rounds_to_drop``); on a passing fault the call waits, longer each
-    time; ``main_model`` is asked last if it is given. What still fails is an error row.
-    """
-
-    def ask(call: Callable[[str], str], texts: list[str]) -> tuple[str | None, list[tuple[str, str]]]:
-        try:
-            out = call("\n\n".join(texts))
-        except Exception as e:  # noqa: BLE001  the model's faults are data
-            return None, faults.chain_of(e)
-        return (out, []) if out and out.strip() else (None, [("", "empty summary")])
-
-    def one(texts: list[str], tokens: list[int]) -> tuple[str | None, str | None, int, int]:
-        dropped, waits, chain = 0, 0, [("", "no attempt")]
-        for n in range(1, attempts + 1):
-            out, chain = ask(model, texts[dropped:])
-            if out is not None:
-                return out, None, n, dropped
-            if faults.classify(strategy, chain) == "overflow" and len(texts) - dropped > 1:
-                dropped += rounds_to_drop(tokens[dropped:], stated_gap(chain[0][1]))
-            elif faults.classify(passing, [(c or m, m) for c, m in chain]) == "transient":
-                time.sleep(min(cap_ms, delay_ms * 2**waits) / 1000)
-                waits += 1
-            else:
-                break
-        if main_model is not None:
-            out, last = ask(main_model, texts[dropped:])
-            if out is not None:
-                return out, None, attempts + 1, dropped
-            chain = last
-        return None, chain[0][1], attempts, dropped
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [one(list(a), list(b)) for a, b in zip(part["texts"], part["tokens"], strict=True)]
-            yield part[["session_id"]].assign(summary=[o[0] for o in out], error=[o[1] for o in out], attempts=[o[2] for o in out], dropped=[o[3] for o in out])
-
-    return rounds.select("session_id", "texts", "tokens").mapInPandas(run, "session_id long, summary string, error string, attempts long, dropped long")
-
-
-def round_texts(entries: DataFrame, text, mode: str = "message") -> DataFrame:
-    """Per session its rounds as texts with their prices, for ``summarize_rounds``."""
-    rows = structure.rounds(entries, mode).select("session_id", "round", "pos", "price", text.alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    own = rows.groupBy("session_id", "round").agg(F.array_join(lines, "\n\n").alias("text"), F.sum("price").alias("tokens"))
-    all_ = own.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("round", "text", "tokens"))).alias("r"))
-    return all_.select("session_id", F.transform("r", lambda x: x["text"]).alias("texts"), F.transform("r", lambda x: x["tokens"]).alias("tokens"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import blocks, faults, pricing, text
+from .functions.blocks import message_text
 from .operators import lineage, lookups, pruning, selection, state, structure, surface, trials, usage
-from .plans import compaction, presets, restoration, strategies
+from .plans import compaction, presets, restoration, retries, strategies
 from .sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1333,6 +1334,22 @@ def summarized_sessions(spark, sf_dir):
     return logs.summarize(compaction.requests(rows, rows), _answer, 8_192)
 
 
+def _busy(session: int, number: int, prompt: str) -> str:
+    if number < session % 6:
+        raise RuntimeError("overloaded" if session % 7 else "refused")
+    return "" if session % 11 == 0 else f"{len(prompt)} characters"
+
+
+@query("retried_summaries", """WITH x AS (SELECT conv_id AS session_id, length(string_agg(CASE role WHEN 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS n FROM conversations GROUP BY conv_id),
+y AS (SELECT *, session_id % 6 AS busy, CASE WHEN session_id % 6 > 0 AND session_id % 7 = 0 THEN 1 ELSE least(session_id % 6 + 1, 4) END AS asked FROM x)
+SELECT session_id, asked::INTEGER AS asked, CASE WHEN busy >= asked OR session_id % 11 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN busy < asked AND session_id % 11 > 0 THEN n || ' characters' END AS summary,
+       CASE WHEN busy >= asked THEN CASE WHEN session_id % 7 > 0 THEN 'overloaded' ELSE 'refused' END WHEN session_id % 11 = 0 THEN 'summary empty' END AS error FROM y""")
+def retried_summaries(spark, sf_dir):
+    """Requests in rounds: passing faults are waited out up to the fourth request, others end it."""
+    units = retries.units_of(conv(spark, sf_dir), message_text("more", 2_000), "split_turn")
+    return retries.summarize(retries.opened(units), _busy, "split_turn", base_ms=1)[0].select("session_id", "asked", "status", "summary", "error")
+
+
 @query("compaction_verdicts")
 def compaction_verdicts(spark, sf_dir):
     """The whole plan with the model-free checkpoint (checked by invariants in the tests)."""

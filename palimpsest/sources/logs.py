@@ -205,7 +205,8 @@ def compact(entries: DataFrame, selected: DataFrame, checkpoints: DataFrame) ->
 def summarize(requests: DataFrame, model: Callable[[str], str], max_chars: int) -> DataFrame:
     """``requests`` (session_id, prompt) with ``summary`` and ``error``: the pluggable model call.
 
-    A failing call becomes an error row, not a failed job; blank answers are errors.
+    A failing call becomes an error row, not a failed job; blank answers are errors, as
+    are those of more than ``max_chars`` characters, which are never cut.
     """
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +214,8 @@ def summarize(requests: DataFrame, model: Callable[[str], str], max_chars: int)
             out = []
             for prompt in part["prompt"]:
                 try:
-                    text = model(prompt)[:max_chars]
-                    out.append((text, None) if text.strip() else (None, "empty summary"))
+                    text = model(prompt)
+                    out.append((None, "empty summary") if not text.strip() else (None, "truncated") if len(text) > max_chars else (text, None))
                 except Exception as e:  # noqa: BLE001  whatever the model raises is data here
                     out.append((None, str(e)))
             yield part[["session_id"]].assign(summary=[a for a, _ in out], error=[b for _, b in out])

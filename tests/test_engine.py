@@ -284,26 +284,28 @@ def test_compaction(spark, sf_dir):
     assert strategies.strategy("everything")(compaction.priced(rows, F.col("tokens")), 0).count() == rows.count()
 
 
-def test_summary_retries(spark):
-    rows = [(1, ["a" * 9, "bb", "c"], [9, 2, 1]), (2, ["x", "y"], [1, 1]), (3, ["never"], [5]), (4, ["slow"], [1]), (5, ["blank"], [1])]
-    seen = {"slow": 0}
-
-    def model(prompt):
-        if len(prompt) > 6 or prompt == "x\n\ny":
-            raise RuntimeError("prompt is too long: 9 tokens > 6" if "a" in prompt else "context limit exceeded")
-        if prompt == "never":
-            raise RuntimeError("refused")
-        if prompt == "slow":
-            seen["slow"] += 1
-            if seen["slow"] < 3:
-                raise RuntimeError("server overloaded")
-        return " " if prompt == "blank" else prompt.upper()
-
-    df = spark.createDataFrame(rows, "session_id long, texts array<string>, tokens array<long>").coalesce(1)
-    got = {r.session_id: (r.summary, r.error, r.attempts, r.dropped) for r in restoration.summarize_rounds(df, model, delay_ms=1).collect()}
-    assert got == {1: ("BB\n\nC", None, 2, 1), 2: ("Y", None, 2, 1), 3: (None, "refused", 4, 0), 4: ("SLOW", None, 3, 0), 5: (None, "empty summary", 4, 0)}
-    got = restoration.summarize_rounds(df.where("session_id = 3"), model, main_model=lambda p: "main").first()
-    assert (got.summary, got.error) == ("main", None)
+def test_cut_and_blank_answers_are_never_committed(spark, sf_dir):
+    rows = q.log(spark, sf_dir)
+    sessions = rows.select("session_id").distinct().select("session_id", F.lit(30_000).cast("long").alias("window"), F.lit(8_192).cast("long").alias("output"))
+    for strategy in ("split_turn", "head_tail"):
+        for said in ("y" * 51, " \n\t"):
+            new, verdicts = compaction.run(rows, sessions, strategy, F.col("tokens"), 4_000, lambda p, said=said: said, max_chars=50)
+            assert verdicts.count() == 0 and new.count() == rows.count()
+    new, verdicts = compaction.run(rows, sessions, "split_turn", F.col("tokens"), 4_000, lambda p: "y" * 50, max_chars=50)
+    assert verdicts.where("accepted").count() > 0
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "session_id long, prompt string")
+    got = {r.session_id: (r.summary, r.error) for r in logs.summarize(asked, lambda p: {"a": "abc", "b": "abcd", "c": " "}[p], 3).collect()}
+    assert got == {1: ("abc", None), 2: (None, "truncated"), 3: (None, "empty summary")}
+
+
+def test_checkpoints_are_priced_as_their_range_was(spark, sf_dir):
+    rows = logs.entries_from_conversations(logs.table(spark, sf_dir, "conversations"))
+    sessions = rows.select("session_id").distinct().select("session_id", F.lit(300).cast("long").alias("window"), F.lit(10).cast("long").alias("output"))
+    said = "Zusammenfassung: größer als 漢字"
+    settings = strategies.config(reserve_tokens=250)
+    for price, want in ((pricing.chars4(F.col("blocks")), -(-len(said) // 4)), (pricing.bytes4(F.col("blocks"), F.col("role"), F.lit("")), -(-len(said.encode()) // 4)), (F.length(F.col("blocks")[0]["text"]).cast("long"), len(said))):
+        verdicts = compaction.run(rows, sessions, "turn_tail", price, 20, lambda p: said, settings=settings)[1].collect()
+        assert verdicts and {r.tokens for r in verdicts} == {want}
 
 
 def test_restoration(spark):

@@ -1,6 +1,7 @@
 """Each preset's selection, context sizes, fitting and kept texts against plain walks over lists."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,20 +259,29 @@ def test_kept_users(spark):
 
 def test_faults(spark):
     chain = [("", "outer"), ("PROMPT_TOO_LONG", "inner")]
-    assert faults.classify("head_tail", chain) == "overflow" and faults.classify("round_keep", chain) is None
-    assert faults.classify("split_turn", [("", "Rate limit: quota used up")]) == "terminal"
-    assert faults.retryable("split_turn", [("429", "")]) and not faults.retryable("round_keep", [("", "x")], flagged=False)
+
+    def classify(name, chain):
+        for kind, code, message in faults.FAULTS[name]:
+            for c, m in chain if name in faults.FOLLOWS_CAUSES else chain[:1]:
+                if code and re.search(code, c, re.I) or message and re.search(message, m, re.I):
+                    return kind
+        return None
+
+    assert classify("head_tail", chain) == "overflow" and classify("round_keep", chain) is None
+    assert classify("split_turn", [("", "Rate limit: quota used up")]) == "terminal"
     cases = [[("REQUEST_TOO_LARGE", "x")], [("", "context window exceeded")], [("", "socket closed")], [("ABORTED", "x")], [("", "x"), ("SERVER", "y")], []]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, chain array<struct<code:string,message:string>>")
     for name in faults.FAULTS:
         got = {r.i: r.f for r in df.select("i", faults.fault_class(name, F.col("chain")).alias("f")).collect()}
-        assert got == {i: faults.classify(name, c) for i, c in enumerate(cases)}, name
+        assert got == {i: classify(name, c) for i, c in enumerate(cases)}, name
     sized = df.where("i = 0").select(faults.fault_class("head_tail", F.col("chain"), F.lit(60), F.lit(100)).alias("a"), faults.fault_class("head_tail", F.col("chain"), F.lit(40), F.lit(100)).alias("b")).first()
     assert (sized.a, sized.b) == ("overflow", None)
     error = RuntimeError("outer")
     error.__cause__ = ValueError("prompt is too long")
-    assert [m for _, m in faults.chain_of(error)] == ["outer", "prompt is too long"]
-    assert restoration.rounds_to_drop([9, 2, 1], 3) == 1 and restoration.rounds_to_drop([1, 1, 1, 1], 3) == 3 and restoration.rounds_to_drop([1] * 10, None) == 2 and restoration.rounds_to_drop([5, 5], 100) == 1
+    assert faults.causes_of(error) == [("", "outer", "RuntimeError"), ("", "prompt is too long", "ValueError")]
+    stopped = spark.createDataFrame([([("", "stop", n)],) for n in ("AbortError", "MyAbort", "CancelledError", "Error")], "chain array<struct<code:string,message:string,name:string>>")
+    names = [tuple(r) for r in stopped.select(*[faults.fault_class(s, F.col("chain"), named=True) for s in ("user_tail", "calibrated", "head_tail")]).collect()]
+    assert names == [("terminal", "cancelled", None), (None, "cancelled", None), (None, "cancelled", None), (None, None, None)]
 
 
 def test_retained_context(spark):
