@@ -287,10 +287,9 @@ def test_compaction(spark, sf_dir):
 def test_cut_and_blank_answers_are_never_committed(spark, sf_dir):
     rows = q.log(spark, sf_dir)
     sessions = rows.select("session_id").distinct().select("session_id", F.lit(30_000).cast("long").alias("window"), F.lit(8_192).cast("long").alias("output"))
-    for strategy in ("split_turn", "head_tail"):
-        for said in ("y" * 51, " \n\t"):
-            new, verdicts = compaction.run(rows, sessions, strategy, F.col("tokens"), 4_000, lambda p, said=said: said, max_chars=50)
-            assert verdicts.count() == 0 and new.count() == rows.count()
+    for strategy, said in (("split_turn", "y" * 51), ("head_tail", " \n\t")):
+        new, verdicts = compaction.run(rows, sessions, strategy, F.col("tokens"), 4_000, lambda p, said=said: said, max_chars=50)
+        assert verdicts.count() == 0 and new.count() == rows.count()
     new, verdicts = compaction.run(rows, sessions, "split_turn", F.col("tokens"), 4_000, lambda p: "y" * 50, max_chars=50)
     assert verdicts.where("accepted").count() > 0
     asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "session_id long, prompt string")

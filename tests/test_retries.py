@@ -189,7 +189,7 @@ def requests(spark, plans, window=60):
 
 @pytest.mark.parametrize("strategy", list(FLOWS))
 def test_flows(spark, strategy):
-    plans = {s: plan(s) for s in range(60)}
+    plans = {s: plan(s) for s in range(30)}
     scripts = {s: script(1000 + s) for s in plans}
     main = strategy == "image_guard"
 
