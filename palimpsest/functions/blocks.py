@@ -19,10 +19,24 @@ def media_as_text(blocks: Column | str = "blocks") -> Column:
     return F.transform(blocks, lambda b: F.when(b["type"] == "image", _with_text(b, image(b))).when(b["type"] == "file", _with_text(b, F.lit("[Attached file]"))).otherwise(b))
 
 
-def summary_input(role: Column, max_chars: int, blocks: Column | str = "blocks", image_note: str = "[Image left out of the request]", clip_note: str = "\n[Output shortened for the request]") -> Column:
-    """Without reasoning; images as a note; tool text cut at ``max_chars`` (0: not)."""
+# Sources that only list what is at hand, and the characters a text keeps after a request was too large.
+LISTINGS = "skill-list|catalog|discovery"
+LARGE_TEXT = 8_000
+
+
+def asked_about(source_kind: Column) -> Column:
+    """Whether a message belongs in a summary request: listings of skills and tools don't."""
+    return ~F.coalesce(source_kind.rlike(LISTINGS), F.lit(False))
+
+
+def summary_input(role: Column, max_chars: int | None, blocks: Column | str = "blocks", image_note: str = "[Image left out of the request]", clip_note: str = "\n[Output shortened for the request]", too_large: bool = False) -> Column:
+    """Without reasoning; images as a note; tool text cut at ``max_chars`` (0: not).
+
+    After a request that was ``too_large`` every text is cut, at 8,000 unless ``max_chars`` says otherwise.
+    """
+    max_chars = (LARGE_TEXT if too_large else 0) if max_chars is None else max_chars
     kept = F.filter(blocks, lambda b: b["type"] != "reasoning")
-    cut = lambda b: (role == "tool") & (b["type"] == "text") & F.lit(max_chars > 0) & (F.length(b["text"]) > max_chars)
+    cut = lambda b: ((role == "tool") | F.lit(too_large)) & (b["type"] == "text") & F.lit(max_chars > 0) & (F.length(b["text"]) > max_chars)
     return F.transform(kept, lambda b: F.when(b["type"] == "image", _with_text(b, F.lit(image_note))).when(cut(b), _with_text(b, F.concat(F.substring(b["text"], 1, max_chars), F.lit(clip_note)))).otherwise(b))
 
 

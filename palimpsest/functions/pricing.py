@@ -35,9 +35,13 @@ def block4(blocks: Column, image: int = 2000) -> Column:
 
 
 def bytes4(blocks: Column, role: Column, tool: Column, image_bytes: int = 7373) -> Column:
-    """A quarter of the UTF-8 bytes, rounded up once; reasoning is free, results also pay their id and name (``tool``)."""
+    """A quarter of the UTF-8 bytes, rounded up once; reasoning is free, results also pay their id and name (``tool``).
+
+    Images have a flat rate. A file, and an image that was moved out of the log (``name`` is
+    ``offloaded``), costs the JSON of its attachment only, which stands in ``arguments``.
+    """
     size = lambda c: F.octet_length(F.coalesce(c, F.lit(""))).cast("long")
-    body = _sum(blocks, lambda b: F.when(b["type"] == "text", size(b["text"])).when(b["type"] == "tool-call", size(b["name"]) + size(b["arguments"])).when(b["type"] == "image", F.lit(image_bytes)).otherwise(F.lit(0)))
+    body = _sum(blocks, lambda b: F.when(b["type"] == "text", size(b["text"])).when(b["type"] == "tool-call", size(b["name"]) + size(b["arguments"])).when((b["type"] == "file") | ((b["type"] == "image") & (b["name"] == "offloaded")), size(b["arguments"])).when(b["type"] == "image", F.lit(image_bytes)).otherwise(F.lit(0)))
     return ceil_div(body + F.when(role == "tool", size(tool)).otherwise(F.lit(0)), 4)
 
 

@@ -1050,6 +1050,27 @@ def summary_inputs(spark, sf_dir):
     return rows.select("session_id", "pos", logs.text_of(blocks=blocks.summary_input(F.col("role"), 7)).alias("text"), logs.text_of(blocks=blocks.shared_budget(F.col("role"), 6)).alias("shared"))
 
 
+_LISTED = "CASE k % 13 WHEN 0 THEN 'tool-catalog' WHEN 1 THEN 'skill-list' WHEN 2 THEN 'discovery-note' ELSE source_kind END"
+
+
+@query("large_request_rows", f"WITH {LOG} SELECT session_id, pos, CASE WHEN call_id IS NOT NULL THEN '' WHEN length(kind || ' ' || k) > 8 THEN left(kind || ' ' || k, 8) || chr(10) || '[Output shortened for the request]' ELSE kind || ' ' || k END AS text FROM t WHERE k % 13 > 2")
+def large_request_rows(spark, sf_dir):
+    """A request after one that was too large: no listings, every text short."""
+    rows = log(spark, sf_dir).withColumn("source_kind", F.expr(_LISTED)).where(blocks.asked_about(F.col("source_kind")))
+    return rows.select("session_id", "pos", logs.text_of(blocks=blocks.summary_input(F.col("role"), 8, too_large=True)).alias("text"))
+
+
+@query("price_attachments", f"""WITH {LOG}, x AS (SELECT *, strlen('{{"id":"ü' || k || '"}}') AS j, CASE WHEN call_id IS NULL THEN strlen(kind || ' ' || k) ELSE strlen(tool || '{{"path": "' || path || '"}}') END AS own FROM t)
+SELECT session_id, pos, ((own + CASE WHEN k % 3 = 0 THEN j ELSE 7373 END + CASE WHEN k % 2 = 0 THEN j ELSE 0 END + 3) // 4)::BIGINT AS tokens FROM x WHERE role IN ('user', 'assistant')""")
+def price_attachments(spark, sf_dir):
+    """Messages with an image, some of them moved out of the log, and some with a file."""
+    attachment = F.concat(F.lit('{"id":"ü'), F.col("k").cast("string"), F.lit('"}'))
+    image = logs.block("image", name=F.when(F.col("k") % 3 == 0, "offloaded"), arguments=attachment)
+    more = F.when(F.col("k") % 2 == 0, F.array(image, logs.block("file", arguments=attachment))).otherwise(F.array(image))
+    rows = log(spark, sf_dir).where("role in ('user', 'assistant')")
+    return rows.select("session_id", "pos", pricing.bytes4(F.concat("blocks", more), F.col("role"), F.lit("")).alias("tokens"))
+
+
 @query("media_placeholders", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[Attached image/png: image]' WHEN 1 THEN '[Attached file]' ELSE 'plain' END AS text FROM events")
 def media_placeholders(spark, sf_dir):
     i = F.col("event_id") % 3
