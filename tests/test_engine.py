@@ -262,7 +262,7 @@ def test_write_paths(spark, tmp_path):
             raise RuntimeError("down")
         return " " if prompt == "blank" else f"sum of {prompt}"
 
-    assert sorted((r.session_id, r.summary, r.error) for r in logs.summarize(asked, model, 8).collect()) == [(1, "sum of g", None), (2, None, "down"), (3, None, "empty summary")]
+    assert sorted((r.session_id, r.summary, r.error) for r in logs.summarize(asked, model, 11).collect()) == [(1, "sum of good", None), (2, None, "down"), (3, None, "empty summary")]
 
 
 def test_compaction(spark, sf_dir):
