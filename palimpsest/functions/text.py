@@ -108,16 +108,26 @@ def collect_paths(arguments: Column) -> Column:
     return F.pandas_udf(_paths, T.ArrayType(T.StringType()))(arguments)
 
 
+def _pretty(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else json.dumps(json.loads(v), indent=2, ensure_ascii=False))
+
+
+def pretty_json(value: Column) -> Column:
+    """Valid JSON with an item a line, indented by two."""
+    return F.pandas_udf(_pretty, T.StringType())(value)
+
+
 # --- paths
 
 
-def path_from_json(arguments: Column, keys: tuple[str, ...] = ("file_path", "path", "filePath")) -> Column:
-    """The first of ``keys`` that holds a non-empty string; null for anything else, bad JSON too."""
+def path_from_json(arguments: Column, keys: tuple[str, ...] = ("file_path", "path", "filePath"), skip_empty: bool = True) -> Column:
+    """The first of ``keys`` that holds a non-empty string, or any string unless ``skip_empty``; null for anything else, bad JSON too."""
     v = F.try_parse_json(arguments)
     out = []
     for k in keys:
         is_text = F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING"
-        out.append(F.when(is_text, F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))))
+        value = F.try_variant_get(v, f"$.{k}", "string")
+        out.append(F.when(is_text, F.nullif(value, F.lit("")) if skip_empty else value))
     return F.coalesce(*out)
 
 

@@ -224,23 +224,33 @@ def turn_tail(entries: DataFrame, budget: int, tail_turns: int | None = None) ->
     return out.select("session_id", "rows", F.coalesce(F.nullif("kept", F.lit(0)), F.col("rows")).alias("kept"))
 
 
-def append_within(items: DataFrame, budget: int) -> DataFrame:
+def append_within(items: DataFrame, budget: int, pool: int | None = None) -> DataFrame:
     """Per session: texts put one after another under a budget of tokens, each cut to what is left.
 
     ``items``: session_id, ord, label, body, cap. Each text costs a quarter of its
-    characters, its header included. Result: session_id, ord, text, used.
+    characters, its header included. With ``pool``, items whose column ``pooled`` is true
+    also share that many tokens inside the budget; one whose column ``excerpt`` is true
+    states in its header what it was cut to. Result: session_id, ord, text, used.
     """
-    order = F.array_sort(F.collect_list(F.struct("ord", "label", "body", "cap")))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<ord:bigint,text:string,used:bigint>>").alias("out"))
+    own = {n: F.col(n) if n in items.columns else F.lit(False) for n in ("pooled", "excerpt")}
+    # No more of a body than its cap allows has to be gathered.
+    body = F.substring("body", F.lit(1), F.least(F.col("cap") * 4, F.lit((1 << 31) - 1)).cast("int"))
+    order = F.array_sort(F.collect_list(F.struct("ord", "label", body.alias("body"), "cap", *[c.alias(n) for n, c in own.items()])))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(budget if pool is None else pool).cast("long").alias("pool"), F.array().cast("array<struct<ord:bigint,text:string,used:bigint>>").alias("out"))
 
     def step(a: Column, i: Column) -> Column:
-        header = F.concat(F.lit("["), i["label"], F.lit("]\n"))
-        room = F.greatest(F.lit(0), F.least(a["left"], i["cap"]) * 4 - F.length(header))
+        most = F.least(a["left"], i["cap"], F.when(i["pooled"], a["pool"]).otherwise(a["left"]))
+        cut = F.when(i["excerpt"], F.concat(F.lit("; excerpt up to "), most.cast("string"), F.lit(" tokens"))).otherwise("")
+        header = F.concat(F.lit("["), i["label"], cut, F.lit("]\n"))
+        room = F.greatest(F.lit(0), most * 4 - F.length(header))
         text = F.concat(header, F.substring(i["body"], F.lit(1), room.cast("int")))
         used = F.floor((F.length(text) + 3) / 4).cast("long")
-        own = F.struct(i["ord"].cast("long").alias("ord"), text.alias("text"), used.alias("used"))
+        done = F.struct(i["ord"].cast("long").alias("ord"), text.alias("text"), used.alias("used"))
         fits = (room > 0) & (F.length(i["body"]) > 0)
-        return F.struct(F.when(fits, a["left"] - used).otherwise(a["left"]).alias("left"), F.when(fits, F.concat(a["out"], F.array(own))).otherwise(a["out"]).alias("out"))
+        spent = F.when(fits, used).otherwise(F.lit(0)).cast("long")
+        return F.struct(
+            (a["left"] - spent).alias("left"), (a["pool"] - F.when(i["pooled"], spent).otherwise(F.lit(0).cast("long"))).alias("pool"), F.when(fits, F.concat(a["out"], F.array(done))).otherwise(a["out"]).alias("out")
+        )
 
     done = items.groupBy("session_id").agg(order.alias("items")).select("session_id", F.aggregate("items", start, step)["out"].alias("out"))
     return done.select("session_id", F.explode("out").alias("o")).select("session_id", "o.*")

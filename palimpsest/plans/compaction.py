@@ -88,7 +88,7 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
     """(new entries, verdicts). A checkpoint replaces its range only if it is smaller.
 
     Its blocks are the texts of ``preserved`` (session_id, ord, text), the summary, and
-    the texts of ``restored``. ``price`` is what the range was priced with: evaluated on
+    the texts of ``restored``, or its column ``block`` where it has one. ``price`` is what the range was priced with: evaluated on
     the checkpoint's own row, so that both sides are measured alike; where it needs what
     only a logged row has (a stored estimate), a block costs a quarter of its characters.
     """
@@ -98,7 +98,9 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
         if texts is None:
             good = good.withColumn(name, F.array().cast(kind))
             continue
-        own = texts.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: logs.block("text", x["text"])).alias(name))
+        parts = texts if "block" in texts.columns else texts.withColumn("block", logs.block("text", F.col("text")))
+        parts = parts.withColumn("block", F.col("block").cast(logs.BLOCK))
+        own = parts.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias(name))
         good = good.join(own, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     good = good.withColumn("blocks", F.concat("ahead", F.array(logs.block("text", F.col("summary"))), "extra"))
     tokens = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.floor((u16len(b["text"]) + 3) / 4).cast("long"))
@@ -114,13 +116,31 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
     return logs.compact(entries, selected, points), verdicts.select("session_id", "rows", "old_tokens", "tokens", "accepted")
 
 
-#: Presets that restore context.
-_RESTORES = ("idle_headroom", "image_guard", "round_keep")
+#: Presets that restore context after the summary.
+_RESTORES = ("idle_headroom", "image_guard", "round_keep", "head_tail")
+
+
+def _restored(strategy: str, rows: DataFrame, selected: DataFrame, files: DataFrame | None, recovery: DataFrame | None, own: strategies.Config) -> DataFrame | None:
+    """What the preset puts after the summary; None where it restores nothing or there is nothing to restore from."""
+    if strategy not in _RESTORES or own.restore_context is False or (files is None and recovery is None):
+        return None
+    given = lambda value, default: default if value is None else value
+    budget, file_tokens, most = given(own.max_restore_tokens, 50_000), given(own.max_file_tokens, 5_000), given(own.max_restored_files, 5)
+    if strategy == "head_tail":
+        return restoration.recovery_notes(selected, recovery)
+    if strategy == "round_keep":
+        return restoration.restore_reads(rows, selected, files, recovery, None, budget, file_tokens, most)
+    files = rows.sparkSession.createDataFrame([], "path string, text string") if files is None else files
+    limits = (budget, given(own.max_skill_tokens, 5_000), file_tokens, most)
+    if strategy == "idle_headroom":
+        return restoration.restore(rows, selected, files, *limits)
+    return restoration.restore_with_images(rows, selected, files, *limits, given(own.max_restored_images, 3))
+
 
 _VERSIONED = ["pos", "seq", "role", "blocks"]
 
 #: What stands before the summary, where a preset keeps anything.
-_PRESERVED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"user_tail": presets.retained_users, "head_tail": presets.head_and_tail_users}
+_PRESERVED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"user_tail": presets.retained_with_context, "head_tail": presets.head_and_tail_users}
 
 
 def run(
@@ -136,6 +156,7 @@ def run(
     files: DataFrame | None = None,
     owners: DataFrame | None = None,
     manual: bool = False,
+    recovery: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole plan for the sessions under pressure: price, trigger, select, summarize, restore, check, commit.
 
@@ -143,7 +164,8 @@ def run(
     ``keep_recent_tokens``, else to 0. ``settings`` also sets reserve and ratio of the
     trigger. With ``latest``, the log as read again before the commit, sessions that
     changed meanwhile are left as they are: another writer came first. With ``files``
-    (path, text), presets that restore context put it after the summary. With
+    (path, text) or ``recovery`` (see ``restoration``), presets that restore context put
+    it after the summary. With
     ``owners`` (``state.ownership``), sessions that another writer holds, or whose turn
     does not admit this compaction (``manual`` or not), are left as they are. Summaries are
     asked for by the strategy's own flow (``retries``), an own strategy's once; an answer
@@ -171,11 +193,10 @@ def run(
             basic = asked.where("status = 'basic'").select("session_id")
             instead, preserved = basic_checkpoint(due.join(basic, "session_id", "left_semi"), selected.join(basic, "session_id", "left_semi"))
             summaries = summaries.join(basic, "session_id", "left_anti").unionByName(instead)
+    if strategy == "head_tail" and model is not None:
+        summaries = restoration.with_todos(summaries, due, recovery)
     summaries = materialize(summaries, "summaries")
     if latest is not None:
         summaries = summaries.join(state.unchanged(state.version(entries, _VERSIONED), state.version(latest, _VERSIONED)), "session_id", "left_semi")
-    restored = None
-    if files is not None and strategy in _RESTORES and own.restore_context is not False:
-        limits = (own.max_restore_tokens or 50_000, own.max_skill_tokens or 5_000, own.max_file_tokens or 5_000, own.max_restored_files or 5)
-        restored = restoration.restore(due, selected, files, *limits).select("session_id", "ord", "text")
+    restored = _restored(strategy, due, selected, files, recovery, own)
     return commit(rows, selected, summaries, preserved, restored, price)

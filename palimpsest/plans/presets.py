@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import selection, structure
+from ..operators import lookups, selection, structure
 from ..operators.structure import all_rows, checkpoint, session_order, typed_user
 from ..sources.logs import text_of
 
@@ -137,6 +137,18 @@ def retained_users(entries: DataFrame, selected: DataFrame, budget: int = 20_000
     return kept.select("session_id", "pos", body.alias("body")).withColumn("ord", nth.cast("long")).select("session_id", "ord", F.concat(F.lit("[Retained user message "), F.col("ord").cast("string"), F.lit("]\n"), F.col("body")).alias("text"))
 
 
+def retained_with_context(entries: DataFrame, selected: DataFrame, budget: int = 20_000) -> DataFrame:
+    """``retained_users`` with the newest context of each state before the last of them, or alone: session_id, ord, text."""
+    users = retained_users(entries, selected, budget)
+    rows = entries.join(selected.select("session_id", "pos"), ["session_id", "pos"], "left_semi")
+    nothing = rows.limit(0).select("session_id", "seq", F.lit(0).alias("nth"), F.lit("").alias("text"))
+    context = lookups.retained_state(rows, nothing).where("what = 'context' and text <> ''")
+    place = F.row_number().over(W.partitionBy("session_id").orderBy("pos", "nth"))
+    last = users.groupBy("session_id").agg(F.max("ord").alias("_last"))
+    context = context.join(last, "session_id", "left").select("session_id", ((F.coalesce("_last", F.lit(1)) - 1) * (1 << 20) + place).cast("long").alias("ord"), "text")
+    return users.withColumn("ord", F.col("ord") * (1 << 20)).unionByName(context)
+
+
 def head_and_tail_users(entries: DataFrame, selected: DataFrame, budget: int = 20_000, head: int = 2_000) -> DataFrame:
     """Typed messages as a head, a notice of what is left out, and a tail: session_id, ord, text.
 

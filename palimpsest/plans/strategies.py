@@ -36,6 +36,7 @@ class Config:
     restore_context: bool | None = None
     max_restore_tokens: int | None = None
     max_restored_files: int | None = None
+    max_restored_images: int | None = None
     max_file_tokens: int | None = None
     max_skill_tokens: int | None = None
     summarization_provider: str | None = None

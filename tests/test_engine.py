@@ -322,7 +322,7 @@ def test_restoration(spark):
     df = spark.createDataFrame(rows, f"session_id long, pos long, role string, source_kind string, source_form string, tool_call_id string, is_error boolean, blocks {blocks}, message_id string").withColumn("seq", F.col("pos"))
     files = spark.createDataFrame([("a.py", "print(1)"), ("b.py", "x"), ("docs/AGENTS.md", "x")], "path string, text string")
     out = restoration.restore(df, df.where("pos < 10").select("session_id", "pos"), files)
-    assert [r.text for r in out.orderBy("ord").collect()] == ["[Restored plan-note context]\nnew plan", '[Invoked skill {"skill": "k"}]\nskill text', "[Current file a.py]\nprint(1)"]
+    assert [r.text for r in out.orderBy("ord").collect()] == ["[Restored plan-note context]\nnew plan", '[Invoked skill {"skill": "k"}]\nskill text', "[Current file a.py; excerpt up to 5000 tokens]\nprint(1)"]
 
 
 def test_refills(spark):
