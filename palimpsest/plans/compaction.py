@@ -90,7 +90,8 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
     Its blocks are the texts of ``preserved`` (session_id, ord, text), the summary, and
     the texts of ``restored``, or its column ``block`` where it has one. ``price`` is what the range was priced with: evaluated on
     the checkpoint's own row, so that both sides are measured alike; where it needs what
-    only a logged row has (a stored estimate), a block costs a quarter of its characters.
+    only a logged row has (a stored estimate), a text costs a quarter of its
+    characters and an image its flat rate.
     """
     good = summaries.where("summary is not null")
     kind = entries.schema["blocks"].dataType
@@ -103,7 +104,7 @@ def commit(entries: DataFrame, selected: DataFrame, summaries: DataFrame, preser
         own = parts.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias(name))
         good = good.join(own, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     good = good.withColumn("blocks", F.concat("ahead", F.array(logs.block("text", F.col("summary"))), "extra"))
-    tokens = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.floor((u16len(b["text"]) + 3) / 4).cast("long"))
+    tokens = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.when(b["type"] == "image", restoration.IMAGE_TOKENS).otherwise(F.floor((u16len(F.coalesce(b["text"], F.lit(""))) + 3) / 4)).cast("long"))
     if price is not None:
         point = {"session_id": F.col("session_id"), "blocks": F.col("blocks"), "role": F.lit("user"), "source_kind": F.lit("compact-checkpoint"), "is_error": F.lit(False)}
         own = good.select("session_id", F.struct("ahead", "extra", "summary").alias("_parts"), *[point.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema if f.name != "session_id"])

@@ -22,6 +22,7 @@ from ..operators import lineage, lookups, selection, structure
 from ..sources import logs
 
 FILE_TOOLS = ("read", "readfile", "edit", "editfile", "write", "writefile")
+IMAGE_TOKENS = 1_600
 SKILL_TOOLS = ("skill", "loadskill", "skillread")
 
 
@@ -97,7 +98,7 @@ def restore_with_images(
     most_files: int = 5,
     most_images: int = 3,
     media_free: DataFrame | None = None,
-    image_tokens: int = 1_600,
+    image_tokens: int = IMAGE_TOKENS,
 ) -> DataFrame:
     """State, skills, files and the last images of the selection under one budget: session_id, ord, text, used, block.
 

@@ -1394,6 +1394,18 @@ def basic_ranges(spark, sf_dir):
     return restoration.basic_range(log(spark, sf_dir), 60_000)
 
 
+@query("reread_files", f"""WITH {LOG}, v AS (SELECT session_id, result_id, pos, seq, time_ms, is_error, kind || ' ' || k AS body FROM t WHERE result_id IS NOT NULL),
+c AS (SELECT session_id, call_id, pos, path, pos >= 40 AS stays FROM t WHERE call_id IS NOT NULL AND tool = 'read_file'),
+r AS (SELECT v.session_id, v.pos, v.time_ms, v.body, c.path, c.stays FROM v ASOF JOIN c ON c.session_id = v.session_id AND c.call_id = v.result_id AND c.pos < v.pos WHERE NOT is_error),
+l AS (SELECT session_id, path, max_by(time_ms, pos) AS time_ms, max_by(body, pos) AS body, max_by(stays, pos) AS stays, min(pos) AS first_pos FROM r GROUP BY ALL),
+n AS (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY time_ms DESC, first_pos) AS nth, (length(body) + 3) // 4 AS tokens, body FROM l WHERE NOT stays)
+SELECT session_id, path, nth::INTEGER AS nth, tokens::BIGINT AS tokens, CASE WHEN tokens <= 2 AND sum(CASE WHEN tokens <= 2 THEN tokens ELSE 0 END) OVER (PARTITION BY session_id ORDER BY nth) <= 7 THEN body END AS text FROM n WHERE nth <= 5""")
+def reread_files(spark, sf_dir):
+    """Files read last before a checkpoint over the first 40 rows of each session; a text of above two tokens is only named."""
+    rows = log(spark, sf_dir)
+    return restoration.reread_files(rows, rows.where("pos < 40").select("session_id", "pos"), budget=7, file_tokens=2)
+
+
 @query("restored_context")
 def restored_context(spark, sf_dir):
     """State, skills and files of the first half of each session under one budget (its parts have SQL of their own)."""

@@ -226,7 +226,14 @@ def test_context_before_the_last_user(spark):
 
 
 def test_run_restores_for_every_preset(spark, session_rows):
-    _, df, _, files = session_rows
+    _, _, _, files = session_rows
+    rows = []
+    for s in range(8):
+        for p in range(0, 60, 3):
+            rows.append((s, p, p, p, "user", "user", None, None, False, f"m{p}", 10, [say("please")]))
+            rows.append((s, p + 1, p + 1, p, "assistant", "model", None, None, False, f"m{p + 1}", 10, [("tool-call", None, f"c{p}", "Read", json.dumps({"path": f"d/f{p % 9}.py"}), None)]))
+            rows.append((s, p + 2, p + 2, p, "tool", "tool", None, f"c{p}", False, f"m{p + 2}", 10, [say("result")] + [("image", None, None, None, None, "image/png")] * (p % 2)))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("tool_name", F.lit(None).cast("string"))
     sessions = df.select("session_id").distinct().select("session_id", F.lit(40_000).cast("long").alias("window"), F.lit(8_192).cast("long").alias("output"))
     settings = strategies.config(reserve_tokens=26_900, threshold_ratio=0.01, max_restored_images=1)
     seen = spark.createDataFrame([(s, ["mind this"]) for s in range(8)], "session_id long, reminders array<string>")
