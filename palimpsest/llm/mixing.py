@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, whole_rows, word_count
 
-_STEPS, _TOLERANCE, _BLOCK, _STARTS = 100, 1e-9, 2048, 32
+_STEPS, _TOLERANCE, _BLOCK, _STARTS, _RUN = 100, 1e-9, 2048, 32, 1024
 
 
 def _rate(lam: Column, x: Column, cap: float) -> Column:
@@ -98,6 +98,17 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: float, name: str = "tilt") -
     raise RuntimeError(f"entropy balancing did not converge in {_STEPS} steps: a source is off its target by {left:.3g} of it")
 
 
+def runs_of(rows: DataFrame, same: Sequence[str], most: int = _RUN) -> DataFrame:
+    """Rows that agree in all of ``same`` as runs of at most ``most``: ``same``, part (number of the run), n (its rows).
+
+    Counting comes before any sort, so rows that repeat, whatever share of the table they
+    hold, are never gathered: their runs are dealt like other rows.
+    """
+    counts = rows.groupBy(*same).agg(F.count("*").alias("all"))
+    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / most))))
+    return parts.withColumn("n", F.least(F.lit(most).cast("long"), F.col("all") - F.col("part") * most)).drop("all")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -115,9 +126,9 @@ def mix(
 
     A null text has size 0, a null source is a source of its own. Documents of size 0
     take no part in balancing and are taken once if their source's target is above 0
-    or the source has no words. Repeated rows are separate documents with the same
-    position, so all but a fraction of them share a decision. An empty table gives an
-    empty one. Reruns agree.
+    or the source has no words. Repeated rows are separate documents that are counted
+    and dealt out in runs, so neither one id, nor null ids, nor one row on a large share
+    of the table makes a large task. An empty table gives an empty one. Reruns agree.
     """
     row = [whole_rows(docs.select(*[f"`{c}`" for c in carry])).alias("row")] if carry else []
     rows = materialize(docs.select(F.col(key).alias("own_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *row), "sizes")
@@ -127,23 +138,27 @@ def mix(
     state = state.join(blocks.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "low", "high", "off")
     state = state.withColumnRenamed("source", "of")
     # One row for each source: Spark broadcasts it while it is under the size threshold, else joins by shuffle.
-    rows = rows.join(state, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = runs_of(rows, ["source", "own_key", "size", *(["row"] if carry else [])]).join(state, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("lam").isNotNull(), _rate(F.col("lam"), F.col("size") / F.col("mean"), cap))
     rate = F.coalesce(rate, F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0))
-    chance = F.xxhash64("own_key", F.lit("block"))
-    rows = rows.withColumns({"rate": rate, "block": F.pmod(chance, F.col("blocks"))})
-    block = ["source", "block"]
-    upto = F.sum("rate").over(W.partitionBy(*block).orderBy(F.desc("size"), F.xxhash64("own_key"), "own_key", *(["row"] if carry else [])).rowsBetween(W.unboundedPreceding, 0))
+    same = ["own_key", *(["row"] if carry else [])]
+    rows = rows.withColumns({"rate": rate, "block": F.pmod(F.xxhash64("size", "part", *same), F.col("blocks"))})
+    order = W.partitionBy("source", "block").orderBy(F.desc("size"), F.xxhash64("own_key"), *same, "part")
+    upto = F.sum(F.col("rate") * F.col("n")).over(order.rowsBetween(W.unboundedPreceding, 0))
     rows = materialize(rows.withColumn("upto", upto), "rates")
 
-    def copies(start: Column) -> Column:
-        n = F.floor(F.col("upto") + start + 1e-9) - F.floor(F.col("upto") - F.col("rate") + start + 1e-9)
-        return F.least(F.greatest(n, F.lit(0)), F.lit(cap)).cast("int")
+    def copies(start: Column, first: Column, last: Column) -> Column:
+        """Copies of a run's rows after its ``first`` up to its ``last``: the whole numbers that their rates pass."""
+        place = lambda i: F.floor(F.col("upto") - F.col("rate") * (F.col("n") - i) + start + 1e-9)
+        return place(last) - place(first)
 
     # Of the evenly spaced starts, each block takes the one whose words come nearest to the expected ones.
     starts = [(k + 0.5) / _STARTS for k in range(_STARTS)]
-    took = [F.sum(F.col("size") * copies(F.lit(u))) for u in starts]
-    off = [F.struct(F.abs(t - _exact_sum(F.col("size") * F.col("rate"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
+    took = [F.sum(F.col("size") * copies(F.lit(u), F.lit(0), F.col("n"))) for u in starts]
+    off = [F.struct(F.abs(t - _exact_sum(F.col("size") * F.col("rate") * F.col("n"))).alias("off"), F.lit(u).alias("start")) for t, u in zip(took, starts, strict=True)]
     best = rows.groupBy(F.col("source").alias("of"), F.col("block").alias("nth")).agg(F.array_min(F.array(*off))["start"].alias("start"))
-    rows = rows.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth"))).withColumn("copies", copies(F.col("start")))
+    rows = rows.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth")))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    own = copies(F.col("start"), F.col("i") - 1, F.col("i"))
+    rows = rows.withColumn("copies", F.least(F.greatest(own, F.lit(0)), F.lit(cap)).cast("int"))
     return rows.select(F.col("own_key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["row"] if carry else []))
